@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonespark.llm import bpe, chat, exact, packing, warc
+from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, packing, substring, warc
 from tonespark.llm.scratch import new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(n: int):
+    """Whether a row is in the fold that nothing is learned from; a null doc_id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n == 1
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~_held_out(3))
+    made = langid.label(docs.select("doc_id", "text"), model)
+    return made.select("doc_id", _held_out(3).alias("held_out"), "lang_pred", "score", "spans")
+
+
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -30,10 +46,21 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = kneser_ney.score(docs, kneser_ney.fit(docs, ~_held_out(5)))
+    return scored.withColumn("held_out", _held_out(5))
+
+
 def op7_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_warc_archive, op5_chat_format, op7_cost_packing, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe)}
 
 _ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
 for _c in chat.CONTROLS:
