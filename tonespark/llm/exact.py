@@ -151,17 +151,26 @@ def _signed(hex16: Column) -> Column:
     return (F.shiftleft(high - F.lit(1 << 31), 32)).bitwiseOR(low)
 
 
+def drop_rows(docs: DataFrame, decided: DataFrame, mark: Column) -> DataFrame:
+    """``docs`` without the rows that ``decided`` (doc_id, mark, kept) drops, found by doc_id and ``mark`` of the row.
+
+    Of repeated rows that share both and of which one is kept, one stays.
+    """
+    decided = keep(decided, "decided")
+    pick = lambda kept: decided.where(F.col("kept") == kept).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    lost, stay = pick(False), pick(True).withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"})
+    both = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_mark") == F.col("_mark2"))
+    gone, twice = lost.join(stay, both, "left_anti"), keep(lost.join(stay, both, "left_semi"), "repeated")
+    marked = docs.withColumn("_mark0", mark)
+    same = lambda other: marked["doc_id"].eqNullSafe(other["_id"]) & (marked["_mark0"] == other["_mark"])
+    out = marked.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        once = out.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_mark0"])
+        out = out.join(twice, same(twice), "left_anti").unionByName(once)
+    return out.drop("_mark0")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``decide`` drops; of repeated rows that share doc_id and text, one stays."""
-    made = decide(docs)
-    made = keep(made.select("doc_id", "text_sha256", "kept"), "decided")
-    lost = made.where("not kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha")).distinct()
-    stays = made.where("kept").select(F.col("doc_id").alias("lost_id"), F.col("text_sha256").alias("lost_sha"))
-    twice = lost.join(stays, (lost.lost_id.eqNullSafe(stays.lost_id)) & (lost.lost_sha == stays.lost_sha), "left_semi")
-    gone = lost.join(stays, (lost.lost_id.eqNullSafe(stays.lost_id)) & (lost.lost_sha == stays.lost_sha), "left_anti")
-    sha = text_digest(F.col("text"))
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["lost_id"]) & (sha == gone["lost_sha"]), "left_anti")
-    if twice.isEmpty():
-        return out
-    same = docs["doc_id"].eqNullSafe(twice["lost_id"]) & (sha == twice["lost_sha"])
-    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+    made = decide(docs).select("doc_id", F.col("text_sha256").alias("mark"), "kept")
+    return drop_rows(docs, made, text_digest(F.col("text")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, packing, substring, warc
+from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, ngram_join, packing, substring, warc
 from tonespark.llm.scratch import new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", _held_out(3).alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "n_shingles")
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.with_edits(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe)}
 
 _ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
 for _c in chat.CONTROLS:
