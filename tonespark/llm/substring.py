@@ -3,7 +3,7 @@
 Windows of WINDOW words are compared without hashing all of them. Only runs of ANCHOR words that begin at cover
 positions, counted from the document's start modulo PERIOD, are hashed everywhere. The cover is a perfect difference
 set: for any two positions some shift below PERIOD puts both on the cover, so two equal windows share an anchor at the
-same shift. Where an anchor repeats it is extended: the windows that contain it are hashed in full (128 bits) and
+same shift. Where an anchor repeats it is extended: the windows that contain it are hashed in full (96 bits) and
 compared. Documents live in units of a few MB; per unit each distinct hash is sent once, which keeps what one hash
 gathers far below the number of its occurrences.
 """
@@ -41,7 +41,7 @@ class Unit:
         for i in range(1, len(order)):
             if self.key[i] == self.key[i - 1] and self.none[i] == self.none[i - 1]:
                 same[i] = same[i - 1] + 1
-        self.turn = same + (self.none.astype(np.int64) << 40)
+        self.turn = (same + (self.none.astype(np.int64) << 30)).astype(np.int32)
         self.buf, off = text_bytes(self.table["text"])
         self.off = off
         self.starts, self.ends, self.at = spans(self.buf, off)
@@ -61,9 +61,9 @@ class Unit:
     def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the windows at these positions."""
         if not len(starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         second = hashes(self.buf, self.starts, self.ends, 1)
-        return windows(self.h, WINDOW)[starts], windows(mix(second), WINDOW, 1)[starts]
+        return windows(self.h, WINDOW)[starts], (windows(mix(second), WINDOW, 1)[starts] >> np.uint64(32)).astype(np.uint32)
 
 
 def _blobs(table: pa.Table, column: str, kind: type) -> np.ndarray:
@@ -137,15 +137,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             one, two, starts = one[f], two[f], starts[f]
             row = unit.row[starts]
             for b, s in cut(one, n):
-                out.append((b, left["unit"][0].as_py(), one[s].tobytes(), two[s].tobytes(), unit.key[row[s]].tobytes(), unit.turn[row[s]].tobytes(), unit.place[starts[s]].tobytes(), many[s].tobytes()))
+                out.append((b, left["unit"][0].as_py(), one[s].tobytes(), two[s].tobytes(), unit.key[row[s]].tobytes(), unit.turn[row[s]].tobytes(), unit.place[starts[s]].astype(np.uint32).tobytes(), many[s].tobytes()))
         columns = list(zip(*out, strict=True)) if out else [()] * 8
         return pa.table({c: pa.array(x, pa.int64() if c in ("bucket", "unit") else pa.binary()) for c, x in zip(names, columns, strict=True)})
 
     def winners(table: pa.Table) -> pa.Table:
-        one, two = _blobs(table, "one", np.uint64), _blobs(table, "two", np.uint64)
-        key, turn, start = (_blobs(table, c, np.int64) for c in ("key", "turn", "start"))
+        one, two = _blobs(table, "one", np.uint64), _blobs(table, "two", np.uint32)
+        key, turn, start = (_blobs(table, c, kind) for c, kind in (("key", np.int64), ("turn", np.int32), ("start", np.uint32)))
         many, counts = _blobs(table, "many", bool), _counts(table, "one")
-        order = np.lexsort((start, turn & ((1 << 40) - 1), key, turn >> 40, two, one))
+        order = np.lexsort((start, turn & ((1 << 30) - 1), key, turn >> 30, two, one))
         o, t = one[order], two[order]
         first = np.ones(len(o), bool)
         first[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
@@ -168,7 +168,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         unit = Unit(left)
         gone = np.zeros(len(unit.h), bool)
         if right.num_rows:
-            one, two, wins = _blobs(right, "one", np.uint64), _blobs(right, "two", np.uint64), _blobs(right, "wins", bool)
+            one, two, wins = _blobs(right, "one", np.uint64), _blobs(right, "two", np.uint32), _blobs(right, "wins", bool)
             order = np.argsort(one, kind="stable")
             one, two, wins = one[order], two[order], wins[order]
             starts = np.flatnonzero(unit.left >= WINDOW)
