@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tonespark.functions.sample import zigzag
 
-BY_FRAME = Window.partitionBy("user_id").orderBy("frame")
+
+def by_frame() -> WindowSpec:
+    """A stream's frames in order."""
+    return Window.partitionBy("user_id").orderBy("frame")
 
 
 def block_of(length: int, frame: str = "frame") -> Column:
@@ -18,7 +21,7 @@ def block_of(length: int, frame: str = "frame") -> Column:
 
 def fixed_residuals(stream: DataFrame) -> DataFrame:
     """``r0`` to ``r4``: finite differences of orders 0 to 4; null where the stream has no history."""
-    lag = [F.lag("q", k).over(BY_FRAME) for k in range(5)]
+    lag = [F.lag("q", k).over(by_frame()) for k in range(5)]
     binomial = [[1], [1, -1], [1, -2, 1], [1, -3, 3, -1], [1, -4, 6, -4, 1]]
     made = [reduce(lambda a, b: a + b, (F.lit(c) * lag[k] for k, c in enumerate(row))).alias(f"r{n}") for n, row in enumerate(binomial)]
     return stream.select("user_id", "frame", "q", *made)
@@ -26,7 +29,7 @@ def fixed_residuals(stream: DataFrame) -> DataFrame:
 
 def restore_fixed(residuals: DataFrame) -> DataFrame:
     """Samples from residuals of orders 1 and 2, by running sums; warm-up samples are their own residuals."""
-    w = BY_FRAME.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
     first = residuals.withColumn("d1", F.coalesce("r1", "q")).withColumn("d1_2", F.when(F.col("frame") == 1, F.col("r1")).when(F.col("frame") == 0, F.col("q")))
     one = first.withColumn("x1", F.sum("d1").over(w))
     second = F.when(F.col("frame") >= 2, F.col("r2")).otherwise(F.when(F.col("frame") == 1, F.col("r1")).otherwise(F.lit(0)))
@@ -43,14 +46,14 @@ def rice_costs(values: DataFrame, keys: list[str], most: int = 14) -> DataFrame:
 
 
 def rice_values(stream: DataFrame, block: int = 64) -> DataFrame:
-    d = F.col("q") - F.lag("q").over(BY_FRAME)
+    d = F.col("q") - F.lag("q").over(by_frame())
     made = stream.withColumn("d", d).where("d is not null")
     return made.select("user_id", block_of(block).alias("block"), zigzag(F.col("d")).alias("u"))
 
 
 def pairs(stream: DataFrame) -> DataFrame:
     """Adjacent samples as left and right of one stereo frame."""
-    both = stream.withColumn("b", F.lead("q").over(BY_FRAME)).where("frame % 2 = 0 and b is not null")
+    both = stream.withColumn("b", F.lead("q").over(by_frame())).where("frame % 2 = 0 and b is not null")
     return both.select("user_id", (F.col("frame") / 2).cast("long").alias("frame"), F.col("q").alias("l"), F.col("b").alias("r"))
 
 
@@ -74,7 +77,7 @@ def cheapest_stereo(frames: DataFrame, block: int = 64) -> DataFrame:
 
 def attacks(stream: DataFrame, block: int = 8, ratio: float = 4.0) -> DataFrame:
     """Blocks whose high-passed energy is over ``ratio`` times that of the block before."""
-    high = stream.withColumn("h", F.col("q") - F.lag("q").over(BY_FRAME)).withColumn("block", block_of(block))
+    high = stream.withColumn("h", F.col("q") - F.lag("q").over(by_frame())).withColumn("block", block_of(block))
     energy = high.groupBy("user_id", "block").agg(F.sum(F.col("h") * F.col("h")).alias("energy"))
     before = F.lag("energy").over(Window.partitionBy("user_id").orderBy("block"))
     return energy.withColumn("attack", F.coalesce(F.col("energy") > ratio * before, F.lit(False)))
@@ -82,12 +85,12 @@ def attacks(stream: DataFrame, block: int = 8, ratio: float = 4.0) -> DataFrame:
 
 def activity_runs(stream: DataFrame, level: int = 3200) -> DataFrame:
     """Runs of frames at or over a level: gaps and islands."""
-    loud = stream.where(F.col("q") >= level).withColumn("island", F.col("frame") - F.row_number().over(BY_FRAME))
+    loud = stream.where(F.col("q") >= level).withColumn("island", F.col("frame") - F.row_number().over(by_frame()))
     return loud.groupBy("user_id", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")).drop("island")
 
 
 def conceal(stream: DataFrame, every: int = 5) -> DataFrame:
     """Lost frames (each ``every``-th) are filled with the last good sample, or 0."""
-    w = BY_FRAME.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
     got = F.when(F.col("frame") % every != every - 1, F.col("q"))
     return stream.withColumn("got", got).select("user_id", "frame", F.coalesce(F.last("got", True).over(w), F.lit(0)).alias("filled"), F.col("got").isNull().alias("lost"))
