@@ -226,7 +226,7 @@ def fit(docs: DataFrame, train: Column) -> Model:
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in slices(batch.column(0), 16 << 20):
+            for _, _, buf, off in slices(batch.column(0), 8 << 20):
                 ids, _, at = model.ids_of(buf, off)
                 keys, counts = np.unique((model.before(ids, at).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
                 where = model.pair_range(keys)
@@ -296,7 +296,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(1), 8 << 20):
+            for a, b, buf, off in slices(batch.column(1), 4 << 20):
                 ids, counts, at = model.ids_of(buf, off)
                 base = np.log10((counts + 0.5) / (model.total + 0.5 * (model.words + 1)))
                 own = np.log10(model.probabilities(ids, at))

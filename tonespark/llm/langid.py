@@ -122,7 +122,7 @@ def word_scores(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.ndar
     n = len(starts)
     out = np.zeros((n, len(model.languages)), np.float32)
     script = np.maximum.reduceat(SCRIPT_OF[buf], starts) if n else np.zeros(0, np.uint8)
-    tri, chunk, a = trigrams(buf), max(1 << 14, (1 << 22) // max(1, len(model.languages))), 0
+    tri, chunk, a = trigrams(buf), max(1 << 14, (1 << 20) // max(1, len(model.languages))), 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + chunk, "right")))
         s, e = int(starts[a]), int(ends[b - 1])
@@ -180,7 +180,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         names = [*m.languages, "und"]
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(keep.index("text")), max(1 << 20, (64 << 20) // max(4, len(m.languages)))):
+            for a, b, buf, off in slices(batch.column(keep.index("text")), max(1 << 18, (16 << 20) // max(4, len(m.languages)))):
                 pred, score, lists = _label_slice(m, buf, off)
                 size = [len(x) for x in lists]
                 flat = [x for y in lists for x in y]

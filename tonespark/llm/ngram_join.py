@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tonespark.llm.components import components
 from tonespark.llm.exact import drop_rows
 from tonespark.llm.scratch import keep
-from tonespark.llm.words import CHUNK, buckets, hashes, mix, row_of, row_sums, slices, spans, windows
+from tonespark.llm.words import SLICE, buckets, hashes, mix, row_of, row_sums, slices, spans, windows
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, BITS, RECALL = 24, 6, 10, 0.9999
@@ -94,7 +94,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(1), CHUNK):
+            for a, b, buf, off in slices(batch.column(1), SLICE // 2):
                 row, h = shingles(buf, off)
                 size, digest = set_digests(row, h, b - a)
                 raw = labels(row, h, b - a).tobytes()
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(0), CHUNK):
+            for a, b, buf, off in slices(batch.column(0), SLICE // 2):
                 row, h = shingles(buf, off)
                 at = np.searchsorted(row, np.arange(b - a + 1))
                 data = [h[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -22,9 +22,9 @@ from tonespark.llm.wordids import Memo, slice_ids
 from tonespark.llm.words import slices
 
 LENGTH = 2048
-GROUP_TOKENS = 1 << 19
+GROUP_TOKENS = 1 << 18
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
 
 

@@ -6,6 +6,7 @@ A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64-bit: a po
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,10 +18,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+SLICE = 1 << 21
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and their neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the ``n + 1`` offsets of its rows; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -32,7 +41,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return (buf[off[0] : off[-1]], off - off[0]) if len(column) else (buf[:0], np.zeros(1, np.int64))
 
 
-def slices(column, most: int = 4 * CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about ``most`` bytes (one row at least): first row, end row, bytes, offsets."""
     buf, off = text_bytes(column)
     a, n = 0, len(off) - 1
@@ -40,6 +49,7 @@ def slices(column, most: int = 4 * CHUNK) -> Iterator[tuple[int, int, np.ndarray
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
         yield a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    release()
 
 
 def spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
