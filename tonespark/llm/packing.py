@@ -22,9 +22,9 @@ from tonespark.llm.wordids import Memo, slice_ids
 from tonespark.llm.words import slices
 
 LENGTH = 2048
-GROUP_TOKENS = 1 << 18
+GROUP_TOKENS = 1 << 19
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, cost double"
 
 
@@ -75,9 +75,13 @@ def word_memo(path: str) -> Memo:
     tokenizer = Tokenizer.from_file(path)
 
     def make(words: list[bytes]) -> list[bytes]:
-        out = []
-        for k in range(0, len(words), 1000):
-            out += [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch([w.decode() for w in words[k : k + 1000]], add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):  # many words as one text: a token belongs to the word in which it begins
+            part = [w.decode() for w in words[k : k + 1000]]
+            made = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.searchsorted(np.array([o[0] for o in made.offsets], np.int64), np.cumsum([len(w) + 1 for w in part]))
+            ids = np.array(made.ids, "<u4")
+            out += [ids[x:y].tobytes() for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
 
     return Memo(make, MEMO_WORDS)
