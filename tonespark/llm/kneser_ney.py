@@ -99,8 +99,8 @@ class Model:
     offsets: tuple[int, ...]  # id of the first word of each range, and the number of words
     total: int  # training tokens
     hot: tuple[int, ...]  # contexts whose pairs are spread over all ranges
-    pair_discounts: tuple[float, ...] = ()
-    word_discounts: tuple[float, ...] = ()
+    pair_discounts: tuple[float, ...] = (0.0,) * 4
+    word_discounts: tuple[float, ...] = (0.0,) * 4
     pair_kinds: int = 0
     rest: float = 1.0
 
@@ -151,7 +151,9 @@ class Model:
         where = self.id_range(ids)
         for r in np.unique(where).tolist():
             a, b = np.searchsorted(where, [r, r + 1])
-            out[a:b] = _mapped(f"{self.folder}/contexts-{r}", CONTEXT)[ids[a:b] - r * RANGE_WORDS]
+            known = _mapped(f"{self.folder}/contexts-{r}", CONTEXT)
+            if len(known):  # a model of nothing has none
+                out[a:b] = known[ids[a:b] - r * RANGE_WORDS]
         return out
 
     def ids_of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
