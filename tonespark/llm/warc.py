@@ -69,9 +69,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit(CRLF), http,
     )
     joined.select("sha256", revisit.alias("revisit"), header.alias("header")).write.parquet(f"{path}/headers")
-    once = pages.select("page_id", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    keys = firsts.select(F.col("sha256").alias("key"), "first_page")
-    once = once.join(keys, (once["sha256"] == keys["key"]) & once["page_id"].eqNullSafe(keys["first_page"]))
+    # Each task keeps one of equal payloads before the shuffle, so that a payload of very many pages stays small.
+    once = pages.select(payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
     once.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
 
