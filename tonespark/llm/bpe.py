@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from tonespark.llm.wordids import Memo, slice_ids
 from tonespark.llm.words import SPACE, slices
 
-MEMO_PIECES, MEMO_WORDS = 150_000, 300_000
-MEMO_STATES = 100_000
+MEMO_PIECES, MEMO_WORDS = 300_000, 600_000
+MEMO_STATES = 400_000
 LOOKAHEAD = 256
 START = 1 << 31
 REJECT = 8
@@ -81,7 +82,7 @@ class Transducer:
         Their merges are undone from the last to the first. If the tokens that then meet make a token of lower rank than
         the merge undone last, they'd have merged before it (of equal ranks, the left merge comes first).
         """
-        if len(self.pairs) > 4 * MEMO_STATES:
+        if len(self.pairs) > MEMO_STATES:
             self.pairs.clear()
         good = self._parts(right) is not None if left == START else self._meet(left, right)
         self.pairs[left << 32 | right] = good
@@ -184,18 +185,22 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find, self.transducer = regex.compile(pattern), Transducer(ranks)
         self.pieces = Memo(lambda made: [self._piece(p) for p in made], MEMO_PIECES)
-        self.words = Memo(lambda made: [self.text(w.decode()) for w in made], MEMO_WORDS)
+        self.words = Memo(self._texts, MEMO_WORDS)
 
     def _piece(self, raw: bytes) -> bytes:
         whole = self.transducer.ranks.get(raw)
         return np.array([whole] if whole is not None else self.transducer.encode(raw), "<u4").tobytes()
 
+    def _texts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; a piece that several of them have is looked up once."""
+        find = self.find.findall
+        found = [[p.encode() for p in find(t.decode())] for t in texts]
+        own = list(dict.fromkeys(chain.from_iterable(found)))
+        known = dict(zip(own, self.pieces.look_up(own), strict=True))
+        return [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in found]
+
     def text(self, text: str) -> bytes:
-        found = [p.encode() for p in self.find.findall(text)]
-        if len(found) == 1:
-            return self._piece(found[0])
-        known = dict(zip(own := list(dict.fromkeys(found)), self.pieces.look_up(own), strict=True))
-        return b"".join(map(known.__getitem__, found))
+        return self._texts([text.encode()])[0]
 
     def rows(self, buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each row. White space of one character between words ends a match before it, so that words, each with
