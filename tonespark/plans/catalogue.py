@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonespark.functions import checksums
+from tonespark.functions import bits, checksums
 from tonespark.functions.sample import float_to_int, int_to_float, magnitude_bits, unzigzag, zigzag
 from tonespark.operators import metrics, ordered
 from tonespark.operators.ordered import block_of, by_frame
 from tonespark.sources import signals
 from tonespark.sources.signals import event_stream, vector_blocks
+from tonespark.streaming import blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -445,9 +446,65 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _frames(signals.scan_raw(signals.segments(event_stream(s, d), 32, "big"), "big"))
 
 
+@register("aiff_roundtrip", _BACK)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _frames(signals.scan_aiff(signals.aiff_files(signals.segments(event_stream(s, d), 32, "big"))))
+
+
+@register("ogg_roundtrip", _BACK)
+def _(s: SparkSession, d: str) -> DataFrame:
+    pages = signals.scan_ogg(signals.ogg_pages(signals.segments(event_stream(s, d), 32)))
+    return _frames(signals.scan_raw(pages.where("good"), "little"))
+
+
+@register("ogg_granules", f"""{E}, p AS (SELECT user_id, frame // 32 AS segment, count(*) AS n FROM e GROUP BY ALL)
+SELECT user_id, segment, cast(CASE WHEN segment = 0 THEN 2 ELSE 0 END + CASE WHEN segment = max(segment) OVER (PARTITION BY user_id) THEN 4 ELSE 0 END AS int) AS flags,
+cast(sum(n) OVER (PARTITION BY user_id ORDER BY segment) AS bigint) AS granule, true AS good FROM p""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return signals.scan_ogg(signals.ogg_pages(signals.segments(event_stream(s, d), 32))).drop("data")
+
+
+for _name, _layout in (("mpeg_header_bits", bits.MPEG_AUDIO), ("adts_bits", bits.ADTS), ("flac_frame_bits", bits.FLAC_FRAME)):
+    _digits = sum(w for _, w in _layout) // 4
+    _each = ", ".join(f"(v >> {shift}) & {mask} AS {field}" for field, shift, mask in bits.shifts(_layout))
+
+    @register(_name, f"WITH h AS (SELECT doc_id, cast('0x' || substr(md5(coalesce(text, '')), 1, {_digits}) AS bigint) AS v FROM documents) SELECT doc_id, {_each} FROM h")
+    def _(s: SparkSession, d: str, layout: bits.Layout = _layout, digits: int = _digits) -> DataFrame:
+        v = F.conv(F.substring(F.md5(F.coalesce("text", F.lit("")).cast("binary")), 1, digits), 16, 10).cast("long")
+        return _table(s, d, "documents").select("doc_id", v.alias("v")).select("doc_id", *bits.bit_fields(F.col("v"), layout))
+
+
+# Streams
+
+
+@register("stream_closed_windows", """WITH w AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+SELECT * FROM w WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return blocks.run_to_end(blocks.closed_windows(blocks.read_events(s, d)), "windows")
+
+
+@register("stream_full_blocks", f"{E} SELECT user_id, frame // 20 AS block, min(q) AS low, max(q) AS high, cast(sum(q) AS bigint) AS total FROM e GROUP BY ALL HAVING count(*) = 20")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return blocks.run_to_end(blocks.full_blocks(blocks.read_events(s, d)), "blocks")
+
+
 # Roll-ups
 
 
+@register("orders_grouping_sets", """SELECT r_name, o_orderstatus, cast(grouping(r_name) * 2 + grouping(o_orderstatus) AS bigint) AS level, count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name, o_orderstatus), (o_orderstatus))""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    o = _table(s, d, "orders").join(_table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sets = o.groupingSets([["r_name", "o_orderstatus"], ["o_orderstatus"]], "r_name", "o_orderstatus")
+    return sets.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@register("mismatched_frames", f"{_T} SELECT user_id, frame, s AS v FROM s EXCEPT SELECT user_id, frame, t FROM s")
+def _(s: SparkSession, d: str) -> DataFrame:
+    both = metrics.requantised(event_stream(s, d))
+    return both.select("user_id", "frame", F.col("s").alias("v")).exceptAll(both.select("user_id", "frame", "t"))
+
+
 @register("stream_summary", f"{E} SELECT user_id, count(*) AS frames, round(count(*) / 48000.0::double, 9) AS seconds, min(q) AS low, max(q) AS high, count(DISTINCT q) AS kinds FROM e GROUP BY user_id")
 def _(s: SparkSession, d: str) -> DataFrame:
     return event_stream(s, d).groupBy("user_id").agg(F.count("*").alias("frames"), F.round(F.count("*") / F.lit(48000.0), 9).alias("seconds"), F.min("q").alias("low"), F.max("q").alias("high"), F.countDistinct("q").alias("kinds"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tonespark.functions.checksums import CRC32_PAGE, crc
 from tonespark.functions.sample import big_endian_hex, float_to_int, hex_to_signed, little_endian_hex
 
 
@@ -61,3 +62,50 @@ def _samples(rows: DataFrame, order: str) -> DataFrame:
     a, b = F.substr("h", F.col("i") * 4 + 1, F.lit(2)), F.substr("h", F.col("i") * 4 + 3, F.lit(2))
     value = hex_to_signed(F.concat(b, a) if order == "little" else F.concat(a, b), 2)
     return each.select("user_id", "segment", F.col("i").cast("long").alias("i"), value.alias("q"))
+
+
+def aiff_files(parts: DataFrame, rate: int = 48_000) -> DataFrame:
+    """``segments`` in big-endian order, each as a whole mono 16-bit AIFF file (``content``)."""
+    be, size, top = big_endian_hex, F.octet_length("data").cast("long"), rate.bit_length() - 1
+    extended = f"{0x3FFF + top:04X}{rate << (63 - top):016X}"  # the rate as an 80-bit float
+    common = F.concat(F.lit("434F4D4D" + "00000012" + "0001"), be(F.col("n"), 4), F.lit("0010" + extended))
+    sound = F.concat(F.lit("53534E44"), be(size + 8, 4), F.lit("00000000" * 2))
+    head = F.concat(F.lit("464F524D"), be(size + 46, 4), F.lit("41494646"), common, sound)
+    return parts.select("user_id", "segment", F.concat(F.unhex(head), F.col("data")).alias("content"))
+
+
+def scan_aiff(files: DataFrame) -> DataFrame:
+    """``user_id, segment, i, q`` from 16-bit mono AIFF contents whose COMM and SSND chunks come first; others give no rows."""
+    hexed = F.hex("content")
+    marks = ((1, "464F524D"), (17, "41494646"), (25, "434F4D4D00000012"), (41, "0001"), (53, "0010"), (77, "53534E44"))
+    good = [F.substring(hexed, at, len(mark)) == mark for at, mark in marks]
+    told = F.conv(F.substring(hexed, 45, 8), 16, 10).cast("long")
+    n = F.least(told, F.floor((F.octet_length("content") - 54) / 2)).cast("int")
+    rows = files.where(good[0] & good[1] & good[2] & good[3] & good[4] & good[5]).select("user_id", "segment", F.substring("content", 55, 1 << 30).alias("data"), n.alias("n"))
+    return _samples(rows.where("n > 0"), "big")
+
+
+def ogg_pages(parts: DataFrame) -> DataFrame:
+    """``segments`` of up to 65,024 bytes, each as a page of one packet (``page``): serial user_id, granule the frames so far."""
+    le, size = little_endian_hex, F.octet_length("data").cast("long")
+    whole = F.floor(size / 255).cast("int")
+    last = F.col("segment") == F.max("segment").over(Window.partitionBy("user_id"))
+    flags = F.when(F.col("segment") == 0, 2).otherwise(0) + F.when(last, 4).otherwise(0)
+    granule = F.sum("n").over(Window.partitionBy("user_id").orderBy("segment"))
+    before = F.concat(F.lit("4F67675300"), le(flags.cast("long"), 1), le(granule, 7), F.lit("00"), le(F.col("user_id").cast("long"), 4), le(F.col("segment"), 4))
+    after = F.concat(le((whole + 1).cast("long"), 1), F.repeat(F.lit("FF"), whole), le(size % 255, 1))
+    made = parts.select("user_id", "segment", before.alias("before"), after.alias("after"), F.hex("data").alias("body"))
+    check = crc(*CRC32_PAGE)(F.unhex(F.concat("before", F.lit("00000000"), "after", "body")))
+    return made.select("user_id", "segment", F.unhex(F.concat("before", le(check, 4), "after", "body")).alias("page"))
+
+
+def scan_ogg(pages: DataFrame) -> DataFrame:
+    """``user_id, segment, flags, granule, good, data`` of pages: serial and sequence number from the header; ``good`` tells whether the checksum holds."""
+    hexed = F.hex("page")
+    read = lambda at, octets: F.conv(F.concat(*[F.substring(hexed, 2 * (at + k) + 1, 2) for k in reversed(range(octets))]), 16, 10).cast("long")
+    blank = F.unhex(F.concat(F.substring(hexed, 1, 44), F.lit("00000000"), F.expr("substring(hex(page), 53)")))
+    found = pages.where(F.substring(hexed, 1, 10) == "4F67675300").select(
+        read(14, 4).alias("user_id"), read(18, 4).alias("segment"), read(5, 1).cast("int").alias("flags"), read(6, 7).alias("granule"),
+        (crc(*CRC32_PAGE)(blank) == read(22, 4)).alias("good"), read(26, 1).alias("laces"), "page",
+    )
+    return found.select("user_id", "segment", "flags", "granule", "good", F.substr("page", F.col("laces").cast("int") + 28).alias("data"))
