@@ -9,15 +9,19 @@ from tonespark.llm.scratch import keep
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to the least of the node and its neighbours."""
+    """Each node's larger neighbours are tied to the least of the node and its neighbours.
+
+    The least ones are written first: a join of two plain shuffles can split the many edges of one node, which it
+    can't where one side is summed up in the same stage.
+    """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = keep(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
