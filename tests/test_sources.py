@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonespark.functions import bits
 from tonespark.functions.checksums import CRC32_PAGE, crc_table
-from tonespark.sources import signals
+from tonespark.sources import containers, signals
 from tonespark.streaming import blocks
 
 
@@ -82,3 +82,26 @@ def test_windows_close_under_the_watermark(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = blocks.run_to_end(blocks.closed_windows(blocks.read_events(spark, str(tmp_path))), "test").collect()
     assert sorted((r.hour.hour, r.n, r.total) for r in got) == [(0, 2, 3.0), (1, 1, 1.5)]
+
+
+def test_odd_waves(spark):
+    fmt = lambda kind, ch, depth, more=b"": b"fmt " + (16 + len(more)).to_bytes(4, "little") + b"".join(x.to_bytes(n, "little") for x, n in ((kind, 2), (ch, 2), (8000, 4), (8000 * ch * depth // 8, 4), (ch * depth // 8, 2), (depth, 2))) + more
+    guid = bytes.fromhex("16001000000000000100" + containers.EXTENSIBLE_TAIL)
+    data = lambda raw, size=None: b"data" + (len(raw) if size is None else size).to_bytes(4, "little") + raw
+    riff = lambda *parts: b"RIFF\0\0\0\0WAVE" + b"".join(parts)
+    contents = {
+        1: riff(b"LIST\3\0\0\0abc\0", fmt(1, 1, 8), data(b"\x00\x80\xff")),
+        2: riff(fmt(1, 1, 24), data(b"\xff\xff\xff\x00\x00\x80\x01", 0xFFFFFFFF)),
+        3: riff(data(b"\1\2"), fmt(1, 1, 16)),
+        4: riff(fmt(3, 1, 32), data(bytes(8))),
+        5: riff(fmt(0xFFFE, 2, 16, (22).to_bytes(2, "little") + guid[:6] + guid[8:]), data(b"\1\0\2\0\3\0")),
+        6: b"RIFF", 7: b"", 8: None, 9: riff(fmt(1, 0, 16), data(b"\1\2")), 10: riff(fmt(1, 1, 16), data(b"")),
+        11: riff(fmt(1, 1, 16), data(b"".join((i % 999).to_bytes(2, "little") for i in range(1000)))),
+    }
+    files = spark.createDataFrame(list(contents.items()), "k int, content binary")
+    got = {}
+    for r in containers.scan_wave(files, "k").orderBy("k", "frame", "ch").collect():
+        got.setdefault(r.k, []).append((r.depth, r.frame, r.ch, r.q))
+    assert got.pop(11) == [(16, i, 0, i % 999) for i in range(1000)]
+    assert got == {1: [(8, 0, 0, -128), (8, 1, 0, 0), (8, 2, 0, 127)], 2: [(24, 0, 0, -1), (24, 1, 0, -(1 << 23))], 5: [(16, 0, 0, 1), (16, 0, 1, 2)]}
+    assert containers.scan_aiff_chunks(files, "k").count() == 0 and containers.scan_wave(files.where("false"), "k").count() == 0

@@ -11,7 +11,7 @@ from tonespark.functions import bits, checksums
 from tonespark.functions.sample import float_to_int, int_to_float, magnitude_bits, unzigzag, zigzag
 from tonespark.operators import metrics, ordered
 from tonespark.operators.ordered import block_of, by_frame
-from tonespark.sources import signals
+from tonespark.sources import containers, signals
 from tonespark.sources.signals import event_stream, vector_blocks
 from tonespark.streaming import blocks
 
@@ -436,6 +436,40 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _frames(signals.scan_wav(signals.wav_files(signals.segments(event_stream(s, d), 32))))
 
 
+_DEPTHS = f"""{E}, d AS (SELECT unnest([8, 16, 24, 32]) AS depth),
+x AS (SELECT user_id, frame, depth, cast(CASE WHEN depth = 8 THEN q >> 8 ELSE q * (1::bigint << (depth - 16)) END AS bigint) AS a FROM e, d)
+SELECT user_id, cast(depth AS int) AS depth, frame, 0 AS ch, a AS q FROM x UNION ALL SELECT user_id, cast(depth AS int), frame, 1, -1 - a FROM x"""
+
+
+def _two_channels(s: SparkSession, d: str, depth: int) -> DataFrame:
+    a = F.shiftright("q", 8) if depth == 8 else F.col("q") * (1 << (depth - 16))
+    return event_stream(s, d).select("user_id", "frame", a.alias("a"), (-1 - a).alias("b"))
+
+
+def _placed(rows: DataFrame, length: int) -> DataFrame:
+    return rows.select("user_id", "depth", (F.col("segment") * length + F.col("frame")).alias("frame"), "ch", "q")
+
+
+@register("wav_depths", _DEPTHS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    files = None
+    for depth in (8, 16, 24, 32):
+        parts = containers.interleave(_two_channels(s, d, depth), 31, depth, "little", depth == 8, "user_id")
+        made = containers.wave_container(parts, depth, 48_000, "user_id", "segment")
+        files = made if files is None else files.unionByName(made)
+    return _placed(containers.scan_wave(files, "user_id", "segment"), 31)
+
+
+@register("aifc_depths", _DEPTHS)
+def _(s: SparkSession, d: str) -> DataFrame:
+    files = None
+    for depth, kind in ((8, "NONE"), (16, "sowt"), (24, "ni24"), (32, "twos")):
+        parts = containers.interleave(_two_channels(s, d, depth), 31, depth, containers.AIFC_ORDER[kind], False, "user_id")
+        made = containers.aifc_container(parts, depth, 44_100, kind, "user_id", "segment")
+        files = made if files is None else files.unionByName(made)
+    return _placed(containers.scan_aiff_chunks(files, "user_id", "segment"), 31)
+
+
 @register("pcm_roundtrip_le", _BACK)
 def _(s: SparkSession, d: str) -> DataFrame:
     return _frames(signals.scan_raw(signals.segments(event_stream(s, d), 32), "little"))

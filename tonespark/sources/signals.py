@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonespark.functions.checksums import CRC32_PAGE, crc
-from tonespark.functions.sample import big_endian_hex, float_to_int, hex_to_signed, little_endian_hex
+from tonespark.functions.sample import big_endian_hex, float_to_int, little_endian_hex
+from tonespark.sources.containers import samples
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +59,8 @@ def scan_raw(parts: DataFrame, order: str) -> DataFrame:
 
 
 def _samples(rows: DataFrame, order: str) -> DataFrame:
-    each = rows.select("user_id", "segment", F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    a, b = F.substr("h", F.col("i") * 4 + 1, F.lit(2)), F.substr("h", F.col("i") * 4 + 3, F.lit(2))
-    value = hex_to_signed(F.concat(b, a) if order == "little" else F.concat(a, b), 2)
-    return each.select("user_id", "segment", F.col("i").cast("long").alias("i"), value.alias("q"))
+    read = samples(rows.select("user_id", "segment", "data", "n", F.lit(2).alias("octets"), F.lit(order == "little").alias("little")), "user_id", "segment")
+    return read.select("user_id", "segment", "i", F.when(F.col("raw") >= 1 << 15, F.col("raw") - (1 << 16)).otherwise(F.col("raw")).alias("q"))
 
 
 def aiff_files(parts: DataFrame, rate: int = 48_000) -> DataFrame:
