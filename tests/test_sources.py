@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonespark.functions import bits
 from tonespark.functions.checksums import CRC32_PAGE, crc_table
-from tonespark.sources import containers, signals
+from tonespark.sources import containers, packets, signals
 from tonespark.streaming import blocks
 
 
@@ -105,3 +105,21 @@ def test_odd_waves(spark):
     assert got.pop(11) == [(16, i, 0, i % 999) for i in range(1000)]
     assert got == {1: [(8, 0, 0, -128), (8, 1, 0, 0), (8, 2, 0, 127)], 2: [(24, 0, 0, -1), (24, 1, 0, -(1 << 23))], 5: [(16, 0, 0, 1), (16, 0, 1, 2)]}
     assert containers.scan_aiff_chunks(files, "k").count() == 0 and containers.scan_wave(files.where("false"), "k").count() == 0
+
+
+def test_packets_over_pages(spark):
+    said = [b"", b"x" * 254, b"y" * 255, bytes(range(256)) * 5, None]
+    sent = spark.createDataFrame([(3, i, x) for i, x in enumerate(said)], "serial int, packet int, data binary")
+    pages = packets.packet_pages(sent, 2)
+    assert all(r.good for r in signals.scan_ogg(pages).collect())
+    back = lambda df: [(r.packet, r.pages, r.whole, bytes(r.data)) for r in packets.scan_packets(df.select("page")).orderBy("packet").collect()]
+    assert back(pages) == [(i, n, True, x or b"") for i, (n, x) in enumerate(zip((1, 1, 1, 3, 1), said, strict=True))]
+    # The long packet has pages 3 to 5.
+    whole = lambda df: [(r[2], len(r[3])) for r in back(df)]
+    assert whole(pages.where("page_no <> 3")) == [(True, 0), (True, 254), (True, 255), (False, 770), (True, 0)]
+    assert whole(pages.where("page_no <> 4")) == [(True, 0), (True, 254), (True, 255), (False, 510), (False, 260), (True, 0)]
+    assert whole(pages.where("page_no <> 5")) == [(True, 0), (True, 254), (True, 255), (False, 1020), (True, 0)]
+    assert back(pages.where("false")) == []
+    # Several packets in one page.
+    one = b"OggS\0\2" + bytes(8) + (9).to_bytes(4, "little") + bytes(8) + b"\3\2\0\3" + b"abcde"
+    assert back(spark.createDataFrame([(one,), (b"OggS",), (None,)], "page binary")) == [(0, 1, True, b"ab"), (1, 1, True, b""), (2, 1, True, b"cde")]

@@ -11,7 +11,7 @@ from tonespark.functions import bits, checksums
 from tonespark.functions.sample import float_to_int, int_to_float, magnitude_bits, unzigzag, zigzag
 from tonespark.operators import metrics, ordered
 from tonespark.operators.ordered import block_of, by_frame
-from tonespark.sources import containers, signals
+from tonespark.sources import containers, packets, signals
 from tonespark.sources.signals import event_stream, vector_blocks
 from tonespark.streaming import blocks
 
@@ -470,6 +470,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _placed(containers.scan_aiff_chunks(files, "user_id", "segment"), 31)
 
 
+@register("ogg_packets", """SELECT doc_id // 7 AS serial, row_number() OVER (PARTITION BY doc_id // 7 ORDER BY doc_id) - 1 AS packet,
+octet_length(encode(coalesce(text, ''))) // 1020 + 1 AS pages, true AS whole, md5(coalesce(text, '')) AS md5 FROM documents""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    said = _table(s, d, "documents").select(F.floor(F.col("doc_id") / 7).alias("serial"), F.col("doc_id").alias("packet"), F.col("text").cast("binary").alias("data"))
+    back = packets.scan_packets(packets.packet_pages(said, 4).select("page"))
+    return back.select("serial", "packet", "pages", "whole", F.md5("data").alias("md5"))
+
+
 @register("pcm_roundtrip_le", _BACK)
 def _(s: SparkSession, d: str) -> DataFrame:
     return _frames(signals.scan_raw(signals.segments(event_stream(s, d), 32), "little"))
