@@ -10,11 +10,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, ngram_join, packing, substring, warc
 from tonespark.llm.scratch import new_path
+from tonespark.llm.words import text_bytes
 
 SCHEMA = "doc_id long, text string, lang string, bucket string, rest string, key string"
 WORDS = [a + b for a in "ba ke li mo nu thé".split() for b in "n r s t ng ße".split()]
@@ -130,6 +132,19 @@ def test_imatch(spark, docs, odd):
     assert imatch.with_edits(odd).count() == 6 and imatch.with_edits(empty(spark)).count() == 0
 
 
+def test_imatch_tells_short_and_rare_texts_apart():
+    terms_of = lambda t: imatch.distinct_terms(*text_bytes(pa.array([t])))[1]
+    pairs = lambda f: imatch.likeness(tuple(x[:-1] for x in f), tuple(x[1:] for x in f))
+    words = [f"w{i}" for i in range(300)]
+    short = [" ".join(words[(i + k) % 300] for k in range(1 + i % 3)) for i in range(300)]
+    for terms in (terms_of(" ".join(words)), np.zeros(0, np.uint64)):
+        f = imatch.fingerprints(pa.array(short), terms)
+        assert len(set(imatch.as_text(f))) == 300 and (pairs(f) < 1).all()
+    rare = ["common shared " + " ".join(f"{c}{i}" for i in range(2000)) for c in "abcd"]
+    f = imatch.fingerprints(pa.array([*rare, rare[-1], "", None, "a0"]), terms_of("common shared"))
+    assert (pairs(f)[:3] < 0.1).all() and pairs(f)[3:].tolist() == [1.0, 0.0, 1.0, 0.0]
+
+
 def test_language_id(spark, docs, odd):
     r = random.Random(2)
     say = {"xx": "wo wir der und nicht".split(), "yy": "le la que oui dans".split(), "ru": "это как они было".split()}

@@ -3,7 +3,8 @@
 A term is a run of ASCII letters and digits and of non-ASCII bytes, ASCII letters in lower case. The lexicon holds the
 terms found in at least LOW and at most HIGH of all documents, so its size is bounded by the mean number of distinct
 terms of a document over LOW, whatever the corpus: that is what makes it small enough to send to the workers. A
-document's distinct lexicon terms are sorted, and those in each random subset of the lexicon are hashed.
+document's distinct lexicon terms are sorted, and those in each random subset of the lexicon are hashed. The same is
+done with all its terms: short texts and texts of a rare language or subject have few or none in the lexicon.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonespark.llm.words import LOWER, cut, hashes, mix, row_of, slices, spans
+from tonespark.llm.words import LOWER, cut, hashes, mix, row_of, row_sums, slices, spans
 
 LOW, HIGH = 1 / 1000, 1 / 8
-#: Subsets: each family draws its own, and keeps a term with probability 2 ** -level.
-FAMILIES, LEVELS = 8, range(3, 11)
+#: Subsets: each family draws its own, and keeps a term with probability 2 ** -level. All terms (level 0) are one more.
+FAMILIES, LEVELS = 8, range(1, 11)
+WIDTH = FAMILIES * len(LEVELS)
+#: Texts are judged by lexicon terms alone if they have so many and these are such a share of their terms.
+ENOUGH, SHARE = 8, 1 / 4
 BUCKET_TERMS = 2_000_000
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -74,51 +78,60 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.terms, np.uint64) for r in found.toLocalIterator())]))
 
 
-def fingerprints(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (16 bits) and size (255 at most) by text and subset; without lexicon terms, all terms of a text count."""
-    hashed, sized = [], []
+def subsets(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Of each row's terms, sorted by row and hash: hash (16 bits) and size (255 at most) of each random subset, and
+    hash (64 bits) and number of all."""
+    out, sizes = np.zeros((n, WIDTH), np.uint16), np.zeros((n, WIDTH), np.uint8)
+    whole = row_sums(mix(h), np.searchsorted(row, np.arange(n + 1)))
+    for f in range(FAMILIES):
+        draw = mix(h ^ np.uint64(0x5851F42D4C957F2D * (f + 1) % (1 << 64)))
+        own_row, own_h = row, h
+        for k, level in enumerate(LEVELS):
+            keep = draw < np.uint64(1 << (64 - level))
+            draw, own_row, own_h = draw[keep], own_row[keep], own_h[keep]
+            if not len(own_h):
+                break
+            first = np.flatnonzero(np.diff(own_row, prepend=-1))
+            size = np.diff(first, append=len(own_row))
+            place = np.arange(len(own_row)) - np.repeat(first, size)
+            sums = np.add.reduceat(mix(own_h + place.astype(np.uint64)), first)
+            out[own_row[first], f * len(LEVELS) + k] = sums >> np.uint64(48)
+            sizes[own_row[first], f * len(LEVELS) + k] = np.minimum(size, 255)
+    return out, sizes, whole, np.bincount(row, minlength=n).astype(np.uint32)
+
+
+def fingerprints(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What ``subsets`` gives, by text and source: 0 for its lexicon terms, 1 for all its terms."""
+    parts = []
     for a, b, buf, off in slices(texts):
         row, h = distinct_terms(buf, off)
-        if len(terms):
-            known = terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h
-        else:
-            known = np.zeros(len(h), bool)
-        has = np.bincount(row[known], minlength=b - a) > 0
-        known |= ~has[row]
-        row, h = row[known], h[known]
-        out, sizes = np.zeros((b - a, FAMILIES * len(LEVELS)), np.uint64), np.zeros((b - a, FAMILIES * len(LEVELS)), np.int64)
-        for f in range(FAMILIES):
-            draw = mix(h ^ np.uint64(0x5851F42D4C957F2D * (f + 1) % (1 << 64)))
-            own_row, own_h = row, h
-            for k, level in enumerate(LEVELS):
-                keep = draw < np.uint64(1 << (64 - level))
-                draw, own_row, own_h = draw[keep], own_row[keep], own_h[keep]
-                if not len(own_h):
-                    break
-                first = np.flatnonzero(np.diff(own_row, prepend=-1))
-                n = np.diff(first, append=len(own_row))
-                place = np.arange(len(own_row)) - np.repeat(first, n)
-                sums = np.add.reduceat(mix(own_h + place.astype(np.uint64)), first)
-                out[own_row[first], f * len(LEVELS) + k] = sums >> np.uint64(48)
-                sizes[own_row[first], f * len(LEVELS) + k] = n
-        hashed.append(out)
-        sized.append(np.minimum(sizes, 255))
-    width = FAMILIES * len(LEVELS)
-    return (np.concatenate([np.zeros((0, width), np.uint64), *hashed]).astype(np.uint16), np.concatenate([np.zeros((0, width), np.int64), *sized]).astype(np.uint8))
-
-
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        known = terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h if len(terms) else np.zeros(len(h), bool)
+        both = zip(subsets(row[known], h[known], b - a), subsets(row, h, b - a), strict=True)
+        parts.append([np.stack(x, axis=1) for x in both])
+    none = [np.zeros((0, 2, WIDTH), np.uint16), np.zeros((0, 2, WIDTH), np.uint8), np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint32)]
+    return tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
+
+
+def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
     """Share of subsets with equal hashes, of those with terms in either; small subsets weigh more: the reciprocal of
-    their larger size. Texts without any subset are alike."""
-    size = np.maximum(a[1], b[1]).astype(float)
+    their larger size. All terms are a subset too, so texts of different terms are never wholly alike; texts without
+    any term are. Lexicon terms are compared where both texts have enough of them, else all terms."""
+    enough = [(x[3][:, 0] >= ENOUGH) & (x[3][:, 0] >= SHARE * x[3][:, 1]) for x in (a, b)]
+    i, source = np.arange(len(a[0])), np.where(enough[0] & enough[1], 0, 1)
+    (hash_a, size_a, whole_a, n_a), (hash_b, size_b, whole_b, n_b) = ([y[i, source] for y in x] for x in (a, b))
+    size = np.concatenate([np.maximum(size_a, size_b), np.maximum(n_a, n_b)[:, None]], axis=1).astype(float)
+    same = np.concatenate([(hash_a == hash_b) & (size_a == size_b), ((whole_a == whole_b) & (n_a == n_b))[:, None]], axis=1)
     weight = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
     total = weight.sum(axis=1)
-    return np.divide((weight * ((a[0] == b[0]) & (a[1] == b[1]))).sum(axis=1), total, out=np.ones(len(total)), where=total > 0)
+    return np.divide((weight * same).sum(axis=1), total, out=np.ones(len(total)), where=total > 0)
 
 
-def as_text(f: tuple[np.ndarray, np.ndarray]) -> list[str]:
-    """Size and hash of each subset, as six hex digits."""
-    both = np.concatenate([f[1][:, :, None], f[0].astype(">u2").view(np.uint8).reshape(*f[0].shape, 2)], axis=2)
+def as_text(f: tuple[np.ndarray, ...]) -> list[str]:
+    """By source, lexicon terms first: number (8 hex digits) and hash (16) of all terms, then size and hash (6) of each
+    subset."""
+    n = len(f[0])
+    each = np.concatenate([f[1][..., None], f[0].astype(">u2").view(np.uint8).reshape(*f[0].shape, 2)], axis=3).reshape(n, 2, 3 * WIDTH)
+    both = np.concatenate([f[3].astype(">u4").view(np.uint8).reshape(n, 2, 4), f[2].astype(">u8").view(np.uint8).reshape(n, 2, 8), each], axis=2)
     return [row.tobytes().hex() for row in both]
 
 
@@ -196,7 +209,7 @@ def _edited(rows: list[tuple], terms: np.ndarray, kind: pa.DataType) -> pa.Recor
     plain = fingerprints(pa.array(texts, pa.large_string()), terms)
     changed = fingerprints(pa.array(edited, pa.large_string()), terms)
     here, there = np.array(now), np.array(now) + 1
-    mine, after = (plain[0][here], plain[1][here]), (plain[0][there], plain[1][there])
+    mine, after = tuple(x[here] for x in plain), tuple(x[there] for x in plain)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([rows[i][2] for i in now], kind), pa.array([len(texts[i]) for i in now], pa.int64()),
