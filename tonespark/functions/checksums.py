@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+#: Bytes that one chunk holds (a power of two), and about so many that are worked on at once.
+CHUNK, SLICE = 64, 1 << 22
+
 
 def crc_table(width: int, polynomial: int) -> list[int]:
     """What each byte adds to a most-significant-bit-first CRC."""
@@ -19,21 +23,60 @@ def crc_table(width: int, polynomial: int) -> list[int]:
     return out
 
 
+def _apply(tables: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A linear map of CRCs, given by what each value of each of their bytes (the lowest first) becomes."""
+    out = tables[0][c & 255]
+    for k in range(1, len(tables)):
+        out = out ^ tables[k][(c >> np.uint32(8 * k)) & 255]
+    return out
+
+
+def _advance(c: np.ndarray, count: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Each CRC after ``count`` steps of a linear map, by the map's powers of two."""
+    count = count.copy()
+    while count.any():
+        odd = np.flatnonzero(count & 1)
+        c[odd] = _apply(tables, c[odd])
+        count >>= 1
+        tables = _apply(tables, tables)
+    return c
+
+
+def crc_rows(rows: list[bytes], width: int, polynomial: int, start: int = 0) -> np.ndarray:
+    """The CRC of each row. A CRC is linear: rows are cut into chunks from their ends (zeros before a row change nothing
+    if the CRC starts at 0), all chunks advance together, and each is moved to its place and added."""
+    table = np.array(crc_table(width, polynomial), np.uint32)
+    mask, top = np.uint32((1 << width) - 1), np.uint32(width - 8)
+    size = np.array([len(x) for x in rows], np.int64)
+    chunks = np.maximum(1, -(-size // CHUNK))
+    first = np.cumsum(chunks) - chunks
+    padded = np.frombuffer(b"".join(bytes(int(n)) + x for n, x in zip(chunks * CHUNK - size, rows, strict=True)), np.uint8).reshape(-1, CHUNK)
+    c = np.zeros(len(padded), np.uint32)
+    for k in range(CHUNK):
+        c = ((c << np.uint32(8)) & mask) ^ table[(c >> top) ^ padded[:, k]]
+    values = np.arange(256, dtype=np.uint32) << (8 * np.arange(width // 8, dtype=np.uint32))[:, None]
+    byte = ((values << np.uint32(8)) & mask) ^ table[values >> top]
+    chunk = byte
+    for _ in range(CHUNK.bit_length() - 1):
+        chunk = _apply(chunk, chunk)
+    after = np.repeat(first + chunks, chunks) - np.arange(len(c)) - 1
+    out = np.bitwise_xor.reduceat(_advance(c, after, chunk), first) if len(rows) else c
+    return out ^ _advance(np.full(len(rows), start, np.uint32), size, byte)
+
+
 def crc(width: int, polynomial: int, start: int = 0) -> Callable:
     """A pandas UDF from bytes to the CRC, null for null; first bit is the most significant, nothing is inverted."""
-    table, mask = crc_table(width, polynomial), (1 << width) - 1
-
-    def one(data: bytes | None) -> int | None:
-        if data is None:
-            return None
-        c = start
-        for b in data:
-            c = ((c << 8) & mask) ^ table[(c >> (width - 8)) ^ b]
-        return c
 
     @F.pandas_udf("long")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(one).astype("Int64")
+        out, there = pd.array([None] * len(values), "Int64"), np.flatnonzero(values.notna())
+        rows = [values.iat[i] for i in there.tolist()]
+        ends, a = np.cumsum([len(x) for x in rows]), 0
+        while a < len(rows):  # rows of about SLICE bytes, one at least
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+            out[there[a:b]] = crc_rows(rows[a:b], width, polynomial, start).astype(np.int64)
+            a = b
+        return pd.Series(out)
 
     return run
 

@@ -419,9 +419,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @register("crc_text")
 def _(s: SparkSession, d: str) -> DataFrame:
-    raw = _table(s, d, "benchmark").select("item_id", F.col("text").cast("binary").alias("b"))
+    raw = _table(s, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
     kinds = {"crc8": checksums.CRC8, "crc16": checksums.CRC16, "crc16_side": checksums.CRC16_SIDE, "crc32_page": checksums.CRC32_PAGE}
-    return raw.select("item_id", *[checksums.crc(*k)("b").alias(n) for n, k in kinds.items()])
+    return raw.select("doc_id", *[checksums.crc(*k)("b").alias(n) for n, k in kinds.items()])
 
 
 _BACK = f"{E} SELECT user_id, frame, q FROM e"
