@@ -107,6 +107,14 @@ def test_matched_depth_meets_the_recall():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_thresholds_beyond_the_recall_are_an_error(docs):
+    assert ngram_join.matched_depth(0.32) == 1
+    with pytest.raises(ValueError, match="recall"):
+        ngram_join.matched_depth(0.3)
+    with pytest.raises(ValueError, match="recall"):
+        ngram_join.near_duplicates(docs, 0.1)
+
+
 def test_substring(spark, docs, odd):
     got, seen = by_id(substring.remove_repeats(docs)), set()
     for i, t in sorted(corpus()):

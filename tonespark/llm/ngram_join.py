@@ -1,9 +1,9 @@
 """Near-duplicate self-join on the Jaccard similarity of word n-grams, by a MinHash LSH forest.
 
 Texts with equal sets of n-grams form a copy class, and only classes are compared. A class's signature gives each tree a
-label of DEPTH values; sorted labels are the tree's prefix trie. Matched prefixes start at the full depth and are
-shortened until the trees together reach the target recall at the threshold. What shares a prefix is tied into
-components; in these all pairs of classes are compared exactly, blocks of members against blocks, and only counts of
+label of DEPTH values; sorted labels are the tree's prefix trie. Prefixes of one length are matched: the longest at
+which the trees together reach the target recall at the threshold. It is fixed in advance and does not depend on what
+was found, as a shorter prefix finds all that a longer one does. What shares a prefix is tied into components; in these all pairs of classes are compared exactly, blocks of members against blocks, and only counts of
 links and a spanning tree leave a task: no pair is ever a row.
 """
 
@@ -28,10 +28,14 @@ BUCKET_LABELS = 1_000_000
 
 
 def matched_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which ``trees`` trees find a pair of this similarity with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+    """The longest prefix at which ``trees`` trees find a pair of this similarity with the target recall.
+
+    An error if not even prefixes of one value do.
+    """
+    for d in range(depth, 0, -1):
+        if 1 - (1 - threshold**d) ** trees >= recall:
+            return d
+    raise ValueError(f"{trees} trees miss the recall {recall} at the threshold {threshold} even with prefixes of one value")
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +89,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Texts are compared as sets of WORDS-word n-grams (fewer words: one of all). ``copy_id`` is the smallest doc_id of
     those with the same set, ``n_links`` the number of different sets with a Jaccard similarity of ``threshold`` or more,
-    and ``class_id`` the smallest doc_id of all tied by links. Null and empty texts have the empty set and form one class
+    and ``class_id`` the smallest doc_id of all tied by links. Thresholds too low for the trees are an error. Null and empty texts have the empty set and form one class
     without links; null doc_ids come last, and class_id is null if all of a class are. Repeated rows are copies. An
     empty table gives no rows; other columns are not read.
     """
+    shift = np.uint64(64 - BITS * matched_depth(threshold))
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -110,7 +115,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = keep(classes.select("digest", "n_copies", "size", "labels", F.col("f.doc_id").alias("copy_id"), F.col("f.text_hash").alias("first_hash"), F.col("f.none").alias("none")), "classes")
 
     ranges = max(1, classes.count() // BUCKET_LABELS)
-    shift = np.uint64(64 - BITS * matched_depth(threshold))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
