@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 from tonespark.llm import exact, langid, ngram_join, packing, substring
 from tonespark.llm.scratch import keep
 
-#: A text of no letters, or in which no language has this share of the words' bytes, is rejected.
-LEAST_SHARE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones teach."""
+    """Documents with letters, in any mix of the languages that the labelled ones teach; without labels, in any."""
     model = langid.fit(docs, F.lit(True))
     if not model.languages:
-        return docs  # nothing to reject by
-    made = langid.label(docs, model)
-    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+        return docs.where(langid.has_letter(F.col("text")))
+    return langid.label(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

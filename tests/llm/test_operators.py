@@ -296,3 +296,17 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in docs.collect()}
     assert {200, 201, 202, 203} & kept == set() and 100 in kept and not {101, 110, 115} & kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == len(kept)
+
+
+def test_pipeline_rejects_letterless_texts_alone(spark):
+    import corpus_pipeline
+
+    say = {"aa": "wo wir der und nicht", "bb": "le la que oui dans", "cc": "это как они было нет", "dd": "και το να είναι με", "ee": "דבר אני הוא לא כן"}
+    rows = [(i, (say[k] + " ") * 4, k) for i, k in enumerate(list(say) * 8)]
+    rows += [(100, " ".join((s + " ") * 4 for s in say.values()), None), (101, "ＡＢＣ ｄｅｆ", None), (102, "12 -", None), (103, None, None), (104, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    assert all(r.lang_pred != "und" and r.score < 0.3 for r in langid.label(df.where("doc_id in (100, 101)"), model).collect())
+    for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
+        made = corpus_pipeline.language_id(spark, docs, "")
+        assert made.columns == docs.columns and {r.doc_id for r in made.collect()} == {*range(40), 100, 101}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,6 +165,16 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.nd
     return out
 
 
+def has_letter(text: Column) -> Column:
+    """Whether the text has a letter of any script, as ``label`` tells it; false for null."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and any(c.isalpha() for c in t))
+
+    return run(text)
+
+
 def label(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and spans (first and end word, language) of the whole ``text``.
 
