@@ -68,6 +68,14 @@ def test_exact(spark, docs, odd):
     assert exact.deduplicate(docs).columns == docs.columns and exact.decide(empty(spark)).count() == 0
 
 
+def test_exact_history(spark, odd):
+    before = spark.createDataFrame([(50, "a  b"), (60, "a b"), (1, "q"), (None, None)], "doc_id long, text string")
+    now = spark.createDataFrame([(2, "a\tb"), (3, "new"), (50, "a  b"), (4, "new"), (None, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.decide(now, before).collect()}
+    assert got == {(2, 50, 4, False), (50, 50, 4, False), (3, 3, 2, True), (4, 3, 2, False), (None, None, 2, False)}
+    assert exact.decide(now, empty(spark)).where("kept").count() == 3 and exact.decide(empty(spark), before).count() == 0
+
+
 def test_perfect_hash_is_a_bijection():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 50, 3000):

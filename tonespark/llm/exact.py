@@ -121,28 +121,39 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(first, F.count("*").alias("n")).select("digest", first_row(F.col("f.doc_id"), F.col("f.row")).alias("first"), "n")
 
 
+def digests_of(docs: DataFrame, name: str) -> DataFrame:
+    """doc_id, digest and a number for each row of ``docs``, written once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
+    return keep(rows.withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def decide(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``history`` are rows of ``docs`` that came before: a condition's boolean column ``old`` on docs, or None for the
-    lower half of the range of doc_id. The row with the smallest doc_id of equal texts stays; of repeated rows that
-    share it, one. Null texts count as empty; a null doc_id comes last, and keep_id is null if no row of the group has
-    one. An empty table gives no rows; other columns are not read.
+    ``history`` (doc_id, text) are rows that came before: a text of theirs is not kept again, whatever its doc_id,
+    keep_id is their smallest doc_id of it, and group_size counts them. If None, the lower half of the doc_ids comes
+    before the rest, which changes no result. The row with the smallest doc_id of equal texts stays; of repeated rows
+    that share it, one. Null texts count as empty; a null doc_id comes last, and keep_id is null if no row of the group
+    has one. An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
-    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    old = F.col("doc_id") <= F.lit(low + (high - low) // 2) if low is not None else F.lit(False)
-    past = History(groups_of(rows.where(old)))
-    asked = keep(past.look_up(groups_of(rows.where(~F.coalesce(old, F.lit(False))))), "looked-up")
+    rows = digests_of(docs, "digests")
+    if history is None:
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]
+        old = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
+        before, new = rows.where(old), rows.where(~old)
+    else:
+        before, new = digests_of(history, "history-digests"), rows
+    past = History(groups_of(before))
+    asked = keep(past.look_up(groups_of(new)), "looked-up")
     # Copies of old texts only add to their slot's count; texts that no slot holds are groups of their own.
     repeats = asked.where("slot_digest is not null").select("digest", F.col("n").alias("more"))
-    known = past.slots.join(repeats, "digest", "left").select("digest", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"))
-    fresh = asked.where("slot_digest is null").select("digest", "first", F.col("n").alias("group_size"))
+    known = past.slots.join(repeats, "digest", "left").select("digest", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"), F.lit(history is None).alias("here"))
+    fresh = asked.where("slot_digest is null").select("digest", "first", F.col("n").alias("group_size"), F.lit(True).alias("here"))
     out = rows.join(known.unionByName(fresh), "digest")
     id_part = F.substring_index("first", ":", 1)
     keep_id = F.when(id_part != "~", _signed(id_part))
-    return out.select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("first") == first_row(F.col("doc_id"), F.col("row"))).alias("kept"), F.col("digest").alias("text_sha256"))
+    kept = F.col("here") & (F.col("first") == first_row(F.col("doc_id"), F.col("row")))
+    return out.select("doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def _signed(hex16: Column) -> Column:
