@@ -110,19 +110,72 @@ def test_links_across_blocks(spark, docs, monkeypatch):
     assert {i: (r.class_id, r.n_links) for i, r in by_id(ngram_join.near_duplicates(docs)).items()} == want
 
 
-def test_matched_depth_meets_the_recall():
-    d = ngram_join.matched_depth()
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+def test_prefixes_are_shortened_by_what_is_found():
+    share, least = ngram_join.found_share, ngram_join.least_depth()
+    assert share(0.8, least) >= ngram_join.RECALL > share(0.8, least + 1)
+    assert ngram_join.matched_depth([]) == least and ngram_join.matched_depth([(8, 0.99, 100), (7, 0.5, 10)]) == 8
+    assert ngram_join.matched_depth([(8, 0.99, 10**6), (8, 0.82, 1)]) == least
+    assert ngram_join.matched_depth([(8, 0.95, 100), (8, 0.85, 100), (5, 0.81, 1)]) == 7 and least < 7
 
 
 def test_thresholds_beyond_the_recall_are_an_error(docs):
-    assert ngram_join.matched_depth(0.32) == 1
+    assert ngram_join.least_depth(0.32) == 1
     with pytest.raises(ValueError, match="recall"):
-        ngram_join.matched_depth(0.3)
+        ngram_join.least_depth(0.3)
     with pytest.raises(ValueError, match="recall"):
         ngram_join.near_duplicates(docs, 0.1)
 
 
+def test_trie_ties_are_those_of_the_nodes():
+    r = np.random.default_rng(7)
+    label = np.sort(r.integers(0, 3, (400, 8)).astype(np.uint64) @ (np.uint64(1) << np.arange(56, -8, -8, dtype=np.uint64)))
+    shared = lambda a, b: next((k for k in range(8) if a >> (56 - 8 * k) != b >> (56 - 8 * k)), 8)
+    ties = {(int(a), int(b)): (int(d), bool(w)) for u in ngram_join.trie_ties(label, 4) for a, b, d, w in zip(*u, strict=True)}
+    assert all(d == shared(int(label[a]), int(label[b])) for (a, b), (d, w) in ties.items() if not w)
+    for d in range(4, 9):
+        nodes = collections.defaultdict(list)
+        for i, x in enumerate(label.tolist()):
+            nodes[x >> (64 - 8 * d)].append(i)
+        root = list(range(len(label)))
+        for _ in label:
+            for (a, b), (k, _) in ties.items():
+                if k >= d:
+                    root[a] = root[b] = min(root[a], root[b])
+        assert all(len({root[i] for i in own}) == 1 for own in nodes.values()) and len(set(root)) == len(nodes)
+        assert all((a, b) in ties for own in nodes.values() if len(own) <= ngram_join.PAIRED for k, a in enumerate(own) for b in own[k + 1 :])
+
+
+def sets_of(rows):
+    return {i: shingles(t) for i, t in rows}
+
+
+def test_recall_of_links_near_the_threshold(spark):
+    """Over 1,000 planted links of Jaccard 0.8 to 0.9, each between two documents of their own."""
+    r, rows = random.Random(11), []
+    for k in range(1300):
+        words = [f"w{r.randrange(40000)}" for _ in range(90 + k % 2 * (10 + k % 25))]
+        other = [*words]
+        for at in r.sample(range(6, 84, 7), 1 + k % 2):
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    sets = sets_of(rows)
+    links = [k for k in range(1300) if 0.8 <= len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) <= 0.9]
+    got = by_id(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    found = [k for k in links if got[2 * k].class_id == got[2 * k + 1].class_id and got[2 * k].n_links]
+    assert len(links) >= 1000 and len(found) >= 0.99 * len(links)
+
+
+def test_a_chain_of_half_alike_texts_is_not_compared(spark):
+    words = [f"w{k}" for k in range(40 * 10_001)]
+    rows = [(k, " ".join(words[40 * k : 40 * k + 120])) for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = ngram_join.near_duplicates(docs)
+    assert got.where("n_links > 0 or class_id <> doc_id").count() == 0
+    signed = ngram_join.signatures(docs)
+    tied = ngram_join.components(ngram_join.forest_ties(signed.select("digest", "size", "labels")))
+    assert sum(r["count"] ** 2 for r in tied.groupBy("root").count().collect()) < 1000
+
+
 def test_substring(spark, docs, odd):
     got, seen = by_id(substring.remove_repeats(docs)), set()
     for i, t in sorted(corpus()):

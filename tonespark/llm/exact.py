@@ -1,20 +1,21 @@
 """Exact dedup by a minimal perfect hash over the distinct digests of a historical part.
 
-Digests fall into shards by their first digits. A shard's digests get a minimal perfect hash (hash and displace): a
-bucket's seed sends each of its digests to a slot of its own, and slots hold the full digest and where its first row
-is. New digests are grouped before they are looked up, and a slot's digest is compared in full, so members are exact
-repeats; the others form groups of their own. Everything is joined by shard, bucket and slot: nothing is broadcast.
+Digests fall into shards. A shard's historical digests get a minimal perfect hash (hash and displace): a bucket's seed
+sends each of its digests to a slot of its own, and slots hold the full digest and where its first row is. A shard is
+one row of arrays, which the new digests of its shard meet once: each computes its slot, the digest there is compared
+byte by byte, members add to their slot, and the others are groups of their own. Nothing is broadcast.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonespark.llm.scratch import keep
 
@@ -24,20 +25,8 @@ BUCKET_DIGESTS = 3
 
 
 def text_digest(text: Column) -> Column:
-    """Lowercase hex SHA-256 of the text, null as empty, each run of ``[\\x20\\x09-\\x0D]`` as one space."""
-    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-
-
-def _digits(digest: Column, first: int, n: int = 7) -> Column:
-    return F.conv(F.substring(digest, first, n), 16, 10).cast("long")
-
-
-def _places(digest: Column, shards: int) -> list[Column]:
-    """shard, and the 28-bit values from which bucket and slot are made."""
-    return [
-        (_digits(digest, 1) % shards).alias("shard"), _digits(digest, 8).alias("h0"),
-        _digits(digest, 15).alias("h1"), _digits(digest, 22).alias("h2"),
-    ]
+    """SHA-256 of the text (32 bytes), null as empty, each run of ``[\\x20\\x09-\\x0D]`` as one space."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
 
 
 def displace(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +35,7 @@ def displace(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray
     Slot = ``(h1 + seed * h2) mod PRIME mod n``; of a bucket of one key, seed ``-1 - slot``.
     """
     n = len(h0)
-    size = max(1, math.ceil(n / BUCKET_DIGESTS))
+    size = buckets_of(n)
     bucket = h0 % size
     order = np.argsort(bucket, kind="stable")
     starts = np.searchsorted(bucket[order], np.arange(size + 1))
@@ -76,112 +65,139 @@ def displace(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray
     return seeds, slots
 
 
-def _build(shard: pd.DataFrame) -> pd.DataFrame:
-    """Rows of slots (kind 0) and of buckets (kind 1)."""
-    seeds, slots = displace(*(shard[c].to_numpy() for c in ("h0", "h1", "h2")))
-    k = int(shard["shard"].iloc[0])
-    full = shard[["shard", "digest", "first", "n"]].assign(kind=0, place=slots, seed=0)
-    return pd.concat([full, pd.DataFrame({"shard": k, "digest": None, "first": None, "n": 0, "kind": 1, "place": np.arange(len(seeds)), "seed": seeds})])[["shard", "kind", "place", "seed", "digest", "first", "n"]]
+def buckets_of(n: int) -> int:
+    return max(1, math.ceil(n / BUCKET_DIGESTS))
 
 
-def first_row(id_col: Column, row: Column) -> Column:
-    """Where a row is, as text that sorts as (id, row): ids in order, null last."""
-    return F.concat(F.when(id_col.isNull(), F.lit("~")).otherwise(F.lpad(F.hex(id_col.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), F.lit(":"), F.lpad(F.hex(row), 16, "0"))
+def _bytes_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-class History:
-    """A minimal perfect hash over the distinct digests of ``groups`` (digest, first, n)."""
-
-    def __init__(self, groups: DataFrame):
-        groups = keep(groups, "history")
-        total = groups.count()
-        self.shards = max(1, math.ceil(total / SHARD_DIGESTS))
-        keyed = groups.select("digest", "first", "n", *_places(F.col("digest"), self.shards))
-        kinds = "shard long, kind int, place long, seed long, digest string, first string, n long"
-        both = keep(keyed.groupBy("shard").applyInPandas(_build, kinds), "perfect-hash")
-        self.slots = both.where("kind = 0").select("shard", F.col("place").alias("slot"), "digest", "first", "n")
-        self.buckets = both.where("kind = 1").select("shard", F.col("place").alias("bucket"), "seed")
-        self.sizes = self.slots.groupBy("shard").agg(F.count("*").alias("size"))
-
-    def look_up(self, digests: DataFrame) -> DataFrame:
-        """``digests`` (digest, ...) with ``slot_digest`` and ``slot_first``: null where no slot holds the digest."""
-        n, h = F.col("size"), F.col("h1") + F.col("seed") * F.col("h2")
-        asked = digests.select("*", *_places(F.col("digest"), self.shards)).join(self.sizes, "shard", "left")
-        asked = asked.withColumn("bucket", F.col("h0") % F.greatest(F.lit(1), F.ceil(n / F.lit(float(BUCKET_DIGESTS)))))
-        asked = asked.join(self.buckets, ["shard", "bucket"], "left")
-        asked = asked.withColumn("slot", F.when(F.col("seed") < 0, -1 - F.col("seed")).otherwise(h % PRIME % n))
-        found = self.slots.select("shard", "slot", F.col("digest").alias("slot_digest"), F.col("first").alias("slot_first"))
-        same = [asked["shard"] == found["shard"], asked["slot"] == found["slot"], asked["digest"] == found["slot_digest"]]
-        return asked.join(found, reduce(lambda a, b: a & b, same), "left").select(*digests.columns, "slot_digest", "slot_first")
+def _places(digests: np.ndarray) -> list[np.ndarray]:
+    """The 28-bit values from which bucket and slot are made."""
+    words = np.ascontiguousarray(digests).view("<u4")
+    return [(words[:, k] & ((1 << 28) - 1)).astype(np.int64) for k in range(3)]
+
+
+def find(seeds: np.ndarray, slots: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The slot of each asked digest, -1 where the digest there (``slots``) is another."""
+    n = len(slots)
+    if not n:
+        return np.full(len(asked), -1, np.int64)
+    h0, h1, h2 = _places(asked)
+    seed = seeds[h0 % buckets_of(n)]
+    at = np.where(seed < 0, -1 - seed, (h1 + seed * h2) % PRIME % n)
+    return np.where((slots[at] == asked).all(axis=1), at, -1)
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
-    """Digests of ``rows`` (digest, doc_id, row), each with its first row and count; summed before the shuffle."""
+    """Digests of ``rows`` (digest, doc_id, row), each with its first row (smallest doc_id, null last) and count."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")
-    return rows.groupBy("digest").agg(first, F.count("*").alias("n")).select("digest", first_row(F.col("f.doc_id"), F.col("f.row")).alias("first"), "n")
+    return rows.groupBy("digest").agg(first, F.count("*").alias("n")).select("digest", F.col("f.doc_id").alias("doc_id"), F.col("f.row").alias("row"), "n")
 
 
 def digests_of(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, digest and a number for each row of ``docs``, written once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
-    return keep(rows.withColumn("row", F.monotonically_increasing_id()), name)
+    return keep(docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row")), name)
+
+
+class History:
+    """A minimal perfect hash over the distinct digests of ``groups`` (digest, doc_id, row, n), in ``shards`` rows."""
+
+    def __init__(self, groups: DataFrame, shards: int):
+        self.shards, self.kind = shards, groups.schema["doc_id"].dataType
+
+        def build(table: pa.Table) -> pa.Table:
+            digests = _bytes_of(table["digest"])
+            seeds, slots = displace(*_places(digests))
+            order = np.argsort(slots)
+            own = table.take(order)
+            lists = {f"{c}s": pa.array([own[c].to_pylist()], pa.list_(own[c].type)) for c in ("doc_id", "row", "n")}
+            return pa.table({"shard": table["shard"][:1], "seeds": pa.array([seeds.tobytes()], pa.binary()), "digests": pa.array([digests[order].tobytes()], pa.binary()), **lists})
+
+        made = f"shard long, seeds binary, digests binary, doc_ids array<{self.kind.simpleString()}>, rows array<long>, ns array<long>"
+        self.table = keep(self.placed(groups).groupBy("shard").applyInArrow(build, made), "perfect-hash")
+
+    def placed(self, groups: DataFrame) -> DataFrame:
+        return groups.select(F.pmod(F.xxhash64("digest"), F.lit(self.shards)).alias("shard"), "digest", "doc_id", "row", "n")
+
+    def look_up(self, groups: DataFrame, here: bool) -> DataFrame:
+        """All groups (digest, keep_id, first_row, group_size, here): the slots, with what ``groups`` adds to them, and
+        the digests of ``groups`` that no slot holds. ``here``: the history is part of the same rows, so that the first
+        row of a group may be in either; else it stays the history's, and the group is marked as not here."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: dict[str, list] = {c: [] for c in ("digest", "keep_id", "first_row", "group_size", "here")}
+            kind, digests, ids, rows, ns, seeds = left.schema.field("doc_ids").type.value_type, np.zeros((0, 32), np.uint8), [], [], [], np.zeros(1, np.int64)
+            if left.num_rows:
+                digests, seeds = (np.frombuffer(left[c][0].as_buffer(), x) for c, x in (("digests", np.uint8), ("seeds", np.int64)))
+                digests, (ids, rows, ns) = digests.reshape(-1, 32), (left[c][0].as_py() for c in ("doc_ids", "rows", "ns"))
+            asked = _bytes_of(right["digest"])
+            at = find(seeds, digests, asked)
+            new = list(zip(*(right[c].to_pylist() for c in ("doc_id", "row", "n")), strict=True))
+            for k in np.flatnonzero(at >= 0).tolist():
+                slot, (i, row, n) = int(at[k]), new[k]
+                ns[slot] += n
+                if here and (ids[slot] is None, ids[slot], rows[slot]) > (i is None, ids[slot] if i is None else i, row):
+                    ids[slot], rows[slot] = i, row
+            apart = np.flatnonzero(at < 0).tolist()
+            fresh = [new[k] for k in apart]
+            for c, old, more in (("digest", map(bytes, digests), (bytes(asked[k]) for k in apart)), ("keep_id", ids, (x[0] for x in fresh)), ("first_row", rows, (x[1] for x in fresh)), ("group_size", ns, (x[2] for x in fresh)), ("here", [here] * len(ids), [True] * len(fresh))):
+                out[c] = [*old, *more]
+            types = {"digest": pa.binary(), "keep_id": kind, "first_row": pa.int64(), "group_size": pa.int64(), "here": pa.bool_()}
+            return pa.table({c: pa.array(out[c], t) for c, t in types.items()})
+
+        made = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("keep_id", self.kind), T.StructField("first_row", T.LongType()), T.StructField("group_size", T.LongType()), T.StructField("here", T.BooleanType())])
+        return self.table.groupBy("shard").cogroup(self.placed(groups).groupBy("shard")).applyInArrow(run, made)
 
 
 def decide(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     ``history`` (doc_id, text) are rows that came before: a text of theirs is not kept again, whatever its doc_id,
-    keep_id is their smallest doc_id of it, and group_size counts them. If None, the lower half of the doc_ids comes
+    keep_id is their smallest doc_id of it, and group_size counts them. If None, half of the rows of ``docs`` comes
     before the rest, which changes no result. The row with the smallest doc_id of equal texts stays; of repeated rows
-    that share it, one. Null texts count as empty; a null doc_id comes last, and keep_id is null if no row of the group
-    has one. An empty table gives no rows; other columns are not read.
+    that share it, one. doc_ids may be of any type that has an order. Null texts count as empty; a null doc_id comes
+    last, and keep_id is null if no row of the group has one. An empty table gives no rows; other columns are not read.
     """
+    return _decide(docs, history).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _decide(docs: DataFrame, history: DataFrame | None) -> DataFrame:
     rows = digests_of(docs, "digests")
     if history is None:
-        middle = rows.agg(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]
-        old = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
+        old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
         before, new = rows.where(old), rows.where(~old)
     else:
-        before, new = digests_of(history, "history-digests"), rows
-    past = History(groups_of(before))
-    asked = keep(past.look_up(groups_of(new)), "looked-up")
-    # Copies of old texts only add to their slot's count; texts that no slot holds are groups of their own.
-    repeats = asked.where("slot_digest is not null").select("digest", F.col("n").alias("more"))
-    known = past.slots.join(repeats, "digest", "left").select("digest", "first", (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"), F.lit(history is None).alias("here"))
-    fresh = asked.where("slot_digest is null").select("digest", "first", F.col("n").alias("group_size"), F.lit(True).alias("here"))
-    out = rows.join(known.unionByName(fresh), "digest")
-    id_part = F.substring_index("first", ":", 1)
-    keep_id = F.when(id_part != "~", _signed(id_part))
-    kept = F.col("here") & (F.col("first") == first_row(F.col("doc_id"), F.col("row")))
-    return out.select("doc_id", keep_id.alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
-
-
-def _signed(hex16: Column) -> Column:
-    """The signed 64-bit value that ``first_row`` wrote."""
-    high, low = F.conv(F.substring(hex16, 1, 8), 16, 10).cast("long"), F.conv(F.substring(hex16, 9, 8), 16, 10).cast("long")
-    return (F.shiftleft(high - F.lit(1 << 31), 32)).bitwiseOR(low)
-
-
-def drop_rows(docs: DataFrame, decided: DataFrame, mark: Column) -> DataFrame:
-    """``docs`` without the rows that ``decided`` (doc_id, mark, kept) drops, found by doc_id and ``mark`` of the row.
-
-    Of repeated rows that share both and of which one is kept, one stays.
+        same = history.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text")
+        before, new = digests_of(same, "history-digests"), rows
+    past, asked = keep(groups_of(before), "history"), keep(groups_of(new), "asked")
+    shards = max(1, math.ceil(max(past.count(), asked.count()) / SHARD_DIGESTS))
+    groups = History(past, shards).look_up(asked, history is None)
+    kept = F.col("here") & (F.col("row") == F.col("first_row"))
+    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
+
+
+def drop_rows(docs: DataFrame, decided: DataFrame, mark: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` without the rows that ``decided`` (doc_id, mark, kept) drops, found by doc_id and ``mark`` of the text.
+
+    Of repeated rows that share both and of which one is kept, one stays. All columns stay, whatever their names.
     """
     decided = keep(decided, "decided")
-    pick = lambda kept: decided.where(F.col("kept") == kept).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    lost, stay = pick(False), pick(True).withColumnsRenamed({"_id": "_id2", "_mark": "_mark2"})
-    both = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_mark") == F.col("_mark2"))
+    pick = lambda kept, *names: decided.where(F.col("kept") == kept).select(F.col("doc_id").alias(names[0]), F.col("mark").alias(names[1])).distinct()
+    lost, stay = pick(False, "i", "m"), pick(True, "i2", "m2")
+    both = F.col("i").eqNullSafe(F.col("i2")) & (F.col("m") == F.col("m2"))
     gone, twice = lost.join(stay, both, "left_anti"), keep(lost.join(stay, both, "left_semi"), "repeated")
-    marked = docs.withColumn("_mark0", mark)
-    same = lambda other: marked["doc_id"].eqNullSafe(other["_id"]) & (marked["_mark0"] == other["_mark"])
-    out = marked.join(gone, same(gone), "left_anti")
+    marked = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("own_id"), mark(F.col("text")).alias("own_mark"))
+    same = F.col("own_id").eqNullSafe(F.col("i")) & (F.col("own_mark") == F.col("m"))
+    out = marked.join(gone, same, "left_anti")
     if not twice.isEmpty():
-        once = out.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "_mark0"])
-        out = out.join(twice, same(twice), "left_anti").unionByName(once)
-    return out.drop("_mark0")
+        once = out.join(twice, same, "left_semi").dropDuplicates(["own_id", "own_mark"])
+        out = out.join(twice, same, "left_anti").unionByName(once)
+    return out.select("whole.*")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``decide`` drops; of repeated rows that share doc_id and text, one stays."""
-    made = decide(docs).select("doc_id", F.col("text_sha256").alias("mark"), "kept")
-    return drop_rows(docs, made, text_digest(F.col("text")))
+    made = _decide(docs, None).select("doc_id", F.col("digest").alias("mark"), "kept")
+    return drop_rows(docs, made, text_digest)

@@ -3,20 +3,22 @@
 Windows of WINDOW words are compared without hashing all of them. Only runs of ANCHOR words that begin at cover
 positions, counted from the document's start modulo PERIOD, are hashed everywhere. The cover is a perfect difference
 set: for any two positions some shift below PERIOD puts both on the cover, so two equal windows share an anchor at the
-same shift. Where an anchor repeats it is extended: the windows that contain it are hashed in full (96 bits) and
-compared. Documents live in units of a few MB; per unit each distinct hash is sent once, which keeps what one hash
-gathers far below the number of its occurrences.
+same shift. Where an anchor repeats it is extended: the windows that contain it are compared, word by word within a unit
+of documents of a few MB and by 96-bit BLAKE2 digests of their words between units. Each distinct window of a unit is
+sent once, which keeps what one window gathers far below the number of its occurrences.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonespark.llm.words import cut, hashes, mix, row_of, spans, text_bytes, windows
+from tonespark.llm.words import cut, hashes, row_of, spans, text_bytes, windows, word_ids
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 UNIT_BYTES = 4 << 20
@@ -58,12 +60,31 @@ class Unit:
         i = np.flatnonzero(long & (self.left >= ANCHOR) & np.isin(self.place % PERIOD, COVER))
         return i, windows(self.h, ANCHOR)[i]
 
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows at these positions."""
+    def classes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each kind of window at ``starts`` (ascending), and every window's kind; kinds are told apart by
+        their words, not by hashes."""
         if not len(starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        second = hashes(self.buf, self.starts, self.ends, 1)
-        return windows(self.h, WINDOW)[starts], (windows(mix(second), WINDOW, 1)[starts] >> np.uint64(32)).astype(np.uint32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words = word_ids(self.buf, self.starts, self.ends)[1]
+        _, first, which = np.unique(windows(self.h, WINDOW)[starts], return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[which] != np.arange(len(starts)))
+        a, b = starts[again], starts[first[which[again]]]
+        if all((words[a + k] == words[b + k]).all() for k in range(WINDOW)):
+            return first, which
+        kind, most = words, len(words)  # windows that share a hash
+        for k in range(1, WINDOW):
+            kind = np.unique(kind[:-1] * most + words[k:], return_inverse=True)[1]
+        return np.unique(kind[starts], return_index=True, return_inverse=True)[1:]
+
+    def digests(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First 64 and other 32 bits of the digest of each window's words, joined by one space."""
+        raw = self.buf.tobytes()
+        rows = (b" ".join(raw[a:b].split()) for a, b in zip(self.off[:-1].tolist(), self.off[1:].tolist(), strict=True))
+        text = memoryview(b" ".join(filter(None, rows)))
+        at = np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        made = [hashlib.blake2b(text[a:b], digest_size=12).digest() for a, b in zip(at[starts].tolist(), (at[starts + WINDOW] - 1).tolist(), strict=True)]
+        both = np.frombuffer(b"".join(made), np.dtype([("one", "<u8"), ("two", "<u4")]))
+        return both["one"].astype(np.uint64), both["two"].astype(np.uint32)
 
 
 def _blobs(table: pa.Table, column: str, kind: type) -> np.ndarray:
@@ -117,7 +138,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.table({"unit": pa.array(u, pa.int64()), "keys": pa.array(k, pa.binary())})
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ("bucket", "unit", "one", "two", "key", "turn", "start", "many")
+        names = ("bucket", "unit", "one", "two", "key", "turn", "place", "many")
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             unit = Unit(left)
@@ -127,25 +148,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             np.add.at(edge, np.maximum(at - (WINDOW - ANCHOR), unit.at[unit.row[at]]), 1)
             np.add.at(edge, at + 1, -1)
             starts = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (unit.left >= WINDOW))
-            one, two = unit.windows(starts)
-            order = np.lexsort((starts, two, one))
-            one, two, starts = one[order], two[order], starts[order]
-            first = np.ones(len(one), bool)
-            first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            f = np.flatnonzero(first)
-            many = np.diff(f, append=len(one)) > 1
-            one, two, starts = one[f], two[f], starts[f]
+            first, which = unit.classes(starts)
+            many, starts = np.bincount(which, minlength=len(first)) > 1, starts[first]
+            one, two = unit.digests(starts)
+            order = np.lexsort((two, one))
+            one, two, starts, many = one[order], two[order], starts[order], many[order]
             row = unit.row[starts]
             for b, s in cut(one, n):
-                out.append((b, left["unit"][0].as_py(), one[s].tobytes(), two[s].tobytes(), unit.key[row[s]].tobytes(), unit.turn[row[s]].tobytes(), unit.place[starts[s]].astype(np.uint32).tobytes(), many[s].tobytes()))
+                out.append((b, left["unit"][0].as_py(), one[s].tobytes(), two[s].tobytes(), unit.key[row[s]].tobytes(), unit.turn[row[s]].tobytes(), starts[s].astype(np.uint32).tobytes(), many[s].tobytes()))
         columns = list(zip(*out, strict=True)) if out else [()] * 8
         return pa.table({c: pa.array(x, pa.int64() if c in ("bucket", "unit") else pa.binary()) for c, x in zip(names, columns, strict=True)})
 
     def winners(table: pa.Table) -> pa.Table:
         one, two = _blobs(table, "one", np.uint64), _blobs(table, "two", np.uint32)
-        key, turn, start = (_blobs(table, c, kind) for c, kind in (("key", np.int64), ("turn", np.int32), ("start", np.uint32)))
+        key, turn, place = (_blobs(table, c, kind) for c, kind in (("key", np.int64), ("turn", np.int32), ("place", np.uint32)))
         many, counts = _blobs(table, "many", bool), _counts(table, "one")
-        order = np.lexsort((start, turn & ((1 << 30) - 1), key, turn >> 30, two, one))
+        order = np.lexsort((place, turn & ((1 << 30) - 1), key, turn >> 30, two, one))
         o, t = one[order], two[order]
         first = np.ones(len(o), bool)
         first[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
@@ -158,9 +176,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         rows = []
         for unit, a, e in zip(table["unit"].to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
             if (m := told[a:e]).any():
-                rows.append((unit, one[a:e][m].tobytes(), two[a:e][m].tobytes(), wins[a:e][m].tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.table({c: pa.array(x, pa.int64() if c == "unit" else pa.binary()) for c, x in zip(("unit", "one", "two", "wins"), columns, strict=True)})
+                rows.append((unit, place[a:e][m].tobytes(), wins[a:e][m].tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+        return pa.table({c: pa.array(x, pa.int64() if c == "unit" else pa.binary()) for c, x in zip(("unit", "place", "wins"), columns, strict=True)})
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -168,17 +186,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         unit = Unit(left)
         gone = np.zeros(len(unit.h), bool)
         if right.num_rows:
-            one, two, wins = _blobs(right, "one", np.uint64), _blobs(right, "two", np.uint32), _blobs(right, "wins", bool)
-            order = np.argsort(one, kind="stable")
-            one, two, wins = one[order], two[order], wins[order]
-            starts = np.flatnonzero(unit.left >= WINDOW)
-            a, b = unit.windows(starts)
-            i = np.minimum(np.searchsorted(one, a), len(one) - 1)
-            hit = np.flatnonzero((one[i] == a) & (two[i] == b))
-            starts, i = starts[hit], i[hit]
-            _, first = np.unique(i, return_index=True)  # starts ascend, so these are the earliest of the unit
-            stay = np.zeros(len(i), bool)
-            stay[first] = wins[i[first]]
+            # Places are those of the first window of each told kind; the unit finds the others of the kind itself.
+            place, wins = _blobs(right, "place", np.uint32).astype(np.int64), _blobs(right, "wins", bool)
+            h, starts = windows(unit.h, WINDOW), np.flatnonzero(unit.left >= WINDOW)
+            known = np.unique(h[place])
+            starts = starts[known[np.minimum(np.searchsorted(known, h[starts]), len(known) - 1)] == h[starts]]
+            first, which = unit.classes(starts)
+            told, win = np.zeros(len(first), bool), np.zeros(len(first), bool)
+            kind = which[np.searchsorted(starts, place)]
+            told[kind], win[kind] = True, wins
+            stay = ~told[which] | (win[which] & (first[which] == np.arange(len(starts))))
             edge = np.zeros(len(unit.h) + 1, np.int64)
             edge[starts[~stay]] += 1
             edge[starts[~stay] + WINDOW] -= 1
@@ -195,8 +212,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_unit = rows.groupBy("unit")
     first = by_unit.applyInArrow(anchors, "bucket long, unit long, keys binary, many binary")
     first = first.groupBy("bucket").applyInArrow(repeated, "unit long, keys binary")
-    found = by_unit.cogroup(first.groupBy("unit")).applyInArrow(extend, "bucket long, unit long, one binary, two binary, key binary, turn binary, start binary, many binary")
-    found = found.groupBy("bucket").applyInArrow(winners, "unit long, one binary, two binary, wins binary")
+    found = by_unit.cogroup(first.groupBy("unit")).applyInArrow(extend, "bucket long, unit long, one binary, two binary, key binary, turn binary, place binary, many binary")
+    found = found.groupBy("bucket").applyInArrow(winners, "unit long, place binary, wins binary")
     made = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), rows.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = by_unit.cogroup(found.groupBy("unit")).applyInArrow(remove, made)
     where = {c: F.col("rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}

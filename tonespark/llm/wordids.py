@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tonespark.llm.words import hashes, spans
+from tonespark.llm.words import spans, word_ids
 
 
 class Memo(dict):
@@ -38,11 +38,7 @@ def slice_ids(buf: np.ndarray, off: np.ndarray, memo: Memo, with_space: bool = F
     if with_space:
         row_starts = np.repeat(off[:-1], np.diff(at))
         starts = np.where(starts > row_starts, starts - 1, starts)
-    one, two = hashes(buf, starts, ends), hashes(buf, starts, ends, 1)
-    _, first, which = np.unique(one, return_index=True, return_inverse=True)
-    if not (two == two[first][which]).all():  # words that share one hash
-        _, first, which = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
-        which = which.ravel()
+    first, which = word_ids(buf, starts, ends)
     raw = buf.tobytes()
     found = memo.look_up([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
     flat = np.frombuffer(b"".join(found), "<u4")

@@ -1,14 +1,15 @@
 """Vectorised splitting and hashing of the words in Arrow string columns.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64-bit: a polynomial over the word's bytes modulo
-2**64 taken from prefix sums, then mixed with the word's length.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64-bit: blocks of 8 bytes are mixed in one after the
+other, all words at once; of words of more than LONG bytes it is a BLAKE2 digest. Hashes find words; where words have to
+be told apart for certain, ``word_ids`` compares bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 18
 SLICE = 1 << 21
+LONG = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -66,18 +68,6 @@ def spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[
     return starts, ends, np.searchsorted(starts, off)
 
 
-@lru_cache(4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    m = _MULTIPLIERS[which]
-    inverse = pow(m, -1, 1 << 64)
-    out = []
-    for x in (m, inverse):
-        p = np.full(size + 1, x, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
@@ -87,22 +77,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one integer; what lies past the end is 0."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of ``buf[starts[i]:ends[i]]``; spans are in order and don't overlap."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        s = int(starts[a])
-        b = max(a + 1, int(np.searchsorted(ends, s + CHUNK, "right")))
-        e = int(ends[b - 1])
-        size = CHUNK if e - s <= CHUNK else 1 << (e - s).bit_length()
-        power, inverse = _powers(which, size)
-        total = np.zeros(e - s + 1, np.uint64)
-        np.cumsum((buf[s:e].astype(np.uint64) + np.uint64(1)) * power[: e - s], out=total[1:])
-        i, j = starts[a:b] - s, ends[a:b] - s
-        out[a:b] = (total[j] - total[i]) * inverse[i]
-        a = b
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(_MULTIPLIERS[1 - which]))
+    """64-bit hashes of ``buf[starts[i]:ends[i]]``.
+
+    Words of up to 8 bytes and one length never collide; others may, so who needs certainty compares bytes.
+    """
+    size, odd = ends - starts, np.uint64(_MULTIPLIERS[which])
+    out = size.astype(np.uint64) * np.uint64(_MULTIPLIERS[1 - which])
+    eights, live = _eights(buf), np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = size[live] - k
+        x = (out[live] ^ (eights[starts[live] + k] & _MASKS[np.minimum(left, 8)])) * odd
+        out[live] = x ^ (x >> np.uint64(32))
+        live = live[left > 8]
+        if not len(live):
+            break
+    if len(long := np.flatnonzero(size > LONG)):
+        key = bytes([which])
+        for i, s, e in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+            out[i] = int.from_bytes(hashlib.blake2b(buf[s:e], digest_size=8, key=key).digest(), "little")
+    return mix(out)
+
+
+def same_bytes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word has the same bytes as word ``other[i]``."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    eights, live = _eights(buf), np.flatnonzero(other != np.arange(len(other)))
+    for k in range(0, LONG, 8):
+        left = size[live] - k
+        if ((eights[starts[live] + k] ^ eights[starts[other[live]] + k]) & _MASKS[np.minimum(left, 8)]).any():
+            return False
+        live = live[left > 8]
+        if not len(live):
+            return True
+    raw = memoryview(np.ascontiguousarray(buf))
+    return all(raw[starts[i] : ends[i]] == raw[starts[j] : ends[j]] for i, j in zip(live.tolist(), other[live].tolist(), strict=True))
+
+
+def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct word and the number of every word; equal numbers are equal bytes, for certain."""
+    _, first, which = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    if not same_bytes(buf, starts, ends, first[which]):  # words that share a hash
+        raw, found, first = buf.tobytes(), {}, []
+        which = np.empty(len(starts), np.int64)
+        for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            which[i] = k = found.setdefault(raw[s:e], len(found))
+            if k == len(first):
+                first.append(i)
+        first = np.array(first, np.int64)
+    return first, which
 
 
 def windows(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
@@ -110,9 +142,10 @@ def windows(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    m, out = np.uint64(_MULTIPLIERS[which]), np.zeros(n, np.uint64)
+    odd = np.random.default_rng(which).integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = out * m + h[k : k + n]
+        out += h[k : k + n] * odd[k]
     return mix(out)
 
 
