@@ -323,6 +323,22 @@ def test_warc(spark):
     assert sum(r.record_type == "revisit" for r in warc.parse_records(warc.read_records(spark, path + "2")).collect()) == 2
 
 
+def test_warc_urls_of_any_kind(spark):
+    hostile = ["http://x/\u2028WARC-Payload-Digest: sha1:AAAA", "http://x/\u0085WARC-Refers-To: <urn:tonespark:page:9>", "a\r\nWARC-Type: revisit\r\n\r\nHTTP/1.1", "b%0D%0A", "b\r\n", "\u2029", "é\n", ""]
+    pages = [(i, u, "same" if i % 2 else f"own {i}\r\n\r\n") for i, u in enumerate(hostile)] * 2
+    df, path = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record", F.lit("x")), new_path(spark, "test")
+    warc.write_archive(df, path)
+    records = warc.read_records(spark, path)
+    got = warc.parse_records(records).collect()
+    assert collections.Counter((r.page_id, r.url) for r in got) == collections.Counter((i, u) for i, u, _ in pages)
+    assert all((r.record_type, r.refers_to) == ("revisit", 1) for r in got if r.page_id % 2 and r.page_id != 1)
+    cut = records.where("revisited_bytes is null").withColumn("record", F.expr("cast(replace(cast(record as string), 'own 2', 'own 3') as binary)"))
+    with pytest.raises(Exception, match="contradicts"):
+        warc.parse_records(cut).collect()
+    warc.write_archive(df.where("false"), path + "2")
+    assert warc.parse_records(warc.read_records(spark, path + "2")).count() == 0
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a\\[INST"), (1, 1, "assistant", "</s> <"), (1, 2, "tool", "</role>"), (2, 5, None, None), (2, 6, "assistant", None), (3, 0, "assistant", "x" * 200_000 + "</s>"), (None, 0, "user", " [/INST]")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -335,6 +351,33 @@ def test_chat(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_reads_turns_back_and_checks_chunks(spark):
+    turns = [(1, k, r, t, "x") for k, (r, t) in enumerate([("user", "a\\" * 70_000), ("assistant", "[INST] \\" * 30_000), ("to\\ol", "</role><<SYS>>"), ("assistant", ""), ("user", "<" * 9 + "</s")])]
+    df = spark.createDataFrame([*turns, (2, 0, "user", "hi", "x"), (3, 0, "assistant", "yes " * 40_000, "x")], "conv_id long, turn long, role string, text string, chunk string")
+    made = chat.format_conversations(df).coalesce(1).cache()
+    assert {(r.conv_id, r.turn, r.role, r.text) for r in chat.read_turns(made).collect()} == {(r.conv_id, r.turn, r.role, r.text) for r in df.collect()}
+    assert made.where("conv_id = 1").count() > 3
+    again = made.where("chunk = 1").withColumn("chunk", F.lit(2).cast("long"))
+    for bad in (made.where("not (conv_id = 1 and chunk = 1)"), made.where("not last"), made.where("chunk > 0"), made.unionByName(made).coalesce(1).sortWithinPartitions("conv_id", "chunk"), made.where("conv_id = 1 and chunk < 2").unionByName(again).coalesce(1)):
+        with pytest.raises(Exception, match="chunk"):
+            chat.read_conversations(bad).collect()
+
+
+def test_a_long_turn_is_read_in_linear_time():
+    import time
+
+    def seconds(n):
+        reader, began = chat.Reader(), time.process_time()
+        reader.push("<s>[INST] ", [])
+        for _ in range(n):
+            reader.push("x" * 65_536, [])
+        reader.push(" [/INST]", [])
+        assert reader.finish()[0] == 1
+        return time.process_time() - began
+
+    assert seconds(640) < 8 * max(seconds(160), 0.05)
+
+
 def test_templates():
     render = chat.compile_template("{% if 1 + 1 == 2 %}yes{% else %}no{% endif %}{{ 'a' + 'b' | upper }}{% for m in messages %}{% if not loop.first and m.role != 'x' %}{% generation %}{{ m.text | trim }}{% endgeneration %}{% endif %}{% endfor %}")
     assert list(render([{"role": "a", "text": "1"}, {"role": "b", "text": " 2 "}])) == [("yesaB", False), ("2", True)]

@@ -316,7 +316,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 
     Returns chunks of at most about 64 KB of a conversation's text in order (conv_id, chunk, text, masks, last), masks
     being the code points of the chunk under the loss mask. Conversations are streamed through sorted partitions, never
-    gathered. Null role and text count as empty, rows without conv_id form one conversation, repeated rows stay, an
+    gathered; a conversation is one sequence, so all of it passes through one task, however long it is. Null role and text count as empty, rows without conv_id form one conversation, repeated rows stay, an
     empty table gives no chunks, other columns are not read. A null or empty text under the mask has no code points.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -384,67 +384,145 @@ def _runs(rows: Iterator[tuple[Any, dict]]) -> Iterator[tuple[Any, Iterator[dict
             pass
 
 
-_TURN = re.compile(r"\[INST\] (.*?) \[/INST\]|<role>(.*?)</role><<SYS>>(.*?)<</SYS>>|(.*?)</s>", re.DOTALL)
+#: How a turn begins, and what ends it; a turn that begins otherwise is an assistant's.
+_OPENS = {"user": "[INST] ", "role": "<role>"}
+_ENDS = {"user": " [/INST]", "role": "</role><<SYS>>", "other": "<</SYS>>", "assistant": "</s>"}
 
 
-class Reader:
-    """Reads one conversation's formatted text, chunk by chunk, back into turns and the text under its mask."""
+class Unescaper:
+    """Unescapes a text piece by piece: a backslash at a piece's end waits for what it escapes."""
 
     def __init__(self) -> None:
+        self.held = ""
+
+    def push(self, piece: str) -> str:
+        text = self.held + piece
+        self.held = "\\" * ((len(text) - len(text.rstrip("\\"))) % 2)
+        return unescape(text[: len(text) - len(self.held)])
+
+
+class Reader:
+    """Reads one conversation's formatted text, chunk by chunk, back into turns and the text under its mask.
+
+    Each character is looked at a fixed number of times, however long a turn is; only a role and the few characters that
+    may begin a control string are held. With ``texts`` the turns are given whole as they end.
+    """
+
+    def __init__(self, texts: bool = False) -> None:
         self.rest, self.begun, self.turns, self.chars, self.loss_chars = "", False, 0, 0, 0
         self.turn_digest, self.loss_digest = hashlib.sha256(), hashlib.sha256()
-        self.masked: list[str] = []
+        self.masked, self.said, self.state, self.role = Unescaper(), Unescaper(), "", ""
+        self.texts, self.pieces = texts, []
 
     def push(self, text: str, masks: list[dict]) -> list[tuple[str, str]]:
         self.chars += len(text)
+        for m in masks:
+            said = self.masked.push(text[m["first"] : m["end"]])
+            self.loss_chars += len(said)
+            self.loss_digest.update(said.encode())
         self.rest += text
-        self.masked += [text[m["first"] : m["end"]] for m in masks]
         if not self.begun and len(self.rest) >= 3:
             if not self.rest.startswith("<s>"):
                 raise ValueError("a conversation begins with <s>")
             self.rest, self.begun = self.rest[3:], True
-        found, at = [], 0
-        while self.begun and (m := _TURN.match(self.rest, at)):
-            role = "user" if m[1] is not None else unescape(m[2]) if m[2] is not None else "assistant"
-            said = unescape(next(x for x in (m[1], m[3], m[4]) if x is not None))
-            self.turn_digest.update(f"{role}\n{said}\n".encode())
-            self.turns += 1
-            at = m.end()
-            found.append((role, said))
-            if role == "assistant" and m[4] is not None:
-                self._loss()
-        self.rest = self.rest[at:]
+        return self._turns() if self.begun else []
+
+    def _turns(self) -> list[tuple[str, str]]:
+        found, text, at = [], self.rest, 0
+        while at < len(text):
+            if not self.state:
+                opened = next((k for k, x in _OPENS.items() if text.startswith(x, at)), None)
+                if opened is None and any(x.startswith(text[at:]) for x in _OPENS.values()):
+                    break  # may still become an opening
+                self.state = opened or "assistant"
+                at += len(_OPENS.get(opened, ""))
+                self._open("" if self.state == "role" else self.state)
+            end = _ENDS[self.state]
+            k = text.find(end, at)
+            if k < 0:
+                k = max(at, len(text) - len(end) + 1)
+                self._say(text[at:k])
+                at = k
+                break
+            self._say(text[at:k])
+            at = k + len(end)
+            if self.state == "role":
+                self.state, role = "other", self.role
+                self._open(role)
+            else:
+                self.turn_digest.update(b"\n")
+                self.turns += 1
+                if self.texts:
+                    found.append((self.role, "".join(self.pieces)))
+                self.state = ""
+        self.rest = text[at:]
         return found
 
-    def _loss(self) -> None:
-        said = unescape("".join(self.masked))
-        self.masked = []
-        self.loss_chars += len(said)
-        self.loss_digest.update(said.encode())
+    def _open(self, role: str) -> None:
+        self.role, self.said, self.pieces = role, Unescaper(), []
+        if self.state != "role":
+            self.turn_digest.update(f"{role}\n".encode())
+
+    def _say(self, piece: str) -> None:
+        said = self.said.push(piece)
+        if self.state == "role":
+            self.role += said
+            return
+        self.turn_digest.update(said.encode())
+        if self.texts:
+            self.pieces.append(said)
 
     def finish(self) -> tuple[int, str, int, str, int]:
-        if self.rest or not self.begun:
+        if self.rest or self.state or not self.begun:
             raise ValueError("a turn stays open")
-        self._loss()
         return self.turns, self.turn_digest.hexdigest(), self.loss_chars, self.loss_digest.hexdigest(), self.chars
 
 
-def read_conversations(formatted: DataFrame) -> DataFrame:
-    """Digests of conversations read back from chunks that stand in order: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+def _read(formatted: DataFrame, give: Callable[[Reader, Any, list[tuple[str, str]], bool], list[tuple]], texts: bool, types: tuple, schema: str) -> DataFrame:
+    """Rows that ``give`` makes of a reader after each chunk; chunks that don't follow one another are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, conv, due = Reader(texts), None, 0
         for batch in batches:
-            rows, kind = [], batch.schema.field(0).type
+            rows, kind = [], batch.schema.field("conv_id").type
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("conv_id", "chunk", "text", "masks", "last")]
             for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                reader.push(row["text"], row["masks"])
-                if row["last"]:
-                    rows.append((row["conv_id"], *reader.finish()))
-                    reader = Reader()
+                own, chunk, text, masks, last = (c[k].as_py() for c in columns)
+                if chunk != due or (due and own != conv):
+                    raise ValueError(f"chunk {chunk} of conversation {own} follows chunk {due - 1} of conversation {conv}")
+                conv, due = own, due + 1
+                turns = reader.push(text, masks)
+                rows += give(reader, own, turns, last)
+                if last:
+                    reader, due = Reader(texts), 0
             if rows:
-                types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, *types), strict=True)], [c.split()[0] for c in schema.split(", ")])
+        if due:
+            raise ValueError(f"conversation {conv} has no last chunk")
+
+    names = ("conv_id", "chunk", "text", "masks", "last")
+    return formatted.select(*names).mapInArrow(run, schema.format(id=formatted.schema["conv_id"].dataType.simpleString()))
+
+
+def read_conversations(formatted: DataFrame) -> DataFrame:
+    """Digests of conversations read back from chunks: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Chunks have to stand in order within a partition, as ``format_conversations`` gives them; a missing, repeated or
+    swapped chunk, a turn that stays open and a text that doesn't begin as the template does are errors. A null conv_id
+    is a conversation like others; an empty table gives no rows; other columns are not read.
+    """
+    give = lambda reader, conv, turns, last: [(conv, *reader.finish())] if last else []
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    return _read(formatted, give, False, types, "conv_id {id}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def read_turns(formatted: DataFrame) -> DataFrame:
+    """conv_id, turn (from 0), role and text of every turn, under the conditions of ``read_conversations``."""
+
+    def give(reader: Reader, conv: Any, turns: list[tuple[str, str]], last: bool) -> list[tuple]:
+        if last:
+            reader.finish()
+        first = reader.turns - len(turns)
+        return [(conv, first + i, role, text) for i, (role, text) in enumerate(turns)]
 
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _read(formatted, give, True, (pa.int64(), pa.string(), pa.string()), "conv_id {id}, turn long, role string, text string")

@@ -40,7 +40,7 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path, min_bytes=0)
-    return warc.parse_records(warc.read_records(spark, path))
+    return warc.parse_records(warc.read_records(spark, path)).drop("url")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
