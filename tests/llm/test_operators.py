@@ -238,31 +238,48 @@ def test_viterbi_is_the_best_labelling():
         assert math.isclose(value(got[a:b]), max(value(p) for p in itertools.product(range(3), repeat=b - a)), rel_tol=1e-5)
 
 
-def test_kneser_ney(spark, docs, odd):
+def plain_kneser_ney(texts, order):
+    """Log10 probability of a text by an interpolated modified Kneser-Ney model of ``texts``, from its definition."""
+    grams = [None, *(collections.Counter() for _ in range(order))]
+    for t in texts:
+        row = ["<s>"] * (order - 1) + t
+        grams[order].update(tuple(row[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        grams[k].update(g[1:] for g in grams[k + 1])
+    d = [None, *(kneser_ney.discounts(np.array([sum(n == c for n in grams[k].values()) for c in range(1, 5)])) for k in range(1, order + 1))]
+    after = collections.defaultdict(list)
+    for k in range(1, order + 1):
+        for g, n in grams[k].items():
+            after[g[:-1]].append(n)
+    words = len({w for t in texts for w in t})
+
+    def p(g):
+        if not g:
+            return 1 / (words + 1)
+        k, own = len(g), after.get(g[:-1])
+        lower = p(g[1:]) if k > 1 else p(())
+        if not own:
+            return lower
+        n = grams[k][g]
+        return max(n - d[k][min(n, 3)], 0) / sum(own) + sum(d[k][min(c, 3)] for c in own) / sum(own) * lower
+
+    return lambda t: sum(math.log10(p(tuple((["<s>"] * (order - 1) + t)[i : i + order]))) for i in range(len(t)))
+
+
+@pytest.mark.parametrize(("order", "small"), [(3, False), (2, True), (3, True), (4, True)])
+def test_kneser_ney(spark, docs, odd, order, small):
+    sizes = {"range_words": 40, "range_grams": 150, "fan": 3} if small else {}  # many ranges, two steps, spread contexts
     train = F.col("doc_id") % 5 != 1
-    got, lower = by_id(kneser_ney.score(docs, kneser_ney.fit(docs, train))), bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    got, lower = by_id(kneser_ney.score(docs, kneser_ney.fit(docs, train, order, **sizes))), bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     toks = {i: [*(t or "").encode().translate(lower).split(), None] for i, t in corpus()}
     own = [t for i, t in toks.items() if i % 5 != 1]
-    c, pairs = collections.Counter(w for t in own for w in t), collections.Counter(p for t in own for p in zip(["<s>", *t], t, strict=False))
-    total, follows, ctx = sum(c.values()), collections.Counter(w for _, w in pairs), collections.defaultdict(list)
-    for (u, _), n in pairs.items():
-        ctx[u].append(n)
-    of = lambda x: kneser_ney.discounts(np.array([sum(n == k for n in x.values()) for k in range(1, 5)]))
-    d, e = of(pairs), of(follows)
-    spare = sum(e[min(n, 3)] for n in follows.values()) / len(pairs)
-
-    def p(u, w):
-        one = max(follows[w] - e[min(follows[w], 3)], 0) / len(pairs) + spare / (len(c) + 1)
-        if u not in ctx:
-            return one
-        n, all_ = pairs[u, w], sum(ctx[u])
-        return max(n - d[min(n, 3)], 0) / all_ + sum(d[min(k, 3)] for k in ctx[u]) / all_ * one
-
-    assert math.isclose(sum(p("<s>", w) for w in c) + p("<s>", "never"), 1, rel_tol=1e-9)
+    c, plain = collections.Counter(w for t in own for w in t), plain_kneser_ney(own, order)
+    total = sum(c.values())
     for i, t in toks.items():
-        assert math.isclose(got[i].score, sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t, strict=False)), rel_tol=1e-6)
+        assert math.isclose(got[i].score, plain(t), rel_tol=1e-6)
         assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in t), rel_tol=1e-9)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), total)
+    assert math.isclose(sum(10 ** plain([w]) for w in c) + 10 ** plain(["never"]), 1, rel_tol=1e-9)
     assert kneser_ney.score(odd, kneser_ney.fit(empty(spark), F.lit(True))).count() == 6
 
 

@@ -1,16 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model.
-
-Words and pairs are counted in Spark: tasks sum what they read, ranges of hashes are summed again, and each range is
-written to the shared folder as a sorted array. A word's id is its place in the sorted array of all word hashes, a
-pair's key its two ids. Workers memory-map the arrays and find what a slice of texts asks by binary search; nothing is
-gathered on the driver but a few sums a range.
+"""Interpolated modified Kneser-Ney n-gram model of any order.
+
+Words and n-grams are counted in Spark: tasks sum what they read, ranges of hashes are summed again, and each range is
+written to the shared folder as sorted arrays. A word's id is its place in the sorted array of all word hashes. An
+n-gram goes to the range of its context; n-grams whose context has frequent words only are spread by their last word
+too, and the sums of such a context are gathered in a second step. The distinct n-grams of a range give the counts of
+the next lower order. Workers memory-map the arrays and find what a slice of texts asks by binary search. The driver
+gets a row per range of words, of which there are WORD_RANGES at most, and a few sums of all.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from typing import Any
 
@@ -20,26 +22,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespark.llm.scratch import mapped_dir
-from tonespark.llm.words import LOWER, buckets, cut, hashes, mix, slices, spans
+from tonespark.llm.words import LOWER, cut, hashes, mix, slices, spans
 
+ORDER = 3
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-RANGE_WORDS, RANGE_PAIRS = 1_000_000, 3_000_000
-HOT = 0.005
-CONTEXT = np.dtype([("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("follows", "<u4"), ("total", "<u8")])
-
-
-def _save(folder: str, name: str, x: np.ndarray) -> None:
-    """Written whole or not at all: a task that runs twice writes the same."""
+RANGE_WORDS, WORD_RANGES = 1_000_000, 4096
+RANGE_GRAMS = 2_000_000
+#: At most so many ranges are told apart at once; more take two steps.
+FAN = 512
+CONTEXT = np.dtype([("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("start", "<u4"), ("total", "<u8")])
+#: Parts from here on hold the sums of spread contexts, part -1 the numbers of n-grams by count.
+SPREAD = 1 << 40
+ROWS = "part long, kind int, ids binary, few binary, large binary"
+
+
+def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
+    """Written whole or not at all: a task that runs twice writes the same. Arrays begin at multiples of 8 bytes."""
     os.makedirs(folder, exist_ok=True)
     part = f"{folder}/.{name}.{os.getpid()}.{os.urandom(4).hex()}"
     with open(part, "wb") as f:
-        f.write(x.tobytes())
+        f.write(np.array([x.nbytes for x in arrays], "<i8").tobytes())
+        for x in arrays:
+            f.write(x.tobytes() + bytes(-x.nbytes % 8))
     os.replace(part, f"{folder}/{name}")
 
 
 @lru_cache(4096)
-def _mapped(path: str, kind: Any) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+def _mapped(path: str, kinds: tuple[Any, ...]) -> tuple[np.ndarray, ...]:
+    """The arrays of a file; empty ones if there is none."""
+    if not os.path.exists(path):
+        return tuple(np.zeros(0, k) for k in kinds)
+    raw = np.memmap(path, np.uint8, "r")
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(raw[:at].view("<i8").tolist(), kinds, strict=True):
+        out.append(raw[at : at + size].view(kind))
+        at += size + -size % 8
+    return tuple(out)
 
 
 def _pack(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +78,21 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def _read_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["keys"]])
-    counts = np.concatenate([_unpack(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(table["few"], table["large"], strict=True)])
-    return _summed(keys, counts)
+def _read_grams(table: pa.Table, k: int, kind: Any) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ``k`` columns of ids and the counts of all rows; equal n-grams of several rows stand apart."""
+    blocks = [np.frombuffer(x.as_buffer(), kind).reshape(k, -1) for x in table["ids"]]
+    counts = [_unpack(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(table["few"], table["large"], strict=True)]
+    return [np.concatenate([b[i] for b in blocks]) for i in range(k)], np.concatenate(counts)
+
+
+def _row(part: int, kind: int, ids: np.ndarray | bytes, counts: np.ndarray | None = None) -> tuple:
+    few, large = _pack(counts) if counts is not None else (b"", b"")
+    return part, kind, bytes(memoryview(ids)), bytes(memoryview(few)), bytes(memoryview(large))
+
+
+def _rows(rows: list[tuple]) -> dict[str, pa.Array]:
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return {n.split()[0]: pa.array(c, t) for n, c, t in zip(ROWS.split(", "), zip(*rows, strict=True) if rows else [()] * 5, types, strict=True)}
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -89,72 +118,78 @@ def tokens(words: np.ndarray, at: np.ndarray, end: Any) -> tuple[np.ndarray, np.
     return out, at + np.arange(n + 1)
 
 
+def before(values: np.ndarray, at: np.ndarray, back: int, start: Any) -> np.ndarray:
+    """The value ``back`` places before each in its row, ``start`` where the row has none."""
+    i = np.arange(len(values)) - back
+    return np.where(i >= np.repeat(at[:-1], np.diff(at)), values[np.maximum(i, 0)], start)
+
+
+def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where ``x[i]`` is, or would be, in the sorted ``values[low[i]:high[i]]``."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        middle = (low[live] + high[live]) // 2
+        less = values[middle] < x[live]
+        low[live] = np.where(less, middle + 1, low[live])
+        high[live] = np.where(less, high[live], middle)
+        live = live[low[live] < high[live]]
+    return low
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the arrays are, and what is known of all."""
 
     folder: str
+    order: int
     ranges: int
-    pair_ranges: int
+    gram_ranges: int
     offsets: tuple[int, ...]  # id of the first word of each range, and the number of words
     total: int  # training tokens
-    hot: tuple[int, ...]  # contexts whose pairs are spread over all ranges
-    pair_discounts: tuple[float, ...] = (0.0,) * 4
-    word_discounts: tuple[float, ...] = (0.0,) * 4
-    pair_kinds: int = 0
+    range_words: int = RANGE_WORDS
+    range_grams: int = RANGE_GRAMS
+    fan: int = FAN
+    discounts: tuple[tuple[float, ...], ...] = ()  # by order, from that of single words
+    kinds: int = 0  # distinct pairs, or tokens if there are only single words
     rest: float = 1.0
 
     @property
     def words(self) -> int:
+        """Distinct words; the next id is that of a text's start."""
         return self.offsets[-1]
 
+    @property
+    def many(self) -> int:
+        """A word is frequent from so many occurrences; a context that has a word of fewer fits into a range."""
+        return self.range_grams // 4
+
+    @property
+    def kind(self) -> str:
+        return "<u4" if self.words + 1 < 1 << 32 else "<u8"
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts of sorted distinct word hashes."""
         ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
         for b, s in cut(h, self.ranges):
-            keys = _mapped(f"{self.folder}/words-{b}", np.uint64)
+            keys, n = self._words(b)
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
                 hit = keys[i] == h[s]
-                ids[s] = np.where(hit, self.offsets[b] + i, -1)
-                counts[s] = np.where(hit, _mapped(f"{self.folder}/counts-{b}", np.int64)[i], 0)
+                ids[s], counts[s] = np.where(hit, self.offsets[b] + i, -1), np.where(hit, n[i], 0)
         return ids, counts
 
-    def pair_range(self, keys: np.ndarray) -> np.ndarray:
-        left = keys >> np.uint64(32)
-        spread = np.isin(left, np.array(self.hot, np.uint64))
-        return buckets(mix(np.where(spread, keys, left)), self.pair_ranges)
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Training counts of sorted distinct pairs."""
-        out, where = np.zeros(len(keys), np.int64), self.pair_range(keys)
-        order = np.argsort(where, kind="stable")
-        ends = np.searchsorted(where[order], np.arange(self.pair_ranges + 1))
-        for b in range(self.pair_ranges):
-            own = order[ends[b] : ends[b + 1]]
-            known = _mapped(f"{self.folder}/pairs-{b}", np.uint64)
-            if len(own) and len(known):
-                i = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
-                c = _mapped(f"{self.folder}/few-{b}", np.uint8)[i].astype(np.int64)
-                if (much := c == 255).any():
-                    at, value = _mapped(f"{self.folder}/large-{b}", np.int64).reshape(2, -1)
-                    c[much] = value[np.searchsorted(at, i[much])]
-                out[own] = np.where(known[i] == keys[own], c, 0)
-        return out
+    def _words(self, b: int) -> tuple[np.ndarray, ...]:
+        return _mapped(f"{self.folder}/words-{b}", (np.uint64, np.int64))
 
-    def id_range(self, ids: np.ndarray) -> np.ndarray:
-        return np.minimum(ids // RANGE_WORDS, self.words // RANGE_WORDS)
-
-    def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """What is known of sorted ids; the id after the last word is the document's start."""
-        out = np.zeros(len(ids), CONTEXT)
-        where = self.id_range(ids)
-        for r in np.unique(where).tolist():
-            a, b = np.searchsorted(where, [r, r + 1])
-            known = _mapped(f"{self.folder}/contexts-{r}", CONTEXT)
-            if len(known):  # a model of nothing has none
-                out[a:b] = known[ids[a:b] - r * RANGE_WORDS]
-        return out
+    def frequent(self, ids: np.ndarray) -> np.ndarray:
+        """Whether words are frequent; a text's start always is."""
+        kinds, which = np.unique(ids, return_inverse=True)
+        out, where = np.ones(len(kinds), bool), np.searchsorted(self.offsets, kinds, "right") - 1
+        for b in np.unique(where[where < self.ranges]).tolist():
+            x, y = np.searchsorted(where, [b, b + 1])
+            out[x:y] = self._words(b)[1][kinds[x:y].astype(np.int64) - self.offsets[b]] >= self.many
+        return out[which]
 
     def ids_of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and training counts of the tokens of each row, and the places where rows begin."""
@@ -164,37 +199,137 @@ class Model:
         ids, counts = self.look_up(kinds)
         return ids[which], counts[which], at
 
-    def before(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The token before each, the document's start before the first of a row."""
-        left = np.empty_like(ids)
-        left[1:] = ids[:-1]
-        left[at[:-1]] = self.words
-        return left
+    def context(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The key of the words before an n-gram's last: their ids where these fit into 64 bits, else a hash of them."""
+        key = columns[0].astype(np.uint64)
+        for c in columns[1:]:
+            if len(columns) == 2 and self.kind == "<u4":
+                key = (key << np.uint64(32)) | c.astype(np.uint64)
+            else:
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+        return key
+
+    def ranges_of(self, k: int) -> int:
+        """Ranges of n-grams of ``k`` words; of single words, ranges of ids."""
+        return max(1, self.gram_ranges >> (self.order - k)) if k > 1 else self.words // self.range_words + 1
+
+    def spots(self, context: np.ndarray, last: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """Where n-grams go, as 32-bit values."""
+        x = np.where(spread, context + mix(last.astype(np.uint64) + np.uint64(1)), context)
+        return mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)
+
+    def part(self, spots: np.ndarray, k: int) -> np.ndarray:
+        return ((spots * np.uint64(self.ranges_of(k))) >> np.uint64(32)).astype(np.int64)
+
+    def gram_rows(self, columns: list[np.ndarray], counts: np.ndarray, spread: np.ndarray) -> list[tuple]:
+        """Rows of n-grams, summed, by part; of more than FAN parts, by groups of parts."""
+        k = len(columns)
+        if k > 1:
+            spots = self.spots(self.context(columns[:-1]), columns[-1], spread)
+            order = np.argsort((spots << np.uint64(32)) | (columns[-1].astype(np.uint64) & np.uint64(0xFFFFFFFF)), kind="stable")
+            where = self.part(spots[order], k)
+        else:
+            order = np.argsort(columns[0], kind="stable")
+            where = columns[0][order].astype(np.int64) // self.range_words
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        first = np.flatnonzero(new)
+        columns, where, counts = [c[first] for c in columns], where[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        where = where // self.step(k) * self.step(k)
+        ends = np.flatnonzero(np.diff(where, append=-1))
+        return [_row(int(where[e]), k, np.stack([c[a : e + 1] for c in columns]).astype(self.kind), counts[a : e + 1]) for a, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+
+    def step(self, k: int) -> int:
+        """Parts of a group in the first of two steps; 1 if one step will do."""
+        return -(-self.ranges_of(k) // self.fan)
+
+    def level(self, columns: list[np.ndarray], frequent: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+        """P(last column | columns before) from that with one column less; ids below 0 are unknown."""
+        k, d = len(columns), np.array(self.discounts[len(columns) - 1])
+        known = np.flatnonzero(np.all([c >= 0 for c in columns[:-1]], axis=0))
+        spread = np.all([f[known] for f in frequent[:-1]], axis=0)
+        context, last = self.context([c[known] for c in columns[:-1]]), columns[-1][known]
+        spots = self.spots(context, np.maximum(last, 0), spread)
+        sums, count = np.zeros(len(known), CONTEXT), np.zeros(len(known), np.int64)
+        for b, own in _by(self.part(spots, k)):
+            keys, found, words, few, at, large = self.grams(k, b)
+            if not len(keys):
+                continue
+            i = np.minimum(np.searchsorted(keys, context[own]), len(keys) - 1)
+            own, i = own[hit := keys[i] == context[own]], i[hit]
+            sums[own] = found[i]
+            low, high = found["start"][i].astype(np.int64), np.append(found["start"], len(words))[i + 1].astype(np.int64)
+            j = _within(words, low, high, last[own])
+            met = np.flatnonzero(j < high)
+            met = met[words[j[met]] == last[own[met]]]
+            c = few[j[met]].astype(np.int64)
+            if (much := c == 255).any():
+                c[much] = large[np.searchsorted(at, j[met][much])]
+            count[own[met]] = c
+        gathered = np.flatnonzero(spread)
+        for b, own in _by(self.part(mix(context[gathered]) >> np.uint64(32), k)):
+            keys, found = self.spread_sums(k, b)
+            own = gathered[own]
+            sums[own] = 0
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, context[own]), len(keys) - 1)
+                hit = keys[i] == context[own]
+                sums[own[hit]] = found[i[hit]]
+        total = sums["total"].astype(float)
+        there = total > 0
+        spare = np.divide(d[1] * sums["one"] + d[2] * sums["two"] + d[3] * sums["more"], total, out=np.ones(len(known)), where=there)
+        out = lower.copy()
+        out[known] = np.divide(_off(count, d), total, out=np.zeros(len(known)), where=there) + spare * lower[known]
+        return out
+
+    def grams(self, k: int, b: int) -> tuple[np.ndarray, ...]:
+        """Contexts, their sums and where their n-grams start; last words, counts, places and values of the large ones."""
+        return _mapped(f"{self.folder}/grams{k}-{b}", ("<u8", CONTEXT, self.kind, np.uint8, np.int64, np.int64))
+
+    def spread_sums(self, k: int, b: int) -> tuple[np.ndarray, ...]:
+        return _mapped(f"{self.folder}/spread{k}-{b}", ("<u8", CONTEXT))
+
+    def singles(self, ids: np.ndarray) -> np.ndarray:
+        """P(token) by the number of distinct words before it; all unknown words share one probability."""
+        follows, where = np.zeros(len(ids), np.int64), np.where(ids >= 0, ids // self.range_words, -1)
+        for b, own in _by(where):
+            if b >= 0 and len(f := _mapped(f"{self.folder}/single-{b}", (np.int64,))[0]):
+                follows[own] = f[ids[own] - b * self.range_words]
+        d = np.array(self.discounts[0]) if self.discounts else np.zeros(4)
+        return self.rest / (self.words + 1) + _off(follows, d) / max(1, self.kinds)
+
+    def probabilities(self, ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """P(token | tokens before); ``counts`` are the training counts of the tokens."""
+        out = self.singles(ids)
+        if self.discounts:
+            frequent = counts >= self.many
+            for k in range(2, self.order + 1):
+                columns = [before(ids, at, b, self.words) if b else ids for b in range(k - 1, -1, -1)]
+                out = self.level(columns, [before(frequent, at, b, True) if b else frequent for b in range(k - 1, -1, -1)], out)
+        return out
 
-    def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """P(token | token before); all unknown words share one probability."""
-        kinds, which = np.unique(ids, return_inverse=True)
-        follows = np.where(kinds >= 0, self.contexts(np.maximum(kinds, 0))["follows"], 0).astype(np.int64)
-        single = self.rest / (self.words + 1) + _off(follows, np.array(self.word_discounts)) / max(1, self.pair_kinds)
-        single, left = single[which], self.before(ids, at)
-        known, n = np.unique(left, return_inverse=True)
-        c = self.contexts(np.maximum(known, 0))
-        total = np.where(known >= 0, c["total"], 0).astype(float)
-        d = np.array(self.pair_discounts)
-        spare = np.divide(d[1] * c["one"] + d[2] * c["two"] + d[3] * c["more"], total, out=np.ones(len(known)), where=total > 0)
-        both = (ids >= 0) & (left >= 0)
-        keys, k = np.unique((left[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-        found = np.zeros(len(ids))
-        found[both] = _off(self.pair_counts(keys), d)[k]
-        return np.divide(found, total[n], out=np.zeros(len(ids)), where=total[n] > 0) + spare[n] * single
-
-
-def fit(docs: DataFrame, train: Column) -> Model:
-    """Count the words and pairs of all texts of ``docs`` for which ``train`` holds; null texts count as empty."""
+
+def _by(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``parts`` and where it stands."""
+    if len(parts):
+        low = int(parts.min())
+        order = np.argsort((parts - low).astype(np.uint16) if int(parts.max()) - low < 1 << 16 else parts, kind="stable")
+        first = np.flatnonzero(np.diff(parts[order], prepend=low - 1))
+        for a, e in zip(first.tolist(), [*first[1:].tolist(), len(parts)], strict=True):
+            yield int(parts[order[a]]), order[a:e]
+
+
+def fit(docs: DataFrame, train: Column, order: int = ORDER, range_words: int = RANGE_WORDS, range_grams: int = RANGE_GRAMS, fan: int = FAN) -> Model:
+    """Count the words and n-grams of all texts of ``docs`` for which ``train`` holds; null texts count as empty.
+
+    ``order`` is the number of words of an n-gram, from 2. Texts begin after ``order - 1`` start symbols, which are no
+    words. Rows of a range are dealt to tasks by their range alone, a bounded number of rows from each slice.
+    """
     folder = mapped_dir(docs.sparkSession, "kneser-ney")
     learned = docs.where(train).select("text")
     size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges, pair_ranges = max(1, size // 30 // RANGE_WORDS), max(1, size // 10 // RANGE_PAIRS)
+    ranges = min(WORD_RANGES, max(1, size // 30 // range_words))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,89 +337,125 @@ def fit(docs: DataFrame, train: Column) -> Model:
             for _, _, buf, off in slices(batch.column(0)):
                 starts, ends, at = spans(buf, off)
                 sums.append(np.unique(tokens(hashes(LOWER[buf], starts, ends), at, END)[0], return_counts=True))
-            if not sums:
-                continue
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
-            yield _rows([(b, keys[s], counts[s]) for b, s in cut(keys, ranges)])
+            if sums:
+                keys, counts = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+                yield pa.RecordBatch.from_pydict(_rows([_row(b, 0, keys[s], counts[s]) for b, s in cut(keys, ranges)]))
 
     def save_words(table: pa.Table) -> pa.Table:
-        b = table["bucket"][0].as_py()
-        keys, counts = _read_counts(table)
-        _save(folder, f"words-{b}", keys)
-        _save(folder, f"counts-{b}", counts)
-        top = np.argsort(-counts, kind="stable")[:256]
-        return pa.table({"bucket": [b], "n": [len(keys)], "total": [int(counts.sum())], "at": [top.tolist()], "most": [counts[top].tolist()]})
-
-    shape = "bucket long, keys binary, few binary, large binary"
-    found = learned.mapInArrow(count_words, shape).groupBy("bucket").applyInArrow(save_words, "bucket long, n long, total long, at array<long>, most array<long>").collect()
-    n = np.zeros(ranges, np.int64)
-    for r in found:
-        n[r.bucket] = r.n
-    offsets, total = np.concatenate([[0], np.cumsum(n)]), sum(r.total for r in found)
-    hot = sorted(int(offsets[r.bucket]) + i for r in found for i, c in zip(r.at, r.most, strict=True) if c > HOT * total)
-    model = Model(folder, ranges, pair_ranges, tuple(offsets.tolist()), total, (*hot, int(offsets[-1])))
-    if offsets[-1] >= (1 << 32) - 1:
-        raise ValueError("more words than ids of 32 bits")
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = table["part"][0].as_py()
+        (keys,), counts = _read_grams(table, 1, np.uint64)
+        keys, counts = _summed(keys, counts)
+        _save(folder, f"words-{b}", keys, counts)
+        return pa.table({"part": [b], "n": [len(keys)], "total": [int(counts.sum())]})
+
+    n, total = np.zeros(ranges, np.int64), 0
+    for r in learned.mapInArrow(count_words, ROWS).groupBy("part").applyInArrow(save_words, "part long, n long, total long").toLocalIterator():
+        n[r.part], total = r.n, total + r.total
+    model = Model(folder, order, ranges, max(1, size // 10 // range_grams), tuple(np.concatenate([[0], np.cumsum(n)]).tolist()), total, range_words, range_grams, fan)
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, off in slices(batch.column(0), 8 << 20):
-                ids, _, at = model.ids_of(buf, off)
-                keys, counts = np.unique((model.before(ids, at).astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
-                where = model.pair_range(keys)
-                order = np.argsort(where, kind="stable")
-                ends = np.searchsorted(where[order], np.arange(pair_ranges + 1))
-                yield _rows([(b, keys[i], counts[i]) for b in range(pair_ranges) if len(i := order[ends[b] : ends[b + 1]])])
-
-    def save_pairs(table: pa.Table) -> pa.Table:
-        b = table["bucket"][0].as_py()
-        keys, counts = _read_counts(table)
+                ids, counts, at = model.ids_of(buf, off)
+                frequent = counts >= model.many
+                spread = np.all([before(frequent, at, b, True) for b in range(1, order)], axis=0)
+                columns = [before(ids, at, b, model.words) if b else ids for b in range(order - 1, -1, -1)]
+                yield pa.RecordBatch.from_pydict(_rows(model.gram_rows(columns, np.ones(len(ids), np.int64), spread)))
+
+    grams = learned.mapInArrow(count_grams, ROWS)
+    for k in range(order, 0, -1):
+        if model.step(k) > 1:  # groups of parts first, a group's rows dealt to several tasks
+            grams = grams.withColumn("deal", F.pmod(F.xxhash64("few", "ids"), F.lit(fan))).groupBy("part", "deal").applyInArrow(_split(model, k), ROWS)
+        grams = grams.repartition(max(2, model.ranges_of(k)), "part").groupBy("part").applyInArrow(_save_level(model, k), ROWS)
+    sums = np.zeros((order + 1, 6), np.int64)
+    for r in grams.select("ids").toLocalIterator():
+        x = np.frombuffer(r.ids, np.int64).reshape(-1, 7)
+        np.add.at(sums, x[:, 0], x[:, 1:])
+    d = [discounts(x[:4]) for x in sums[1:]]
+    spare, kinds = float(d[0][1] * sums[1, 0] + d[0][2] * sums[1, 1] + d[0][3] * sums[1, 4]), int(sums[1, 5])
+    return replace(model, discounts=tuple(tuple(x) for x in d), kinds=kinds, rest=spare / kinds if kinds else 1.0)
+
+
+def _sums(k: int, counts: np.ndarray) -> tuple:
+    """A row of the numbers of n-grams counted 1 to 4 times and from 3 times, and the sum of counts."""
+    return _row(-1, 0, np.array([k, *((counts == c).sum() for c in range(1, 5)), (counts > 2).sum(), counts.sum()], np.int64))
+
+
+def _split(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
+    """Rows of a group of parts as rows of its parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table["kind"][0].as_py() != k:
+            return table.select([c.split()[0] for c in ROWS.split(", ")])
+        columns, counts = _read_grams(table, k, model.kind)
+        where = columns[0].astype(np.int64) // model.range_words if k == 1 else model.part(model.spots(model.context(columns[:-1]), columns[-1], np.all([model.frequent(c) for c in columns[:-1]], axis=0)), k)
+        return pa.table(_rows([_row(b, k, np.stack([c[own] for c in columns]), counts[own]) for b, own in _by(where)]))
+
+    return run
+
+
+def _save_level(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
+    """Writes a range of n-grams of ``k`` words, and gives the rows of the next lower order, the sums of the range's
+    spread contexts and its numbers of n-grams by count; parts of other kinds are written or passed on."""
+
+    def spread_sums(table: pa.Table, b: int) -> None:
+        parts = [np.frombuffer(x.as_buffer(), np.dtype([("key", "<u8"), ("sums", CONTEXT)])) for x in table["ids"]]
+        both = np.concatenate(parts)
+        both = both[np.argsort(both["key"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], both["key"][1:] != both["key"][:-1]]))
+        out = np.zeros(len(first), CONTEXT)
+        for c in ("one", "two", "more", "total"):
+            out[c] = np.add.reduceat(both["sums"][c].astype(np.int64), first)
+        _save(model.folder, f"spread{k + 1}-{b}", both["key"][first], out)
+
+    def singles(table: pa.Table, b: int) -> list[tuple]:
+        (ids,), counts = _read_grams(table, 1, model.kind)
+        out = np.zeros(min(model.range_words, model.words - b * model.range_words), np.int64)
+        np.add.at(out, ids.astype(np.int64) - b * model.range_words, counts)
+        _save(model.folder, f"single-{b}", out)
+        return [_sums(1, out)]
+
+    def grams(table: pa.Table, b: int) -> list[tuple]:
+        columns, counts = _read_grams(table, k, model.kind)
+        context = model.context(columns[:-1])
+        order = np.lexsort((columns[-1], context))
+        context, columns, counts = context[order], [c[order] for c in columns], counts[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (context[1:] != context[:-1]) | (columns[-1][1:] != columns[-1][:-1])
+        first = np.flatnonzero(new)
+        context, columns, counts = context[first], [c[first] for c in columns], np.add.reduceat(counts, first)
+        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        found = np.zeros(len(start), CONTEXT)
+        for name, x in (("one", counts == 1), ("two", counts == 2), ("more", counts > 2), ("total", counts)):
+            found[name] = np.add.reduceat(x.astype(np.int64), start)
+        found["start"] = start
         few, large = _pack(counts)
-        _save(folder, f"pairs-{b}", keys)
-        _save(folder, f"few-{b}", few)
-        _save(folder, f"large-{b}", np.concatenate([np.flatnonzero(few == 255), large]))
-        left, right = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out = [(-1, 0, np.array([(counts == k).sum() for k in range(1, 5)], np.int64))]
-        first = np.flatnonzero(np.diff(left, prepend=-1))
-        sums = [np.add.reduceat(x.astype(np.int64), first) for x in (counts == 1, counts == 2, counts > 2, counts)]
-        words, follows = np.unique(right, return_counts=True)
-        for kind, ids, columns in ((0, left[first], sums), (1, words, [follows])):
-            r = model.id_range(ids)
-            for k in np.unique(r).tolist():
-                a, e = np.searchsorted(r, [k, k + 1])
-                out.append((k, kind, np.concatenate([ids[a:e], *(c[a:e] for c in columns)])))
-        k, kinds, values = zip(*out, strict=True)
-        return pa.table({"part": pa.array(k, pa.int64()), "kind": pa.array(kinds, pa.int32()), "v": pa.array([x.astype(np.int64).tobytes() for x in values], pa.binary())})
-
-    def save_contexts(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        blobs = [(k, np.frombuffer(v.as_buffer(), np.int64)) for k, v in zip(table["kind"].to_pylist(), table["v"], strict=True)]
-        if part < 0:
-            return pa.table({"part": [part], "n": [np.sum([v for _, v in blobs], axis=0).tolist()]})
-        out = np.zeros(min(RANGE_WORDS, model.words + 1 - part * RANGE_WORDS), CONTEXT)
-        for kind, v in blobs:
-            v = v.reshape(5 if kind == 0 else 2, -1)
-            i = v[0] - part * RANGE_WORDS
-            for name, x in zip(("one", "two", "more", "total") if kind == 0 else ("follows",), v[1:], strict=True):
-                out[name][i] += x.astype(out[name].dtype)
-        _save(folder, f"contexts-{part}", out)
-        f = out["follows"].astype(np.int64)
-        return pa.table({"part": [part], "n": [[*(int((f == k).sum()) for k in range(1, 5)), int((f > 2).sum()), int(f.sum())]]})
-
-    pairs = learned.mapInArrow(count_pairs, shape).groupBy("bucket").applyInArrow(save_pairs, "part long, kind int, v binary")
-    sums = pairs.groupBy("part").applyInArrow(save_contexts, "part long, n array<long>").collect()
-    of_pairs = next((np.array(r.n) for r in sums if r.part < 0), np.zeros(4))
-    of_words = np.sum([np.zeros(6, np.int64), *(np.array(r.n) for r in sums if r.part >= 0)], axis=0)
-    d = discounts(of_words[:4])
-    spare = float(d[1] * of_words[0] + d[2] * of_words[1] + d[3] * of_words[4])
-    kinds = int(of_words[5])
-    return Model(folder, ranges, pair_ranges, model.offsets, total, model.hot, tuple(discounts(of_pairs)), tuple(d), kinds, spare / kinds if kinds else 1.0)
-
-
-def _rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    packed = [_pack(c) for _, _, c in parts]
-    columns = [pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array([a.tobytes() for a, _ in packed], pa.binary()), pa.array([b.tobytes() for _, b in packed], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "few", "large"])
+        _save(model.folder, f"grams{k}-{b}", context[start], found, columns[-1].astype(model.kind), few, np.flatnonzero(few == 255), large)
+        frequent = [model.frequent(c) for c in columns[:-1]]
+        spread = np.flatnonzero(np.all([f[start] for f in frequent], axis=0))
+        out = [_sums(k, counts)]
+        keys = context[start[spread]]
+        for r, own in _by(model.part(mix(keys) >> np.uint64(32), k)):
+            both = np.zeros(len(own), np.dtype([("key", "<u8"), ("sums", CONTEXT)]))
+            both["key"], both["sums"] = keys[own], found[spread[own]]
+            out.append(_row(SPREAD + r, -k, both.tobytes()))
+        below = np.all(frequent[1:], axis=0) if k > 2 else np.zeros(len(first), bool)
+        return out + model.gram_rows(columns[1:], np.ones(len(first), np.int64), below)
+
+    def run(table: pa.Table) -> pa.Table:
+        b = table["part"][0].as_py()
+        if b < 0:
+            all_ = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 7) for x in table["ids"]])
+            sums = [all_[all_[:, 0] == j, 1:].sum(axis=0) for j in range(1, model.order + 1)]
+            rows = [_row(-1, 0, np.concatenate([[j], x])) for j, x in enumerate(sums, 1)]
+        elif b >= SPREAD:
+            spread_sums(table, b - SPREAD)
+            rows = []
+        else:
+            rows = singles(table, b) if k == 1 else grams(table, b)
+        return pa.table(_rows(rows))
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -301,7 +472,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, b, buf, off in slices(batch.column(1), 4 << 20):
                 ids, counts, at = model.ids_of(buf, off)
                 base = np.log10((counts + 0.5) / (model.total + 0.5 * (model.words + 1)))
-                own = np.log10(model.probabilities(ids, at))
+                own = np.log10(model.probabilities(ids, counts, at))
                 sums = [np.add.reduceat(x, at[:-1]) for x in ((counts > 0).astype(np.int64), base, own)]
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
