@@ -395,6 +395,29 @@ def test_a_long_turn_is_read_in_linear_time():
     assert seconds(640) < 8 * max(seconds(160), 0.05)
 
 
+CLASHING = "_mark0 _id score lang_pred spans token_ids decoded n_words n_removed unit rest row digest key whole own_id mark kept text_hash keep_id of".split()
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_columns_of_any_name_stay(spark, ids):
+    import corpus_pipeline
+
+    some = [(i, t) for i, t in corpus() if i in (1, 2, 3, 100, 101, 110, 120, 121, 200, 204, 205)] + [(None, "a b"), (2, None)]
+    rows = [(str(i) if ids == "string" and i is not None else i, t, "en", len(t or ""), *(f"{c} {k}" for c in CLASHING)) for k, (i, t) in enumerate(some)]
+    df = spark.createDataFrame(rows, f"doc_id {ids}, text string, lang string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    want = {r[4]: r[4:] for r in rows}
+    path, model = P.path("byte_bpe_multi_50k.tiktoken"), langid.fit(df, F.lit(True))
+    coded = bpe.encode(df, path, P.PATTERN)
+    made = [langid.label(df, model), coded, bpe.decode(coded, path, P.PATTERN, ids=coded.columns[-1]), substring.remove_repeats(df)]
+    assert coded.columns[-1] == "token_ids_2"
+    made += [exact.deduplicate(df), ngram_join.drop_near_duplicates(df), *(stage(spark, df, "") for _, stage in corpus_pipeline.STAGES[:-1])]
+    for k, m in enumerate(made):
+        assert m.columns[: len(df.columns)] == df.columns and (k > 3 or m.count() == len(rows))
+        assert all(tuple(r[4 : 4 + len(CLASHING)]) == want[r[4]] for r in m.collect())
+    digests = [exact.decide(df), ngram_join.near_duplicates(df), imatch.with_edits(df), kneser_ney.score(df, kneser_ney.fit(df, F.lit(True))), bpe.round_trip(df, path, P.PATTERN)]
+    assert all(m.count() == len(rows) for m in digests) and packing.pack_documents(df, P.path("word_bpe_49k.json")).select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
 def test_templates():
     render = chat.compile_template("{% if 1 + 1 == 2 %}yes{% else %}no{% endif %}{{ 'a' + 'b' | upper }}{% for m in messages %}{% if not loop.first and m.role != 'x' %}{% generation %}{{ m.text | trim }}{% endgeneration %}{% endif %}{% endfor %}")
     assert list(render([{"role": "a", "text": "1"}, {"role": "b", "text": " 2 "}])) == [("yesaB", False), ("2", True)]

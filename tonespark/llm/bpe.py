@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tonespark.llm.scratch import free_names
 from tonespark.llm.wordids import Memo, slice_ids
 from tonespark.llm.words import SPACE, slices
 
@@ -283,7 +284,12 @@ def coder(ranks_path: str, pattern: str) -> tuple[Encoder, Decoder]:
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``df`` with the ids of ``text`` as the array column ``out``; null counts as empty."""
+    """``df`` with the ids of ``text`` as the array column ``out``; null counts as empty.
+
+    All rows and columns stay; if ``df`` has a column named ``out``, the new one is the first free of ``out``_2, _3 ...
+    An empty table gives no rows.
+    """
+    (out,) = free_names(df.columns, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +302,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text of the ids as ``out``, decoded in chunks; bytes that aren't UTF-8 become U+FFFD, null stays."""
+    """``df`` with the text of the ids as ``out``, decoded in chunks; bytes that aren't UTF-8 become U+FFFD, null stays.
+
+    All rows and columns stay, and ``out`` is named as in ``encode``. An empty table gives no rows.
+    """
+    (out,) = free_names(df.columns, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = coder(ranks_path, pattern)[1]

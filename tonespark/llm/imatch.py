@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonespark.llm.scratch import with_order
 from tonespark.llm.words import LOWER, cut, hashes, mix, row_of, row_sums, slices, spans
 
 LOW, HIGH = 1 / 1000, 1 / 8
@@ -142,13 +143,13 @@ def with_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Fingerprints of every text of ``docs`` (doc_id, text), of its edited text and their likeness: a row per row.
 
     The edited text has the last third of the code points replaced by as many first ones of the next document's text, in
-    descending doc_id (null last; equal ids in a fixed order of their texts). Null texts count as empty. An empty table
+    descending doc_id of any type that has an order (null last; equal ids in a fixed order of their texts). Null texts count as empty. An empty table
     gives no rows; other columns are not read. Rows move once, to ranges of doc_id; the first row of each range also
     goes to the range before it.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     terms = spark.sparkContext.broadcast(lexicon(docs))
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"))
+    rows = with_order(docs.select("doc_id", "text")).select("doc_id", "text", F.coalesce("key", F.lit(-(1 << 63))).alias("key"))
     n = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonespark.llm.scratch import free_names
 from tonespark.llm.words import LOWER, SPACE, hashes, row_of, row_sums, slices, spans
 
 #: At most about so many labelled rows are learned from; they are chosen by a hash of doc_id.
@@ -179,13 +180,14 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and spans (first and end word, language) of the whole ``text``.
 
     lang_pred is the language of most bytes of words with letters and score their share; ``und`` with score 0 if the
-    text is null or has no letter, or nothing was learned. Every row stays, with all its columns; columns of the three
-    names are replaced. An empty table gives no rows.
+    text is null or has no letter, or nothing was learned. Every row stays, with all its columns; where ``docs`` has a
+    column of one of the three names, the new one is the first free of name_2, name_3 ... An empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
+    keep = docs.columns
+    added = free_names(keep, "lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
-    made = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+    made = T.StructType([*(docs.schema[c] for c in keep), T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -197,9 +199,9 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 flat = [x for y in lists for x in y]
                 values = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([names[x[2]] for x in flat], pa.string())], ["first", "end", "lang"])
                 listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array([names[k] for k in pred], pa.string()), pa.array(score), listed], [*keep, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array([names[k] for k in pred], pa.string()), pa.array(score), listed], [*keep, *added])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(run, made)
+    return docs.mapInArrow(run, made)
 
 
 def _label_slice(m: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:

@@ -9,6 +9,8 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with the first of _2, _3 ... that makes it new where ``taken`` has it (case doesn't matter)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        new, k = name, 2
+        while new.lower() in used:
+            new, k = f"{name}_{k}", k + 1
+        used.add(new.lower())
+        out.append(new)
+    return out
+
+
+def with_order(docs: DataFrame, name: str = "key") -> DataFrame:
+    """``docs`` with a column of longs that sort as doc_id does, null for null: doc_id itself if it is an integer.
+
+    Other ids are sorted once, by ranges; their numbers are written and joined back.
+    """
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy("doc_id")
+    places = keep(ids.select(F.col("doc_id").alias("of"), F.monotonically_increasing_id().alias(name)), "order")
+    return docs.join(places, docs["doc_id"] == places["of"], "left").drop("of")
+
+
 def mapped_dir(spark: SparkSession, name: str) -> str:
     """A shared folder that workers can memory-map, as a plain path; the shared file system has to be mounted."""
     url = urlparse(new_path(spark, name))

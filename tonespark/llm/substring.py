@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonespark.llm.scratch import free_names, with_order
 from tonespark.llm.words import cut, hashes, row_of, spans, text_bytes, windows, word_ids
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
@@ -32,11 +33,13 @@ class Unit:
     """The documents of a unit in order of doc_id (null last) and text, and their words."""
 
     def __init__(self, table: pa.Table):
-        ids = table["doc_id"].cast(pa.int64())
+        ids = table["key"]
         none = ids.is_null().combine_chunks().to_numpy(zero_copy_only=False)
         key = ids.fill_null(_LAST).combine_chunks().to_numpy()
-        texts = table["text"].to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (none[i], key[i], texts[i] or ""))
+        order = np.lexsort((key, none))
+        if ((key[order][1:] == key[order][:-1]) & (none[order][1:] == none[order][:-1])).any():
+            texts = table["text"].to_pylist()
+            order = np.array(sorted(range(len(texts)), key=lambda i: (none[i], key[i], texts[i] or "")))
         self.table = table.take(order)
         self.key, self.none = key[order], none[order]
         same = np.zeros(len(order), np.int64)
@@ -99,17 +102,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the text without the words that repeat, and ``n_words``, ``n_removed``.
 
     A word is removed if a window that covers it has the same words as one that starts earlier: in a row of smaller
-    doc_id, or in the same row further left. Windows are judged on the input. Rows of equal doc_id go by their texts,
-    null doc_ids come last. The words left are joined by one space; null texts have no words and become empty. Other
-    columns stay; one named n_words or n_removed is replaced. An empty table gives no rows.
+    doc_id, or in the same row further left. Windows are judged on the input. doc_ids may be of any type that has an
+    order; rows of equal doc_id go by their texts, null doc_ids come last. The words left are joined by one space; null
+    texts have no words and become empty. Other columns stay; where one is named n_words or n_removed, the new one is
+    the first free of name_2, name_3 ... An empty table gives no rows.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    added = free_names(docs.columns, "n_words", "n_removed")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(1, -(-size // UNIT_BYTES))
     n = max(1, size // 6 * len(COVER) // PERIOD // BUCKET_HASHES)
     spot = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     carried = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(F.pmod(spot, F.lit(units)).alias("unit"), "doc_id", "text", carried.alias("rest"))
+    rows = with_order(docs.select(F.pmod(spot, F.lit(units)).alias("unit"), "doc_id", "text", carried.alias("rest")))
 
     def anchors(table: pa.Table) -> pa.Table:
         unit = Unit(table)
@@ -217,4 +222,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     made = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), rows.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = by_unit.cogroup(found.groupBy("unit")).applyInArrow(remove, made)
     where = {c: F.col("rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return out.select(*[where[c].alias(c) for c in docs.columns if c in where], "n_words", "n_removed")
+    return out.select(*[where[c].alias(c) for c in docs.columns], F.col("n_words").alias(added[0]), F.col("n_removed").alias(added[1]))
