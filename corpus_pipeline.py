@@ -15,7 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
     if not model.languages:
         return docs.where(langid.has_letter(F.col("text")))
-    return langid.label(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+    made = langid.label(docs.select("text", F.struct("*").alias("whole")), model)
+    return made.where(F.col("lang_pred") != "und").select("whole.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier; documents of nothing else stay, with an empty text."""
     made = substring.remove_repeats(docs)
-    return made.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.char_length("text").cast("long"))
+    return made.select(*[f"`{c}`" for c in docs.columns])
 
 
 def cost_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
