@@ -227,6 +227,83 @@ def test_language_id(spark, docs, odd):
     assert langid.label(odd, langid.fit(odd, F.lit(True))).count() == 6 and langid.label(empty(spark), langid.fit(df, F.lit(True))).count() == 0
 
 
+def test_scripts_are_told_by_code_points():
+    names = ["", *langid.SCRIPTS]
+
+    def script(word):
+        buf = np.frombuffer(word.encode(), np.uint8)
+        return names[langid.word_scripts(langid.scripts_of(buf), np.array([0]), np.array([len(buf)]))[0]]
+
+    said = {"Việt": "Latin", "ẤẦ": "Latin", "नमस्ते": "Devanagari", "வணக்கம்": "Tamil", "สวัสดี": "Thai", "ລາວ": "Lao", "ქართ": "Georgian", "ሰላም": "Ethiopic", "ខ្មែរ": "Khmer", "ⲁⲃ": "Coptic", "ⴰⵣ": "Tifinagh", "αβγ": "Greek", "мир": "Cyrillic", "×÷": "", "🎉!": "", "한국": "Hangul", "日本語": "Han", "ひらが日": "Kana", "日本の": "Han", "aбв": "Cyrillic", "abв": "Latin", "aб": "Latin", "12": ""}
+    assert {w: script(w) for w in said} == said
+    ranges = sorted(r for own in langid.SCRIPTS.values() for r in own)
+    assert all(a <= b < c for (a, b), (c, _) in zip(ranges, ranges[1:], strict=False))
+
+
+def test_language_id_equals_a_plain_version(spark):
+    r, say = random.Random(8), {"aa": "wo wir der und Nicht", "bb": "le la que oui dàns", "cc": "это как они было nyet"}
+    text = lambda *langs: " ".join(r.choice(say[k].split()) for k in langs for _ in range(9))
+    rows = [(i, text(*r.sample(list(say), 1 + i % 3)), None) for i in range(45)] + [(100 + 3 * i + j, text(k), k) for i in range(12) for j, k in enumerate(say)] + [(300, None, "aa"), (301, "", None), (302, "12 -", None), (303, "ქართ ღა", None), (304, text("aa") * 2000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    spans = lambda b: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    names = ["", *langid.SCRIPTS]
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+    def tri(b):
+        x = b" " + re.sub(rb"[\x09-\x0D]", b" ", b.translate(lower)) + b" "
+        return [((x[i] << 16 | x[i + 1] << 8 | x[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(len(b))]
+
+    def word(b):
+        return int(langid.hashes(np.frombuffer(b.translate(lower), np.uint8), np.array([0]), np.array([len(b)]))[0] >> np.uint64(48))
+
+    def script(w):
+        found = [next((k for k, own in enumerate(langid.SCRIPTS.values(), 1) if any(a <= ord(c) <= b for a, b in own)), 0) for c in w.decode()]
+        n = collections.Counter(k for k in found if k)
+        return min(n, key=lambda k: (-n[k], k)) if n else 0
+
+    sums = {k: [collections.Counter() for _ in range(3)] for k in say}
+    for _, t, k in rows:
+        if k and t:
+            b = t.encode()
+            sums[k][0].update(f for f, c in zip(tri(b), b, strict=True) if c not in b" \t\n\v\f\r")
+            sums[k][1].update(word(b[x:y]) for x, y in spans(b))
+            sums[k][2].update(script(c.encode()) for c in t)
+    langs = sorted(say)
+    sizes = [[sum(sums[k][i].values()) + langid.SMOOTH * langid.FEATURES for k in langs] for i in (0, 1)]
+
+    def logs(i, f):
+        p = [math.log((sums[k][i][f] + langid.SMOOTH) / n) for k, n in zip(langs, sizes[i], strict=True)]
+        return [x - max(p) if any(sums[k][i][f] for k in langs) else 0.0 for x in p]
+
+    letters = {k: sum(n for s, n in sums[k][2].items() if s) for k in langs}
+    allowed = [[s > 0 and sums[k][2][s] / letters[k] >= 0.005 for k in langs] for s in range(len(names))]
+
+    def plain(t):
+        b = (t or "").encode()
+        best, weight = None, []
+        feature = tri(b)
+        for x, y in spans(b):
+            s = script(b[x:y])
+            score = [sum(logs(0, f)[k] for f in feature[x:y]) + logs(1, word(b[x:y]))[k] + (0 if allowed[s][k] or not any(allowed[s]) else langid.OUTSIDE) for k in range(3)] if s else [0.0] * 3
+            weight.append((y - x) * (s > 0))
+            if best is None:
+                best = [(v, [k]) for k, v in enumerate(score)]
+            else:
+                top = max(range(3), key=lambda k: best[k][0])
+                best = [(max(best[k][0], best[top][0] - langid.SWITCH) + score[k], [*(best[k][1] if best[k][0] >= best[top][0] - langid.SWITCH else best[top][1]), k]) for k in range(3)]
+        if not sum(weight):
+            return "und", 0.0
+        path = max(best, key=lambda x: x[0])[1]
+        share = [sum(w for w, p in zip(weight, path, strict=True) if p == k) for k in range(3)]
+        return langs[share.index(max(share))], max(share) / sum(weight)
+
+    got = by_id(langid.label(df, langid.fit(df, F.lit(True))))
+    for i, t, _ in rows[:-1]:
+        pred, score = plain(t)
+        assert got[i].lang_pred == pred and math.isclose(got[i].score, score, rel_tol=1e-9), (i, t)
+    assert got[304].lang_pred == "aa" and got[304].score > 0.99
+
+
 def test_viterbi_is_the_best_labelling():
     import itertools
 

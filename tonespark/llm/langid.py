@@ -1,8 +1,7 @@
 """Language spans of mixed-language text.
 
-A word's script (by ranges of its code points, told by their UTF-8 lead bytes) narrows the languages it may be in; the
-word is scored for each by naive Bayes over hashed byte trigrams and the hashed word; and the cheapest labelling of a
-text's words, where each change of language costs SWITCH, gives its spans (Viterbi, over all texts of a slice at once).
+A word's script (that of most of its letters, by ranges of code points) narrows the languages it may be in; the word is
+scored for each by naive Bayes over hashed byte trigrams and the hashed word; and the cheapest labelling of a where each change of language costs SWITCH, gives its spans (Viterbi, over all texts of a slice at once).
 """
 
 from __future__ import annotations
@@ -26,26 +25,90 @@ FEATURES = 1 << 16
 SWITCH = 10.0
 OUTSIDE = -30.0
 SMOOTH = 0.2
-#: Scripts by the lead byte of their code points' UTF-8, first to last byte.
-SCRIPTS = (
-    (0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9),  # Latin
-    (0xCE, 0xCF),  # Greek
-    (0xD0, 0xD3),  # Cyrillic
-    (0xD4, 0xD7),  # Armenian, Hebrew
-    (0xD8, 0xDB),  # Arabic
-    (0xDC, 0xDF),  # Syriac to N'Ko
-    (0xE0, 0xE0),  # Indic, Thai, Lao
-    (0xE1, 0xE1),  # Georgian, Ethiopic, Khmer
-    (0xE3, 0xE3),  # Kana
-    (0xE4, 0xE9),  # Han
-    (0xEA, 0xED),  # Hangul
-    (0xF0, 0xF4),  # supplementary
-)
-SCRIPT_OF = np.zeros(256, np.uint8)
-for _k, (_a, _b) in enumerate(SCRIPTS):
-    SCRIPT_OF[_a : _b + 1] = max(1, _k - 1)
-N_SCRIPTS = len(SCRIPTS) - 1
-LETTER = SCRIPT_OF > 0
+#: Scripts by ranges of code points, first to last.
+SCRIPTS = {
+    "Latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB64), (0xFB00, 0xFB06), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)),
+    "Greek": ((0x370, 0x373), (0x376, 0x37D), (0x37F, 0x3E1), (0x3F0, 0x3FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x400, 0x481), (0x48A, 0x52F), (0x1C80, 0x1C8F), (0xA640, 0xA66E), (0xA680, 0xA69D)),
+    "Armenian": ((0x531, 0x556), (0x559, 0x588), (0xFB13, 0xFB17)),
+    "Hebrew": ((0x5D0, 0x5F2), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x620, 0x64A), (0x66E, 0x6D3), (0x6D5, 0x6EF), (0x6FA, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8C9), (0xFB50, 0xFDFB), (0xFE70, 0xFEFC)),
+    "Syriac": ((0x710, 0x74F),),
+    "Thaana": ((0x780, 0x7B1),),
+    "NKo": ((0x7CA, 0x7EA),),
+    "Devanagari": ((0x900, 0x963), (0x970, 0x97F), (0xA8E0, 0xA8FF)),
+    "Bengali": ((0x980, 0x9E3), (0x9F0, 0x9F1)),
+    "Gurmukhi": ((0xA00, 0xA65), (0xA70, 0xA7F)),
+    "Gujarati": ((0xA80, 0xAE5), (0xAF9, 0xAFF)),
+    "Oriya": ((0xB00, 0xB65), (0xB71, 0xB71)),
+    "Tamil": ((0xB80, 0xBE5),),
+    "Telugu": ((0xC00, 0xC65),),
+    "Kannada": ((0xC80, 0xCE5), (0xCF1, 0xCF3)),
+    "Malayalam": ((0xD00, 0xD65), (0xD7A, 0xD7F)),
+    "Sinhala": ((0xD80, 0xDE5),),
+    "Thai": ((0xE01, 0xE3A), (0xE40, 0xE4E)),
+    "Lao": ((0xE80, 0xECF), (0xEDC, 0xEDF)),
+    "Tibetan": ((0xF00, 0xF00), (0xF40, 0xFBC)),
+    "Myanmar": ((0x1000, 0x103F), (0x1050, 0x108F), (0xAA60, 0xAA7F)),
+    "Georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "Hangul": ((0x1100, 0x11FF), (0x3131, 0x318E), (0xA960, 0xA97C), (0xAC00, 0xD7FB), (0xFFA0, 0xFFDC)),
+    "Ethiopic": ((0x1200, 0x135A), (0x1380, 0x138F), (0x2D80, 0x2DDE), (0xAB01, 0xAB2E)),
+    "Cherokee": ((0x13A0, 0x13FD), (0xAB70, 0xABBF)),
+    "Canadian": ((0x1401, 0x166C), (0x166F, 0x167F), (0x18B0, 0x18F5)),
+    "Khmer": ((0x1780, 0x17D3), (0x17D7, 0x17DC)),
+    "Mongolian": ((0x1820, 0x18AA),),
+    "Glagolitic": ((0x2C00, 0x2C5F),),
+    "Coptic": ((0x3E2, 0x3EF), (0x2C80, 0x2CE4)),
+    "Tifinagh": ((0x2D30, 0x2D6F),),
+    "Kana": ((0x3041, 0x3096), (0x309D, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)),
+    "Bopomofo": ((0x3105, 0x312F), (0x31A0, 0x31BF)),
+    "Han": ((0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAD9), (0x20000, 0x3FFFF)),
+    "supplementary": ((0x10000, 0x1CFFF), (0x1D400, 0x1D7CB), (0x1E000, 0x1EFFF)),
+}
+_RANGES = sorted((a, b, k) for k, own in enumerate(SCRIPTS.values(), 1) for a, b in own)
+_FIRST, _LAST, _SCRIPT = (np.array(x) for x in zip(*_RANGES, strict=True))
+N_SCRIPTS = len(SCRIPTS)
+
+
+def code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points whose UTF-8 begins at these places."""
+    wide = np.concatenate([buf, np.zeros(3, np.uint8)])
+    b = [wide[at + k].astype(np.int64) for k in range(4)]
+    low = [x & 63 for x in b]
+    two, three = (b[0] & 31) << 6 | low[1], (b[0] & 15) << 12 | low[1] << 6 | low[2]
+    return np.select([b[0] < 0x80, b[0] < 0xE0, b[0] < 0xF0], [b[0], two, three], (b[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3])
+
+
+def scripts_of(buf: np.ndarray) -> np.ndarray:
+    """The script (from 1) at the first byte of each letter, 0 elsewhere."""
+    out = np.zeros(len(buf), np.uint8)
+    lower = buf | 32
+    out[(lower >= 97) & (lower <= 122)] = 1
+    at = np.flatnonzero(buf >= 0xC2)
+    kinds, which = np.unique(code_points(buf, at), return_inverse=True)
+    i = np.searchsorted(_FIRST, kinds, "right") - 1
+    script = np.where((i >= 0) & (kinds <= _LAST[i]), _SCRIPT[i], 0)
+    out[at] = script[which]
+    return out
+
+
+def word_scripts(scripts: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The script of most letters of each word, of equally many the first; 0 without letters."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64)
+    most, least = (f.reduceat(np.where(scripts, scripts, none), starts) for f, none in ((np.maximum, 0), (np.minimum, 255)))
+    out = most.astype(np.int64)
+    mixed = np.flatnonzero((most > 0) & (least != most))
+    if len(mixed):
+        size = ends[mixed] - starts[mixed]
+        which = np.repeat(np.arange(len(mixed)), size)
+        at = np.repeat(starts[mixed] - (np.cumsum(size) - size), size) + np.arange(len(which))
+        keys, counts = np.unique(which * 256 + scripts[at], return_counts=True)
+        keys, counts = keys[keys % 256 > 0], counts[keys % 256 > 0]
+        order = np.lexsort((-(keys % 256), counts, keys // 256))
+        out[mixed[keys[order] // 256]] = keys[order] % 256  # the last of a word stays
+    return out
 
 
 def trigrams(buf: np.ndarray) -> np.ndarray:
@@ -72,12 +135,12 @@ class Model:
 def fit(docs: DataFrame, good: Column, rows: int = SAMPLE_ROWS) -> Model:
     """Learn from text and lang of the rows of ``docs`` for which ``good`` holds and neither is null.
 
-    Beyond ``rows`` of them, those with the smallest hashes of doc_id are taken, so that about ``rows`` remain.
+    Beyond ``rows`` of them, those with the smallest hashes of doc_id and text are taken, so that about ``rows`` remain.
     """
     known = docs.where(good & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = known.count()
     if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +153,7 @@ def fit(docs: DataFrame, good: Column, rows: int = SAMPLE_ROWS) -> Model:
                     starts, ends, _ = spans(buf, off)
                     sums[0] += np.bincount(trigrams(buf)[~SPACE[buf]], minlength=FEATURES)
                     sums[1] += np.bincount(word_features(buf, starts, ends), minlength=FEATURES)
-                    scripts += np.bincount(SCRIPT_OF[buf], minlength=FEATURES)
+                    scripts += np.bincount(scripts_of(buf), minlength=FEATURES)
                 for kind, x in enumerate((*sums, scripts)):
                     at = np.flatnonzero(x)
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([kind], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([x[at].tobytes()])], ["lang", "kind", "at", "n"])
@@ -123,7 +186,7 @@ def word_scores(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.ndar
     """Scores by word and language, and whether words have letters; words without score 0 for all."""
     n = len(starts)
     out = np.zeros((n, len(model.languages)), np.float32)
-    script = np.maximum.reduceat(SCRIPT_OF[buf], starts) if n else np.zeros(0, np.uint8)
+    script = word_scripts(scripts_of(buf), starts, ends)
     tri, chunk, a = trigrams(buf), max(1 << 14, (1 << 20) // max(1, len(model.languages))), 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + chunk, "right")))
