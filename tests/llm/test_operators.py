@@ -201,6 +201,43 @@ def test_imatch(spark, docs, odd):
     assert imatch.with_edits(odd).count() == 6 and imatch.with_edits(empty(spark)).count() == 0
 
 
+def test_imatch_equals_a_plain_version(spark, docs):
+    """Likeness from the sets of terms themselves, over a lexicon counted by hand."""
+    terms = lambda t: set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))))
+    key = lambda w: int(imatch.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    rows = sorted(corpus(), reverse=True)
+    n = collections.Counter(w for _, t in rows for w in terms(t))
+    band = {w for w, k in n.items() if max(2, len(rows) / 1000) <= k <= max(2, len(rows) / 8)}
+    assert set(imatch.lexicon(docs).tolist()) == {key(w) for w in band} and band
+
+    def chosen(w, f):
+        x = int(imatch.mix(np.array([key(w) ^ (0x5851F42D4C957F2D * (f + 1) % (1 << 64))], np.uint64))[0])
+        return next((level - 1 for level in imatch.LEVELS if x >= 1 << (64 - level)), max(imatch.LEVELS))  # the last subset that has it
+
+    levels = {w: [chosen(w, f) for f in range(imatch.FAMILIES)] for w in n}
+
+    def likeness(a, b):
+        both = [(x & band, x) for x in map(terms, (a, b))]
+        enough = all(len(x) >= imatch.ENOUGH and len(x) >= imatch.SHARE * len(y) for x, y in both)
+        a, b = (x[0] if enough else x[1] for x in both)
+        parts = [([w for w in a if levels[w][f] >= k], [w for w in b if levels[w][f] >= k]) for f in range(imatch.FAMILIES) for k in imatch.LEVELS]
+        code = lambda x: 2 ** (round(8 * math.log2(len(x))) / 8)
+        weigh = [(1 / max(code(z) for z in (x, y) if z), set(x) == set(y)) for x, y in parts if x or y]
+        weigh += [(1 / max(len(a), len(b)), a == b)] if a or b else []
+        return sum(w for w, same in weigh if same) / sum(w for w, _ in weigh) if weigh else 1.0
+
+    got = by_id(imatch.with_edits(docs))
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, after = t or "", after or ""
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        levels |= {w: [chosen(w, f) for f in range(imatch.FAMILIES)] for w in terms(edited) - set(levels)}
+        assert math.isclose(got[i].near_edited, likeness(t, edited), abs_tol=1e-9) and math.isclose(got[i].near_next, likeness(t, after), abs_tol=1e-9)
+    same = collections.defaultdict(set)
+    for i, t in rows:
+        same[got[i].fingerprint].add(frozenset(terms(t)))
+    assert all(len(x) == 1 for x in same.values()) and len(same) == len({frozenset(terms(t)) for _, t in rows})
+
+
 def test_imatch_tells_short_and_rare_texts_apart():
     terms_of = lambda t: imatch.distinct_terms(*text_bytes(pa.array([t])))[1]
     pairs = lambda f: imatch.likeness(tuple(x[:-1] for x in f), tuple(x[1:] for x in f))

@@ -28,6 +28,10 @@ WIDTH = FAMILIES * len(LEVELS)
 #: Texts are judged by lexicon terms alone if they have so many and these are such a share of their terms.
 ENOUGH, SHARE = 8, 1 / 4
 BUCKET_TERMS = 2_000_000
+#: More terms than this are not sent to the workers, but an error: LOW has to be raised for texts of so many terms.
+MOST_TERMS = 4_000_000
+#: Rows are sorted in ranges of doc_id, of about so many bytes; they are streamed, so a larger one is only slower.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -75,14 +79,27 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
         return pa.table({"terms": pa.array([good.tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "bucket long, keys binary, counts binary, large binary")
-    found = parts.groupBy("bucket").applyInArrow(total_up, "terms binary")
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.terms, np.uint64) for r in found.toLocalIterator())]))
+    found, terms = parts.groupBy("bucket").applyInArrow(total_up, "terms binary"), [np.zeros(0, np.uint64)]
+    for r in found.toLocalIterator():
+        terms.append(np.frombuffer(r.terms, np.uint64))
+        if sum(map(len, terms)) > MOST_TERMS:
+            raise ValueError(f"more than {MOST_TERMS} terms are in at least {low} of all documents: raise that share")
+    return np.sort(np.concatenate(terms))
+
+
+def size_codes(size: np.ndarray) -> np.ndarray:
+    """Sizes in steps of an eighth of a power of two, from 1; 0 for 0."""
+    return np.where(size > 0, 1 + np.round(8 * np.log2(np.maximum(size, 1))), 0).astype(np.uint8)
+
+
+def coded_sizes(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 2 ** ((codes.astype(float) - 1) / 8), 0)
 
 
 def subsets(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Of each row's terms, sorted by row and hash: hash (16 bits) and size (255 at most) of each random subset, and
+    """Of each row's terms, sorted by row and hash: hash (32 bits) and size (as ``size_codes``) of each random subset, and
     hash (64 bits) and number of all."""
-    out, sizes = np.zeros((n, WIDTH), np.uint16), np.zeros((n, WIDTH), np.uint8)
+    out, sizes = np.zeros((n, WIDTH), np.uint32), np.zeros((n, WIDTH), np.uint8)
     whole = row_sums(mix(h), np.searchsorted(row, np.arange(n + 1)))
     for f in range(FAMILIES):
         draw = mix(h ^ np.uint64(0x5851F42D4C957F2D * (f + 1) % (1 << 64)))
@@ -96,8 +113,8 @@ def subsets(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
             size = np.diff(first, append=len(own_row))
             place = np.arange(len(own_row)) - np.repeat(first, size)
             sums = np.add.reduceat(mix(own_h + place.astype(np.uint64)), first)
-            out[own_row[first], f * len(LEVELS) + k] = sums >> np.uint64(48)
-            sizes[own_row[first], f * len(LEVELS) + k] = np.minimum(size, 255)
+            out[own_row[first], f * len(LEVELS) + k] = sums >> np.uint64(32)
+            sizes[own_row[first], f * len(LEVELS) + k] = size_codes(size)
     return out, sizes, whole, np.bincount(row, minlength=n).astype(np.uint32)
 
 
@@ -109,7 +126,7 @@ def fingerprints(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, ...]:
         known = terms[np.minimum(np.searchsorted(terms, h), len(terms) - 1)] == h if len(terms) else np.zeros(len(h), bool)
         both = zip(subsets(row[known], h[known], b - a), subsets(row, h, b - a), strict=True)
         parts.append([np.stack(x, axis=1) for x in both])
-    none = [np.zeros((0, 2, WIDTH), np.uint16), np.zeros((0, 2, WIDTH), np.uint8), np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint32)]
+    none = [np.zeros((0, 2, WIDTH), np.uint32), np.zeros((0, 2, WIDTH), np.uint8), np.zeros((0, 2), np.uint64), np.zeros((0, 2), np.uint32)]
     return tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
 
 
@@ -120,7 +137,7 @@ def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray
     enough = [(x[3][:, 0] >= ENOUGH) & (x[3][:, 0] >= SHARE * x[3][:, 1]) for x in (a, b)]
     i, source = np.arange(len(a[0])), np.where(enough[0] & enough[1], 0, 1)
     (hash_a, size_a, whole_a, n_a), (hash_b, size_b, whole_b, n_b) = ([y[i, source] for y in x] for x in (a, b))
-    size = np.concatenate([np.maximum(size_a, size_b), np.maximum(n_a, n_b)[:, None]], axis=1).astype(float)
+    size = np.concatenate([coded_sizes(np.maximum(size_a, size_b)), np.maximum(n_a, n_b)[:, None]], axis=1)
     same = np.concatenate([(hash_a == hash_b) & (size_a == size_b), ((whole_a == whole_b) & (n_a == n_b))[:, None]], axis=1)
     weight = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
     total = weight.sum(axis=1)
@@ -128,10 +145,10 @@ def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray
 
 
 def as_text(f: tuple[np.ndarray, ...]) -> list[str]:
-    """By source, lexicon terms first: number (8 hex digits) and hash (16) of all terms, then size and hash (6) of each
-    subset."""
+    """By source, lexicon terms first: number (8 hex digits) and hash (16) of all terms, then size (2) and hash (8) of
+    each subset."""
     n = len(f[0])
-    each = np.concatenate([f[1][..., None], f[0].astype(">u2").view(np.uint8).reshape(*f[0].shape, 2)], axis=3).reshape(n, 2, 3 * WIDTH)
+    each = np.concatenate([f[1][..., None], f[0].astype(">u4").view(np.uint8).reshape(*f[0].shape, 4)], axis=3).reshape(n, 2, 5 * WIDTH)
     both = np.concatenate([f[3].astype(">u4").view(np.uint8).reshape(n, 2, 4), f[2].astype(">u8").view(np.uint8).reshape(n, 2, 8), each], axis=2)
     return [row.tobytes().hex() for row in both]
 
@@ -150,7 +167,8 @@ def with_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     terms = spark.sparkContext.broadcast(lexicon(docs))
     rows = with_order(docs.select("doc_id", "text")).select("doc_id", "text", F.coalesce("key", F.lit(-(1 << 63))).alias("key"))
-    n = partitions or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
     moved = "range long, own int, key long, doc_id {}, packed binary".format(kind)
