@@ -509,6 +509,85 @@ def test_a_long_turn_is_read_in_linear_time():
     assert seconds(640) < 8 * max(seconds(160), 0.05)
 
 
+def alike(k):
+    """Two words of 2 ** k letters that polynomial hashes modulo 2 ** 64 don't tell apart."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_do_not_tell_apart(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rows = []
+    for k in (11, 12):
+        a, b = alike(k)
+        fill = " ".join(WORDS[:24])
+        rows += [(len(rows) + i, t) for i, t in enumerate((a, b, f"{fill} {a} {fill}", f"{fill} {b} {fill}", f"{a} {a} {b} x" * 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    true = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got, near, near_to = by_id(bpe.round_trip(df, path, P.PATTERN)), by_id(ngram_join.near_duplicates(df)), by_id(imatch.with_edits(df))
+    pieces, kept = packing.pack_documents(df, P.path("word_bpe_49k.json")).collect(), by_id(substring.remove_repeats(df))
+    scored, plain, seen = by_id(kneser_ney.score(df, kneser_ney.fit(df, F.lit(True)))), plain_kneser_ney([[*t.split(), None] for _, t in rows], 3), set()
+    for i, t in rows:
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(true.encode_ordinary(t), "<u4").tobytes()).hexdigest() and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces if r.doc_id == i)
+        words = t.split()
+        gone = [False] * len(words)
+        for k in range(len(words) - 19):
+            if (x := tuple(words[k : k + 20])) in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(x)
+        assert kept[i].n_removed == sum(gone) and math.isclose(scored[i].score, plain([*words, None]), rel_tol=1e-6)
+        assert near[i].copy_id == i and len({r.fingerprint for r in near_to.values()}) == len(rows)
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    """With hashes of two bits, as no real ones are, words, windows and n-grams still count as equal only if they are."""
+    from tonespark.llm import wordids, words
+
+    real = words.hashes
+    few = lambda *a: real(*a) & np.uint64(3)
+    for module in (words, substring):
+        monkeypatch.setattr(module, "hashes", few)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (60, 40, 0, 3)] + ["x " * 30]
+    texts.append(" ".join(texts[0].split()[10:50]))
+    buf, off = text_bytes(pa.array(texts))
+    ids, at = wordids.slice_ids(buf, off, wordids.Memo(lambda made: [w.ljust(16)[:16] for w in made], 100))
+    assert [ids[at[i] : at[i + 1]].tobytes() for i in range(len(texts))] == [b"".join(w.encode().ljust(16)[:16] for w in t.split()) for t in texts]
+    row, h = ngram_join.shingles(buf, off)
+    assert [int((row == i).sum()) for i in range(len(texts))] == [len(shingles(t)) for t in texts]
+    assert len(set(h[row == 0].tolist()) & set(h[row == 5].tolist())) == len(shingles(texts[0]) & shingles(texts[5]))
+    unit = substring.Unit(pa.table({"doc_id": pa.array(range(len(texts))), "key": pa.chunked_array([pa.array(range(len(texts)))]), "text": texts}))
+    starts = np.flatnonzero(unit.left >= substring.WINDOW)
+    first, which = unit.classes(starts)
+    flat = [w for t in texts for w in t.split()]
+    plain = [tuple(flat[s : s + 20]) for s in starts.tolist()]
+    assert [plain[first[k]] for k in which.tolist()] == plain and len(first) == len(set(plain))
+    one, two = unit.digests(starts)
+    assert len(set(zip(one.tolist(), two.tolist(), strict=True))) == len(set(plain))
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(50)] + [(7, 7), (5, 6), (6, 5)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    made = ngram_join.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {x.node: x.root for x in made} == root and len(made) == len(root)
+    assert ngram_join.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 CLASHING = "_mark0 _id score lang_pred spans token_ids decoded n_words n_removed unit rest row digest key whole own_id mark kept text_hash keep_id of".split()
 
 

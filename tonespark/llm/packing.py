@@ -91,7 +91,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length
     """Pack ``docs`` (doc_id, text) into sequences of at most ``length`` tokens; a row per piece.
 
     A document's tokens are its text's ids and ``end_id`` (null and empty texts: that alone). ``sequence_id`` is the
-    task's partition and a number within it; pieces fill a sequence from offset 0 without gaps. Null doc_ids and
+    task's partition and a number within it; pieces fill a sequence from offset 0 without gaps. Partitions and the order
+    of their rows decide which documents meet, so ``docs`` has to be a stored table (or the result has to be stored
+    before it is read twice): a shuffle that runs again may give other sequences. Null doc_ids and
     repeated rows are packed like any other; an empty table gives no pieces; other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()

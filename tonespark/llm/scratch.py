@@ -36,7 +36,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote and nothing reads any more."""
+    for df in kept:
+        _delete(df.sparkSession, df.kept_at)
 
 
 def free_names(taken: list[str], *names: str) -> list[str]:
@@ -73,6 +81,9 @@ def mapped_dir(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has kept; the results that read it end with it."""
-    jvm, path = spark._jvm, f"{shared_dir(spark)}/tonespark/{spark.sparkContext.applicationId}"
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    _delete(spark, f"{shared_dir(spark)}/tonespark/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
