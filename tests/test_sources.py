@@ -103,6 +103,7 @@ def test_odd_waves(spark):
     for r in containers.scan_wave(files, "k").orderBy("k", "frame", "ch").collect():
         got.setdefault(r.k, []).append((r.depth, r.frame, r.ch, r.q))
     assert got.pop(11) == [(16, i, 0, i % 999) for i in range(1000)]
+    assert got.pop(4) == [(32, 0, 0, None), (32, 1, 0, None)]  # floats have no integers
     assert got == {1: [(8, 0, 0, -128), (8, 1, 0, 0), (8, 2, 0, 127)], 2: [(24, 0, 0, -1), (24, 1, 0, -(1 << 23))], 5: [(16, 0, 0, 1), (16, 0, 1, 2)]}
     assert containers.scan_aiff_chunks(files, "k").count() == 0 and containers.scan_wave(files.where("false"), "k").count() == 0
 

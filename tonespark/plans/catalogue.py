@@ -586,3 +586,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     e = event_stream(s, d).withColumn("w", F.explode(F.array(block_of(10), block_of(10) - 1))).where("w >= 0")
     return e.groupBy("user_id", "w").agg(F.count("*").alias("n"), F.sum("q").alias("total"))
+
+
+# Further modules register theirs with ``register``.
+from tonespark.plans import file_queries  # noqa: E402, F401

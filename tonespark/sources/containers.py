@@ -1,6 +1,6 @@
-"""RIFF/WAVE and AIFF/AIFC contents with other chunks around, several channels, and integer samples of 8 to 32 bits.
+"""RIFF/WAVE and AIFF/AIFC contents with other chunks around, several channels, and samples of 8 to 32 bits or floats.
 
-A small helper lists a content's chunks; fields and samples are read by column expressions.
+A small helper lists a content's chunks, fields are read by column expressions, and samples by ``decode``.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespark.functions.sample import big_endian_hex, little_endian_hex
+from tonespark.sources.decode import samples
 
-#: The last 14 bytes of an extensible format's identifier, and the byte order of each AIFC kind of integer samples.
+#: The last 14 bytes of an extensible format's identifier, and the byte order of each AIFC kind of integer samples; kinds of big-endian floats.
 EXTENSIBLE_TAIL = "000000001000800000AA00389B71"
-AIFC_ORDER = {"NONE": "big", "twos": "big", "in24": "big", "sowt": "little", "ni24": "little"}
-#: Samples of a content that are split from it at once.
-BLOCK = 128
+AIFC_ORDER = {"NONE": "big", "twos": "big", "in24": "big", "in32": "big", "sowt": "little", "ni24": "little"}
+AIFC_FLOATS = ("FL32", "fl32", "FL64", "fl64")
 
 
 def chunk_list(order: str) -> Callable:
@@ -52,70 +52,54 @@ def number(data: Column, at: Column, octets: int, order: str) -> Column:
     return F.conv(h, 16, 10).cast("long")
 
 
-def samples(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, ``i``, ``raw`` (unsigned) from ``data``, ``n`` samples of ``octets`` bytes, ``little`` or not.
-
-    Contents are split into blocks first, so the work for a sample doesn't grow with the content.
-    """
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")),
-        lambda b: F.struct((b * BLOCK).alias("first"), F.substr("data", b * BLOCK * F.col("octets") + 1, F.col("octets") * BLOCK).alias("part")),
-    )
-    split = rows.where("n > 0").select(*keys, "n", "octets", "little", F.explode(parts).alias("_block"))
-    end = F.least(F.lit(BLOCK), F.col("n") - F.col("_block.first")) - 1
-    each = split.select(*keys, "octets", "little", "_block", F.explode(F.sequence(F.lit(0), end)).alias("_at"))
-    h = F.hex(F.substr("_block.part", F.col("_at") * F.col("octets") + 1, F.col("octets")))
-    turned = F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(4))])  # what lies past the end is empty
-    raw = F.conv(F.when(F.col("little"), turned).otherwise(h), 16, 10).cast("long")
-    return each.select(*keys, "octets", (F.col("_block.first") + F.col("_at")).cast("long").alias("i"), raw.alias("raw"))
+def _magic(first: int) -> Column:
+    """Four bytes of a content as hex; no more of it is looked at."""
+    return F.hex(F.substring("content", first, 4))
 
 
 def _placed(found: DataFrame, *keys: str) -> DataFrame:
-    """``keys, depth, frame, ch, q`` of integer samples; those that ``offset`` marks are unsigned."""
-    read = samples(found, *keys, "depth", "channels", "offset")
-    half = F.expr("shiftleft(1L, 8 * octets - 1)")
-    q = F.when(F.col("offset"), F.col("raw") - half).otherwise(F.col("raw") - F.when(F.col("raw") >= half, half * 2).otherwise(0))
-    channels = F.col("channels")
-    return read.select(*keys, "depth", F.floor(F.col("i") / channels).cast("long").alias("frame"), (F.col("i") % channels).cast("int").alias("ch"), q.alias("q"))
+    """``keys, depth, frame, ch, q, x``: samples as integers (null for floats) and of full scale 1."""
+    read, channels = samples(found, *keys, "depth", "channels"), F.col("channels")
+    return read.select(*keys, "depth", F.floor(F.col("i") / channels).cast("long").alias("frame"), (F.col("i") % channels).cast("int").alias("ch"), "q", "x")
 
 
 def scan_wave(files: DataFrame, *keys: str) -> DataFrame:
-    """``keys, depth, frame, ch, q`` from the WAVE contents (``content``) of integer PCM, plain or extensible.
+    """``keys, depth, frame, ch, q, x`` from the WAVE contents (``content``) of integers or floats, plain or extensible.
 
-    ``fmt `` has to come before ``data``; other chunks are passed over. Null, damaged, float and big-endian contents
-    give no rows; a frame that is cut off is left out.
+    ``fmt `` has to come before ``data``; other chunks are passed over. Null, damaged and big-endian contents give no
+    rows (``files.content_headers`` says why); a frame that is cut off is left out.
     """
     content = F.col("content")
-    magic = (F.substring(F.hex("content"), 1, 8) == "52494646") & (F.substring(F.hex("content"), 17, 8) == "57415645")
+    magic = (_magic(1) == "52494646") & (_magic(9) == "57415645")
     walked = files.where(magic).withColumn("chunks", chunk_list("little")("content")).withColumn("f", first_chunk("fmt ")).withColumn("d", first_chunk("data"))
     at = F.col("f.start")
     kind = number(content, at, 2, "little")
-    extended = (kind == 0xFFFE) & (F.col("f.size") >= 40) & (F.hex(F.substr(content, at + 27, F.lit(14))) == EXTENSIBLE_TAIL) & (number(content, at + 24, 2, "little") == 1)
-    good = walked.where((at < F.col("d.start")) & (F.col("f.size") >= 16) & ((kind == 1) | extended))
-    found = good.select(*keys, number(content, at + 2, 2, "little").cast("int").alias("channels"), number(content, at + 14, 2, "little").cast("int").alias("depth"), "d", "content")
-    found = found.where("channels > 0 and depth in (8, 16, 24, 32)").withColumn("octets", (F.col("depth") / 8).cast("int"))
-    n = F.floor(F.col("d.size") / (F.col("octets") * F.col("channels"))).cast("int") * F.col("channels")
-    return _placed(found.select(*keys, "channels", "depth", "octets", n.alias("n"), F.lit(True).alias("little"), (F.col("depth") == 8).alias("offset"), F.substr("content", F.col("d.start") + 1, F.col("d.size")).alias("data")), *keys)
+    extended = (kind == 0xFFFE) & (F.col("f.size") >= 40) & (F.hex(F.substr(content, at + 27, F.lit(14))) == EXTENSIBLE_TAIL)
+    kind = F.when(extended, number(content, at + 24, 2, "little")).otherwise(kind)
+    good = walked.where((at < F.col("d.start")) & (F.col("f.size") >= 16) & kind.isin(1, 3))
+    found = good.select(*keys, (kind == 3).alias("real"), number(content, at + 2, 2, "little").cast("int").alias("channels"), number(content, at + 14, 2, "little").cast("int").alias("depth"), "d", "content")
+    found = found.where("channels > 0 and case when real then depth in (32, 64) else depth in (8, 16, 24, 32) end").withColumn("octets", (F.col("depth") / 8).cast("int"))
+    n = F.floor(F.col("d.size") / (F.col("octets") * F.col("channels"))) * F.col("channels")
+    return _placed(found.select(*keys, "channels", "depth", "octets", "real", n.alias("n"), F.lit(True).alias("little"), (F.col("depth") == 8).alias("offset"), F.substr("content", F.col("d.start") + 1, F.col("d.size")).alias("data")), *keys)
 
 
 def scan_aiff_chunks(files: DataFrame, *keys: str) -> DataFrame:
-    """``keys, depth, frame, ch, q`` from AIFF and AIFC contents of integer samples; COMM and SSND in either order.
+    """``keys, depth, frame, ch, q, x`` from AIFF and AIFC contents of integers or floats; COMM and SSND in either order.
 
-    Null, damaged, float and compressed contents give no rows; frames that are cut off or beyond COMM's count are left out.
+    Null, damaged and compressed contents give no rows; frames that are cut off or beyond COMM's count are left out.
     """
-    content, h = F.col("content"), F.hex("content")
-    form = F.substring(h, 17, 8)
-    walked = files.where((F.substring(h, 1, 8) == "464F524D") & form.isin("41494646", "41494643")).withColumn("chunks", chunk_list("big")("content")).withColumn("c", first_chunk("COMM")).withColumn("s", first_chunk("SSND"))
+    content, form = F.col("content"), _magic(9)
+    walked = files.where((_magic(1) == "464F524D") & form.isin("41494646", "41494643")).withColumn("chunks", chunk_list("big")("content")).withColumn("c", first_chunk("COMM")).withColumn("s", first_chunk("SSND"))
     at = F.col("c.start")
     kind = F.when(form == "41494646", F.lit("NONE")).otherwise(F.decode(F.substr(content, at + 19, F.lit(4)), "ISO-8859-1"))
     good = walked.where((F.col("c.size") >= 18) & (F.col("s.size") >= 8)).select(
         *keys, "content", number(content, at, 2, "big").cast("int").alias("channels"), number(content, at + 2, 4, "big").alias("told"), number(content, at + 6, 2, "big").cast("int").alias("depth"),
         kind.alias("kind"), (F.col("s.start") + 8 + number(content, F.col("s.start"), 4, "big")).alias("first"), (F.col("s.start") + F.col("s.size")).alias("end"),
     )
-    good = good.where(F.col("kind").isin(*AIFC_ORDER) & F.expr("channels > 0 and depth in (8, 16, 24, 32) and first <= end")).withColumn("octets", (F.col("depth") / 8).cast("int"))
-    frames = F.least("told", F.floor((F.col("end") - F.col("first")) / (F.col("octets") * F.col("channels")))).cast("int")
+    good = good.withColumn("real", F.col("kind").isin(*AIFC_FLOATS)).where(F.col("kind").isin(*AIFC_ORDER, *AIFC_FLOATS) & F.expr("channels > 0 and case when real then depth in (32, 64) else depth in (8, 16, 24, 32) end and first <= end")).withColumn("octets", (F.col("depth") / 8).cast("int"))
+    frames = F.least("told", F.floor((F.col("end") - F.col("first")) / (F.col("octets") * F.col("channels"))))
     little = F.col("kind").isin(*[k for k, order in AIFC_ORDER.items() if order == "little"])
-    return _placed(good.select(*keys, "channels", "depth", "octets", (frames * F.col("channels")).alias("n"), little.alias("little"), F.lit(False).alias("offset"), F.substr("content", (F.col("first") + 1).cast("int"), (F.col("end") - F.col("first")).cast("int")).alias("data")), *keys)
+    return _placed(good.select(*keys, "channels", "depth", "octets", "real", (frames * F.col("channels")).alias("n"), little.alias("little"), F.lit(False).alias("offset"), F.substr("content", (F.col("first") + 1).cast("int"), (F.col("end") - F.col("first")).cast("int")).alias("data")), *keys)
 
 
 def interleave(frames: DataFrame, length: int, depth: int, order: str, offset: bool, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonespark.functions.checksums import CRC32_PAGE, crc
 from tonespark.functions.sample import big_endian_hex, float_to_int, little_endian_hex
-from tonespark.sources.containers import samples
+from tonespark.sources.decode import samples
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,22 +45,23 @@ def wav_files(parts: DataFrame, rate: int = 48_000) -> DataFrame:
 
 def scan_wav(files: DataFrame) -> DataFrame:
     """``user_id, segment, i, q`` from 16-bit mono WAVE contents with a 44-byte header; others give no rows."""
-    hexed = F.hex("content")
+    hexed = F.hex(F.substring("content", 1, 44))
     good = (F.substring(hexed, 1, 8) == "52494646") & (F.substring(hexed, 17, 8) == "57415645") & (F.substring(hexed, 73, 8) == "64617461")
-    le32 = lambda at: F.conv(F.concat(*[F.substring(hexed, at + 2 * k, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("int")
-    n = (F.least(le32(81), F.octet_length("content") - 44) / 2).cast("int")
-    rows = files.where(good).select("user_id", "segment", F.substring("content", 45, 1 << 30).alias("data"), n.alias("n"))
+    told = F.conv(F.concat(*[F.substring(hexed, 81 + 2 * k, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
+    size = F.octet_length("content") - 44
+    rows = files.where(good).select("user_id", "segment", F.substr("content", F.lit(45), size).alias("data"), F.floor(F.least(told, size.cast("long")) / 2).alias("n"))
     return _samples(rows.where("n > 0"), "little")
 
 
 def scan_raw(parts: DataFrame, order: str) -> DataFrame:
     """``user_id, segment, i, q`` from raw 16-bit samples (``data``); a trailing odd byte is left out."""
-    return _samples(parts.withColumn("n", F.floor(F.octet_length("data") / 2).cast("int")).where("n > 0"), order)
+    return _samples(parts.withColumn("n", F.floor(F.octet_length("data") / 2)).where("n > 0"), order)
 
 
 def _samples(rows: DataFrame, order: str) -> DataFrame:
-    read = samples(rows.select("user_id", "segment", "data", "n", F.lit(2).alias("octets"), F.lit(order == "little").alias("little")), "user_id", "segment")
-    return read.select("user_id", "segment", "i", F.when(F.col("raw") >= 1 << 15, F.col("raw") - (1 << 16)).otherwise(F.col("raw")).alias("q"))
+    kind = {"octets": F.lit(2), "little": F.lit(order == "little"), "offset": F.lit(False), "real": F.lit(False)}
+    read = samples(rows.select("user_id", "segment", "data", "n", *[c.alias(n) for n, c in kind.items()]), "user_id", "segment")
+    return read.select("user_id", "segment", "i", "q")
 
 
 def aiff_files(parts: DataFrame, rate: int = 48_000) -> DataFrame:
@@ -75,19 +76,20 @@ def aiff_files(parts: DataFrame, rate: int = 48_000) -> DataFrame:
 
 def scan_aiff(files: DataFrame) -> DataFrame:
     """``user_id, segment, i, q`` from 16-bit mono AIFF contents whose COMM and SSND chunks come first; others give no rows."""
-    hexed = F.hex("content")
+    hexed = F.hex(F.substring("content", 1, 54))
     marks = ((1, "464F524D"), (17, "41494646"), (25, "434F4D4D00000012"), (41, "0001"), (53, "0010"), (77, "53534E44"))
     good = [F.substring(hexed, at, len(mark)) == mark for at, mark in marks]
     told = F.conv(F.substring(hexed, 45, 8), 16, 10).cast("long")
-    n = F.least(told, F.floor((F.octet_length("content") - 54) / 2)).cast("int")
-    rows = files.where(good[0] & good[1] & good[2] & good[3] & good[4] & good[5]).select("user_id", "segment", F.substring("content", 55, 1 << 30).alias("data"), n.alias("n"))
+    n = F.least(told, F.floor((F.octet_length("content") - 54) / 2))
+    rows = files.where(good[0] & good[1] & good[2] & good[3] & good[4] & good[5]).select("user_id", "segment", F.substr("content", F.lit(55), F.octet_length("content") - 54).alias("data"), n.alias("n"))
     return _samples(rows.where("n > 0"), "big")
 
 
 def ogg_pages(parts: DataFrame) -> DataFrame:
     """``segments`` of up to 65,024 bytes, each as a page of one packet (``page``): serial user_id, granule the frames so far."""
     le, size = little_endian_hex, F.octet_length("data").cast("long")
-    whole = F.floor(size / 255).cast("int")
+    long = F.raise_error(F.lit("a page of one packet holds 65,024 bytes; packet_pages splits longer ones")).cast("int")
+    whole = F.when(size <= 65_024, F.floor(size / 255).cast("int")).otherwise(long)
     last = F.col("segment") == F.max("segment").over(Window.partitionBy("user_id"))
     flags = F.when(F.col("segment") == 0, 2).otherwise(0) + F.when(last, 4).otherwise(0)
     granule = F.sum("n").over(Window.partitionBy("user_id").orderBy("segment"))
