@@ -1,4 +1,4 @@
-"""Operators over ordered samples: framing, prediction, stereo, detection, trimming; windows are per stream."""
+"""Operators over ordered samples: framing, prediction, stereo, detection, trimming; windows are per block of a stream."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tonespark.functions.sample import zigzag
+from tonespark.operators import halo
 
 
 def by_frame() -> WindowSpec:
@@ -19,22 +20,40 @@ def block_of(length: int, frame: str = "frame") -> Column:
     return F.floor(F.col(frame) / length).cast("long")
 
 
-def fixed_residuals(stream: DataFrame) -> DataFrame:
+def fixed_residuals(stream: DataFrame, block: int = halo.BLOCK) -> DataFrame:
     """``r0`` to ``r4``: finite differences of orders 0 to 4; null where the stream has no history."""
-    lag = [F.lag("q", k).over(by_frame()) for k in range(5)]
     binomial = [[1], [1, -1], [1, -2, 1], [1, -3, 3, -1], [1, -4, 6, -4, 1]]
-    made = [reduce(lambda a, b: a + b, (F.lit(c) * lag[k] for k, c in enumerate(row))).alias(f"r{n}") for n, row in enumerate(binomial)]
-    return stream.select("user_id", "frame", "q", *made)
 
-
-def restore_fixed(residuals: DataFrame) -> DataFrame:
-    """Samples from residuals of orders 1 and 2, by running sums; warm-up samples are their own residuals."""
-    w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
-    first = residuals.withColumn("d1", F.coalesce("r1", "q")).withColumn("d1_2", F.when(F.col("frame") == 1, F.col("r1")).when(F.col("frame") == 0, F.col("q")))
-    one = first.withColumn("x1", F.sum("d1").over(w))
-    second = F.when(F.col("frame") >= 2, F.col("r2")).otherwise(F.when(F.col("frame") == 1, F.col("r1")).otherwise(F.lit(0)))
-    two = one.withColumn("s", F.sum(second).over(w)).withColumn("x2", F.sum(F.when(F.col("frame") == 0, F.col("q")).otherwise(F.col("s"))).over(w))
-    return two.select("user_id", "frame", F.col("x1").cast("long").alias("x1"), F.col("x2").cast("long").alias("x2"))
+    def make(w: WindowSpec) -> dict[str, Column]:
+        lag = [F.col("q"), *(F.lag("q", k).over(w) for k in range(1, 5))]
+        return {f"r{n}": reduce(lambda a, b: a + b, (F.lit(c) * lag[k] for k, c in enumerate(row))) for n, row in enumerate(binomial)}
+
+    return halo.looking_back(stream.select("user_id", "frame", "q"), 4, make, block)
+
+
+def restore_fixed(residuals: DataFrame, block: int = halo.BLOCK) -> DataFrame:
+    """Samples ``x1`` to ``x4`` from residuals of orders 1 to 4 alone, by as many running sums.
+
+    A residual of order n begins with warm-up residuals of the orders below it: at frame k, that of order k.
+    """
+    warm = lambda n: F.col(f"r{n}") if n == 0 else F.when(F.col("frame") >= n, F.col(f"r{n}"))
+    rows, names = residuals, {}
+    for n in range(1, 5):
+        value = warm(n)
+        for k in range(n - 1, -1, -1):  # the warm-up of order k is the (n - k)-th difference's start
+            value = F.when(F.col("frame") == k, F.col(f"r{k}")).otherwise(value)
+        names[n] = f"s{n}"
+        rows = rows.withColumn(names[n], value)
+    for step in range(1, 5):  # at each step every order that still has sums to take takes one
+        sums = {}
+        for n in range(step, 5):
+            level = n - step  # what the sum restores: differences of this order
+            own = F.col(f"s{n}")
+            # Frames below the level hold warm-up residuals of lower orders, which this sum leaves alone.
+            sums[f"t{n}"] = F.when(F.col("frame") >= level, own).otherwise(F.lit(0))
+        rows = halo.running_sums(rows, sums, block)
+        rows = rows.withColumns({f"s{n}": F.when(F.col("frame") >= n - step, F.col(f"t{n}")).otherwise(F.col(f"s{n}")) for n in range(step, 5)}).drop(*sums)
+    return rows.select("user_id", "frame", *[F.col(f"s{n}").cast("long").alias(f"x{n}") for n in range(1, 5)])
 
 
 def rice_costs(values: DataFrame, keys: list[str], most: int = 14) -> DataFrame:
@@ -46,14 +65,13 @@ def rice_costs(values: DataFrame, keys: list[str], most: int = 14) -> DataFrame:
 
 
 def rice_values(stream: DataFrame, block: int = 64) -> DataFrame:
-    d = F.col("q") - F.lag("q").over(by_frame())
-    made = stream.withColumn("d", d).where("d is not null")
+    made = halo.looking_back(stream, 1, lambda w: {"d": F.col("q") - F.lag("q").over(w)}).where("d is not null")
     return made.select("user_id", block_of(block).alias("block"), zigzag(F.col("d")).alias("u"))
 
 
 def pairs(stream: DataFrame) -> DataFrame:
     """Adjacent samples as left and right of one stereo frame."""
-    both = stream.withColumn("b", F.lead("q").over(by_frame())).where("frame % 2 = 0 and b is not null")
+    both = halo.looking_ahead(stream, 1, lambda w: {"b": F.lead("q").over(w)}).where("frame % 2 = 0 and b is not null")
     return both.select("user_id", (F.col("frame") / 2).cast("long").alias("frame"), F.col("q").alias("l"), F.col("b").alias("r"))
 
 
@@ -77,7 +95,7 @@ def cheapest_stereo(frames: DataFrame, block: int = 64) -> DataFrame:
 
 def attacks(stream: DataFrame, block: int = 8, ratio: float = 4.0) -> DataFrame:
     """Blocks whose high-passed energy is over ``ratio`` times that of the block before."""
-    high = stream.withColumn("h", F.col("q") - F.lag("q").over(by_frame())).withColumn("block", block_of(block))
+    high = halo.looking_back(stream, 1, lambda w: {"h": F.col("q") - F.lag("q").over(w)}).withColumn("block", block_of(block))
     energy = high.groupBy("user_id", "block").agg(F.sum(F.col("h") * F.col("h")).alias("energy"))
     before = F.lag("energy").over(Window.partitionBy("user_id").orderBy("block"))
     return energy.withColumn("attack", F.coalesce(F.col("energy") > ratio * before, F.lit(False)))
@@ -89,8 +107,15 @@ def activity_runs(stream: DataFrame, level: int = 3200) -> DataFrame:
     return loud.groupBy("user_id", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")).drop("island")
 
 
-def conceal(stream: DataFrame, every: int = 5) -> DataFrame:
+def conceal(stream: DataFrame, every: int = 5, block: int = halo.BLOCK) -> DataFrame:
     """Lost frames (each ``every``-th) are filled with the last good sample, or 0."""
-    w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
     got = F.when(F.col("frame") % every != every - 1, F.col("q"))
-    return stream.withColumn("got", got).select("user_id", "frame", F.coalesce(F.last("got", True).over(w), F.lit(0)).alias("filled"), F.col("got").isNull().alias("lost"))
+    made = halo.last_known(stream, got, "held", block)
+    return made.select("user_id", "frame", F.coalesce("held", F.lit(0)).alias("filled"), got.isNull().alias("lost"))
+
+
+def missing_frames(received: DataFrame) -> DataFrame:
+    """``user_id, first, n``: runs of frame numbers that lie between those received and are not among them."""
+    after = Window.partitionBy("user_id").orderBy("frame")
+    gap = received.select("user_id", "frame", F.lag("frame").over(after).alias("before")).where("frame > before + 1")
+    return gap.select("user_id", (F.col("before") + 1).alias("first"), (F.col("frame") - F.col("before") - 1).alias("n"))

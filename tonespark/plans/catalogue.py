@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonespark.functions import bits, checksums
 from tonespark.functions.sample import float_to_int, int_to_float, magnitude_bits, unzigzag, zigzag
-from tonespark.operators import metrics, ordered
+from tonespark.operators import halo, metrics, ordered
 from tonespark.operators.ordered import block_of, by_frame
 from tonespark.sources import containers, packets, signals
 from tonespark.sources.signals import event_stream, vector_blocks
@@ -70,14 +70,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @register("zigzag_delta", f"""{E}, d AS (SELECT user_id, frame, q - lag(q) OVER (PARTITION BY user_id ORDER BY frame) AS d FROM e)
 SELECT user_id, frame, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS u, d AS back FROM d WHERE d IS NOT NULL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    made = event_stream(s, d).withColumn("d", F.col("q") - F.lag("q").over(by_frame())).where("d is not null")
+    made = halo.looking_back(event_stream(s, d), 1, lambda w: {"d": F.col("q") - F.lag("q").over(w)}).where("d is not null")
     return made.select("user_id", "frame", zigzag(F.col("d")).alias("u")).withColumn("back", unzigzag(F.col("u")))
 
 
 @register("signed_bits", f"""{E}, d AS (SELECT user_id, frame // 64 AS block, q - lag(q) OVER (PARTITION BY user_id ORDER BY frame) AS d FROM e)
 SELECT user_id, block, max(CASE WHEN d IN (0, -1) THEN 1 ELSE cast(floor(log2(CASE WHEN d < 0 THEN -d - 1 ELSE d END)) AS int) + 2 END) AS bits FROM d WHERE d IS NOT NULL GROUP BY ALL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    made = event_stream(s, d).withColumn("d", F.col("q") - F.lag("q").over(by_frame())).where("d is not null")
+    made = halo.looking_back(event_stream(s, d), 1, lambda w: {"d": F.col("q") - F.lag("q").over(w)}).where("d is not null")
     return made.groupBy("user_id", block_of(64).alias("block")).agg(F.max(magnitude_bits(F.col("d"))).alias("bits"))
 
 
@@ -131,7 +131,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ordered.fixed_residuals(event_stream(s, d))
 
 
-@register("fixed_restore", f"{E} SELECT user_id, frame, q AS x1, q AS x2 FROM e")
+@register("fixed_restore", f"{E} SELECT user_id, frame, q AS x1, q AS x2, q AS x3, q AS x4 FROM e")
 def _(s: SparkSession, d: str) -> DataFrame:
     return ordered.restore_fixed(ordered.fixed_residuals(event_stream(s, d)))
 
@@ -251,8 +251,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @register("overlap_add", f"""{V}, n AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS b, e FROM v)
 SELECT label, b * 32 + i AS frame, round(sum(e[i + 1] * pow(sin({_I}), 2)), 6) AS x FROM n, range(64) AS t(i) GROUP BY ALL""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    n = vector_blocks(s, d).withColumn("b", (F.row_number().over(w) - 1).cast("long")).select("label", "b", F.posexplode("e").alias("i", "x"))
+    n = halo.numbered(vector_blocks(s, d), "label", "vec_id", "b").select("label", "b", F.posexplode("e").alias("i", "x"))
     gain = F.pow(F.sin((F.col("i") + F.lit(0.5)) / 64 * F.lit(float(PI))), F.lit(2.0))
     return n.groupBy("label", (F.col("b") * 32 + F.col("i")).alias("frame")).agg(F.round(F.sum(F.col("x") * gain), 6).alias("x"))
 
@@ -350,7 +349,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @register("preskip_granule", f"""{E}, p AS (SELECT user_id, frame, 120 + q % 240 AS n FROM e), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY frame) AS granule FROM p)
 SELECT user_id, frame, cast(greatest(granule - n, 312) - 312 AS bigint) AS first, cast(least(greatest(granule - 312, 0), 9600) AS bigint) AS "end" FROM g""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    g = event_stream(s, d).select("user_id", "frame", (F.col("q") % 240 + 120).alias("n")).withColumn("granule", F.sum("n").over(by_frame()))
+    g = halo.running_sums(event_stream(s, d).select("user_id", "frame", (F.col("q") % 240 + 120).alias("n")), {"granule": F.col("n")})
     return g.selectExpr("user_id", "frame", "greatest(granule - n, 312L) - 312 AS first", "least(greatest(granule - 312, 0L), 9600L) AS end")
 
 

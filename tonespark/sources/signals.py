@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tonespark.functions.checksums import CRC32_PAGE, crc
 from tonespark.functions.sample import big_endian_hex, float_to_int, little_endian_hex
+from tonespark.operators.halo import numbered
 from tonespark.sources.decode import samples
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``user_id, frame, v, q``: one mono stream per user, 16-bit samples in q."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "value")
-    e = e.select("user_id", (F.row_number().over(order) - 1).cast("long").alias("frame"), (F.col("value") / 1024).alias("v"))
+    e = numbered(e, "user_id", "event_id", "frame").select("user_id", "frame", (F.col("value") / 1024).alias("v"))
     return e.withColumn("q", float_to_int(F.col("v"), 16))
 
 
