@@ -69,6 +69,21 @@ def rice_values(stream: DataFrame, block: int = 64) -> DataFrame:
     return made.select("user_id", block_of(block).alias("block"), zigzag(F.col("d")).alias("u"))
 
 
+def rice_partitions(stream: DataFrame, block: int = 64, orders: int = 4, most: int = 30) -> DataFrame:
+    """By block: the partition order whose partitions, each with its best Rice parameter up to ``most``, take the fewest
+    bits (of equal ones the lowest), and these bits; a partition's parameter takes 5."""
+    made = halo.looking_back(stream, 1, lambda w: {"d": F.col("q") - F.lag("q").over(w)}).where("d is not null")
+    finest = F.floor(F.col("frame") % block / (block >> (orders - 1))).cast("int")
+    values = made.select("user_id", block_of(block).alias("block"), finest.alias("part"), zigzag(F.col("d")).alias("u"))
+    # The finest partitions are summed from the samples, coarser ones from these.
+    fine = rice_costs(values, ["user_id", "block", "part"], most)
+    each = fine.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("part", F.expr(f"shiftright(part, {orders - 1} - o)"))
+    best = each.groupBy("user_id", "block", "o", "part", "k").agg(F.sum("bits").alias("bits")).groupBy("user_id", "block", "o", "part").agg((F.min("bits") + 5).alias("bits"))
+    total = best.groupBy("user_id", "block", "o").agg(F.sum("bits").alias("bits"))
+    least = total.groupBy("user_id", "block").agg(F.min(F.struct("bits", "o")).alias("m"))
+    return least.select("user_id", "block", F.col("m.o").alias("partition_order"), F.col("m.bits").alias("bits"))
+
+
 def pairs(stream: DataFrame) -> DataFrame:
     """Adjacent samples as left and right of one stereo frame."""
     both = halo.looking_ahead(stream, 1, lambda w: {"b": F.lead("q").over(w)}).where("frame % 2 = 0 and b is not null")

@@ -543,7 +543,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @register("mismatched_frames", f"{_T} SELECT user_id, frame, s AS v FROM s EXCEPT SELECT user_id, frame, t FROM s")
 def _(s: SparkSession, d: str) -> DataFrame:
     both = metrics.requantised(event_stream(s, d))
-    return both.select("user_id", "frame", F.col("s").alias("v")).exceptAll(both.select("user_id", "frame", "t"))
+    return both.select("user_id", "frame", F.col("s").alias("v")).subtract(both.select("user_id", "frame", "t"))
 
 
 @register("stream_summary", f"{E} SELECT user_id, count(*) AS frames, round(count(*) / 48000.0::double, 9) AS seconds, min(q) AS low, max(q) AS high, count(DISTINCT q) AS kinds FROM e GROUP BY user_id")
@@ -588,4 +588,4 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 # Further modules register theirs with ``register``.
-from tonespark.plans import file_queries  # noqa: E402, F401
+from tonespark.plans import analysis_queries, file_queries  # noqa: E402, F401
