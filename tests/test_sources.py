@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonespark.functions import bits
 from tonespark.functions.checksums import CRC32_PAGE, crc_table
-from tonespark.sources import containers, packets, signals
+from tonespark.sources import containers, files, packets, signals
 from tonespark.streaming import blocks
 
 
@@ -71,10 +71,48 @@ def test_blocks_fill_across_batches(spark, tmp_path):
     for k in range(3):
         (file,) = (tmp_path / f"part{k}").glob("*.parquet")
         os.utime(file.rename(tmp_path / "events.parquet" / f"{k}.parquet"), (1000 + k, 1000 + k))
-    made = lambda n: sorted(tuple(r) for r in blocks.run_to_end(blocks.full_blocks(blocks.read_events(spark, str(tmp_path), n)), "test").collect())
+    made = lambda n: sorted(tuple(r) for r in blocks.full_blocks(blocks.read_events(spark, str(tmp_path), n), "test").collect())
     q = {u: [round(v / 1024 * 32768) for _, v, w in rows if w == u] for u in (1, 2)}
     want = sorted((u, b, min(p), max(p), sum(p)) for u, x in q.items() for b in range(len(x) // 20) for p in [x[b * 20 : b * 20 + 20]])
     assert made(1) == want and made(None) == want
+    rest = [(u, len(x) // 20, min(p), max(p), sum(p)) for u, x in q.items() if (p := x[len(x) // 20 * 20 :])]
+    assert sorted(tuple(r) for r in blocks.full_blocks(blocks.read_events(spark, str(tmp_path), 1), "test", flush=True).collect()) == sorted(want + rest)
+
+
+def test_files_of_many_kinds(spark, tmp_path):
+    rows = [(u, i, (i * 7919 * (u + 1)) % 65536 - 32768, (i * 31 * u) % 999 - 500) for u in (1, 2, 3) for i in range(50 * u + 1)]
+    df = spark.createDataFrame(rows, "user_id long, frame long, a long, b long")
+    n = 0
+    for form, depth, how in [("wave", 8, {}), ("wave", 16, {}), ("wave", 24, {}), ("wave", 32, {}), ("wave", 32, {"real": True}), ("wave", 64, {"real": True}), ("aifc", 16, {}), ("aifc", 24, {}), ("aifc", 16, {"little": False}), ("aifc", 32, {}), ("aifc", 32, {"real": True}), ("aifc", 64, {"real": True}), ("raw", 24, {"little": False}), ("raw", 8, {})]:
+        n, real, folder = n + 1, how.get("real", False), f"{tmp_path}/files {n}"
+        scaled = df.select("user_id", "frame", *[(F.col(c) / 32768 if real else F.shiftright(c, 8) if depth == 8 else F.shiftleft(F.col(c), depth - 16)).alias(c) for c in "ab"])
+        written = files.write_files(scaled, folder, form, 44_100, depth, "a", "b", **how)
+        listed = files.list_files(spark, folder)
+        assert sorted((r.frames, r.bytes) for r in written.collect()) == sorted((50 * u + 1, r.length) for u, r in enumerate(listed.orderBy("length").collect(), 1))
+        heads = files.raw_headers(listed, 2, depth, how.get("little", True), real, 44_100.0) if form == "raw" else files.read_headers(listed)
+        assert {(r.status, r.channels, r.depth, r.rate, r.real) for r in heads.collect()} == {("ok", 2, depth, 44_100.0, real)}
+        got = files.scan(heads, frames=7).select(files.stream_of(F.col("path")).cast("long").alias("u"), "frame", "ch", F.round(F.col("x") * 32768).alias("x"))
+        want = [(u, i, k, float(x >> 8 << 8 if depth == 8 else x)) for u, i, *both in rows for k, x in enumerate(both)]
+        assert sorted(map(tuple, got.collect())) == want
+        assert files.scan(heads, 45, 60, frames=16).select("frame").distinct().count() == 15
+    assert files.scan(heads, 1000).count() == 0
+
+
+def test_headers_of_damaged_contents(spark):
+    head, data = files.wave_head(4, 1, 8000, 16, False), bytes(range(8))
+    aifc = files.aifc_head(4, 1, 8000, 16, b"twos")
+    contents = {
+        "ok": head + data, "ok aifc": aifc + data, "truncated": head + data[:5], "truncated aifc": aifc + data[:4], "empty": b"", "no container": b"RIFX" + head[4:] + data,
+        "no samples": head[:36], "no format chunk": head[:12], "samples before the format": head[:12] + head[36:44] + data, "unsupported samples": head[:20] + b"\x55" + head[21:] + data,
+        "no channels": head[:22] + b"\0" + head[23:] + data, "no rate": head[:24] + bytes(4) + head[28:] + data, "no common chunk": aifc[:24] + aifc[56:] + data, "empty null": None,
+    }
+    df = spark.createDataFrame(list(contents.items()), "k string, content binary")
+    got = {r.k: r for r in files.content_headers(df, "k").collect()}
+    assert {k: r.status for k, r in got.items()} == {k: k.removesuffix(" aifc").removesuffix(" null") for k in contents}
+    assert [got[k].frames for k in ("ok", "ok aifc", "truncated", "truncated aifc", "empty")] == [4, 4, 2, 2, None] and got["ok"].seconds == 0.0005
+    known = {"wave": head, "aifc": aifc, "flac": b"fLaC", "mp3": b"ID3\4", "raw": b"hello"}
+    made = spark.createDataFrame([*known.items(), ("none", None)], "k string, c binary").select("k", files.sniff(F.col("c")).alias("f"))
+    assert {r.k: r.f for r in made.collect()} == {**{k: k for k in known}, "none": None}
 
 
 def test_windows_close_under_the_watermark(spark, tmp_path):

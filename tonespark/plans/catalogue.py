@@ -526,7 +526,12 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @register("stream_full_blocks", f"{E} SELECT user_id, frame // 20 AS block, min(q) AS low, max(q) AS high, cast(sum(q) AS bigint) AS total FROM e GROUP BY ALL HAVING count(*) = 20")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return blocks.run_to_end(blocks.full_blocks(blocks.read_events(s, d)), "blocks")
+    return blocks.full_blocks(blocks.read_events(s, d, 4), "blocks")
+
+
+@register("stream_all_blocks", f"{E} SELECT user_id, frame // 20 AS block, min(q) AS low, max(q) AS high, cast(sum(q) AS bigint) AS total FROM e GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return blocks.full_blocks(blocks.read_events(s, d, 4), "blocks", flush=True)
 
 
 # Roll-ups

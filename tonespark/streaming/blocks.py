@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonespark.functions.sample import float_to_int
+from tonespark.operators import halo
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -49,23 +47,45 @@ def closed_windows(events: DataFrame, length: str = "1 hour", late: str = "1 hou
     return made.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def full_blocks(events: DataFrame, length: int = 20) -> DataFrame:
-    """``user_id, block, low, high, total`` of each block of ``length`` samples, emitted when it is full.
+OPEN = "user_id long, seen long, block long, low long, high long, total long, n long"
 
-    State holds a stream's open block alone. Samples of one micro-batch are taken by event_id; batches have to come in
-    that order. Rows with a null user, id or value are left out.
+
+def full_blocks(events: DataFrame, name: str, length: int = 20, flush: bool = False) -> DataFrame:
+    """``user_id, block, low, high, total`` of each block of ``length`` samples of the stream ``events``, once it is full;
+    with ``flush`` also of the last, shorter ones when the stream has ended.
+
+    Each micro-batch numbers its samples by event_id, sums them up by block, and adds to the open blocks that the batch
+    before it left: a table of one row a user is all that is carried on. Batches have to come in the order of event_id.
+    Tables are written under the number of their batch, so a batch that runs twice writes the same. Rows with a null
+    user, id or value are left out.
     """
-    q = float_to_int(F.col("value") / 1024, 16).alias("q")
-    samples = events.where("user_id is not null and event_id is not null and value is not null").select("user_id", "event_id", q)
-
-    def fill(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        block, held = state.get if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        values = [*held, *rows["q"].tolist()]
-        whole = len(values) // length
-        state.update((block + whole, values[whole * length :]))
-        parts = [values[k * length : (k + 1) * length] for k in range(whole)]
-        yield pd.DataFrame([(key[0], block + k, min(p), max(p), sum(p)) for k, p in enumerate(parts)], columns=["user_id", "block", "low", "high", "total"])
-
-    out = "user_id long, block long, low long, high long, total long"
-    return samples.groupBy("user_id").applyInPandasWithState(fill, out, "block long, held array<long>", "append", GroupStateTimeout.NoTimeout)
+    spark, path = events.sparkSession, shared_path(events.sparkSession, name)
+
+    def each(batch: DataFrame, number: int) -> None:
+        whole = batch.where("user_id is not null and event_id is not null and value is not null")
+        q = whole.select("user_id", "event_id", float_to_int(F.col("value") / 1024, 16).alias("q"))
+        before = batch.sparkSession.read.schema(OPEN).parquet(f"{path}/open/{number - 1}") if number else batch.sparkSession.createDataFrame([], OPEN)
+        placed = halo.numbered(q, "user_id", "event_id", "k").join(before.select("user_id", "seen"), "user_id", "left")
+        block = F.floor((F.col("k") + F.coalesce("seen", F.lit(0))) / length).cast("long")
+        sums = placed.groupBy("user_id", block.alias("block")).agg(F.min("q").alias("low"), F.max("q").alias("high"), F.sum("q").alias("total"), F.count("*").alias("n"))
+        both = sums.unionByName(before.where("n > 0").select("user_id", "block", "low", "high", "total", "n"))
+        merged = both.groupBy("user_id", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+        merged.write.mode("overwrite").parquet(f"{path}/sums/{number}")
+        merged = batch.sparkSession.read.schema(merged.schema).parquet(f"{path}/sums/{number}")
+        merged.where(F.col("n") == length).write.mode("overwrite").parquet(f"{path}/full/batch={number}")
+        # A user's last block, if it is full, stands for an open one without samples.
+        last = merged.groupBy("user_id").agg(F.max_by(F.struct("block", "low", "high", "total", "n"), "block").alias("l")).select("user_id", "l.*")
+        rest = before.join(last, "user_id", "left_anti")
+        now = last.select("user_id", (F.col("block") * length + F.col("n")).alias("seen"), "block", "low", "high", "total", F.when(F.col("n") < length, F.col("n")).otherwise(0).alias("n"))
+        now.unionByName(rest).write.mode("overwrite").parquet(f"{path}/open/{number}")
+
+    query = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    made = "user_id long, block long, low long, high long, total long"
+    if query.lastProgress is None:  # no batch at all
+        return spark.createDataFrame([], made)
+    out = spark.read.schema(made).option("recursiveFileLookup", "true").parquet(f"{path}/full")
+    if flush:
+        left = spark.read.schema(OPEN).parquet(f"{path}/open/{query.lastProgress.batchId}").where("n > 0")
+        out = out.unionByName(left.select("user_id", "block", "low", "high", "total"))
+    return out
