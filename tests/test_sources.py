@@ -79,6 +79,23 @@ def test_blocks_fill_across_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in blocks.full_blocks(blocks.read_events(spark, str(tmp_path), 1), "test", flush=True).collect()) == sorted(want + rest)
 
 
+def test_pages_split_from_files(spark):
+    said = [(1, i, bytes(range(256)) * k) for i, k in enumerate((0, 1, 9, 5))]
+    pages = [bytes(r.page) for r in packets.packet_pages(spark.createDataFrame(said, "serial int, packet int, data binary"), 2).orderBy("page_no").collect()]
+    hurt = pages[3][:40] + b"?" + pages[3][41:]
+    contents = {1: b"Og" + b"".join(pages), 2: b"".join(pages[:3]) + b"junk" + hurt + b"".join(pages[4:]), 3: b"".join(pages)[:-3], 4: b"", 5: None, 6: b"OggS"}
+    df = spark.createDataFrame([(k, c, "x") for k, c in contents.items()], "k int, content binary, page string").drop("page")
+    got = {}
+    for r in packets.split_pages(df, "k").orderBy("k", "at").collect():
+        got.setdefault(r.k, []).append(bytes(r.page))
+        assert contents[r.k][r.at : r.at + len(r.page)] == r.page
+    assert got == {1: pages, 2: [*pages[:3], hurt, *pages[4:]], 3: [*pages[:-1], pages[-1][:-3]], 6: [b"OggS"]}
+    good = packets.good_pages(packets.split_pages(df, "k"))
+    assert {r.k: r["count"] for r in good.groupBy("k").count().collect()} == {1: len(pages), 2: len(pages) - 1, 3: len(pages) - 1}
+    back = packets.scan_packets(good.where("k = 2").select("page")).orderBy("packet").collect()
+    assert [r.whole for r in back].count(False) == 2 and len(back) == 5  # the damaged page was the middle of one packet
+
+
 def test_files_of_many_kinds(spark, tmp_path):
     rows = [(u, i, (i * 7919 * (u + 1)) % 65536 - 32768, (i * 31 * u) % 999 - 500) for u in (1, 2, 3) for i in range(50 * u + 1)]
     df = spark.createDataFrame(rows, "user_id long, frame long, a long, b long")

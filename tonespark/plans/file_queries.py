@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonespark.plans.catalogue import E, _table, register
-from tonespark.sources import files
+from tonespark.sources import files, packets
 from tonespark.sources.signals import event_stream
 from tonespark.streaming.blocks import shared_path
 
@@ -113,3 +113,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     heads = F.array(*[F.unhex(F.lit(h)) for h in _HEADS])
     content = F.concat(F.get(heads, (F.col("doc_id") % 11).cast("int")), F.lit(b" "), F.col("text").cast("binary"))
     return _table(s, d, "documents").select("doc_id", files.sniff(content).alias("format"))
+
+
+@register("ogg_file_packets", """SELECT doc_id // 7 AS serial, row_number() OVER (PARTITION BY doc_id // 7 ORDER BY doc_id) - 1 AS packet,
+octet_length(encode(coalesce(text, ''))) // 1020 + 1 AS pages, true AS whole, md5(coalesce(text, '')) AS md5 FROM documents""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    said = _table(s, d, "documents").select(F.floor(F.col("doc_id") / 7).alias("serial"), F.col("doc_id").alias("packet"), F.col("text").cast("binary").alias("data"))
+    # A file a serial: its pages in order, other bytes before the first.
+    pages = packets.packet_pages(said, 4).groupBy("serial").agg(F.sort_array(F.collect_list(F.struct("page_no", F.hex("page").alias("x")))).alias("s"))
+    content = pages.select(F.concat(F.lit(b"junk"), F.unhex(F.concat_ws("", F.transform("s", lambda r: r["x"])))).alias("content"))
+    back = packets.scan_packets(packets.good_pages(packets.split_pages(content)))
+    return back.select("serial", "packet", "pages", "whole", F.md5("data").alias("md5"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +37,59 @@ def packet_pages(packets: DataFrame, laces: int = 255) -> DataFrame:
     return made.select("serial", "page_no", F.unhex(F.concat("head", le(check, 4), "rest")).alias("page"))
 
 
+def split_pages(files: DataFrame, *keys: str) -> DataFrame:
+    """``keys, at, page``: the Ogg pages of each content (``content``) and the byte where each begins.
+
+    Bytes that begin no page are passed over up to the next capture pattern; a page that is cut off at the end is given
+    as far as it goes. Null contents have none. A helper walks page heads; pages leave it in bounded batches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("content")
+            own = [batch.schema.get_field_index(k) for k in keys]
+
+            def give(rows: list[tuple[int, int, bytes]], batch: pa.RecordBatch = batch, own: list[int] = own) -> pa.RecordBatch:
+                take = pa.array([r for r, _, _ in rows], pa.int64())
+                return pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in own), pa.array([a for _, a, _ in rows], pa.int64()), pa.array([x for *_, x in rows], pa.binary())], [*keys, "at", "page"])
+
+            found: list[tuple[int, int, bytes]] = []
+            for row in range(batch.num_rows):
+                data = batch.column(place)[row].as_py() or b""
+                at = data.find(b"OggS")
+                while at >= 0:
+                    laces = data[at + 27 : at + 27 + data[at + 26]] if at + 27 <= len(data) else b""
+                    end = at + 27 + len(laces) + sum(laces)
+                    found.append((row, at, data[at:end]))
+                    at = data.find(b"OggS", end)
+                    if len(found) >= 1000:
+                        yield give(found)
+                        found = []
+            yield give(found)
+
+    made = ", ".join([f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys] + ["at long", "page binary"])
+    return files.select(*keys, "content").mapInArrow(run, made)
+
+
+def good_pages(pages: DataFrame) -> DataFrame:
+    """The rows whose ``page`` has the checksum that it tells."""
+    blank = F.concat(F.substring("page", 1, 22), F.unhex(F.lit("00000000")), F.substr("page", F.lit(27), F.octet_length("page")))
+    told = F.hex(F.substring("page", 23, 4))
+    value = F.conv(F.concat(*[F.substring(told, 2 * k + 1, 2) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
+    return pages.where(crc(*CRC32_PAGE)(blank) == value)
+
+
 def scan_packets(pages: DataFrame) -> DataFrame:
     """``serial, packet, pages, whole, data`` from Ogg pages (``page``), in any order.
 
     A packet goes on in the next page if that is marked as continued and follows in number. ``whole`` is false where a
-    beginning or an end is missing. Contents that are no pages are passed over; checksums are not looked at. Only page
-    counts pass the window of a serial; bytes meet by packet.
+    beginning or an end is missing. Contents that are no pages are passed over; ``good_pages`` leaves out those with a
+    wrong checksum, which are then missing. Only page counts pass the window of a serial; bytes meet by packet.
     """
     h = F.hex(F.substr("page", F.lit(1), F.lit(27)))
     read = lambda at, octets: F.conv(F.concat(*[F.substring(h, 2 * (at + k) + 1, 2) for k in reversed(range(octets))]), 16, 10).cast("long")
     table = F.hex(F.substr("page", F.lit(28), F.col("n")))
-    found = pages.where((F.substring(F.hex("page"), 1, 10) == "4F67675300") & (F.octet_length("page") >= 27)).select(read(14, 4).alias("serial"), read(18, 4).alias("page_no"), (read(5, 1) % 2 == 1).alias("continued"), read(26, 1).cast("int").alias("n"), "page")
+    found = pages.where((F.hex(F.substring("page", 1, 5)) == "4F67675300") & (F.octet_length("page") >= 27)).select(read(14, 4).alias("serial"), read(18, 4).alias("page_no"), (read(5, 1) % 2 == 1).alias("continued"), read(26, 1).cast("int").alias("n"), "page")
     laces = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.conv(F.substr(table, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     found = found.where("n > 0").withColumn("laces", laces)
     found = found.withColumn("ends", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("laces", k) < 255)).withColumn("open", F.get("laces", F.col("n") - 1) == 255)
