@@ -111,6 +111,9 @@ def test_files_of_many_kinds(spark, tmp_path):
         got = files.scan(heads, frames=7).select(files.stream_of(F.col("path")).cast("long").alias("u"), "frame", "ch", F.round(F.col("x") * 32768).alias("x"))
         want = [(u, i, k, float(x >> 8 << 8 if depth == 8 else x)) for u, i, *both in rows for k, x in enumerate(both)]
         assert sorted(map(tuple, got.collect())) == want
+        blocks_ = files.scan_blocks(heads, block=16).selectExpr("path", "first", "ch", "posexplode(x) AS (i, x)")
+        assert sorted((int(r.u), r.frame, r.ch, r.x) for r in blocks_.select(files.stream_of(F.col("path")).alias("u"), (F.col("first") + F.col("i")).alias("frame"), "ch", F.round(F.col("x") * 32768).alias("x")).collect()) == want
+        assert files.scan_blocks(heads, 10, 40, 16).where("ch = 0 and path like '%/1.%'").selectExpr("first", "size(x) AS n").orderBy("first").collect() == [(10, 6), (16, 16), (32, 8)]
         assert files.scan(heads, 45, 60, frames=16).select("frame").distinct().count() == 15
     assert files.scan(heads, 1000).count() == 0
 

@@ -79,6 +79,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _user(files.scan(files.read_headers(files.list_files(s, folder)), 10, 30, frames=16)).select("user_id", "frame", "q")
 
 
+@register("file_blocks", f"{E} SELECT user_id, frame // 16 AS block, count(*) AS n, round(sum(q / 32768.0::double), 5) AS total FROM e GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    folder, _ = _written(s, d, "wave", 16)
+    made = _user(files.scan_blocks(files.read_headers(files.list_files(s, folder)), block=16))
+    return made.select("user_id", F.floor(F.col("first") / 16).alias("block"), F.size("x").cast("long").alias("n"), F.round(F.expr("aggregate(x, 0D, (a, v) -> a + v)"), 5).alias("total"))
+
+
 @register("file_metadata", f"""{E} SELECT user_id, 'ok' AS status, 'aifc' AS format, 1 AS channels, 48000.0::double AS rate, 24 AS depth, false AS real, count(*) AS frames, round(count(*) / 48000.0::double, 9) AS seconds FROM e GROUP BY user_id""")
 def _(s: SparkSession, d: str) -> DataFrame:
     folder, _ = _written(s, d, "aifc", 24, little=False)

@@ -167,13 +167,8 @@ def raw_headers(files: DataFrame, channels: int, depth: int, little: bool = True
     return files.select("path", *[c.alias(n) for n, c in told.items()]).withColumn("seconds", F.col("frames") / F.col("rate"))
 
 
-def scan(headers: DataFrame, first: int = 0, end: int | None = None, frames: int = RANGE_FRAMES) -> DataFrame:
-    """``path, frame, ch, q, x`` of the frames from ``first`` to before ``end``: samples as integers (null for floats)
-    and of full scale 1.
-
-    Each task reads ranges of up to ``frames`` frames, and no bytes beside them. Files without status ok or truncated
-    give no rows.
-    """
+def _ranges(headers: DataFrame, first: int, end: int | None, frames: int, make: Callable[[dict[str, Any], np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``make`` gives for each range of up to ``frames`` frames (its row, integers and values by frame and channel)."""
     stop = F.col("frames") if end is None else F.least(F.col("frames"), F.lit(end).cast("long"))
     good = headers.where(F.col("status").isin("ok", "truncated")).withColumn("stop", stop).where(F.col("stop") > first)
     part = F.explode(F.sequence(F.lit(first // frames).cast("long"), F.floor((F.col("stop") - 1) / frames)))
@@ -188,15 +183,46 @@ def scan(headers: DataFrame, first: int = 0, end: int | None = None, frames: int
                 with system.open_input_file(path) as f:
                     f.seek(row["data_start"] + row["begin"] * align)
                     raw = f.read(row["n"] * align)
-                raw = raw[: len(raw) // align * align]
-                q, x = decode(raw, row["octets"], row["little"], row["offset"], row["real"])
-                i = np.arange(len(q))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["path"]] * len(q), pa.string()), pa.array(row["begin"] + i // row["channels"]), pa.array((i % row["channels"]).astype(np.int32)), pa.array(q, mask=np.full(len(q), row["real"])), pa.array(x)],
-                    ["path", "frame", "ch", "q", "x"],
-                )
-
-    return work.repartition("path", "begin").mapInArrow(run, "path string, frame long, ch int, q long, x double")
+                yield make(row, *decode(raw[: len(raw) // align * align], row["octets"], row["little"], row["offset"], row["real"]))
+
+    return work.repartition("path", "begin").mapInArrow(run, schema)
+
+
+def scan(headers: DataFrame, first: int = 0, end: int | None = None, frames: int = RANGE_FRAMES) -> DataFrame:
+    """``path, frame, ch, q, x`` of the frames from ``first`` to before ``end``: samples as integers (null for floats)
+    and of full scale 1.
+
+    Each task reads ranges of up to ``frames`` frames, and no bytes beside them. Files without status ok or truncated
+    give no rows.
+    """
+
+    def make(row: dict[str, Any], q: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        i = np.arange(len(q))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row["path"]] * len(q), pa.string()), pa.array(row["begin"] + i // row["channels"]), pa.array((i % row["channels"]).astype(np.int32)), pa.array(q, mask=np.full(len(q), row["real"])), pa.array(x)],
+            ["path", "frame", "ch", "q", "x"],
+        )
+
+    return _ranges(headers, first, end, frames, make, "path string, frame long, ch int, q long, x double")
+
+
+def scan_blocks(headers: DataFrame, first: int = 0, end: int | None = None, block: int = 4096) -> DataFrame:
+    """``path, first, ch, x`` of the same frames: up to ``block`` values of full scale 1 of a channel as one array of
+    floats, which is several times as fast as a row a sample. Blocks begin at multiples of ``block``, or at ``first``."""
+
+    def make(row: dict[str, Any], q: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        n = len(x) // row["channels"]
+        to_edge = -row["begin"] % block
+        cuts = sorted({0, *range(to_edge, n, block), n})
+        by_channel = x.astype(np.float32).reshape(n, row["channels"]).T
+        size = np.tile(np.diff(cuts), row["channels"])
+        values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.ascontiguousarray(by_channel).ravel()))
+        starts = np.tile(np.array(cuts[:-1], np.int64), row["channels"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row["path"]] * len(size), pa.string()), pa.array(row["begin"] + starts), pa.array(np.repeat(np.arange(row["channels"]), len(cuts) - 1).astype(np.int32)), values], ["path", "first", "ch", "x"]
+        )
+
+    return _ranges(headers, first, end, max(block, RANGE_FRAMES // block * block), make, "path string, first long, ch int, x array<float>")
 
 
 def wave_head(n: int, channels: int, rate: int, depth: int, real: bool) -> bytes:
