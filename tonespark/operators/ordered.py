@@ -84,6 +84,20 @@ def rice_partitions(stream: DataFrame, block: int = 64, orders: int = 4, most: i
     return least.select("user_id", "block", F.col("m.o").alias("partition_order"), F.col("m.bits").alias("bits"))
 
 
+def cheapest_subframes(stream: DataFrame, block: int = 64, depth: int = 16, most: int = 30) -> DataFrame:
+    """By block, the cheapest kind and its bits: 0 constant (one sample), 1 verbatim (all samples), 8 to 12 a fixed
+    predictor of order 0 to 4 (warm-up samples, then residuals under the best Rice parameter, 6 bits and 5). A predictor
+    looks no further back than its block."""
+    r = fixed_residuals(stream).withColumn("block", block_of(block)).withColumn("i", F.col("frame") % block)
+    each = r.select("user_id", "block", "i", F.posexplode(F.array(*[F.col(f"r{k}") for k in range(5)])).alias("o", "r")).where("i >= o")
+    costs = rice_costs(each.select("user_id", "block", "o", zigzag(F.col("r")).alias("u")), ["user_id", "block", "o"], most)
+    fixed = costs.groupBy("user_id", "block", "o").agg((F.min("bits") + 11 + F.col("o") * depth).alias("bits")).select("user_id", "block", (F.col("o") + 8).alias("kind"), "bits")
+    whole = r.groupBy("user_id", "block").agg(F.count("*").alias("n"), (F.min("q") == F.max("q")).alias("same"))
+    plain = whole.select("user_id", "block", F.lit(1).alias("kind"), (F.col("n") * depth).alias("bits")).unionByName(whole.where("same").select("user_id", "block", F.lit(0).alias("kind"), F.lit(depth).cast("long").alias("bits")))
+    best = fixed.unionByName(plain).groupBy("user_id", "block").agg(F.min(F.struct("bits", "kind")).alias("m"))
+    return best.select("user_id", "block", F.col("m.kind").alias("kind"), F.col("m.bits").alias("bits"))
+
+
 def pairs(stream: DataFrame) -> DataFrame:
     """Adjacent samples as left and right of one stereo frame."""
     both = halo.looking_ahead(stream, 1, lambda w: {"b": F.lead("q").over(w)}).where("frame % 2 = 0 and b is not null")
@@ -118,7 +132,7 @@ def attacks(stream: DataFrame, block: int = 8, ratio: float = 4.0) -> DataFrame:
 
 def activity_runs(stream: DataFrame, level: int = 3200) -> DataFrame:
     """Runs of frames at or over a level: gaps and islands."""
-    loud = stream.where(F.col("q") >= level).withColumn("island", F.col("frame") - F.row_number().over(by_frame()))
+    loud = halo.numbered(stream.where(F.col("q") >= level), "user_id", "frame", "k").withColumn("island", F.col("frame") - F.col("k"))
     return loud.groupBy("user_id", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")).drop("island")
 
 

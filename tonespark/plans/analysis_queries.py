@@ -180,6 +180,19 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ordered.rice_partitions(event_stream(s, d))
 
 
+_WIDE_LAGS = ", ".join(f"lag(q, {k}) OVER w AS q{k}" for k in range(1, 5))
+
+
+@register("cheapest_subframe", f"""{E}, l AS (SELECT user_id, frame, q, {_WIDE_LAGS} FROM e WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+r AS (SELECT user_id, frame // 64 AS block, frame % 64 AS i, q, [q, q - q1, q - 2 * q1 + q2, q - 3 * q1 + 3 * q2 - q3, q - 4 * q1 + 6 * q2 - 4 * q3 + q4] AS r FROM l),
+u AS (SELECT user_id, block, o, CASE WHEN r[o + 1] >= 0 THEN 2 * r[o + 1] ELSE -2 * r[o + 1] - 1 END AS u FROM r, range(5) AS t(o) WHERE i >= o),
+c AS (SELECT user_id, block, o, k, sum((u >> k) + 1 + k) AS bits FROM u, range(31) AS t2(k) GROUP BY ALL), f AS (SELECT user_id, block, o + 8 AS kind, min(bits) + 11 + 16 * o AS bits FROM c GROUP BY user_id, block, o),
+w AS (SELECT user_id, block, count(*) AS n, min(q) = max(q) AS same FROM r GROUP BY ALL), a AS (SELECT * FROM f UNION ALL SELECT user_id, block, 1, 16 * n FROM w UNION ALL SELECT user_id, block, 0, 16 FROM w WHERE same)
+SELECT user_id, block, cast(arg_min(kind, (bits, kind)) AS int) AS kind, cast(min(bits) AS bigint) AS bits FROM a GROUP BY ALL""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ordered.cheapest_subframes(event_stream(s, d))
+
+
 # Header fields, from bytes that are put together here
 
 #: Kilobits a second by index, of version 1 and of the lower versions; rates by index of version 1.
@@ -268,6 +281,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return made.where(good).select("id", _at("data", 10, 1).alias("channels"), _at("data", 11, 2, True).alias("pre_skip"), _at("data", 13, 4, True).alias("rate"), F.when(gain >= 1 << 15, gain - (1 << 16)).otherwise(gain).alias("gain_q8"), _at("data", 19, 1).alias("family"))
 
 
+@register("opus_packets", """WITH p AS (SELECT id, id % 256 AS b, id // 256 * 5 AS m FROM range(2560) AS t(id)), q AS (SELECT *, CASE WHEN b & 3 = 0 THEN 1 WHEN b & 3 < 3 THEN 2 ELSE m END AS frames,
+CASE WHEN b >> 3 < 12 THEN [10000, 20000, 40000, 60000][1 + (b >> 3) % 4] WHEN b >> 3 < 16 THEN [10000, 20000][1 + (b >> 3) % 2] ELSE [2500, 5000, 10000, 20000][1 + (b >> 3) % 4] END AS micros FROM p)
+SELECT id, cast(frames AS int) AS frames, cast(frames * micros AS bigint) AS micros, frames BETWEEN 1 AND 48 AND frames * micros <= 120000 AS valid FROM q""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    packet = F.unhex(F.concat(F.lpad(F.hex(F.col("id") % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col("id") / 256) * 5), 2, "0")))
+    t = s.range(2560).select("id", packet.alias("data")).select("id", F.shiftright(_at("data", 1, 1), 3).alias("config"), (_at("data", 1, 1) % 4).alias("code"), (_at("data", 2, 1) % 64).alias("told"))
+    frames = F.when(F.col("code") == 0, 1).when(F.col("code") < 3, 2).otherwise(F.col("told"))
+    micros = F.expr("CASE WHEN config < 12 THEN array(10000, 20000, 40000, 60000)[config % 4] WHEN config < 16 THEN array(10000, 20000)[config % 2] ELSE array(2500, 5000, 10000, 20000)[config % 4] END")
+    made = t.select("id", frames.cast("int").alias("frames"), micros.cast("long").alias("each"))
+    return made.select("id", "frames", (F.col("frames") * F.col("each")).alias("micros"), (F.col("frames").between(1, 48) & (F.col("frames") * F.col("each") <= 120_000)).alias("valid"))
+
+
 # Helpers
 
 
@@ -299,15 +324,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @register("pulse_counts", "WITH RECURSIVE c AS (SELECT n, CASE WHEN n = 0 THEN 0 ELSE 1 END AS dummy FROM range(9) AS t(n)), v AS (SELECT n, k, CASE WHEN k = 0 THEN 1::bigint ELSE list_sum(list_transform(range(1, least(n, k) + 1), lambda j: (pow(2, j) * gamma(n + 1) / gamma(j + 1) / gamma(n - j + 1) * gamma(k) / gamma(j) / gamma(k - j + 1))::bigint))::bigint END AS ways FROM range(1, 9) AS a(n), range(9) AS b(k)) SELECT cast(n AS int) AS n, cast(k AS int) AS k, ways FROM v")
 def _(s: SparkSession, d: str) -> DataFrame:
-    # Row by row of the recursion V(n, k) = V(n - 1, k) + V(n, k - 1) + V(n - 1, k - 1), as an array over k.
-    row = "transform(sequence(0, 8), k -> IF(k = 0, 1L, IF(n = 1, 2L, 0L)))"
-    step = "aggregate(sequence(1, 8), array(1L), (a, k) -> concat(a, array(p[k] + a[k - 1] + p[k - 1])))"
-    rows = s.range(1).selectExpr("1 AS n").selectExpr("n", f"{row} AS p")
-    made = rows
-    for _n in range(2, 9):
-        rows = rows.selectExpr("n + 1 AS n", f"{step} AS p")
-        made = made.unionByName(rows)
-    return made.select("n", F.posexplode("p").alias("k", "ways"))
+    # Row by row of the recursion V(n, k) = V(n - 1, k) + V(n, k - 1) + V(n - 1, k - 1), an array over k for each n.
+    first = "array(transform(sequence(0, 8), k -> IF(k = 0, 1L, 2L)))"
+    row = "aggregate(sequence(1, 8), array(1L), (a, k) -> concat(a, array(element_at(rows, -1)[k] + a[k - 1] + element_at(rows, -1)[k - 1])))"
+    made = s.range(0, 1, 1, 1).select(F.posexplode(F.expr(f"aggregate(sequence(2, 8), {first}, (rows, n) -> concat(rows, array({row})))")).alias("i", "p"))
+    return made.select((F.col("i") + 1).alias("n"), F.posexplode("p").alias("k", "ways"))
 
 
 @register("gain_track", f"{E}, g AS (SELECT user_id, frame, sum(q % 7 - 3) OVER (PARTITION BY user_id ORDER BY frame) AS g FROM e) SELECT user_id, frame, cast(least(greatest(g, -20), 20) AS bigint) AS level, round(pow(10.0::double, least(greatest(g, -20), 20) / 20.0::double), 9) AS gain FROM g")
