@@ -22,6 +22,8 @@ from tonespark.llm.words import LOWER, SPACE, hashes, row_of, row_sums, slices,
 #: At most about so many labelled rows are learned from; they are chosen by a hash of doc_id.
 SAMPLE_ROWS = 20_000
 FEATURES = 1 << 16
+#: A model takes half a MB a language.
+MOST_LANGUAGES = 256
 SWITCH = 10.0
 OUTSIDE = -30.0
 SMOOTH = 0.2
@@ -167,6 +169,8 @@ def fit(docs: DataFrame, good: Column, rows: int = SAMPLE_ROWS) -> Model:
     parts = known.select("lang", "text").mapInArrow(count, "lang string, kind int, at binary, n binary")
     sums = {(r.lang, r.kind): np.frombuffer(r.n, np.int64) for r in parts.groupBy("lang", "kind").applyInArrow(total, "lang string, kind int, n binary").collect()}
     languages = sorted({lang for lang, _ in sums})
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages: a model of more than {MOST_LANGUAGES} is not sent to the workers")
     if not languages:
         return Model([], *(np.zeros((FEATURES, 0), np.float32),) * 2, np.zeros((N_SCRIPTS + 1, 0), bool))
     tables = []
