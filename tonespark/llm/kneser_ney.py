@@ -30,7 +30,9 @@ RANGE_WORDS, WORD_RANGES = 1_000_000, 4096
 RANGE_GRAMS = 2_000_000
 #: At most so many ranges are told apart at once; more take two steps.
 FAN = 512
-CONTEXT = np.dtype([("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("start", "<u4"), ("total", "<u8")])
+CONTEXT = np.dtype([("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("spare", "<u4"), ("total", "<u8")])
+#: Sums of contexts of more n-grams than this are stored, those of others are taken when asked for.
+SHORT = 8
 #: Parts from here on hold the sums of spread contexts, part -1 the numbers of n-grams by count.
 SPREAD = 1 << 40
 ROWS = "part long, kind int, ids binary, few binary, large binary"
@@ -78,11 +80,36 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
-def _read_grams(table: pa.Table, k: int, kind: Any) -> tuple[list[np.ndarray], np.ndarray]:
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bytes of integers, all first bytes, then all second ones ..."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+class Ids:
+    """Integers stored as planes of bytes."""
+
+    def __init__(self, raw: np.ndarray, width: int):
+        self.planes = raw.reshape(width, -1)
+
+    def __len__(self) -> int:
+        return self.planes.shape[1]
+
+    def __getitem__(self, i: Any) -> np.ndarray:
+        out = self.planes[0][i].astype(np.int64)
+        for k in range(1, len(self.planes)):
+            out |= self.planes[k][i].astype(np.int64) << (8 * k)
+        return out
+
+
+def _read_counts(table: pa.Table) -> np.ndarray:
+    return np.concatenate([_unpack(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(table["few"], table["large"], strict=True)])
+
+
+def _read_grams(table: pa.Table, k: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The ``k`` columns of ids and the counts of all rows; equal n-grams of several rows stand apart."""
-    blocks = [np.frombuffer(x.as_buffer(), kind).reshape(k, -1) for x in table["ids"]]
-    counts = [_unpack(np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.int64)) for a, b in zip(table["few"], table["large"], strict=True)]
-    return [np.concatenate([b[i] for b in blocks]) for i in range(k)], np.concatenate(counts)
+    blocks = [[Ids(x, width)[:] for x in np.frombuffer(row.as_buffer(), np.uint8).reshape(k, -1)] for row in table["ids"]]
+    columns = [np.concatenate([b[i] if i else np.cumsum(b[i]) for b in blocks]) for i in range(k)]
+    return columns, _read_counts(table)
 
 
 def _row(part: int, kind: int, ids: np.ndarray | bytes, counts: np.ndarray | None = None) -> tuple:
@@ -124,7 +151,7 @@ def before(values: np.ndarray, at: np.ndarray, back: int, start: Any) -> np.ndar
     return np.where(i >= np.repeat(at[:-1], np.diff(at)), values[np.maximum(i, 0)], start)
 
 
-def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _within(values: np.ndarray | Ids, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Where ``x[i]`` is, or would be, in the sorted ``values[low[i]:high[i]]``."""
     low, high = low.copy(), high.copy()
     live = np.flatnonzero(low < high)
@@ -137,6 +164,39 @@ def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray
     return low
 
 
+#: Arrays of a file of n-grams.
+GRAMS = (np.int64, np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.uint32, CONTEXT)
+
+
+class Grams:
+    """A range of n-grams in the order of their ids: the distinct first ids and where each starts, planes of the other
+    ids, counts (255: in ``large``), and the sums of long contexts by their start."""
+
+    def __init__(self, firsts: np.ndarray, starts: np.ndarray, ids: np.ndarray, few: np.ndarray, at: np.ndarray, large: np.ndarray, long_starts: np.ndarray, long_sums: np.ndarray, k: int, width: int):
+        self.firsts, self.starts, self.few, self.at, self.large, self.long_starts, self.long_sums = firsts, starts, few, at, large, long_starts, long_sums
+        *self.middle, self.words = (Ids(x, width) for x in ids.reshape(k - 1, -1))
+
+    def counts(self, i: np.ndarray) -> np.ndarray:
+        c = self.few[i].astype(np.int64)
+        if (much := c == 255).any():
+            c[much] = self.large[np.searchsorted(self.at, i[much])]
+        return c
+
+    def sums(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Sums of contexts, given by where their n-grams are."""
+        out, size = np.zeros(len(low), CONTEXT), high - low
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            out[long] = self.long_sums[np.searchsorted(self.long_starts, low[long])]
+        live = np.flatnonzero(size <= SHORT)
+        for j in range(SHORT):
+            live = live[size[live] > j]
+            c = self.counts(low[live] + j)
+            for name, x in (("one", c == 1), ("two", c == 2), ("more", c > 2), ("total", c)):
+                out[name][live] += x.astype(out[name].dtype)
+        return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the arrays are, and what is known of all."""
@@ -165,8 +225,19 @@ class Model:
         return self.range_grams // 4
 
     @property
-    def kind(self) -> str:
-        return "<u4" if self.words + 1 < 1 << 32 else "<u8"
+    def width(self) -> int:
+        """Bytes of an id."""
+        return (self.words.bit_length() + 7) // 8 or 1
+
+    def sorted_order(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The order of n-grams by their ids, the first column first; as many ids as fit make one key."""
+        bits, keys = max(1, self.words.bit_length()), []
+        for first in range(0, len(columns), each := max(1, 63 // bits)):
+            key = columns[first].astype(np.int64)
+            for c in columns[first + 1 : first + each]:
+                key = key << bits | c.astype(np.int64)
+            keys.append(key)
+        return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts of sorted distinct word hashes."""
@@ -203,7 +274,7 @@ class Model:
         """The key of the words before an n-gram's last: their ids where these fit into 64 bits, else a hash of them."""
         key = columns[0].astype(np.uint64)
         for c in columns[1:]:
-            if len(columns) == 2 and self.kind == "<u4":
+            if len(columns) == 2 and self.width <= 4:
                 key = (key << np.uint64(32)) | c.astype(np.uint64)
             else:
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
@@ -223,22 +294,25 @@ class Model:
 
     def gram_rows(self, columns: list[np.ndarray], counts: np.ndarray, spread: np.ndarray) -> list[tuple]:
         """Rows of n-grams, summed, by part; of more than FAN parts, by groups of parts."""
-        k = len(columns)
-        if k > 1:
-            spots = self.spots(self.context(columns[:-1]), columns[-1], spread)
-            order = np.argsort((spots << np.uint64(32)) | (columns[-1].astype(np.uint64) & np.uint64(0xFFFFFFFF)), kind="stable")
-            where = self.part(spots[order], k)
-        else:
-            order = np.argsort(columns[0], kind="stable")
-            where = columns[0][order].astype(np.int64) // self.range_words
+        k, order = len(columns), self.sorted_order(columns)
         columns = [c[order] for c in columns]
         new = np.ones(len(order), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         first = np.flatnonzero(new)
-        columns, where, counts = [c[first] for c in columns], where[first], np.add.reduceat(counts[order], first) if len(first) else counts
-        where = where // self.step(k) * self.step(k)
-        ends = np.flatnonzero(np.diff(where, append=-1))
-        return [_row(int(where[e]), k, np.stack([c[a : e + 1] for c in columns]).astype(self.kind), counts[a : e + 1]) for a, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+        counts = np.add.reduceat(counts[order], first) if len(first) else counts
+        columns, spread = [c[first] for c in columns], spread[order][first]
+        rows = []
+        for b, own in _by(self.parts_of(columns, spread) // self.step(k) * self.step(k)):
+            ids = [columns[0][own].astype(np.int64), *(c[own] for c in columns[1:])]
+            ids[0] = np.diff(ids[0], prepend=0)  # sorted, so that what is stored is small
+            rows.append(_row(b, k, np.stack([_planes(c, self.width) for c in ids]), counts[own]))
+        return rows
+
+    def parts_of(self, columns: list[np.ndarray], spread: np.ndarray) -> np.ndarray:
+        """The range of each n-gram."""
+        if len(columns) == 1:
+            return columns[0].astype(np.int64) // self.range_words
+        return self.part(self.spots(self.context(columns[:-1]), columns[-1], spread), len(columns))
 
     def step(self, k: int) -> int:
         """Parts of a group in the first of two steps; 1 if one step will do."""
@@ -252,21 +326,22 @@ class Model:
         context, last = self.context([c[known] for c in columns[:-1]]), columns[-1][known]
         spots = self.spots(context, np.maximum(last, 0), spread)
         sums, count = np.zeros(len(known), CONTEXT), np.zeros(len(known), np.int64)
+        before_last = [c[known] for c in columns[:-1]]
         for b, own in _by(self.part(spots, k)):
-            keys, found, words, few, at, large = self.grams(k, b)
-            if not len(keys):
+            g = self.grams(k, b)
+            if not len(g.firsts):
                 continue
-            i = np.minimum(np.searchsorted(keys, context[own]), len(keys) - 1)
-            own, i = own[hit := keys[i] == context[own]], i[hit]
-            sums[own] = found[i]
-            low, high = found["start"][i].astype(np.int64), np.append(found["start"], len(words))[i + 1].astype(np.int64)
-            j = _within(words, low, high, last[own])
+            i = np.minimum(np.searchsorted(g.firsts, before_last[0][own]), len(g.firsts) - 1)
+            own, i = own[hit := g.firsts[i] == before_last[0][own]], i[hit]
+            low, high = g.starts[i].astype(np.int64), np.append(g.starts, len(g.words))[i + 1].astype(np.int64)
+            for c, ids in zip(before_last[1:], g.middle, strict=True):
+                low, high = _within(ids, low, high, c[own]), _within(ids, low, high, c[own] + 1)
+            own, low, high = own[there := low < high], low[there], high[there]
+            sums[own] = g.sums(low, high)
+            j = _within(g.words, low, high, last[own])
             met = np.flatnonzero(j < high)
-            met = met[words[j[met]] == last[own[met]]]
-            c = few[j[met]].astype(np.int64)
-            if (much := c == 255).any():
-                c[much] = large[np.searchsorted(at, j[met][much])]
-            count[own[met]] = c
+            met = met[g.words[j[met]] == last[own[met]]]
+            count[own[met]] = g.counts(j[met])
         gathered = np.flatnonzero(spread)
         for b, own in _by(self.part(mix(context[gathered]) >> np.uint64(32), k)):
             keys, found = self.spread_sums(k, b)
@@ -283,9 +358,8 @@ class Model:
         out[known] = np.divide(_off(count, d), total, out=np.zeros(len(known)), where=there) + spare * lower[known]
         return out
 
-    def grams(self, k: int, b: int) -> tuple[np.ndarray, ...]:
-        """Contexts, their sums and where their n-grams start; last words, counts, places and values of the large ones."""
-        return _mapped(f"{self.folder}/grams{k}-{b}", ("<u8", CONTEXT, self.kind, np.uint8, np.int64, np.int64))
+    def grams(self, k: int, b: int) -> "Grams":
+        return Grams(*_mapped(f"{self.folder}/grams{k}-{b}", GRAMS), k, self.width)
 
     def spread_sums(self, k: int, b: int) -> tuple[np.ndarray, ...]:
         return _mapped(f"{self.folder}/spread{k}-{b}", ("<u8", CONTEXT))
@@ -343,8 +417,7 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, range_words: int = R
 
     def save_words(table: pa.Table) -> pa.Table:
         b = table["part"][0].as_py()
-        (keys,), counts = _read_grams(table, 1, np.uint64)
-        keys, counts = _summed(keys, counts)
+        keys, counts = _summed(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["ids"]]), _read_counts(table))
         _save(folder, f"words-{b}", keys, counts)
         return pa.table({"part": [b], "n": [len(keys)], "total": [int(counts.sum())]})
 
@@ -387,9 +460,9 @@ def _split(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         if table["kind"][0].as_py() != k:
             return table.select([c.split()[0] for c in ROWS.split(", ")])
-        columns, counts = _read_grams(table, k, model.kind)
-        where = columns[0].astype(np.int64) // model.range_words if k == 1 else model.part(model.spots(model.context(columns[:-1]), columns[-1], np.all([model.frequent(c) for c in columns[:-1]], axis=0)), k)
-        return pa.table(_rows([_row(b, k, np.stack([c[own] for c in columns]), counts[own]) for b, own in _by(where)]))
+        columns, counts = _read_grams(table, k, model.width)
+        spread = np.all([model.frequent(c) for c in columns[:-1]], axis=0) if k > 1 else np.zeros(len(counts), bool)
+        return pa.table(_rows(replace(model, fan=1 << 60).gram_rows(columns, counts, spread)))
 
     return run
 
@@ -409,32 +482,32 @@ def _save_level(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
         _save(model.folder, f"spread{k + 1}-{b}", both["key"][first], out)
 
     def singles(table: pa.Table, b: int) -> list[tuple]:
-        (ids,), counts = _read_grams(table, 1, model.kind)
+        (ids,), counts = _read_grams(table, 1, model.width)
         out = np.zeros(min(model.range_words, model.words - b * model.range_words), np.int64)
         np.add.at(out, ids.astype(np.int64) - b * model.range_words, counts)
         _save(model.folder, f"single-{b}", out)
         return [_sums(1, out)]
 
     def grams(table: pa.Table, b: int) -> list[tuple]:
-        columns, counts = _read_grams(table, k, model.kind)
-        context = model.context(columns[:-1])
-        order = np.lexsort((columns[-1], context))
-        context, columns, counts = context[order], [c[order] for c in columns], counts[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (context[1:] != context[:-1]) | (columns[-1][1:] != columns[-1][:-1])
-        first = np.flatnonzero(new)
-        context, columns, counts = context[first], [c[first] for c in columns], np.add.reduceat(counts, first)
-        start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        columns, counts = _read_grams(table, k, model.width)
+        order = model.sorted_order(columns)
+        columns, counts = [c[order] for c in columns], counts[order]
+        apart = np.ones(len(order), bool)
+        apart[1:] = np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)
+        first = np.flatnonzero(np.concatenate([apart[:1], apart[1:] | (columns[-1][1:] != columns[-1][:-1])]))
+        columns, counts, start = [c[first] for c in columns], np.add.reduceat(counts, first), np.flatnonzero(apart[first])
         found = np.zeros(len(start), CONTEXT)
         for name, x in (("one", counts == 1), ("two", counts == 2), ("more", counts > 2), ("total", counts)):
             found[name] = np.add.reduceat(x.astype(np.int64), start)
-        found["start"] = start
+        head = np.flatnonzero(np.diff(columns[0], prepend=-1))
+        long = np.flatnonzero(np.diff(start, append=len(first)) > SHORT)
         few, large = _pack(counts)
-        _save(model.folder, f"grams{k}-{b}", context[start], found, columns[-1].astype(model.kind), few, np.flatnonzero(few == 255), large)
+        ids = np.stack([_planes(c, model.width) for c in columns[1:]])
+        _save(model.folder, f"grams{k}-{b}", columns[0][head], head.astype(np.uint32), ids, few, np.flatnonzero(few == 255), large, start[long].astype(np.uint32), found[long])
         frequent = [model.frequent(c) for c in columns[:-1]]
         spread = np.flatnonzero(np.all([f[start] for f in frequent], axis=0))
         out = [_sums(k, counts)]
-        keys = context[start[spread]]
+        keys = model.context([c[start[spread]] for c in columns[:-1]])
         for r, own in _by(model.part(mix(keys) >> np.uint64(32), k)):
             both = np.zeros(len(own), np.dtype([("key", "<u8"), ("sums", CONTEXT)]))
             both["key"], both["sums"] = keys[own], found[spread[own]]
