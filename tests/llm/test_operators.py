@@ -623,16 +623,54 @@ def test_templates():
         assert chat.unescape(chat.escape(t)) == t and not any(c in chat.escape(t) for c in chat.CONTROLS)
 
 
-def test_pipeline(spark):
+def plain_stages(rows):
+    """What each stage but the last leaves of ``rows``: (doc_id, text) by name."""
+    out = {"language_id": (rows := [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")])}
+    first = {}
+    for i, t in rows:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append(i)
+    out["exact_dedup"] = rows = [(i, t) for i, t in rows if any(min(own) == i for own in first.values())]
+    sets, root = sets_of(rows), {i: i for i, _ in rows}
+    for _ in rows:  # the least of all that are tied
+        for x, y in ((x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])):
+            root[x] = root[y] = min(root[x], root[y])
+        if all(root[root[i]] == root[i] for i in root):
+            break
+    out["ngram_join"] = rows = [(i, t) for i, t in rows if root[i] == i]
+    seen, left = set(), []
+    for i, t in sorted(rows):
+        w = t.encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if (x := tuple(w[k : k + 20])) in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(x)
+        left.append((i, b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()))
+    return out | {"substring_dedup": left}
+
+
+def test_pipeline_equals_plain_stages(spark):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in corpus()], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    want = plain_stages(corpus())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, stage(spark, docs, "")
-        assert docs.columns == before.columns
-    kept = {r.doc_id for r in docs.collect()}
-    assert {200, 201, 202, 203} & kept == set() and 100 in kept and not {101, 110, 115} & kept
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == len(kept)
+        got = {r.doc_id: r for r in docs.collect()}
+        assert docs.columns == before.columns and {i: r.text for i, r in got.items()} == dict(want[name]), name
+        assert all(r.n_chars == len(r.text) for r in got.values())
+    assert {200, 201, 202, 203} & set(got) == set() and 100 in got and not {101, 110, 115} & set(got)
+    tok, pieces = Tokenizer.from_file(P.path("word_bpe_49k.json")), collections.defaultdict(list)
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    assert pieces.keys() == got.keys()
+    for i, own in pieces.items():
+        ids, at = np.array([*tok.encode(got[i].text, add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc in sorted(own):
+            assert start == at and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
 
 
 def test_pipeline_rejects_letterless_texts_alone(spark):
