@@ -20,7 +20,7 @@ def values(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("block", [5, 20, 1000])
+@pytest.mark.parametrize("block", [5, 20, 1000, None])
 def test_blocks_equal_whole_streams(stream, block):
     w = Window.partitionBy("user_id").orderBy("frame")
     lags = lambda x: {f"l{k}": F.lag("q", k).over(x) for k in (1, 4)}
@@ -30,6 +30,7 @@ def test_blocks_equal_whole_streams(stream, block):
     assert values(halo.running_sums(stream, {"s": F.col("q"), "n": F.lit(1)}, block)) == values(stream.withColumn("s", F.sum("q").over(w)).withColumn("n", F.row_number().over(w)))
     got = F.when(F.col("q") % 7 == 0, F.col("q"))
     assert values(halo.last_known(stream, got, "k", block)) == values(stream.withColumn("k", F.last(got, True).over(w)))
+    assert halo._small(stream)  # what None goes by
     moved = stream.select("user_id", (F.col("frame") * 3 + 7).alias("at"))
     assert values(halo.numbered(moved, "user_id", "at", "k", block).select("user_id", "at", "k")) == values(moved.withColumn("k", F.floor((F.col("at") - 7) / 3)))
     assert values(ordered.restore_fixed(ordered.fixed_residuals(stream, block), block)) == values(stream.select("user_id", "frame", *["q"] * 4))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
+SMALL = 64 << 20
 
 
 def in_block() -> WindowSpec:
@@ -20,26 +21,44 @@ def in_block() -> WindowSpec:
     return Window.partitionBy("user_id", "_block").orderBy("frame")
 
 
-def looking_back(stream: DataFrame, frames: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
+def by_stream() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("frame")
+
+
+def _small(rows: DataFrame) -> bool:
+    """By the optimizer's estimate, which never is below the files' size scaled by the columns read."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
+
+
+def looking_back(stream: DataFrame, frames: int, make: Callable[[WindowSpec], dict[str, Column]], block: int | None = None) -> DataFrame:
     """``stream`` (user_id, frame, ...) with the columns that ``make`` builds over a window which reaches back up to
     ``frames`` frames."""
+    if block is None and _small(stream):
+        return stream.withColumns(make(by_stream()))
+    block = block or BLOCK
     own = F.floor(F.col("frame") / block).cast("long")
     to = F.when(F.col("frame") % block >= block - frames, F.array(own, own + 1)).otherwise(F.array(own))
     spread = stream.withColumn("_block", F.explode(to))
     return spread.withColumns(make(in_block())).where(F.col("_block") == own).drop("_block")
 
 
-def looking_ahead(stream: DataFrame, frames: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
+def looking_ahead(stream: DataFrame, frames: int, make: Callable[[WindowSpec], dict[str, Column]], block: int | None = None) -> DataFrame:
     """The same for a window that reaches ahead."""
+    if block is None and _small(stream):
+        return stream.withColumns(make(by_stream()))
+    block = block or BLOCK
     own = F.floor(F.col("frame") / block).cast("long")
     to = F.when((F.col("frame") % block < frames) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     spread = stream.withColumn("_block", F.explode(to))
     return spread.withColumns(make(in_block())).where(F.col("_block") == own).drop("_block")
 
 
-def running_sums(stream: DataFrame, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
+def running_sums(stream: DataFrame, sums: dict[str, Column], block: int | None = None) -> DataFrame:
     """``stream`` with running sums over each stream, the frame's own value included."""
-    names = list(sums)
+    if block is None and _small(stream):
+        up_to = by_stream().rowsBetween(Window.unboundedPreceding, 0)
+        return stream.withColumns({n: F.sum(c).over(up_to) for n, c in sums.items()})
+    block, names = block or BLOCK, list(sums)
     valued = stream.withColumn("_block", F.floor(F.col("frame") / block).cast("long")).withColumns({f"_{n}": c for n, c in sums.items()})
     totals = valued.groupBy("user_id", "_block").agg(*[F.sum(f"_{n}").alias(n) for n in names])
     before = Window.partitionBy("user_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,8 +68,11 @@ def running_sums(stream: DataFrame, sums: dict[str, Column], block: int = BLOCK)
     return made.drop("_block", *[f"_{n}" for n in names], *[f"_base_{n}" for n in names])
 
 
-def last_known(stream: DataFrame, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+def last_known(stream: DataFrame, value: Column, name: str, block: int | None = None) -> DataFrame:
     """``stream`` with the last value that isn't null up to each frame, null before the first."""
+    if block is None and _small(stream):
+        return stream.withColumn(name, F.last(value, True).over(by_stream().rowsBetween(Window.unboundedPreceding, 0)))
+    block = block or BLOCK
     valued = stream.withColumn("_block", F.floor(F.col("frame") / block).cast("long")).withColumn("_value", value)
     ends = valued.where("_value is not null").groupBy("user_id", "_block").agg(F.max_by("_value", "frame").alias("_end"))
     blocks = valued.select("user_id", "_block").distinct().join(ends, ["user_id", "_block"], "left")
@@ -61,9 +83,12 @@ def last_known(stream: DataFrame, value: Column, name: str, block: int = BLOCK)
     return made.drop("_block", "_value", "_base")
 
 
-def numbered(rows: DataFrame, key: str, order: str, name: str, block: int = BLOCK) -> DataFrame:
+def numbered(rows: DataFrame, key: str, order: str, name: str, block: int | None = None) -> DataFrame:
     """``rows`` with their place (from 0) among those of equal ``key`` by the integer column ``order``, counted in blocks
     of its values."""
+    if block is None and _small(rows):
+        return rows.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long"))
+    block = block or BLOCK
     placed = rows.withColumn("_block", F.floor(F.col(order) / block).cast("long"))
     counts = placed.groupBy(key, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,7 +20,7 @@ def block_of(length: int, frame: str = "frame") -> Column:
     return F.floor(F.col(frame) / length).cast("long")
 
 
-def fixed_residuals(stream: DataFrame, block: int = halo.BLOCK) -> DataFrame:
+def fixed_residuals(stream: DataFrame, block: int | None = None) -> DataFrame:
     """``r0`` to ``r4``: finite differences of orders 0 to 4; null where the stream has no history."""
     binomial = [[1], [1, -1], [1, -2, 1], [1, -3, 3, -1], [1, -4, 6, -4, 1]]
 
@@ -31,7 +31,7 @@ def fixed_residuals(stream: DataFrame, block: int = halo.BLOCK) -> DataFrame:
     return halo.looking_back(stream.select("user_id", "frame", "q"), 4, make, block)
 
 
-def restore_fixed(residuals: DataFrame, block: int = halo.BLOCK) -> DataFrame:
+def restore_fixed(residuals: DataFrame, block: int | None = None) -> DataFrame:
     """Samples ``x1`` to ``x4`` from residuals of orders 1 to 4 alone, by as many running sums.
 
     A residual of order n begins with warm-up residuals of the orders below it: at frame k, that of order k.
@@ -136,7 +136,7 @@ def activity_runs(stream: DataFrame, level: int = 3200) -> DataFrame:
     return loud.groupBy("user_id", "island").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("n")).drop("island")
 
 
-def conceal(stream: DataFrame, every: int = 5, block: int = halo.BLOCK) -> DataFrame:
+def conceal(stream: DataFrame, every: int = 5, block: int | None = None) -> DataFrame:
     """Lost frames (each ``every``-th) are filled with the last good sample, or 0."""
     got = F.when(F.col("frame") % every != every - 1, F.col("q"))
     made = halo.last_known(stream, got, "held", block)

@@ -342,7 +342,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @register("gapless_trim", f"{E}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e) SELECT user_id, frame - 5 AS frame, q FROM n WHERE frame >= 5 AND frame < n - 7")
 def _(s: SparkSession, d: str) -> DataFrame:
-    n = event_stream(s, d).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    e = event_stream(s, d)
+    n = e.join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
     return n.where("frame >= 5 and frame < n - 7").select("user_id", (F.col("frame") - 5).alias("frame"), "q")
 
 
