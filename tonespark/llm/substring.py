@@ -23,7 +23,8 @@ from tonespark.llm.words import cut, hashes, row_of, spans, text_bytes, windows,
 
 WINDOW, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 UNIT_BYTES = 4 << 20
-BUCKET_HASHES = 2_000_000
+#: Hashes of a bucket, about, and buckets of a task: what a task reads doesn't grow with the table.
+BUCKET_HASHES, TASK_BUCKETS = 500_000, 4
 assert WINDOW - ANCHOR + 1 >= PERIOD
 assert all(any((c - d) % PERIOD == r for c in COVER for d in COVER) for r in range(PERIOD))
 _LAST = (1 << 63) - 1
@@ -216,9 +217,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     by_unit = rows.groupBy("unit")
     first = by_unit.applyInArrow(anchors, "bucket long, unit long, keys binary, many binary")
-    first = first.groupBy("bucket").applyInArrow(repeated, "unit long, keys binary")
+    tasks = -(-n // TASK_BUCKETS)
+    first = first.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(repeated, "unit long, keys binary")
     found = by_unit.cogroup(first.groupBy("unit")).applyInArrow(extend, "bucket long, unit long, one binary, two binary, key binary, turn binary, place binary, many binary")
-    found = found.groupBy("bucket").applyInArrow(winners, "unit long, place binary, wins binary")
+    found = found.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(winners, "unit long, place binary, wins binary")
     made = T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType()), rows.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = by_unit.cogroup(found.groupBy("unit")).applyInArrow(remove, made)
     where = {c: F.col("rest")[c] for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
