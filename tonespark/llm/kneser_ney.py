@@ -2,8 +2,8 @@
 
 Words and n-grams are counted in Spark: tasks sum what they read, ranges of hashes are summed again, and each range is
 written to the shared folder as sorted arrays. A word's id is its place in the sorted array of all word hashes. An
-n-gram goes to the range of its context; n-grams whose context has frequent words only are spread by their last word
-too, and the sums of such a context are gathered in a second step. The distinct n-grams of a range give the counts of
+n-gram goes to the range of its first word, of its context if that word is frequent, and n-grams whose context has
+frequent words only are spread by their last word too; the sums of such a context are gathered in a second step. The distinct n-grams of a range give the counts of
 the next lower order. Workers memory-map the arrays and find what a slice of texts asks by binary search. The driver
 gets a row per range of words, of which there are WORD_RANGES at most, and a few sums of all.
 """
@@ -54,7 +54,7 @@ def _mapped(path: str, kinds: tuple[Any, ...]) -> tuple[np.ndarray, ...]:
     """The arrays of a file; empty ones if there is none."""
     if not os.path.exists(path):
         return tuple(np.zeros(0, k) for k in kinds)
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     at, out = 8 * len(kinds), []
     for size, kind in zip(raw[:at].view("<i8").tolist(), kinds, strict=True):
         out.append(raw[at : at + size].view(kind))
@@ -85,20 +85,25 @@ def _planes(x: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
+def _joined(planes: np.ndarray) -> np.ndarray:
+    out = planes[0].astype(np.int64)
+    for k in range(1, len(planes)):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
 class Ids:
-    """Integers stored as planes of bytes."""
+    """Integers of ``width`` bytes one after the other, ``n`` of them from byte ``at``; 8 bytes or more follow the last."""
 
-    def __init__(self, raw: np.ndarray, width: int):
-        self.planes = raw.reshape(width, -1)
+    def __init__(self, raw: np.ndarray, at: int, n: int, width: int):
+        self.values = np.ndarray((n,), "<u4" if width <= 4 else "<u8", raw, at, (width,)) if n else np.zeros(0, np.uint32)
+        self.mask = self.values.dtype.type((1 << (8 * width)) - 1)
 
-    def __len__(self) -> int:
-        return self.planes.shape[1]
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self.values[i] & self.mask).astype(np.int64)
 
-    def __getitem__(self, i: Any) -> np.ndarray:
-        out = self.planes[0][i].astype(np.int64)
-        for k in range(1, len(self.planes)):
-            out |= self.planes[k][i].astype(np.int64) << (8 * k)
-        return out
+    def __len__(self) -> int:
+        return len(self.values)
 
 
 def _read_counts(table: pa.Table) -> np.ndarray:
@@ -107,7 +112,7 @@ def _read_counts(table: pa.Table) -> np.ndarray:
 
 def _read_grams(table: pa.Table, k: int, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The ``k`` columns of ids and the counts of all rows; equal n-grams of several rows stand apart."""
-    blocks = [[Ids(x, width)[:] for x in np.frombuffer(row.as_buffer(), np.uint8).reshape(k, -1)] for row in table["ids"]]
+    blocks = [[_joined(x) for x in np.frombuffer(row.as_buffer(), np.uint8).reshape(k, width, -1)] for row in table["ids"]]
     columns = [np.concatenate([b[i] if i else np.cumsum(b[i]) for b in blocks]) for i in range(k)]
     return columns, _read_counts(table)
 
@@ -169,12 +174,12 @@ GRAMS = (np.int64, np.uint32, np.uint8, np.uint8, np.int64, np.int64, np.uint32,
 
 
 class Grams:
-    """A range of n-grams in the order of their ids: the distinct first ids and where each starts, planes of the other
+    """A range of n-grams in the order of their ids: the distinct first ids and where each starts, columns of the other
     ids, counts (255: in ``large``), and the sums of long contexts by their start."""
 
     def __init__(self, firsts: np.ndarray, starts: np.ndarray, ids: np.ndarray, few: np.ndarray, at: np.ndarray, large: np.ndarray, long_starts: np.ndarray, long_sums: np.ndarray, k: int, width: int):
         self.firsts, self.starts, self.few, self.at, self.large, self.long_starts, self.long_sums = firsts, starts, few, at, large, long_starts, long_sums
-        *self.middle, self.words = (Ids(x, width) for x in ids.reshape(k - 1, -1))
+        *self.middle, self.words = (Ids(ids, j * len(few) * width, len(few), width) for j in range(k - 1))
 
     def counts(self, i: np.ndarray) -> np.ndarray:
         c = self.few[i].astype(np.int64)
@@ -284,15 +289,18 @@ class Model:
         """Ranges of n-grams of ``k`` words; of single words, ranges of ids."""
         return max(1, self.gram_ranges >> (self.order - k)) if k > 1 else self.words // self.range_words + 1
 
-    def spots(self, context: np.ndarray, last: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """Where n-grams go, as 32-bit values."""
-        x = np.where(spread, context + mix(last.astype(np.uint64) + np.uint64(1)), context)
+    def spots(self, columns: list[np.ndarray], frequent: list[np.ndarray]) -> np.ndarray:
+        """Where n-grams go, as 32-bit values: by their first word, if that is frequent by their context, and if all of
+        that is, by their last word too. What has to stay together fits into a range."""
+        context = self.context(columns[:-1])
+        spread = context + mix(columns[-1].astype(np.uint64) + np.uint64(1))
+        x = np.where(np.all(frequent, axis=0), spread, np.where(frequent[0], context, columns[0].astype(np.uint64)))
         return mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)
 
     def part(self, spots: np.ndarray, k: int) -> np.ndarray:
         return ((spots * np.uint64(self.ranges_of(k))) >> np.uint64(32)).astype(np.int64)
 
-    def gram_rows(self, columns: list[np.ndarray], counts: np.ndarray, spread: np.ndarray) -> list[tuple]:
+    def gram_rows(self, columns: list[np.ndarray], counts: np.ndarray, frequent: list[np.ndarray]) -> list[tuple]:
         """Rows of n-grams, summed, by part; of more than FAN parts, by groups of parts."""
         k, order = len(columns), self.sorted_order(columns)
         columns = [c[order] for c in columns]
@@ -300,19 +308,19 @@ class Model:
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
         first = np.flatnonzero(new)
         counts = np.add.reduceat(counts[order], first) if len(first) else counts
-        columns, spread = [c[first] for c in columns], spread[order][first]
+        columns, frequent = [c[first] for c in columns], [f[order][first] for f in frequent]
         rows = []
-        for b, own in _by(self.parts_of(columns, spread) // self.step(k) * self.step(k)):
+        for b, own in _by(self.parts_of(columns, frequent) // self.step(k) * self.step(k)):
             ids = [columns[0][own].astype(np.int64), *(c[own] for c in columns[1:])]
             ids[0] = np.diff(ids[0], prepend=0)  # sorted, so that what is stored is small
             rows.append(_row(b, k, np.stack([_planes(c, self.width) for c in ids]), counts[own]))
         return rows
 
-    def parts_of(self, columns: list[np.ndarray], spread: np.ndarray) -> np.ndarray:
+    def parts_of(self, columns: list[np.ndarray], frequent: list[np.ndarray]) -> np.ndarray:
         """The range of each n-gram."""
         if len(columns) == 1:
             return columns[0].astype(np.int64) // self.range_words
-        return self.part(self.spots(self.context(columns[:-1]), columns[-1], spread), len(columns))
+        return self.part(self.spots(columns, frequent), len(columns))
 
     def step(self, k: int) -> int:
         """Parts of a group in the first of two steps; 1 if one step will do."""
@@ -322,11 +330,13 @@ class Model:
         """P(last column | columns before) from that with one column less; ids below 0 are unknown."""
         k, d = len(columns), np.array(self.discounts[len(columns) - 1])
         known = np.flatnonzero(np.all([c >= 0 for c in columns[:-1]], axis=0))
-        spread = np.all([f[known] for f in frequent[:-1]], axis=0)
-        context, last = self.context([c[known] for c in columns[:-1]]), columns[-1][known]
-        spots = self.spots(context, np.maximum(last, 0), spread)
+        # In the order in which they are stored, neighbours ask for neighbours.
+        known = known[self.sorted_order([*(c[known] for c in columns[:-1]), np.maximum(columns[-1][known], 0)])]
+        before_last, last = [c[known] for c in columns[:-1]], columns[-1][known]
+        often = [f[known] for f in frequent[:-1]]
+        spread, context = np.all(often, axis=0), self.context(before_last)
+        spots = self.spots([*before_last, np.maximum(last, 0)], often)
         sums, count = np.zeros(len(known), CONTEXT), np.zeros(len(known), np.int64)
-        before_last = [c[known] for c in columns[:-1]]
         for b, own in _by(self.part(spots, k)):
             g = self.grams(k, b)
             if not len(g.firsts):
@@ -335,8 +345,13 @@ class Model:
             own, i = own[hit := g.firsts[i] == before_last[0][own]], i[hit]
             low, high = g.starts[i].astype(np.int64), np.append(g.starts, len(g.words))[i + 1].astype(np.int64)
             for c, ids in zip(before_last[1:], g.middle, strict=True):
-                low, high = _within(ids, low, high, c[own]), _within(ids, low, high, c[own] + 1)
-            own, low, high = own[there := low < high], low[there], high[there]
+                low, end = _within(ids, low, high, c[own]), high
+                there = np.flatnonzero(low < end)
+                there = there[ids[low[there]] == c[own[there]]]
+                own, low, end = own[there], low[there], end[there]
+                high = _within(ids, low, near := np.minimum(low + SHORT, end), c[own] + 1)
+                more = np.flatnonzero((high == near) & (near < end))  # contexts are short, most of them
+                high[more] = _within(ids, high[more], end[more], c[own[more]] + 1)
             sums[own] = g.sums(low, high)
             j = _within(g.words, low, high, last[own])
             met = np.flatnonzero(j < high)
@@ -431,9 +446,9 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, range_words: int = R
             for _, _, buf, off in slices(batch.column(0), 8 << 20):
                 ids, counts, at = model.ids_of(buf, off)
                 frequent = counts >= model.many
-                spread = np.all([before(frequent, at, b, True) for b in range(1, order)], axis=0)
+                often = [before(frequent, at, b, True) for b in range(order - 1, 0, -1)]
                 columns = [before(ids, at, b, model.words) if b else ids for b in range(order - 1, -1, -1)]
-                yield pa.RecordBatch.from_pydict(_rows(model.gram_rows(columns, np.ones(len(ids), np.int64), spread)))
+                yield pa.RecordBatch.from_pydict(_rows(model.gram_rows(columns, np.ones(len(ids), np.int64), often)))
 
     grams = learned.mapInArrow(count_grams, ROWS)
     for k in range(order, 0, -1):
@@ -461,8 +476,7 @@ def _split(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
         if table["kind"][0].as_py() != k:
             return table.select([c.split()[0] for c in ROWS.split(", ")])
         columns, counts = _read_grams(table, k, model.width)
-        spread = np.all([model.frequent(c) for c in columns[:-1]], axis=0) if k > 1 else np.zeros(len(counts), bool)
-        return pa.table(_rows(replace(model, fan=1 << 60).gram_rows(columns, counts, spread)))
+        return pa.table(_rows(replace(model, fan=1 << 60).gram_rows(columns, counts, [model.frequent(c) for c in columns[:-1]])))
 
     return run
 
@@ -502,7 +516,7 @@ def _save_level(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
         head = np.flatnonzero(np.diff(columns[0], prepend=-1))
         long = np.flatnonzero(np.diff(start, append=len(first)) > SHORT)
         few, large = _pack(counts)
-        ids = np.stack([_planes(c, model.width) for c in columns[1:]])
+        ids = np.frombuffer(b"".join(np.ascontiguousarray(_planes(c, model.width).T).tobytes() for c in columns[1:]) + bytes(8), np.uint8)
         _save(model.folder, f"grams{k}-{b}", columns[0][head], head.astype(np.uint32), ids, few, np.flatnonzero(few == 255), large, start[long].astype(np.uint32), found[long])
         frequent = [model.frequent(c) for c in columns[:-1]]
         spread = np.flatnonzero(np.all([f[start] for f in frequent], axis=0))
@@ -512,8 +526,7 @@ def _save_level(model: Model, k: int) -> Callable[[pa.Table], pa.Table]:
             both = np.zeros(len(own), np.dtype([("key", "<u8"), ("sums", CONTEXT)]))
             both["key"], both["sums"] = keys[own], found[spread[own]]
             out.append(_row(SPREAD + r, -k, both.tobytes()))
-        below = np.all(frequent[1:], axis=0) if k > 2 else np.zeros(len(first), bool)
-        return out + model.gram_rows(columns[1:], np.ones(len(first), np.int64), below)
+        return out + model.gram_rows(columns[1:], np.ones(len(first), np.int64), frequent[1:])
 
     def run(table: pa.Table) -> pa.Table:
         b = table["part"][0].as_py()
