@@ -27,7 +27,7 @@ from tonespark.llm.words import LOWER, cut, hashes, mix, slices, spans
 ORDER = 3
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 RANGE_WORDS, WORD_RANGES = 1_000_000, 4096
-RANGE_GRAMS = 2_000_000
+RANGE_GRAMS = 1_000_000
 #: At most so many ranges are told apart at once; more take two steps.
 FAN = 512
 CONTEXT = np.dtype([("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("spare", "<u4"), ("total", "<u8")])
@@ -443,7 +443,7 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, range_words: int = R
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, off in slices(batch.column(0), 8 << 20):
+            for _, _, buf, off in slices(batch.column(0), 4 << 20):
                 ids, counts, at = model.ids_of(buf, off)
                 frequent = counts >= model.many
                 often = [before(frequent, at, b, True) for b in range(order - 1, 0, -1)]
@@ -555,7 +555,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(1), 4 << 20):
+            for a, b, buf, off in slices(batch.column(1), 2 << 20):
                 ids, counts, at = model.ids_of(buf, off)
                 base = np.log10((counts + 0.5) / (model.total + 0.5 * (model.words + 1)))
                 own = np.log10(model.probabilities(ids, counts, at))
