@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tonespark.operators import halo, ordered
+from tonespark.operators import halo, ordered, relational
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,23 @@ def test_one_long_stream_is_many_tasks(spark):
 def test_missing_frames(spark):
     got = spark.createDataFrame([(1, f) for f in (0, 1, 5, 6, 9)] + [(2, 4)], "user_id long, frame long")
     assert values(ordered.missing_frames(got)) == [(1, 2, 3), (1, 7, 2)]
+
+
+@pytest.mark.parametrize(("adaptive", "partitions"), [("true", "1"), ("true", "4"), ("false", "4"), ("true", "200")])
+def test_branches_of_one_shuffled_stream(spark, adaptive, partitions):
+    """Both sides of an as-of join share a shuffle by user: no row comes twice, and no value is lost."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        rows = spark.range(400).select((F.col("id") % 7).alias("user_id"), F.floor(F.col("id") / 7).alias("frame"), F.col("id").alias("q"))
+        for stream in (rows.repartition("user_id"), rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("frame"))).drop("n")):
+            right = stream.where("frame % 10 = 3").withColumnRenamed("q", "v")
+            for block in (8, 1 << 20) if partitions == "4" else (8,):
+                got = relational.asof_join(stream, right, "v", "known", block).collect()
+                assert len(got) == 400
+                assert all(r.known == ((r.frame - 3) // 10 * 70 + 21 + r.user_id if r.frame >= 3 else None) for r in got)
+            assert ordered.cheapest_subframes(stream, 16).count() == sum(-(-(58 if u == 0 else 57) // 16) for u in range(7))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -30,6 +30,15 @@ def _small(rows: DataFrame) -> bool:
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
 
 
+def merged(a: DataFrame, b: DataFrame, *keys: Column | str) -> DataFrame:
+    """The rows of both, dealt anew by ``keys``.
+
+    Branches of one shuffled stream may look as if their union were dealt by the stream's key already while it is run as
+    twice the partitions; what gathers rows of a key from it would then meet each key twice.
+    """
+    return a.unionByName(b, allowMissingColumns=True).repartition(*[F.col(k) if isinstance(k, str) else k for k in keys])
+
+
 def looking_back(stream: DataFrame, frames: int, make: Callable[[WindowSpec], dict[str, Column]], block: int | None = None) -> DataFrame:
     """``stream`` (user_id, frame, ...) with the columns that ``make`` builds over a window which reaches back up to
     ``frames`` frames."""
@@ -74,8 +83,7 @@ def last_known(stream: DataFrame, value: Column, name: str, block: int | None =
         return stream.withColumn(name, F.last(value, True).over(by_stream().rowsBetween(Window.unboundedPreceding, 0)))
     block = block or BLOCK
     valued = stream.withColumn("_block", F.floor(F.col("frame") / block).cast("long")).withColumn("_value", value)
-    ends = valued.where("_value is not null").groupBy("user_id", "_block").agg(F.max_by("_value", "frame").alias("_end"))
-    blocks = valued.select("user_id", "_block").distinct().join(ends, ["user_id", "_block"], "left")
+    blocks = valued.groupBy("user_id", "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("frame"))).alias("_end"))
     before = Window.partitionBy("user_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.select("user_id", "_block", F.last("_end", True).over(before).alias("_base"))
     within = in_block().rowsBetween(Window.unboundedPreceding, 0)

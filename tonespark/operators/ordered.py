@@ -94,7 +94,7 @@ def cheapest_subframes(stream: DataFrame, block: int = 64, depth: int = 16, most
     fixed = costs.groupBy("user_id", "block", "o").agg((F.min("bits") + 11 + F.col("o") * depth).alias("bits")).select("user_id", "block", (F.col("o") + 8).alias("kind"), "bits")
     whole = r.groupBy("user_id", "block").agg(F.count("*").alias("n"), (F.min("q") == F.max("q")).alias("same"))
     plain = whole.select("user_id", "block", F.lit(1).alias("kind"), (F.col("n") * depth).alias("bits")).unionByName(whole.where("same").select("user_id", "block", F.lit(0).alias("kind"), F.lit(depth).cast("long").alias("bits")))
-    best = fixed.unionByName(plain).groupBy("user_id", "block").agg(F.min(F.struct("bits", "kind")).alias("m"))
+    best = halo.merged(fixed, plain, "user_id", "block").groupBy("user_id", "block").agg(F.min(F.struct("bits", "kind")).alias("m"))
     return best.select("user_id", "block", F.col("m.kind").alias("kind"), F.col("m.bits").alias("bits"))
 
 

@@ -15,7 +15,7 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, name: str, block: i
     extra = [c for c in left.columns if c not in ("user_id", "frame")]
     own = left.select("user_id", "frame", F.struct(*extra, F.lit(True).alias("_left")).alias("_row"))
     one = right.where(F.col(value).isNotNull()).groupBy("user_id", "frame").agg(F.max(value).alias("_known"))
-    both = own.withColumn("_known", F.lit(None).cast(right.schema[value].dataType)).unionByName(one, allowMissingColumns=True)
+    both = halo.merged(own.withColumn("_known", F.lit(None).cast(right.schema[value].dataType)), one, "user_id", F.floor(F.col("frame") / block))
     # A right row sorts before the left rows of its frame: frames are doubled, left ones odd.
     placed = both.withColumn("frame", F.col("frame") * 2 + F.col("_row").isNotNull().cast("int"))
     made = halo.last_known(placed, F.col("_known"), name, 2 * block).where("_row is not null")

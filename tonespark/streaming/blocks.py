@@ -68,7 +68,7 @@ def full_blocks(events: DataFrame, name: str, length: int = 20, flush: bool = Fa
         placed = halo.numbered(q, "user_id", "event_id", "k").join(before.select("user_id", "seen"), "user_id", "left")
         block = F.floor((F.col("k") + F.coalesce("seen", F.lit(0))) / length).cast("long")
         sums = placed.groupBy("user_id", block.alias("block")).agg(F.min("q").alias("low"), F.max("q").alias("high"), F.sum("q").alias("total"), F.count("*").alias("n"))
-        both = sums.unionByName(before.where("n > 0").select("user_id", "block", "low", "high", "total", "n"))
+        both = halo.merged(sums, before.where("n > 0").select("user_id", "block", "low", "high", "total", "n"), "user_id", "block")
         merged = both.groupBy("user_id", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("n").alias("n"))
         merged.write.mode("overwrite").parquet(f"{path}/sums/{number}")
         merged = batch.sparkSession.read.schema(merged.schema).parquet(f"{path}/sums/{number}")
