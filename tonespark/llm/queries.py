@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, ngram_join, packing, substring, warc
+from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, ngram_join, packing, substring, vector_codes, warc
 from tonespark.llm.scratch import new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,14 +73,34 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe, op11_vector_codes)}
 
 _ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
 for _c in chat.CONTROLS:
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 _RUN = "lpad(to_base(cast('0x' || substr(h, {}, 10) as bigint), 32), 8, '0')"
 
+_SQUARE = " + ".join(f"(x[{k}] - y[{k}]) * (x[{k}] - y[{k}])" for k in range(1, 5))
+_FLOOR = "(s{0} - ((s{0} % n) + n) % n) // n"
+_ASSIGN = f"(SELECT r, part, x, min(struct_pack(d := d, e := e)) AS m FROM (SELECT r, p.part, x, e, {_SQUARE} AS d FROM p JOIN {{0}} c ON p.part = c.part) GROUP BY ALL)"
+_IMPROVE = f"""{{0}} AS (SELECT c.part, c.e, CASE WHEN n IS NULL THEN y ELSE [{', '.join(_FLOOR.format(k) for k in range(1, 5))}] END AS y FROM {{1}} c LEFT JOIN
+  (SELECT part, m.e AS e, count(*) AS n, {', '.join(f'cast(sum(x[{k}]) AS bigint) AS s{k}' for k in range(1, 5))} FROM {_ASSIGN.format('{1}')} GROUP BY ALL) a ON a.part = c.part AND a.e = c.e)"""
+
 ORACLE_SQL = {
+    "op11_vector_codes": f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, v[part * 4 + 1 : part * 4 + 4] AS x FROM v, range(16) t(part)),
+c0 AS (SELECT part, r AS e, x AS y FROM p WHERE r < 64),
+{_IMPROVE.format('c1', 'c0')},
+{_IMPROVE.format('c2', 'c1')},
+a AS (SELECT r, string_agg(format('{{:02x}}', m.e), '' ORDER BY part) AS code, cast(sum(m.d) AS bigint) AS error FROM {_ASSIGN.format('c2')} GROUP BY r)
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256 FROM a JOIN v USING (r)""",
     "op4_warc_archive": f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
