@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, ngram_join, packing, substring, vector_codes, warc
+from tonespark.llm import bpe, chat, exact, imatch, kneser_ney, langid, lexical, ngram_join, packing, simhash, substring, vector_codes, warc
 from tonespark.llm.scratch import new_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -77,7 +77,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe, op11_vector_codes)}
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_join, op3_imatch, op4_warc_archive, op5_chat_format, op6_kneser_ney, op7_cost_packing, op8_substring_dedup, op9_exact_dedup, op10_byte_bpe, op11_vector_codes, op12_simhash, op13_lexical_search)}
 
 _ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
 for _c in chat.CONTROLS:
@@ -90,7 +98,19 @@ _ASSIGN = f"(SELECT r, part, x, min(struct_pack(d := d, e := e)) AS m FROM (SELE
 _IMPROVE = f"""{{0}} AS (SELECT c.part, c.e, CASE WHEN n IS NULL THEN y ELSE [{', '.join(_FLOOR.format(k) for k in range(1, 5))}] END AS y FROM {{1}} c LEFT JOIN
   (SELECT part, m.e AS e, count(*) AS n, {', '.join(f'cast(sum(x[{k}]) AS bigint) AS s{k}' for k in range(1, 5))} FROM {_ASSIGN.format('{1}')} GROUP BY ALL) a ON a.part = c.part AND a.e = c.e)"""
 
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+
 ORACLE_SQL = {
+    "op13_lexical_search": f"""
+WITH t AS (SELECT doc_id, {_TERMS} FROM documents), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS total FROM n),
+q AS (SELECT item_id, term, count(*) AS k FROM (SELECT item_id, {_TERMS} FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS bigint) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), g),
+s AS (SELECT item_id, doc_id, cast(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total)))) AS bigint) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (doc_id), g GROUP BY ALL)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10""",
     "op11_vector_codes": f"""
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
