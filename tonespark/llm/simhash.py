@@ -107,14 +107,14 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)  # of signed values it would count those of the magnitude
 
 
-def build(prints: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build(prints: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """BK-trees of distinct fingerprints, each of the tree of its number (0 to n - 1, ascending, none empty).
 
-    Nodes in order of level, parent and distance to it; for each its fingerprint and its key, 128 times the parent plus
-    the distance (for a root 128 times itself); and the number of its tree.
+    Nodes in order of tree, level, parent and distance to it; for each its fingerprint and its key, 128 times the parent's
+    place plus the distance (for a root 128 times its own), so that keys ascend.
     """
     roots = np.flatnonzero(np.diff(tree, prepend=-1))
     nodes, keys, trees = [prints[roots]], [np.arange(len(roots)) * 128], [tree[roots]]
@@ -131,7 +131,10 @@ def build(prints: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         rest = np.ones(len(left), bool)
         rest[first] = False
         left, parent, made = left[rest], made + which[rest], made + len(children)
-    return np.concatenate(nodes), np.concatenate(keys), np.concatenate(trees)
+    keys, order = np.concatenate(keys), np.argsort(np.concatenate(trees), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return flat[order], (place[keys // 128] * 128 + keys % 128)[order]
 
 
 def search(nodes: np.ndarray, keys: np.ndarray, asked: np.ndarray, root: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, int]:
@@ -196,13 +199,9 @@ def grow_trees(shards: DataFrame) -> DataFrame:
         for batch in _batches(batches, "prints"):
             column = batch.column(3)
             size = column.value_lengths().to_numpy(zero_copy_only=False)
-            nodes, keys, tree = build(column.flatten().to_numpy(), np.repeat(np.arange(len(size)), size))
-            order = np.argsort(tree, kind="stable")
-            place = np.empty(len(order), np.int64)
-            begin = np.cumsum(size) - size
-            place[order] = np.arange(len(order)) - np.repeat(begin, size)  # within its own tree
-            own = (place[keys // 128] * 128 + keys % 128)[order]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _list(nodes[order], size), _list(own, size)], ["choice", "bits", "tree", "nodes", "keys"])
+            nodes, keys = build(column.flatten().to_numpy(), np.repeat(np.arange(len(size)), size))
+            own = keys - np.repeat(np.cumsum(size) - size, size) * 128  # by place within the tree
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _list(nodes, size), _list(own, size)], ["choice", "bits", "tree", "nodes", "keys"])
 
     return shards.select("choice", "bits", "tree", "prints").mapInArrow(run, "choice int, bits bigint, tree int, nodes array<bigint>, keys array<bigint>")
 
