@@ -186,8 +186,9 @@ def fit(docs: DataFrame, good: Column, rows: int = SAMPLE_ROWS) -> Model:
     return Model(languages, *tables, allowed)
 
 
-def word_scores(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores by word and language, and whether words have letters; words without score 0 for all."""
+def word_scores(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores by word and language, whether words have letters, and whether nothing is known of them: none of their
+    features was met, and several languages are written in their script. Words without letters score 0 for all."""
     n = len(starts)
     out = np.zeros((n, len(model.languages)), np.float32)
     script = word_scripts(scripts_of(buf), starts, ends)
@@ -200,9 +201,10 @@ def word_scores(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.ndar
         out[a:b] = np.add.reduceat(each, starts[a:b] - s, axis=0)
         a = b
     out += model.word[word_features(buf, starts, ends)]
+    blank = ~out.any(axis=1) & (model.allowed.sum(axis=1)[script] > 1)
     out += np.where(model.allowed[script], 0, OUTSIDE).astype(np.float32)
     out[script == 0] = 0
-    return out, script > 0
+    return out, script > 0, blank & (script > 0)
 
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -246,7 +248,8 @@ def has_letter(text: Column) -> Column:
 def label(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and spans (first and end word, language) of the whole ``text``.
 
-    lang_pred is the language of most bytes of words with letters and score their share; ``und`` with score 0 if the
+    lang_pred is the language of most bytes of words with letters and score their share, where words without any feature
+    met in training count for all languages alike; ``und`` with score 0 if the
     text is null or has no letter, or nothing was learned. Every row stays, with all its columns; where ``docs`` has a
     column of one of the three names, the new one is the first free of name_2, name_3 ... An empty table gives no rows.
     """
@@ -277,10 +280,11 @@ def _label_slice(m: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
     row = row_of(at)
     if not und:
         return np.full(n, und), np.zeros(n), [[] for _ in range(n)]
-    scores, lettered = word_scores(m, buf, starts, ends)
+    scores, lettered, blank = word_scores(m, buf, starts, ends)
     labels = viterbi(scores, at)
     weight = (ends - starts) * lettered
-    share = np.bincount(row * und + labels, weight, n * und).reshape(n, und)
+    # A word of which nothing is known speaks for all languages alike, whatever span it stands in.
+    share = np.bincount(row * und + labels, weight * ~blank, n * und).reshape(n, und) + np.bincount(row, weight * blank, n)[:, None] / und
     total = share.sum(axis=1)
     pred = np.where(total > 0, share.argmax(axis=1), und)
     score = np.divide(share.max(axis=1), total, out=np.zeros(n), where=total > 0)
