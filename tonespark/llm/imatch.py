@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonespark.llm.scratch import with_order
-from tonespark.llm.words import LOWER, cut, hashes, mix, row_of, row_sums, slices, spans
+from tonespark.llm.wordids import word_digests
+from tonespark.llm.words import LOWER, cut, mix, row_of, row_sums, slices, spans
 
 LOW, HIGH = 1 / 1000, 1 / 8
 #: Subsets: each family draws its own, and keeps a term with probability 2 ** -level. All terms (level 0) are one more.
@@ -32,10 +33,18 @@ BUCKET_TERMS = 2_000_000
 MOST_TERMS = 4_000_000
 #: Rows are sorted in ranges of doc_id, of about so many bytes; they are streamed, so a larger one is only slower.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
+#: Bytes of texts that are unpacked and edited at once.
+EDIT_BYTES = 4 << 20
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each term's BLAKE2 digest, for which no two terms can be made to meet at will."""
+    digest, which = word_digests(buf, starts, ends)
+    return digest[which, 0]
+
+
 def distinct_terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct terms of each row, sorted by row and hash."""
     starts, ends, at = spans(buf, off, NOT_TERM)
@@ -204,8 +213,8 @@ def with_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, held = zstandard.ZstdDecompressor(), []
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for a, b in _few(batch.column(4)):
+                part = batch.slice(a, b - a)
                 new = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), (unpack.decompress(x.as_buffer()).decode() for x in part.column(4)), strict=True)
                 held += new
                 if out := _edited(held, terms.value, part.schema.field(3).type):
@@ -215,6 +224,16 @@ def with_edits(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return both.mapInArrow(edit, OUT.format(id=kind))
 
 
+def _few(packed: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, end) whose texts unpack to about EDIT_BYTES, one row at least."""
+    size = np.cumsum([max(0, zstandard.frame_content_size(x.as_buffer())) for x in packed] or [0])
+    a = 0
+    while a < len(packed):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + EDIT_BYTES, "right")))
+        yield a, b
+        a = b
+
+
 def _edited(rows: list[tuple], terms: np.ndarray, kind: pa.DataType) -> pa.RecordBatch | None:
     """Rows that another follows in their range, with what OUT lists."""
     now = [i for i in range(len(rows) - 1) if rows[i][1] and rows[i][0] == rows[i + 1][0]]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 
-from tonespark.llm.words import spans, word_ids
+from tonespark.llm.words import LONG, spans, word_ids
 
 
 class Memo(dict):
@@ -30,6 +31,28 @@ class Memo(dict):
         return out
 
 
+def _digested(words: list[bytes]) -> list[bytes]:
+    return [hashlib.blake2b(w, digest_size=16).digest() for w in words]
+
+
+_DIGESTS = Memo(_digested, 1 << 18)
+
+
+def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2 digests of the distinct words, as two integers each, and the number of every word.
+
+    Words are told apart by their bytes first; each distinct one is digested once, and those met lately are remembered.
+    """
+    first, which = word_ids(buf, starts, ends)
+    raw, out = buf.tobytes(), np.zeros((len(first), 2), np.uint64)
+    long = (ends - starts)[first] > LONG
+    for own, make in ((np.flatnonzero(~long), _DIGESTS.look_up), (np.flatnonzero(long), _digested)):
+        at = first[own]
+        found = make([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        out[own] = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+    return out, which
+
+
 def slice_ids(buf: np.ndarray, off: np.ndarray, memo: Memo, with_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and the ``n + 1`` places where rows begin; ``with_space``: a word has the byte before it in its row."""
     starts, ends, at = spans(buf, off)
