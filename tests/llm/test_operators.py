@@ -317,12 +317,14 @@ def test_language_id_equals_a_plain_version(spark):
 
     def plain(t):
         b = (t or "").encode()
-        best, weight = None, []
+        best, weight, unknown = None, [], []
         feature = tri(b)
         for x, y in spans(b):
             s = script(b[x:y])
             score = [sum(logs(0, f)[k] for f in feature[x:y]) + logs(1, word(b[x:y]))[k] + (0 if allowed[s][k] or not any(allowed[s]) else langid.OUTSIDE) for k in range(3)] if s else [0.0] * 3
             weight.append((y - x) * (s > 0))
+            met = any(logs(0, f)[k] for f in feature[x:y] for k in range(3)) or any(logs(1, word(b[x:y])))
+            unknown.append(s > 0 and not met and sum(allowed[s]) != 1)  # speaks for all languages alike
             if best is None:
                 best = [(v, [k]) for k, v in enumerate(score)]
             else:
@@ -331,7 +333,7 @@ def test_language_id_equals_a_plain_version(spark):
         if not sum(weight):
             return "und", 0.0
         path = max(best, key=lambda x: x[0])[1]
-        share = [sum(w for w, p in zip(weight, path, strict=True) if p == k) for k in range(3)]
+        share = [sum(w / 3 if u else w * (p == k) for w, p, u in zip(weight, path, unknown, strict=True)) for k in range(3)]
         return langs[share.index(max(share))], max(share) / sum(weight)
 
     got = by_id(langid.label(df, langid.fit(df, F.lit(True))))
@@ -685,3 +687,47 @@ def test_pipeline_rejects_letterless_texts_alone(spark):
     for docs in (df, df.withColumn("lang", F.lit(None).cast("string"))):
         made = corpus_pipeline.language_id(spark, docs, "")
         assert made.columns == docs.columns and {r.doc_id for r in made.collect()} == {*range(40), 100, 101}
+
+
+#: Pairs that an older hash of words by blocks of 8 bytes could not tell apart, and a word that met the end's value.
+ALIKE = ("il5pj3jof8lh40ra", "idsqzqdldbgp6245", "a6rctfdt8za8tcm2")
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_words_made_to_collide_are_told_apart_by_models_and_fingerprints(spark, monkeypatch, few):
+    """op3 and op6 tell words apart by digests; with hashes of two bits they still do."""
+    from tonespark.llm import wordids, words
+
+    if few:
+        real = words.hashes
+        monkeypatch.setattr(words, "hashes", lambda *a: real(*a) & np.uint64(3))
+    a, b, c = ALIKE
+    df = spark.createDataFrame([(0, f"{a} x"), (1, f"{b} x"), (2, f"{c} x"), (3, None)], "doc_id long, text string")
+    model = kneser_ney.fit(df, F.col("doc_id") == 0, fan=1, range_words=1)
+    got = by_id(kneser_ney.score(df, model))
+    assert [got[i].n_known for i in range(4)] == [3, 2, 2, 1]
+    for i, n in ((0, 1), (1, 0), (2, 0)):
+        base = sum(math.log10((k + 0.5) / (3 + 0.5 * (3 + 1))) for k in (n, 1, 1))
+        assert math.isclose(got[i].base_score, base, rel_tol=1e-9)
+    made = by_id(imatch.with_edits(df))
+    assert len({made[i].fingerprint for i in range(4)}) == 4 and made[1].near_next < 1 and made[2].near_next < 1
+    buf, off = text_bytes(pa.array([f"{a} {b} {c} {a}"]))
+    starts, ends, _ = words.spans(buf, off)
+    digests, which = wordids.word_digests(buf, starts, ends)
+    assert len(digests) == 3 and which[0] == which[3] and len({tuple(d) for d in digests.tolist()}) == 3
+
+
+def test_model_of_many_word_ranges(spark):
+    """Words in two steps give the same scores."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    plain = {r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.fit(docs, F.lit(True))).collect()}
+    for sizes in ({"range_words": 1, "fan": 3}, {"range_words": 2, "fan": 512}):
+        got = {r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.fit(docs, F.lit(True), **sizes)).collect()}
+        assert all(math.isclose(got[i], s, rel_tol=1e-9) for i, s in plain.items())
+
+
+def test_texts_are_edited_by_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"w{i} " * (1 + 700 * (i % 3))) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    whole = sorted(map(tuple, imatch.with_edits(df).collect()))
+    monkeypatch.setattr(imatch, "EDIT_BYTES", 3000)
+    assert sorted(map(tuple, imatch.with_edits(df).collect())) == whole and len(whole) == 21

@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney n-gram model of any order.
 
 Words and n-grams are counted in Spark: tasks sum what they read, ranges of hashes are summed again, and each range is
-written to the shared folder as sorted arrays. A word's id is its place in the sorted array of all word hashes. An
+written to the shared folder as sorted arrays. A word's id is its place in the sorted array of the 128-bit digests of all words. An
 n-gram goes to the range of its first word, of its context if that word is frequent, and n-grams whose context has
 frequent words only are spread by their last word too; the sums of such a context are gathered in a second step. The distinct n-grams of a range give the counts of
 the next lower order. Workers memory-map the arrays and find what a slice of texts asks by binary search. The driver
@@ -10,6 +10,7 @@ gets a row per range of words, of which there are WORD_RANGES at most, and a few
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespark.llm.scratch import mapped_dir
-from tonespark.llm.words import LOWER, cut, hashes, mix, slices, spans
+from tonespark.llm.wordids import word_digests
+from tonespark.llm.words import LOWER, buckets, cut, mix, slices, spans
 
 ORDER = 3
-END = np.uint64(0xE0D0E0D0E0D0E0D1)
+#: The end's digest is that of a space, which no word is.
+END = np.frombuffer(hashlib.blake2b(b" ", digest_size=16).digest(), "<u8").reshape(1, 2)
 RANGE_WORDS, WORD_RANGES = 1_000_000, 4096
 RANGE_GRAMS = 1_000_000
 #: At most so many ranges are told apart at once; more take two steps.
@@ -80,6 +83,23 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def _summed_words(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for digests, sorted as pairs."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]).any(axis=1)]))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+def _word_rows(keys: np.ndarray, counts: np.ndarray, ranges: int, step: int) -> list[tuple]:
+    """Rows of sorted digests by range; with ``step`` over 1, by groups of so many ranges."""
+    return [_row(b, 0, np.ascontiguousarray(keys[own]), counts[own]) for b, own in _by(buckets(keys[:, 0], ranges) // step * step)]
+
+
+def _read_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _summed_words(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table["ids"]]), _read_counts(table))
+
+
 def _planes(x: np.ndarray, width: int) -> np.ndarray:
     """The lowest ``width`` bytes of integers, all first bytes, then all second ones ..."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
@@ -244,19 +264,26 @@ class Model:
             keys.append(key)
         return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
 
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and training counts of sorted distinct word hashes."""
-        ids, counts = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        for b, s in cut(h, self.ranges):
-            keys, n = self._words(b)
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
-                hit = keys[i] == h[s]
-                ids[s], counts[s] = np.where(hit, self.offsets[b] + i, -1), np.where(hit, n[i], 0)
+    def look_up(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and training counts of distinct words, by their digests."""
+        order = np.argsort(digests[:, 0])
+        ids, counts = np.full(len(order), -1, np.int64), np.zeros(len(order), np.int64)
+        for b, s in cut(digests[order, 0], self.ranges):
+            keys, more, n = self._words(b)
+            asked, own = digests[order[s]], order[s]
+            i = np.searchsorted(keys, asked[:, 0])
+            while len(own):  # once, unless digests agree in their first halves
+                held = i < len(keys)
+                own, i, asked = own[held], i[held], asked[held]
+                held = keys[i] == asked[:, 0]
+                own, i, asked = own[held], i[held], asked[held]
+                hit = more[i] == asked[:, 1]
+                ids[own[hit]], counts[own[hit]] = self.offsets[b] + i[hit], n[i[hit]]
+                own, i, asked = own[~hit], i[~hit] + 1, asked[~hit]
         return ids, counts
 
     def _words(self, b: int) -> tuple[np.ndarray, ...]:
-        return _mapped(f"{self.folder}/words-{b}", (np.uint64, np.int64))
+        return _mapped(f"{self.folder}/words-{b}", (np.uint64, np.uint64, np.int64))
 
     def frequent(self, ids: np.ndarray) -> np.ndarray:
         """Whether words are frequent; a text's start always is."""
@@ -264,15 +291,15 @@ class Model:
         out, where = np.ones(len(kinds), bool), np.searchsorted(self.offsets, kinds, "right") - 1
         for b in np.unique(where[where < self.ranges]).tolist():
             x, y = np.searchsorted(where, [b, b + 1])
-            out[x:y] = self._words(b)[1][kinds[x:y].astype(np.int64) - self.offsets[b]] >= self.many
+            out[x:y] = self._words(b)[2][kinds[x:y].astype(np.int64) - self.offsets[b]] >= self.many
         return out[which]
 
     def ids_of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and training counts of the tokens of each row, and the places where rows begin."""
         starts, ends, at = spans(buf, off)
-        h, at = tokens(hashes(LOWER[buf], starts, ends), at, END)
-        kinds, which = np.unique(h, return_inverse=True)
-        ids, counts = self.look_up(kinds)
+        digests, which = word_digests(LOWER[buf], starts, ends)
+        ids, counts = self.look_up(np.concatenate([digests, END]))
+        which, at = tokens(which, at, len(digests))
         return ids[which], counts[which], at
 
     def context(self, columns: list[np.ndarray]) -> np.ndarray:
@@ -419,25 +446,32 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, range_words: int = R
     learned = docs.where(train).select("text")
     size = learned.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(WORD_RANGES, max(1, size // 30 // range_words))
+    step = -(-ranges // fan)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: list[tuple[np.ndarray, np.ndarray]] = []
             for _, _, buf, off in slices(batch.column(0)):
                 starts, ends, at = spans(buf, off)
-                sums.append(np.unique(tokens(hashes(LOWER[buf], starts, ends), at, END)[0], return_counts=True))
+                digests, which = word_digests(LOWER[buf], starts, ends)
+                sums.append((np.concatenate([digests, END]), np.bincount(tokens(which, at, len(digests))[0], minlength=len(digests) + 1)))
             if sums:
-                keys, counts = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
-                yield pa.RecordBatch.from_pydict(_rows([_row(b, 0, keys[s], counts[s]) for b, s in cut(keys, ranges)]))
+                yield pa.RecordBatch.from_pydict(_rows(_word_rows(*_summed_words(*(np.concatenate(x) for x in zip(*sums, strict=True))), ranges, step)))
+
+    def split_words(table: pa.Table) -> pa.Table:
+        return pa.table(_rows(_word_rows(*_read_words(table), ranges, 1)))
 
     def save_words(table: pa.Table) -> pa.Table:
         b = table["part"][0].as_py()
-        keys, counts = _summed(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["ids"]]), _read_counts(table))
-        _save(folder, f"words-{b}", keys, counts)
+        keys, counts = _read_words(table)
+        _save(folder, f"words-{b}", np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), counts)
         return pa.table({"part": [b], "n": [len(keys)], "total": [int(counts.sum())]})
 
     n, total = np.zeros(ranges, np.int64), 0
-    for r in learned.mapInArrow(count_words, ROWS).groupBy("part").applyInArrow(save_words, "part long, n long, total long").toLocalIterator():
+    counted = learned.mapInArrow(count_words, ROWS)
+    if step > 1:  # groups of ranges first, a group's rows dealt to several tasks
+        counted = counted.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(fan))).groupBy("part", "deal").applyInArrow(split_words, ROWS)
+    for r in counted.groupBy("part").applyInArrow(save_words, "part long, n long, total long").toLocalIterator():
         n[r.part], total = r.n, total + r.total
     model = Model(folder, order, ranges, max(1, size // 10 // range_grams), tuple(np.concatenate([[0], np.cumsum(n)]).tolist()), total, range_words, range_grams, fan)
 
