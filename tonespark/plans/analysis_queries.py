@@ -202,32 +202,38 @@ _RATES = (44100, 48000, 32000)
 _ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
-@register("mpeg_headers", f"""WITH h AS (SELECT id, id % 3 AS v, 1 + id // 3 % 14 AS b, id // 42 % 3 AS r, id // 126 % 2 AS pad FROM range(252) AS t(id)),
+def _ids(s: SparkSession, d: str, n: int) -> DataFrame:
+    """The documents, and numbers below ``n`` of which their headers are made."""
+    return _table(s, d, "documents").select("doc_id", (F.col("doc_id") % n).alias("id"))
+
+
+@register("mpeg_headers", f"""WITH h AS (SELECT doc_id, id % 3 AS v, 1 + id // 3 % 14 AS b, id // 42 % 3 AS r, id // 126 % 2 AS pad FROM (SELECT doc_id, doc_id % 252 AS id FROM documents) AS t WHERE doc_id % 10 <> 9),
 k AS (SELECT *, CASE WHEN v = 0 THEN {list(_KBPS[1])}[b + 1] ELSE {list(_KBPS[2])}[b + 1] END AS kbps, {list(_RATES)}[r + 1] >> v AS rate FROM h)
-SELECT id, cast(kbps AS int) AS kbps, cast(rate AS int) AS rate, cast((CASE WHEN v = 0 THEN 1152 ELSE 576 END) * kbps * 125 // rate + pad AS int) AS frame_bytes FROM k""")
+SELECT doc_id, cast(kbps AS int) AS kbps, cast(rate AS int) AS rate, cast((CASE WHEN v = 0 THEN 1152 ELSE 576 END) * kbps * 125 // rate + pad AS int) AS frame_bytes FROM k""")
 def _(s: SparkSession, d: str) -> DataFrame:
     from tonespark.functions.bits import MPEG_AUDIO, bit_fields
 
     version = "CASE id % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END"
-    made = s.range(252).selectExpr("id", f"(2047L << 21) | (({version}) << 19) | (1 << 17) | (1 << 16) | ((1 + id div 3 % 14) << 12) | ((id div 42 % 3) << 10) | ((id div 126 % 2) << 9) AS v")
-    f = made.select("id", *bit_fields(F.col("v"), MPEG_AUDIO))
+    # Each tenth header is damaged: its sync has a bit less.
+    made = _ids(s, d, 252).selectExpr("doc_id", f"((2047L - IF(doc_id % 10 = 9, 1, 0)) << 21) | (({version}) << 19) | (1 << 17) | (1 << 16) | ((1 + id div 3 % 14) << 12) | ((id div 42 % 3) << 10) | ((id div 126 % 2) << 9) AS v")
+    f = made.select("doc_id", *bit_fields(F.col("v"), MPEG_AUDIO))
     lower = (F.col("version") != 3).cast("int")
     pick = lambda table, at: F.get(F.array(*[F.lit(x) for x in table]), at.cast("int"))
     kbps = F.when(lower == 0, pick(_KBPS[1], F.col("bitrate"))).otherwise(pick(_KBPS[2], F.col("bitrate")))
     halved = F.when(F.col("version") == 3, 1).when(F.col("version") == 2, 2).otherwise(4)
-    f = f.where("sync = 2047 and version <> 1 and layer = 1 and bitrate between 1 and 14 and rate < 3").select("id", "padding", lower.alias("lower"), kbps.alias("kbps"), F.floor(pick(_RATES, F.col("rate")) / halved).cast("int").alias("hz"))
+    f = f.where("sync = 2047 and version <> 1 and layer = 1 and bitrate between 1 and 14 and rate < 3").select("doc_id", "padding", lower.alias("lower"), kbps.alias("kbps"), F.floor(pick(_RATES, F.col("rate")) / halved).cast("int").alias("hz"))
     size = F.floor(F.when(F.col("lower") == 0, 1152).otherwise(576) * F.col("kbps") * 125 / F.col("hz")) + F.col("padding")
-    return f.select("id", "kbps", F.col("hz").alias("rate"), size.cast("int").alias("frame_bytes"))
+    return f.select("doc_id", "kbps", F.col("hz").alias("rate"), size.cast("int").alias("frame_bytes"))
 
 
-@register("adts_headers", f"SELECT id, cast(id % 4 + 1 AS int) AS object_type, cast({list(_ADTS_RATES)}[1 + id % 13] AS int) AS rate, cast(1 + id % 7 AS int) AS channels, cast(7 + id * 11 % 8000 AS int) AS frame_length, cast(CASE WHEN id % 2 = 0 THEN 9 ELSE 7 END AS int) AS header_bytes FROM range(500) AS t(id)")
+@register("adts_headers", f"SELECT doc_id, cast(id % 4 + 1 AS int) AS object_type, cast({list(_ADTS_RATES)}[1 + id % 13] AS int) AS rate, cast(1 + id % 7 AS int) AS channels, cast(7 + id * 11 % 8000 AS int) AS frame_length, cast(CASE WHEN id % 2 = 0 THEN 9 ELSE 7 END AS int) AS header_bytes FROM (SELECT doc_id, doc_id % 500 AS id FROM documents) AS t WHERE doc_id % 10 <> 9")
 def _(s: SparkSession, d: str) -> DataFrame:
     from tonespark.functions.bits import ADTS, bit_fields
 
-    made = s.range(500).selectExpr("id AS n", "(4095L << 44) | ((id % 2) << 40) | ((id % 4) << 38) | ((id % 13) << 34) | ((1 + id % 7) << 30) | ((7 + id * 11 % 8000) << 13) | (2047L << 2) AS v")
+    made = _ids(s, d, 500).selectExpr("doc_id AS n", "((4095L - IF(doc_id % 10 = 9, 1, 0)) << 44) | ((id % 2) << 40) | ((id % 4) << 38) | ((id % 13) << 34) | ((1 + id % 7) << 30) | ((7 + id * 11 % 8000) << 13) | (2047L << 2) AS v")
     f = made.select("n", *bit_fields(F.col("v"), ADTS)).where("sync = 4095 and layer = 0 and rate < 13")
     rate = F.get(F.array(*[F.lit(x) for x in _ADTS_RATES]), F.col("rate").cast("int"))
-    return f.select(F.col("n").alias("id"), (F.col("profile") + 1).cast("int").alias("object_type"), rate.alias("rate"), F.col("channels").cast("int").alias("channels"), F.col("frame_length").cast("int").alias("frame_length"), F.when(F.col("protection") == 1, 7).otherwise(9).alias("header_bytes"))
+    return f.select(F.col("n").alias("doc_id"), (F.col("profile") + 1).cast("int").alias("object_type"), rate.alias("rate"), F.col("channels").cast("int").alias("channels"), F.col("frame_length").cast("int").alias("frame_length"), F.when(F.col("protection") == 1, 7).otherwise(9).alias("header_bytes"))
 
 
 def _at(data: str, first: int, octets: int, little: bool = False) -> Column:
@@ -236,7 +242,7 @@ def _at(data: str, first: int, octets: int, little: bool = False) -> Column:
     return F.conv(F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(octets))]) if little else h, 16, 10).cast("long")
 
 
-@register("flac_frames", "SELECT id, cast(CASE id % 2 WHEN 0 THEN 1 + id * 7 % 256 ELSE 1 + id * 977 % 65536 END AS int) AS block_size, cast(1 + id % 8 AS int) AS channels, cast(CASE id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 24 END AS int) AS depth, id * 31 AS number, id % 10 <> 9 AS good FROM range(2000) AS t(id)")
+@register("flac_frames", "SELECT doc_id, cast(CASE id % 2 WHEN 0 THEN 1 + id * 7 % 256 ELSE 1 + id * 977 % 65536 END AS int) AS block_size, cast(1 + id % 8 AS int) AS channels, cast(CASE id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 24 END AS int) AS depth, id * 31 AS number, id % 10 <> 9 AS good FROM (SELECT doc_id, doc_id % 2000 AS id FROM documents) AS t")
 def _(s: SparkSession, d: str) -> DataFrame:
     n, size = F.col("id") * 31, F.when(F.col("id") % 2 == 0, F.col("id") * 7 % 256).otherwise(F.col("id") * 977 % 65536)
     coded = F.when(n < 128, F.lpad(F.hex(n), 2, "0")).when(n < 2048, F.concat(F.hex(F.shiftright(n, 6) + 0xC0), F.hex(n % 64 + 0x80)))
@@ -244,7 +250,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     width = F.when(F.col("id") % 2 == 0, 2).otherwise(4)
     third = F.when(F.col("id") % 2 == 0, "6").otherwise("7")
     head = F.concat(F.lit("FFF8"), third, F.lit("9"), F.hex(F.col("id") % 8), F.when(F.col("id") % 3 == 0, "2").when(F.col("id") % 3 == 1, "8").otherwise("C"), coded, F.lpad(F.hex(size), width, "0"))
-    made = s.range(2000).select("id", F.unhex(head).alias("h"))
+    made = _ids(s, d, 2000).select("doc_id", "id", F.unhex(head).alias("h"))
     made = made.withColumn("crc", checksums.crc(*checksums.CRC8)("h")).withColumn("data", F.concat("h", F.unhex(F.lpad(F.hex(F.when(F.col("id") % 10 == 9, (F.col("crc") + 1) % 256).otherwise(F.col("crc"))), 2, "0"))))
     # From here on only ``data`` is looked at.
     first = _at("data", 5, 1)
@@ -255,42 +261,42 @@ def _(s: SparkSession, d: str) -> DataFrame:
     wide = F.when(code == 6, 1).otherwise(2)
     size = F.conv(F.hex(F.substr("data", octets + 5, wide)), 16, 10).cast("long") + 1
     end = octets + 5 + wide
-    parsed = made.select("id", "data", size.cast("int").alias("block_size"), (F.shiftright(_at("data", 4, 1), 4) + 1).cast("int").alias("channels"), F.shiftright(_at("data", 4, 1), 1).bitwiseAND(F.lit(7).cast("long")).alias("depth_code"), number.alias("number"), F.substr("data", F.lit(1), end - 1).alias("covered"), F.conv(F.hex(F.substr("data", end, F.lit(1))), 16, 10).cast("long").alias("told"))
+    parsed = made.select("doc_id", "data", size.cast("int").alias("block_size"), (F.shiftright(_at("data", 4, 1), 4) + 1).cast("int").alias("channels"), F.shiftright(_at("data", 4, 1), 1).bitwiseAND(F.lit(7).cast("long")).alias("depth_code"), number.alias("number"), F.substr("data", F.lit(1), end - 1).alias("covered"), F.conv(F.hex(F.substr("data", end, F.lit(1))), 16, 10).cast("long").alias("told"))
     depth = F.when(F.col("depth_code") == 1, 8).when(F.col("depth_code") == 4, 16).otherwise(24)
-    return parsed.select("id", "block_size", "channels", depth.alias("depth"), "number", (checksums.crc(*checksums.CRC8)("covered") == F.col("told")).alias("good"))
+    return parsed.select("doc_id", "block_size", "channels", depth.alias("depth"), "number", (checksums.crc(*checksums.CRC8)("covered") == F.col("told")).alias("good"))
 
 
-@register("stream_info", "SELECT id, 16 + id AS least_block, 4096 + id AS most_block, cast(8000 + id * 97 AS bigint) AS rate, cast(1 + id % 8 AS bigint) AS channels, cast(4 + id % 29 AS bigint) AS depth, id * 1000003 AS frames FROM range(1000) AS t(id)")
+@register("stream_info", "SELECT doc_id, 16 + id AS least_block, 4096 + id AS most_block, cast(8000 + id * 97 AS bigint) AS rate, cast(1 + id % 8 AS bigint) AS channels, cast(4 + id % 29 AS bigint) AS depth, id * 1000003 AS frames FROM (SELECT doc_id, doc_id % 10000 AS id FROM documents) AS t")
 def _(s: SparkSession, d: str) -> DataFrame:
     h = lambda x, n: F.lpad(F.hex(x), n, "0")
     i = F.col("id")
     packed = F.shiftleft(8000 + i * 97, 44) + F.shiftleft(i % 8, 41) + F.shiftleft(3 + i % 29, 36) + i * 1000003
-    made = s.range(1000).select("id", F.unhex(F.concat(h(i + 16, 4), h(i + 4096, 4), F.lit("0" * 12), h(packed, 16), F.lit("AB" * 16))).alias("data"))
+    made = _ids(s, d, 10_000).select("doc_id", F.unhex(F.concat(h(i + 16, 4), h(i + 4096, 4), F.lit("0" * 12), h(packed, 16), F.lit("AB" * 16))).alias("data"))
     fields = {"rate": F.shiftright(_at("data", 11, 3), 4), "channels": F.shiftright(_at("data", 13, 1), 1) % 8 + 1, "depth": _at("data", 13, 1) % 2 * 16 + F.shiftright(_at("data", 14, 1), 4) + 1, "frames": _at("data", 14, 5) % (1 << 36)}
-    return made.select("id", _at("data", 1, 2).alias("least_block"), _at("data", 3, 2).alias("most_block"), *[c.alias(n) for n, c in fields.items()])
+    return made.select("doc_id", _at("data", 1, 2).alias("least_block"), _at("data", 3, 2).alias("most_block"), *[c.alias(n) for n, c in fields.items()])
 
 
-@register("opus_heads", "SELECT id, cast(1 + id % 2 AS bigint) AS channels, 312 + id AS pre_skip, cast(48000 - id AS bigint) AS rate, cast(id % 600 - 300 AS bigint) AS gain_q8, 0::bigint AS family FROM range(1000) AS t(id)")
+@register("opus_heads", "SELECT doc_id, cast(1 + id % 2 AS bigint) AS channels, 312 + id AS pre_skip, cast(48000 - id AS bigint) AS rate, cast(id % 600 - 300 AS bigint) AS gain_q8, 0::bigint AS family FROM (SELECT doc_id, doc_id % 40000 AS id FROM documents) AS t WHERE doc_id % 10 <> 9")
 def _(s: SparkSession, d: str) -> DataFrame:
     from tonespark.functions.sample import little_endian_hex as le
 
-    i, byte = F.col("id"), F.lit("01")
-    made = s.range(1000).select("id", F.unhex(F.concat(F.lit("4F70757348656164"), byte, le(1 + i % 2, 1), le(312 + i, 2), le(48000 - i, 4), le(i % 600 - 300, 2), F.lit("00"))).alias("data"))
+    i, byte = F.col("id"), F.when(F.col("doc_id") % 10 == 9, "11").otherwise("01")  # a version from 16 on is refused
+    made = _ids(s, d, 40_000).select("doc_id", F.unhex(F.concat(F.lit("4F70757348656164"), byte, le(1 + i % 2, 1), le(312 + i, 2), le(48000 - i, 4), le(i % 600 - 300, 2), F.lit("00"))).alias("data"))
     good = (F.hex(F.substring("data", 1, 8)) == "4F70757348656164") & (_at("data", 9, 1) < 16)
     gain = _at("data", 17, 2, True)
-    return made.where(good).select("id", _at("data", 10, 1).alias("channels"), _at("data", 11, 2, True).alias("pre_skip"), _at("data", 13, 4, True).alias("rate"), F.when(gain >= 1 << 15, gain - (1 << 16)).otherwise(gain).alias("gain_q8"), _at("data", 19, 1).alias("family"))
+    return made.where(good).select("doc_id", _at("data", 10, 1).alias("channels"), _at("data", 11, 2, True).alias("pre_skip"), _at("data", 13, 4, True).alias("rate"), F.when(gain >= 1 << 15, gain - (1 << 16)).otherwise(gain).alias("gain_q8"), _at("data", 19, 1).alias("family"))
 
 
-@register("opus_packets", """WITH p AS (SELECT id, id % 256 AS b, id // 256 * 5 AS m FROM range(2560) AS t(id)), q AS (SELECT *, CASE WHEN b & 3 = 0 THEN 1 WHEN b & 3 < 3 THEN 2 ELSE m END AS frames,
+@register("opus_packets", """WITH p AS (SELECT doc_id, id % 256 AS b, id // 256 * 5 AS m FROM (SELECT doc_id, doc_id % 2560 AS id FROM documents) AS t), q AS (SELECT *, CASE WHEN b & 3 = 0 THEN 1 WHEN b & 3 < 3 THEN 2 ELSE m END AS frames,
 CASE WHEN b >> 3 < 12 THEN [10000, 20000, 40000, 60000][1 + (b >> 3) % 4] WHEN b >> 3 < 16 THEN [10000, 20000][1 + (b >> 3) % 2] ELSE [2500, 5000, 10000, 20000][1 + (b >> 3) % 4] END AS micros FROM p)
-SELECT id, cast(frames AS int) AS frames, cast(frames * micros AS bigint) AS micros, frames BETWEEN 1 AND 48 AND frames * micros <= 120000 AS valid FROM q""")
+SELECT doc_id, cast(frames AS int) AS frames, cast(frames * micros AS bigint) AS micros, frames BETWEEN 1 AND 48 AND frames * micros <= 120000 AS valid FROM q""")
 def _(s: SparkSession, d: str) -> DataFrame:
     packet = F.unhex(F.concat(F.lpad(F.hex(F.col("id") % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col("id") / 256) * 5), 2, "0")))
-    t = s.range(2560).select("id", packet.alias("data")).select("id", F.shiftright(_at("data", 1, 1), 3).alias("config"), (_at("data", 1, 1) % 4).alias("code"), (_at("data", 2, 1) % 64).alias("told"))
+    t = _ids(s, d, 2560).select("doc_id", packet.alias("data")).select("doc_id", F.shiftright(_at("data", 1, 1), 3).alias("config"), (_at("data", 1, 1) % 4).alias("code"), (_at("data", 2, 1) % 64).alias("told"))
     frames = F.when(F.col("code") == 0, 1).when(F.col("code") < 3, 2).otherwise(F.col("told"))
     micros = F.expr("CASE WHEN config < 12 THEN array(10000, 20000, 40000, 60000)[config % 4] WHEN config < 16 THEN array(10000, 20000)[config % 2] ELSE array(2500, 5000, 10000, 20000)[config % 4] END")
-    made = t.select("id", frames.cast("int").alias("frames"), micros.cast("long").alias("each"))
-    return made.select("id", "frames", (F.col("frames") * F.col("each")).alias("micros"), (F.col("frames").between(1, 48) & (F.col("frames") * F.col("each") <= 120_000)).alias("valid"))
+    made = t.select("doc_id", frames.cast("int").alias("frames"), micros.cast("long").alias("each"))
+    return made.select("doc_id", "frames", (F.col("frames") * F.col("each")).alias("micros"), (F.col("frames").between(1, 48) & (F.col("frames") * F.col("each") <= 120_000)).alias("valid"))
 
 
 # Helpers
@@ -313,22 +319,17 @@ def _(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register("noise_lcg", """WITH RECURSIVE n AS (SELECT 0 AS i, 42::bigint AS x UNION ALL SELECT i + 1, (x * 1664525 + 1013904223) % 4294967296 FROM n WHERE i < 63), m AS (SELECT i, (x - 2147483648) / 2147483648.0::double AS v FROM n WHERE i > 0)
-SELECT cast(i AS int) AS i, round(v / sqrt((SELECT avg(v * v) FROM m)), 9) AS x FROM m""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    fold = "aggregate(sequence(1, 63), array(42L), (a, i) -> concat(a, array((element_at(a, -1) * 1664525L + 1013904223L) % 4294967296L)))"
-    v = s.range(1).selectExpr(f"transform(slice({fold}, 2, 63), x -> (x - 2147483648L) / 2147483648D) AS v")
-    v = v.selectExpr("v", "sqrt(aggregate(v, 0D, (a, x) -> a + x * x) / 63) AS rms")
-    return v.select(F.posexplode("v").alias("p", "x"), "rms").select((F.col("p") + 1).alias("i"), F.round(F.col("x") / F.col("rms"), 9).alias("x"))
-
-
-@register("pulse_counts", "WITH RECURSIVE c AS (SELECT n, CASE WHEN n = 0 THEN 0 ELSE 1 END AS dummy FROM range(9) AS t(n)), v AS (SELECT n, k, CASE WHEN k = 0 THEN 1::bigint ELSE list_sum(list_transform(range(1, least(n, k) + 1), lambda j: (pow(2, j) * gamma(n + 1) / gamma(j + 1) / gamma(n - j + 1) * gamma(k) / gamma(j) / gamma(k - j + 1))::bigint))::bigint END AS ways FROM range(1, 9) AS a(n), range(9) AS b(k)) SELECT cast(n AS int) AS n, cast(k AS int) AS k, ways FROM v")
+@register("pulse_counts", f"{V}, w AS (SELECT n, k, CASE WHEN k = 0 THEN 1::bigint ELSE list_sum(list_transform(range(1, least(n, k) + 1), lambda j: (pow(2, j) * gamma(n + 1) / gamma(j + 1) / gamma(n - j + 1) * gamma(k) / gamma(j) / gamma(k - j + 1))::bigint))::bigint END AS ways FROM range(1, 9) AS a(n), range(9) AS b(k)), b AS (SELECT vec_id, g, cast(least(8, list_sum(list_transform(range(8), lambda i: abs(round(e[g * 8 + i + 1] * 8))))) AS int) AS k FROM v, range(8) AS t(g)) SELECT vec_id, cast(g AS int) AS band, b.k, ways FROM b JOIN w ON w.k = b.k AND n = 8")
 def _(s: SparkSession, d: str) -> DataFrame:
     # Row by row of the recursion V(n, k) = V(n - 1, k) + V(n, k - 1) + V(n - 1, k - 1), an array over k for each n.
     first = "array(transform(sequence(0, 8), k -> IF(k = 0, 1L, 2L)))"
     row = "aggregate(sequence(1, 8), array(1L), (a, k) -> concat(a, array(element_at(rows, -1)[k] + a[k - 1] + element_at(rows, -1)[k - 1])))"
     made = s.range(0, 1, 1, 1).select(F.posexplode(F.expr(f"aggregate(sequence(2, 8), {first}, (rows, n) -> concat(rows, array({row})))")).alias("i", "p"))
-    return made.select((F.col("i") + 1).alias("n"), F.posexplode("p").alias("k", "ways"))
+    ways = made.select((F.col("i") + 1).alias("n"), F.posexplode("p").alias("k", "ways")).where("n = 8").drop("n")
+    # Bands of 8 values with the pulses that they take: how many vectors of so many pulses there are.
+    band = vector_blocks(s, d).select("vec_id", "e", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("band"))
+    pulses = band.selectExpr("vec_id", "band", "cast(least(8D, aggregate(slice(e, band * 8 + 1, 8), 0D, (a, x) -> a + abs(round(x * 8)))) AS int) AS k")
+    return pulses.join(F.broadcast(ways), "k").select("vec_id", "band", "k", "ways")
 
 
 @register("gain_track", f"{E}, g AS (SELECT user_id, frame, sum(q % 7 - 3) OVER (PARTITION BY user_id ORDER BY frame) AS g FROM e) SELECT user_id, frame, cast(least(greatest(g, -20), 20) AS bigint) AS level, round(pow(10.0::double, least(greatest(g, -20), 20) / 20.0::double), 9) AS gain FROM g")

@@ -239,12 +239,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
 _I = f"(i + 0.5) / 64 * {PI}"
 
 
-@register("windows_64", f"""SELECT cast(i AS int) AS i, round(sin({_I}), 9) AS sine, round(0.5 - 0.5 * cos(2 * {PI} * i / 64), 9) AS hann, round(sin({PI} / 2 * pow(sin({_I}), 2)), 9) AS power_complementary,
-round(CASE WHEN i < 16 THEN 0.5 - 0.5 * cos({PI} * i / 16) WHEN i >= 48 THEN 0.5 - 0.5 * cos({PI} * (63 - i) / 16) ELSE 1.0 END, 9) AS tukey FROM range(64) AS t(i)""")
+@register("windows_64", f"""{V} SELECT vec_id, cast(i AS int) AS i, round(e[i + 1] * sin({_I}), 8) AS sine, round(e[i + 1] * (0.5 - 0.5 * cos(2 * {PI} * i / 64)), 8) AS hann, round(e[i + 1] * sin({PI} / 2 * pow(sin({_I}), 2)), 8) AS power_complementary,
+round(e[i + 1] * CASE WHEN i < 16 THEN 0.5 - 0.5 * cos({PI} * i / 16) WHEN i >= 48 THEN 0.5 - 0.5 * cos({PI} * (63 - i) / 16) ELSE 1.0 END, 8) AS tukey FROM v, range(64) AS t(i)""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return s.range(64).selectExpr(
-        "cast(id AS int) AS i", f"round(sin((id + 0.5D) / 64 * {PI}D), 9) AS sine", f"round(0.5D - 0.5D * cos(2 * {PI}D * id / 64), 9) AS hann", f"round(sin({PI}D / 2 * pow(sin((id + 0.5D) / 64 * {PI}D), 2)), 9) AS power_complementary",
-        f"round(CASE WHEN id < 16 THEN 0.5D - 0.5D * cos({PI}D * id / 16) WHEN id >= 48 THEN 0.5D - 0.5D * cos({PI}D * (63 - id) / 16) ELSE 1.0D END, 9) AS tukey",
+    """Blocks under each window."""
+    return vector_blocks(s, d).select("vec_id", F.posexplode("e").alias("i", "x")).selectExpr(
+        "vec_id", "i", f"round(x * sin((i + 0.5D) / 64 * {PI}D), 8) AS sine", f"round(x * (0.5D - 0.5D * cos(2 * {PI}D * i / 64)), 8) AS hann", f"round(x * sin({PI}D / 2 * pow(sin((i + 0.5D) / 64 * {PI}D), 2)), 8) AS power_complementary",
+        f"round(x * CASE WHEN i < 16 THEN 0.5D - 0.5D * cos({PI}D * i / 16) WHEN i >= 48 THEN 0.5D - 0.5D * cos({PI}D * (63 - i) / 16) ELSE 1.0D END, 8) AS tukey",
     )
 
 
@@ -275,13 +276,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 _BARK = "13 * atan(0.00076 * f) + 3.5 * atan(pow(f / 7500, 2))"
 
 
-@register("psychoacoustic_curves", f"""WITH t AS (SELECT i, (i + 1) * 187.5::double AS f FROM range(100) AS r(i)) SELECT cast(i AS int) AS i, round({_BARK}, 6) AS bark,
+@register("psychoacoustic_curves", f"""WITH t AS (SELECT event_id, 20 + value * 40 AS f FROM events) SELECT event_id, round({_BARK}, 6) AS bark,
 round(3.64 * pow(f / 1000, -0.8) - 6.5 * exp(-0.6 * pow(f / 1000 - 3.3, 2)) + 0.001 * pow(f / 1000, 4), 6) AS threshold,
 round(20 * log10(pow(12194.0::double, 2) * pow(f, 4) / ((f * f + pow(20.6, 2)) * sqrt((f * f + pow(107.7, 2)) * (f * f + pow(737.9, 2))) * (f * f + pow(12194.0::double, 2)))) + 2.0, 6) AS a_weight FROM t""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    t = s.range(100).selectExpr("cast(id AS int) AS i", "(id + 1) * 187.5D AS f")
+    """Of frequencies: those that the events' values stand for."""
+    t = _table(s, d, "events").selectExpr("event_id", "20 + value * 40 AS f")
     return t.selectExpr(
-        "i", "round(13 * atan(0.00076D * f) + 3.5D * atan(pow(f / 7500, 2)), 6) AS bark", "round(3.64D * pow(f / 1000, -0.8D) - 6.5D * exp(-0.6D * pow(f / 1000 - 3.3D, 2)) + 0.001D * pow(f / 1000, 4), 6) AS threshold",
+        "event_id", "round(13 * atan(0.00076D * f) + 3.5D * atan(pow(f / 7500, 2)), 6) AS bark", "round(3.64D * pow(f / 1000, -0.8D) - 6.5D * exp(-0.6D * pow(f / 1000 - 3.3D, 2)) + 0.001D * pow(f / 1000, 4), 6) AS threshold",
         "round(20 * log10(pow(12194D, 2) * pow(f, 4) / ((f * f + pow(20.6D, 2)) * sqrt((f * f + pow(107.7D, 2)) * (f * f + pow(737.9D, 2))) * (f * f + pow(12194D, 2)))) + 2.0D, 6) AS a_weight",
     )
 
@@ -395,11 +397,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
 # Headers and containers
 
 
-@register("toc_decode", """SELECT cast(b AS int) AS b, cast(b >> 3 AS int) AS config, cast(b & 3 AS int) AS code, (b & 4) <> 0 AS stereo,
+@register("toc_decode", """SELECT doc_id, cast(b AS int) AS b, cast(b >> 3 AS int) AS config, cast(b & 3 AS int) AS code, (b & 4) <> 0 AS stereo,
 CASE WHEN b >> 3 < 12 THEN 'silk' WHEN b >> 3 < 16 THEN 'hybrid' ELSE 'celt' END AS mode,
-cast(CASE WHEN b >> 3 < 12 THEN [10000, 20000, 40000, 60000][1 + (b >> 3) % 4] WHEN b >> 3 < 16 THEN [10000, 20000][1 + (b >> 3) % 2] ELSE [2500, 5000, 10000, 20000][1 + (b >> 3) % 4] END AS int) AS micros FROM range(256) AS t(b)""")
+cast(CASE WHEN b >> 3 < 12 THEN [10000, 20000, 40000, 60000][1 + (b >> 3) % 4] WHEN b >> 3 < 16 THEN [10000, 20000][1 + (b >> 3) % 2] ELSE [2500, 5000, 10000, 20000][1 + (b >> 3) % 4] END AS int) AS micros FROM (SELECT doc_id, cast('0x' || substr(md5(coalesce(text, '')), 1, 2) AS int) AS b FROM documents)""")
 def _(s: SparkSession, d: str) -> DataFrame:
-    t = s.range(256).selectExpr("cast(id AS int) AS b", "cast(shiftright(id, 3) AS int) AS config", "cast(id & 3 AS int) AS code", "(id & 4) <> 0 AS stereo")
+    """First bytes of packets: those of the documents' digests."""
+    packets = _table(s, d, "documents").selectExpr("doc_id", "unhex(md5(coalesce(text, ''))) AS packet")
+    b = packets.selectExpr("doc_id", "cast(conv(hex(substring(packet, 1, 1)), 16, 10) AS int) AS b")
+    t = b.selectExpr("doc_id", "b", "shiftright(b, 3) AS config", "b & 3 AS code", "(b & 4) <> 0 AS stereo")
     return t.selectExpr(
         "*", "CASE WHEN config < 12 THEN 'silk' WHEN config < 16 THEN 'hybrid' ELSE 'celt' END AS mode",
         "CASE WHEN config < 12 THEN array(10000, 20000, 40000, 60000)[config % 4] WHEN config < 16 THEN array(10000, 20000)[config % 2] ELSE array(2500, 5000, 10000, 20000)[config % 4] END AS micros",
@@ -594,4 +599,4 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 # Further modules register theirs with ``register``.
-from tonespark.plans import analysis_queries, file_queries  # noqa: E402, F401
+from tonespark.plans import analysis_queries, file_queries, framing_queries, scan_queries  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonespark.plans.catalogue import E, _table, register
-from tonespark.sources import files, packets
+from tonespark.sources import datasource, files, packets
 from tonespark.sources.signals import event_stream
 from tonespark.streaming.blocks import shared_path
 
@@ -131,3 +131,75 @@ def _(s: SparkSession, d: str) -> DataFrame:
     content = pages.select(F.concat(F.lit(b"junk"), F.unhex(F.concat_ws("", F.transform("s", lambda r: r["x"])))).alias("content"))
     back = packets.scan_packets(packets.good_pages(packets.split_pages(content)))
     return back.select("serial", "packet", "pages", "whole", F.md5("data").alias("md5"))
+
+
+def _saved(s: SparkSession, d: str, form: str, depth: int, **how: bool) -> str:
+    """A folder that the registered format wrote, a file for each event stream."""
+    datasource.register(s)
+    folder, e = shared_path(s, form), event_stream(s, d)
+    channel = F.col("v") if how.get("real") else F.shiftleft("q", depth - 16)
+    ordered = e.select("user_id", "frame", channel.alias("a")).repartition("user_id").sortWithinPartitions("user_id", "frame")
+    ordered.write.format(form).options(rate=48_000, depth=depth, **how).mode("append").save(folder)
+    return folder
+
+
+@register("wave_source_bytes", _WAVE_BYTES)
+def _(s: SparkSession, d: str) -> DataFrame:
+    folder = _saved(s, d, "wave", 16)
+    read = _user(s.read.format("binaryFile").load(folder).select("path", F.md5("content").alias("md5"), F.col("length").alias("bytes")))
+    counted = _user(s.read.format("wave").schema("path string, frame long").load(folder)).groupBy("user_id").agg(F.count("*").alias("frames"))
+    return read.join(counted, "user_id").select("user_id", "frames", "bytes", "md5")
+
+
+@register("wave_source_range", f"{E} SELECT user_id, frame, 0 AS ch, q FROM e WHERE frame >= 10 AND frame < 30 AND user_id % 2 = 1")
+def _(s: SparkSession, d: str) -> DataFrame:
+    made = _user(s.read.format("wave").option("pushFilters", True).schema("path string, frame long, ch int, q long").load(_saved(s, d, "wave", 16)))
+    return made.where("frame >= 10 and frame < 30 and ch = 0 and user_id % 2 = 1").select("user_id", "frame", "ch", "q")
+
+
+@register("aiff_source_blocks", f"{E} SELECT user_id, frame // 16 AS block, count(*) AS n, round(sum(q / 32768.0::double), 4) AS total FROM e GROUP BY ALL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    made = _user(s.read.format("aiff").option("block", 16).option("partitionBytes", 1 << 16).load(_saved(s, d, "aiff", 24)))
+    return made.select("user_id", F.floor(F.col("first") / 16).alias("block"), F.size("x").cast("long").alias("n"), F.round(F.expr("aggregate(x, 0D, (a, v) -> a + v)"), 4).alias("total"))
+
+
+@register("pcm_source_scan", f"{E} SELECT user_id, frame, cast(round(v * 102400) AS bigint) AS hundredths FROM e")
+def _(s: SparkSession, d: str) -> DataFrame:
+    folder = _saved(s, d, "pcm", 32, real=True, little=False)
+    made = s.read.format("pcm").options(depth=32, real=True, little=False).load(folder)
+    return _user(made).select("user_id", "frame", F.round(F.col("x") * 102400).cast("long").alias("hundredths"))
+
+
+def _grow(folder: str, share: float):
+    """Writes the first ``share`` of the bytes of each file again, below ``folder``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, base = files._open(folder)
+                system.create_dir(base, recursive=True)
+                name = path.rpartition("/")[2]
+                with system.open_output_stream(f"{base}/.{name}") as f:
+                    f.write(content[: int(len(content) * share)])
+                system.move(f"{base}/.{name}", f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return run
+
+
+@register("wave_source_stream", f"{E} SELECT user_id, frame, q FROM e")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Files grow between two runs of a stream: those of the first end within a frame or the head."""
+    written, folder = _saved(s, d, "wave", 16), shared_path(s, "growing")
+    content = s.read.format("binaryFile").load(written).select("path", "content")
+    for share in (0.37, 1.0):
+        content.mapInArrow(_grow(folder, share), "n long").agg(F.sum("n")).collect()
+        stream = s.readStream.format("wave").schema("path string, frame long, q long").load(folder)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}-state").start(f"{folder}-rows")
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return _user(s.read.schema("path string, frame long, q long").parquet(f"{folder}-rows")).select("user_id", "frame", "q")

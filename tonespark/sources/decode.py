@@ -29,6 +29,22 @@ def decode(raw: bytes, octets: int, little: bool, offset: bool, real: bool) -> t
     return q, q / half
 
 
+def decode_float(raw: bytes, octets: int, little: bool, offset: bool, real: bool) -> np.ndarray:
+    """Values of full scale 1 in single precision alone, by one pass."""
+    order = "<" if little else ">"
+    if real:
+        return np.frombuffer(raw, f"{order}f{octets}").astype(np.float32)
+    if octets == 3:  # as the upper bytes of 32 bits
+        q = np.zeros((len(raw) // 3, 4), np.uint8)
+        q[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)[:, :: 1 if little else -1]
+        q = q.view("<i4").ravel() ^ np.int32(-(1 << 31) if offset else 0)
+        return np.multiply(q, np.float32(2.0**-31), dtype=np.float32, casting="unsafe")
+    q = np.frombuffer(raw, f"{order}u{octets}" if offset else f"{order}i{octets}")
+    if offset:
+        return (q.astype(np.int64) - (1 << (8 * octets - 1))).astype(np.float32) * np.float32(0.5 ** (8 * octets - 1))
+    return np.multiply(q, np.float32(0.5 ** (8 * octets - 1)), dtype=np.float32, casting="unsafe")
+
+
 def encode(values: np.ndarray, octets: int, little: bool, offset: bool, real: bool) -> bytes:
     """The bytes that ``decode`` reads."""
     order = "<" if little else ">"

@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 from urllib.parse import unquote, urlparse
 
@@ -19,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonespark.sources.decode import decode, encode
+from tonespark.sources.decode import decode, decode_float, encode
 
 RANGE_FRAMES = 1 << 18
 #: Kinds of AIFC samples (little-endian, float), and the identifier tail of an extensible WAVE format.
@@ -167,8 +168,14 @@ def raw_headers(files: DataFrame, channels: int, depth: int, little: bool = True
     return files.select("path", *[c.alias(n) for n, c in told.items()]).withColumn("seconds", F.col("frames") / F.col("rate"))
 
 
-def _ranges(headers: DataFrame, first: int, end: int | None, frames: int, make: Callable[[dict[str, Any], np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``make`` gives for each range of up to ``frames`` frames (its row, integers and values by frame and channel)."""
+def dealt(work: DataFrame, *by: str) -> DataFrame:
+    """Small rows that stand for much work, dealt to as many tasks as a shuffle has: a number of its own keeps adaptive
+    execution from joining partitions by the few bytes that these rows have."""
+    return work.repartition(int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _ranges(headers: DataFrame, first: int, end: int | None, frames: int, make: Callable[[dict[str, Any], bytes], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``make`` gives for each range of up to ``frames`` frames (its row and bytes)."""
     stop = F.col("frames") if end is None else F.least(F.col("frames"), F.lit(end).cast("long"))
     good = headers.where(F.col("status").isin("ok", "truncated")).withColumn("stop", stop).where(F.col("stop") > first)
     part = F.explode(F.sequence(F.lit(first // frames).cast("long"), F.floor((F.col("stop") - 1) / frames)))
@@ -178,14 +185,17 @@ def _ranges(headers: DataFrame, first: int, end: int | None, frames: int, make:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                align, (system, path) = row["channels"] * row["octets"], _open(row["path"])
-                with system.open_input_file(path) as f:
-                    f.seek(row["data_start"] + row["begin"] * align)
-                    raw = f.read(row["n"] * align)
-                yield make(row, *decode(raw[: len(raw) // align * align], row["octets"], row["little"], row["offset"], row["real"]))
+            rows = sorted(batch.to_pylist(), key=lambda r: (r["path"], r["begin"]))
+            for path, own in groupby(rows, key=lambda r: r["path"]):  # a file is opened once a batch
+                system, plain = _open(path)
+                with system.open_input_file(plain) as f:
+                    for row in own:
+                        align = row["channels"] * row["octets"]
+                        f.seek(row["data_start"] + row["begin"] * align)
+                        raw = f.read(row["n"] * align)
+                        yield make(row, raw[: len(raw) // align * align])
 
-    return work.repartition("path", "begin").mapInArrow(run, schema)
+    return dealt(work, "path", "begin").mapInArrow(run, schema)
 
 
 def scan(headers: DataFrame, first: int = 0, end: int | None = None, frames: int = RANGE_FRAMES) -> DataFrame:
@@ -196,7 +206,8 @@ def scan(headers: DataFrame, first: int = 0, end: int | None = None, frames: int
     give no rows.
     """
 
-    def make(row: dict[str, Any], q: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def make(row: dict[str, Any], raw: bytes) -> pa.RecordBatch:
+        q, x = decode(raw, row["octets"], row["little"], row["offset"], row["real"])
         i = np.arange(len(q))
         return pa.RecordBatch.from_arrays(
             [pa.array([row["path"]] * len(q), pa.string()), pa.array(row["begin"] + i // row["channels"]), pa.array((i % row["channels"]).astype(np.int32)), pa.array(q, mask=np.full(len(q), row["real"])), pa.array(x)],
@@ -210,11 +221,12 @@ def scan_blocks(headers: DataFrame, first: int = 0, end: int | None = None, bloc
     """``path, first, ch, x`` of the same frames: up to ``block`` values of full scale 1 of a channel as one array of
     floats, which is several times as fast as a row a sample. Blocks begin at multiples of ``block``, or at ``first``."""
 
-    def make(row: dict[str, Any], q: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def make(row: dict[str, Any], raw: bytes) -> pa.RecordBatch:
+        x = decode_float(raw, row["octets"], row["little"], row["offset"], row["real"])
         n = len(x) // row["channels"]
         to_edge = -row["begin"] % block
         cuts = sorted({0, *range(to_edge, n, block), n})
-        by_channel = x.astype(np.float32).reshape(n, row["channels"]).T
+        by_channel = x.reshape(n, row["channels"]).T
         size = np.tile(np.diff(cuts), row["channels"])
         values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.ascontiguousarray(by_channel).ravel()))
         starts = np.tile(np.array(cuts[:-1], np.int64), row["channels"])
