@@ -599,4 +599,4 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 # Further modules register theirs with ``register``.
-from tonespark.plans import analysis_queries, code_queries, file_queries, framing_queries, scan_queries  # noqa: E402, F401
+from tonespark.plans import analysis_queries, code_queries, file_queries, framing_queries, scan_queries, spectra_queries  # noqa: E402, F401
