@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonespark.functions.sample import magnitude_bits
-from tonespark.operators import codes
+from tonespark.operators import codebooks, codes
 from tonespark.plans.catalogue import E, V, register
 from tonespark.sources.signals import event_stream, vector_blocks
 
@@ -51,3 +52,16 @@ def _(s: SparkSession, d: str) -> DataFrame:
     paid = codes.within_budget(steps, budget).groupBy("vec_id", "band").agg(F.count("*").alias("n"))
     every = band.select("vec_id", "band")
     return every.join(paid, ["vec_id", "band"], "left").select("vec_id", "band", F.coalesce("n", F.lit(0).cast("long")).alias("bits"))
+
+
+@register("beam_words", f"""{V}, a AS (SELECT vec_id AS k, e AS y FROM v WHERE vec_id < 8), b AS (SELECT vec_id - 8 AS k, list_transform(e, lambda x: x / 2) AS y FROM v WHERE vec_id BETWEEN 8 AND 15),
+c AS (SELECT cast(a.k AS int) AS first, cast(b.k AS int) AS second, list_transform(range(64), lambda i: a.y[i + 1] + b.y[i + 1]) AS y FROM a, b),
+d AS (SELECT vec_id, first, second, list_sum(list_transform(range(64), lambda i: pow(e[i + 1] - y[i + 1], 2))) AS error FROM v, c)
+SELECT vec_id, first, second, round(error, 7) AS error FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY error, first, second) = 1""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Two stages, their entries taken from the first vectors; a beam of all choices is a full search."""
+    v = vector_blocks(s, d).select("vec_id", F.col("e").alias("x"))
+    first = {r.vec_id: np.array(r.x) for r in v.where("vec_id < 16").collect()}
+    books = [np.stack([first[k] for k in range(8)]), np.stack([first[k] for k in range(8, 16)]) / 2]
+    made = codebooks.encode(v, books, 64)
+    return made.select("vec_id", F.get("words", F.lit(0)).alias("first"), F.get("words", F.lit(1)).alias("second"), F.round("error", 7).alias("error"))
