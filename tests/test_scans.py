@@ -89,3 +89,15 @@ def test_one_long_stream_is_many_tasks(spark):
         y.append(v + 0.99 * y[-1] - 0.1 * y[-2])
     got = made.orderBy("frame").select("y").toPandas()["y"].to_numpy()
     assert np.allclose(got, y[2:], rtol=1e-9, atol=1e-9)
+
+
+def test_digests_of_streams(spark):
+    import hashlib
+
+    from tonespark.functions import checksums
+
+    rows = [(u, f, bytes([f % 256]) * (f % 5)) for u, n in ((1, 1000), (2, 1), (3, 7), (None, 3)) for f in range(n)] + [(2, 1, None)]
+    df = spark.createDataFrame(rows, "user_id long, frame long, data binary").repartition(5)
+    got = {r.user_id: r.md5 for r in checksums.ordered_md5(df, "user_id", "frame", "data").collect()}
+    assert got == {u: hashlib.md5(b"".join(x for v, _, x in rows if v == u and x)).hexdigest() for u in (1, 2, 3, None)}
+    assert checksums.ordered_md5(df.where("false"), "user_id", "frame", "data").count() == 0

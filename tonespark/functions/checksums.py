@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that one chunk holds (a power of two), and about so many that are worked on at once.
@@ -86,3 +89,34 @@ CRC8 = (8, 0x07, 0)
 CRC16 = (16, 0x8005, 0)
 CRC16_SIDE = (16, 0x8005, 0xFFFF)
 CRC32_PAGE = (32, 0x04C11DB7, 0)
+
+
+def ordered_md5(rows: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """``key, md5``: the digest of each key's bytes ``data`` one after the other by ``order``, null ones left out.
+
+    A key's rows are sorted and streamed through one task, which holds a digest's state alone: bytes of any length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+
+        def given(keys: list, digests: list[str], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(digests, pa.string())], [key, "md5"])
+
+        kind = None
+        for batch in batches:
+            kind, keys, done = batch.schema.field(0).type, batch.column(0).to_pylist(), []
+            cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else [0]
+            for a, b in zip(cut, cut[1:], strict=False):
+                if digest is None or keys[a] != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest = keys[a], hashlib.md5()
+                digest.update(b"".join(x for x in batch.column(2).slice(a, b - a).to_pylist() if x is not None))
+            if done:
+                yield given(*map(list, zip(*done, strict=True)), kind)
+        if digest is not None:
+            yield given([now], [digest.hexdigest()], kind)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, order, data).repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"`{key}` {kind}, md5 string")

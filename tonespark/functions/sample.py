@@ -33,6 +33,24 @@ def magnitude_bits(v: Column) -> Column:
     return F.when(folded == 0, F.lit(1)).otherwise(F.length(F.bin(folded)) + 1).cast("int")
 
 
+def to_log(v: Column, steps: int = 128) -> Column:
+    """Logarithm to base 2 in ``steps`` whole steps an octave; of what is below 1, that of 1."""
+    return F.round(F.log2(F.greatest(v, F.lit(1)).cast("double")) * steps).cast("long")
+
+
+def from_log(y: Column, steps: int = 128) -> Column:
+    return F.pow(F.lit(2.0), y / F.lit(float(steps)))
+
+
+def power_compand(v: Column, exponent: float = 0.75) -> Column:
+    """Whole numbers whose steps grow with the value: the magnitude's power, rounded, with the sign."""
+    return (F.signum(v) * F.round(F.pow(F.abs(v).cast("double"), F.lit(exponent)))).cast("long")
+
+
+def power_expand(y: Column, exponent: float = 0.75) -> Column:
+    return F.signum(y) * F.pow(F.abs(y).cast("double"), F.lit(1 / exponent))
+
+
 def decibels(power_ratio: Column) -> Column:
     return F.lit(10.0) * F.log10(power_ratio)
 

@@ -122,6 +122,25 @@ def cheapest_stereo(frames: DataFrame, block: int = 64) -> DataFrame:
     return sums.select("user_id", "block", best["mode"].alias("mode"), best["cost"].alias("cost"))
 
 
+def restore_sided(frames: DataFrame) -> DataFrame:
+    """``right_back`` from left and side, ``left_back`` from side and right."""
+    return frames.withColumns({"right_back": F.col("l") - F.col("side"), "left_back": F.col("side") + F.col("r")})
+
+
+def coded_stereo(frames: DataFrame, block: int = 64, most: int = 30) -> DataFrame:
+    """The channel assignment of the fewest coded bits, by block: 0 left and right, 1 left and side, 2 side and right, 3 mid
+    and side, of equal ones the lowest; each channel under its best Rice parameter, which takes 5 bits."""
+    ms = mid_side(frames).withColumn("block", block_of(block))
+    channels = F.array(*[F.struct(F.lit(c).alias("ch"), F.col(c).alias("v")) for c in ("l", "r", "mid", "side")])
+    each = ms.select("user_id", "block", F.explode(channels).alias("c")).select("user_id", "block", "c.ch", zigzag(F.col("c.v")).alias("u"))
+    least = rice_costs(each, ["user_id", "block", "ch"], most).groupBy("user_id", "block", "ch").agg((F.min("bits") + 5).alias("bits"))
+    own = lambda c: F.max(F.when(F.col("ch") == c, F.col("bits"))).alias(c)
+    by = least.groupBy("user_id", "block").agg(*[own(c) for c in ("l", "r", "mid", "side")])
+    modes = (("l", "r"), ("l", "side"), ("side", "r"), ("mid", "side"))
+    best = F.array_min(F.array(*[F.struct((F.col(a) + F.col(b)).alias("bits"), F.lit(i).alias("mode")) for i, (a, b) in enumerate(modes)]))
+    return by.select("user_id", "block", best["mode"].alias("mode"), best["bits"].alias("bits"))
+
+
 def attacks(stream: DataFrame, block: int = 8, ratio: float = 4.0) -> DataFrame:
     """Blocks whose high-passed energy is over ``ratio`` times that of the block before."""
     high = halo.looking_back(stream, 1, lambda w: {"h": F.col("q") - F.lag("q").over(w)}).withColumn("block", block_of(block))

@@ -113,8 +113,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @register("md5_of_samples", f"{E} SELECT user_id, md5(string_agg(format('{{:04x}}', q & 65535), '' ORDER BY frame)) AS md5 FROM e GROUP BY user_id")
 def _(s: SparkSession, d: str) -> DataFrame:
     hexed = F.lower(F.lpad(F.hex(F.col("q").bitwiseAND(F.lit(65535).cast("long"))), 4, "0"))
-    rows = event_stream(s, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("frame", hexed.alias("x")))).alias("s"))
-    return rows.select("user_id", F.md5(F.concat_ws("", F.transform("s", lambda r: r["x"]))).alias("md5"))
+    rows = event_stream(s, d).select("user_id", "frame", hexed.cast("binary").alias("data"))
+    return checksums.ordered_md5(rows, "user_id", "frame", "data")
 
 
 # Prediction

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonespark.functions import bits, checksums
-from tonespark.functions.sample import float_to_int, int_to_float, magnitude_bits, unzigzag, zigzag
+from tonespark.functions.sample import float_to_int, from_log, int_to_float, magnitude_bits, power_compand, power_expand, to_log, unzigzag, zigzag
 from tonespark.operators import halo, metrics, ordered
 from tonespark.operators.ordered import block_of, by_frame
 from tonespark.sources import containers, packets, signals
@@ -119,6 +119,27 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return vector_blocks(s, d).select("vec_id", *[F.round(F.col("e")[k], 9).alias(f"x{n}") for n, k in enumerate((0, 2, 1, 5, 3, 4))])
 
 
+#: Where each channel of a stream of 3 to 8 stands in the order of its container.
+CHANNEL_ORDERS = ((0, 2, 1), (0, 1, 2, 3), (0, 2, 1, 3, 4), (0, 2, 1, 5, 3, 4), (0, 2, 1, 6, 4, 3, 5), (0, 2, 1, 7, 5, 6, 3, 4))
+
+
+@register("channel_orders", " UNION ALL ".join([f"{V} SELECT vec_id, {len(o)} AS channels, {n} AS place, round(e[{k + 1}], 9) AS x FROM v" if not i + n else f"SELECT vec_id, {len(o)}, {n}, round(e[{k + 1}], 9) FROM v" for i, o in enumerate(CHANNEL_ORDERS) for n, k in enumerate(o)]))
+def _(s: SparkSession, d: str) -> DataFrame:
+    orders = F.explode(F.array(*[F.struct(F.lit(len(o)).alias("channels"), F.array(*map(F.lit, o)).alias("o")) for o in CHANNEL_ORDERS])).alias("c")
+    each = vector_blocks(s, d).select("vec_id", "e", orders).select("vec_id", "e", "c.channels", F.posexplode("c.o").alias("place", "of"))
+    return each.select("vec_id", "channels", "place", F.round(F.get("e", F.col("of")), 9).alias("x"))
+
+
+_LOG = "cast(round(log2(greatest(q, 1)::double) * 128) AS bigint)"
+_POWER = "cast(sign(q - 8000) * round(pow(abs(q - 8000), 0.75)) AS bigint)"
+
+
+@register("companding", f"{E} SELECT user_id, frame, {_LOG} AS log_q7, round(pow(2.0::double, {_LOG} / 128.0), 6) AS back, {_POWER} AS power, round(sign({_POWER}) * pow(abs({_POWER})::double, 1 / 0.75::double), 6) AS expanded FROM e")
+def _(s: SparkSession, d: str) -> DataFrame:
+    made = event_stream(s, d).select("user_id", "frame", to_log(F.col("q")).alias("log_q7"), power_compand(F.col("q") - 8000).alias("power"))
+    return made.withColumns({"back": F.round(from_log(F.col("log_q7")), 6), "expanded": F.round(power_expand(F.col("power")), 6)})
+
+
 # Prediction
 
 
@@ -224,6 +245,20 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return ordered.cheapest_stereo(ordered.pairs(event_stream(s, d)))
 
 
+@register("sided_restored", f"{_PAIRS} SELECT user_id, frame, l, r, l AS left_back, r AS right_back FROM p")
+def _(s: SparkSession, d: str) -> DataFrame:
+    made = ordered.mid_side(ordered.pairs(event_stream(s, d))).select("user_id", "frame", "l", "r", "side")
+    return ordered.restore_sided(made).select("user_id", "frame", "l", "r", "left_back", "right_back")
+
+
+@register("stereo_coded", f"""{_PAIRS}, c AS (SELECT user_id, frame // 64 AS block, unnest(['l', 'r', 'm', 's']) AS ch, unnest([l, r, (l + r) >> 1, l - r]) AS v FROM p),
+k AS (SELECT user_id, block, ch, k, sum(((CASE WHEN v < 0 THEN -2 * v - 1 ELSE 2 * v END) >> k) + 1 + k) AS bits FROM c, range(31) AS t(k) GROUP BY ALL),
+b AS (SELECT user_id, block, ch, min(bits) + 5 AS bits FROM k GROUP BY ALL), w AS (SELECT user_id, block, max(bits) FILTER (ch = 'l') AS l, max(bits) FILTER (ch = 'r') AS r, max(bits) FILTER (ch = 'm') AS m, max(bits) FILTER (ch = 's') AS s FROM b GROUP BY ALL)
+SELECT user_id, block, CASE least(l + r, l + s, r + s, m + s) WHEN l + r THEN 0 WHEN l + s THEN 1 WHEN r + s THEN 2 ELSE 3 END AS mode, cast(least(l + r, l + s, r + s, m + s) AS bigint) AS bits FROM w""")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return ordered.coded_stereo(ordered.pairs(event_stream(s, d)))
+
+
 @register("square_polar_inverse", f"""{V} SELECT vec_id, cast(i AS int) AS i,
 round(CASE WHEN e[i + 1] > 0 AND e[i + 33] <= 0 THEN e[i + 1] + e[i + 33] WHEN e[i + 1] <= 0 AND e[i + 33] <= 0 THEN e[i + 1] - e[i + 33] ELSE e[i + 1] END, 9) AS mag,
 round(CASE WHEN e[i + 33] <= 0 THEN e[i + 1] WHEN e[i + 1] > 0 THEN e[i + 1] - e[i + 33] ELSE e[i + 1] + e[i + 33] END, 9) AS ang FROM v, range(32) AS t(i)""")
