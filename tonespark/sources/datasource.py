@@ -254,7 +254,8 @@ class Writer(ds.DataSourceArrowWriter):
 
     A stream's rows have to be in one task and in ascending frames (``repartition`` and ``sortWithinPartitions`` by the
     two), else the job fails; null streams and frames are an error too. Tasks write below ``_temporary``; files get their
-    names when all tasks are done, so a task that runs twice leaves one.
+    names when all tasks are done, so a task that runs twice leaves one. A task that still runs when its job fails may leave
+    files there, which readers pass over.
     """
 
     def __init__(self, source: Samples, schema: T.StructType, overwrite: bool):
