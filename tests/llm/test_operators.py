@@ -713,8 +713,24 @@ def test_words_made_to_collide_are_told_apart_by_models_and_fingerprints(spark,
     assert len({made[i].fingerprint for i in range(4)}) == 4 and made[1].near_next < 1 and made[2].near_next < 1
     buf, off = text_bytes(pa.array([f"{a} {b} {c} {a}"]))
     starts, ends, _ = words.spans(buf, off)
-    digests, which = wordids.word_digests(buf, starts, ends)
-    assert len(digests) == 3 and which[0] == which[3] and len({tuple(d) for d in digests.tolist()}) == 3
+    for make in (wordids.word_digests, wordids.word_keys):
+        digests, which = make(buf, starts, ends)
+        assert len(digests) == 3 and which[0] == which[3] and len({tuple(d) for d in digests.tolist()}) == 3
+
+
+def test_keys_of_words_are_equal_for_equal_words_alone(monkeypatch):
+    from tonespark.llm import wordids, words
+
+    r = random.Random(8)
+    made = [bytes(r.choice(b"ab\xc3") for _ in range(r.choice((1, 2, 3, 7, 8, 9, 15, 16, 17, 300)))) for _ in range(3000)]
+    buf = np.frombuffer(b" ".join(made), np.uint8)
+    starts, ends, _ = words.spans(buf, np.array([0, len(buf)]))
+    for mix in (wordids.mix, lambda x: x & np.uint64(1)):  # spread, or with two first halves for all
+        monkeypatch.setattr(wordids, "mix", mix)
+        keys, which = wordids.word_keys(buf, starts, ends)
+        assert len(keys) == len({tuple(k) for k in keys.tolist()}) and which.max() == len(keys) - 1
+        if mix(np.full(1, 5, np.uint64))[0] != 1:
+            assert len(keys) == len(set(made)) and {tuple(keys[k].tolist()): w for k, w in zip(which.tolist(), made, strict=True)} == {tuple(wordids.key_of(w)[0].tolist()): w for w in made}
 
 
 def test_model_of_many_word_ranges(spark):
@@ -731,3 +747,35 @@ def test_texts_are_edited_by_bytes(spark, monkeypatch):
     whole = sorted(map(tuple, imatch.with_edits(df).collect()))
     monkeypatch.setattr(imatch, "EDIT_BYTES", 3000)
     assert sorted(map(tuple, imatch.with_edits(df).collect())) == whole and len(whole) == 21
+
+
+def test_texts_of_megabytes(spark):
+    """One text of 5 MB among short ones: nothing is cut, and what can be counted plainly is."""
+    import tiktoken
+    import tokenizers
+
+    r = random.Random(11)
+    kinds = ["".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(2, 9))) for _ in range(9000)]
+    words = [kinds[r.randrange(9000)] for _ in range(800_000)]
+    words[700_000:700_040] = words[100:140]  # a passage that stands earlier
+    text = " ".join(words)
+    assert len(text) > 5_000_000
+    df = spark.createDataFrame([(1, text, "aa"), (2, "kurz und gut", "bb"), (3, None, "bb"), (4, " ".join(words[:200]), "aa")], "doc_id long, text string, lang string").repartition(2)
+    made = by_id(langid.label(df, langid.fit(df, F.lit(True))))
+    assert made[1].lang_pred == "aa" and made[1].spans[-1].end == len(words)
+    near = by_id(ngram_join.near_duplicates(df))
+    assert near[1].n_shingles == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) and near[1].n_links == 0
+    prints = by_id(imatch.with_edits(df))
+    assert prints[1].n_chars == len(text) and prints[1].near_edited > prints[1].near_next
+    scored = by_id(kneser_ney.score(df, kneser_ney.fit(df, F.col("doc_id") == 1)))
+    assert scored[1].n_tokens == scored[1].n_known == scored[1].train_tokens == len(words) + 1 and scored[1].score > scored[1].base_score
+    kept = by_id(substring.remove_repeats(df))
+    assert kept[1].n_words == len(words) and kept[1].n_removed == 40 and kept[4].n_removed == 200
+    with open(P.path("byte_bpe_multi_50k.tiktoken")) as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ids = np.array(tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text), "<u4")
+    coded = by_id(bpe.round_trip(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN))
+    assert coded[1].n_tokens == len(ids) and coded[1].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and coded[1].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    own = sorted((p for p in packing.pack_documents(df, P.path("word_bpe_49k.json")).collect() if p.doc_id == 1), key=lambda p: p.start)
+    whole = np.array([*tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, 1], "<u4")
+    assert own[0].doc_tokens == len(whole) == sum(p.length for p in own) and all(p.ids_crc32 == zlib.crc32(whole[p.start : p.start + p.length].tobytes()) for p in own)

@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney n-gram model of any order.
 
 Words and n-grams are counted in Spark: tasks sum what they read, ranges of hashes are summed again, and each range is
-written to the shared folder as sorted arrays. A word's id is its place in the sorted array of the 128-bit digests of all words. An
+written to the shared folder as sorted arrays. A word's id is its place in the sorted array of the 128-bit keys of all words, which no two words share. An
 n-gram goes to the range of its first word, of its context if that word is frequent, and n-grams whose context has
 frequent words only are spread by their last word too; the sums of such a context are gathered in a second step. The distinct n-grams of a range give the counts of
 the next lower order. Workers memory-map the arrays and find what a slice of texts asks by binary search. The driver
@@ -10,7 +10,6 @@ gets a row per range of words, of which there are WORD_RANGES at most, and a few
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -23,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespark.llm.scratch import mapped_dir
-from tonespark.llm.wordids import word_digests
+from tonespark.llm.wordids import key_of, word_keys
 from tonespark.llm.words import LOWER, buckets, cut, mix, slices, spans
 
 ORDER = 3
-#: The end's digest is that of a space, which no word is.
-END = np.frombuffer(hashlib.blake2b(b" ", digest_size=16).digest(), "<u8").reshape(1, 2)
+#: The end's key is that of a space, which no word is.
+END = key_of(b" ")
 RANGE_WORDS, WORD_RANGES = 1_000_000, 4096
 RANGE_GRAMS = 1_000_000
 #: At most so many ranges are told apart at once; more take two steps.
@@ -84,7 +83,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _summed_words(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for digests, sorted as pairs."""
+    """The same for keys of words, sorted as pairs."""
     order = np.lexsort((keys[:, 1], keys[:, 0]))
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]).any(axis=1)]))
@@ -92,7 +91,7 @@ def _summed_words(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _word_rows(keys: np.ndarray, counts: np.ndarray, ranges: int, step: int) -> list[tuple]:
-    """Rows of sorted digests by range; with ``step`` over 1, by groups of so many ranges."""
+    """Rows of sorted keys by range; with ``step`` over 1, by groups of so many ranges."""
     return [_row(b, 0, np.ascontiguousarray(keys[own]), counts[own]) for b, own in _by(buckets(keys[:, 0], ranges) // step * step)]
 
 
@@ -178,15 +177,18 @@ def before(values: np.ndarray, at: np.ndarray, back: int, start: Any) -> np.ndar
 
 def _within(values: np.ndarray | Ids, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Where ``x[i]`` is, or would be, in the sorted ``values[low[i]:high[i]]``."""
-    low, high = low.copy(), high.copy()
-    live = np.flatnonzero(low < high)
+    out, live = low.copy(), np.flatnonzero(low < high)
+    low, high, x = low[live], high[live], x[live]
     while len(live):
-        middle = (low[live] + high[live]) // 2
-        less = values[middle] < x[live]
-        low[live] = np.where(less, middle + 1, low[live])
-        high[live] = np.where(less, high[live], middle)
-        live = live[low[live] < high[live]]
-    return low
+        middle = (low + high) >> 1
+        less = values[middle] < x
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        left = low < high
+        if not left.all():
+            done = ~left
+            out[live[done]] = low[done]
+            live, low, high, x = live[left], low[left], high[left], x[left]
+    return out
 
 
 #: Arrays of a file of n-grams.
@@ -213,12 +215,13 @@ class Grams:
         long = np.flatnonzero(size > SHORT)
         if len(long):
             out[long] = self.long_sums[np.searchsorted(self.long_starts, low[long])]
-        live = np.flatnonzero(size <= SHORT)
-        for j in range(SHORT):
-            live = live[size[live] > j]
-            c = self.counts(low[live] + j)
+        short = np.flatnonzero((size > 0) & (size <= SHORT))
+        if len(short):
+            n = size[short]
+            begin = np.cumsum(n) - n
+            c = self.counts(np.repeat(low[short] - begin, n) + np.arange(n.sum()))
             for name, x in (("one", c == 1), ("two", c == 2), ("more", c > 2), ("total", c)):
-                out[name][live] += x.astype(out[name].dtype)
+                out[name][short] = np.add.reduceat(x.astype(np.int64), begin)
         return out
 
 
@@ -264,15 +267,15 @@ class Model:
             keys.append(key)
         return np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
 
-    def look_up(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and training counts of distinct words, by their digests."""
-        order = np.argsort(digests[:, 0])
+    def look_up(self, word_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and training counts of distinct words, by their keys."""
+        order = np.argsort(word_key[:, 0])
         ids, counts = np.full(len(order), -1, np.int64), np.zeros(len(order), np.int64)
-        for b, s in cut(digests[order, 0], self.ranges):
+        for b, s in cut(word_key[order, 0], self.ranges):
             keys, more, n = self._words(b)
-            asked, own = digests[order[s]], order[s]
+            asked, own = word_key[order[s]], order[s]
             i = np.searchsorted(keys, asked[:, 0])
-            while len(own):  # once, unless digests agree in their first halves
+            while len(own):  # once, unless keys agree in their first halves
                 held = i < len(keys)
                 own, i, asked = own[held], i[held], asked[held]
                 held = keys[i] == asked[:, 0]
@@ -297,9 +300,9 @@ class Model:
     def ids_of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and training counts of the tokens of each row, and the places where rows begin."""
         starts, ends, at = spans(buf, off)
-        digests, which = word_digests(LOWER[buf], starts, ends)
-        ids, counts = self.look_up(np.concatenate([digests, END]))
-        which, at = tokens(which, at, len(digests))
+        keys, which = word_keys(LOWER[buf], starts, ends)
+        ids, counts = self.look_up(np.concatenate([keys, END]))
+        which, at = tokens(which, at, len(keys))
         return ids[which], counts[which], at
 
     def context(self, columns: list[np.ndarray]) -> np.ndarray:
@@ -353,12 +356,13 @@ class Model:
         """Parts of a group in the first of two steps; 1 if one step will do."""
         return -(-self.ranges_of(k) // self.fan)
 
-    def level(self, columns: list[np.ndarray], frequent: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
-        """P(last column | columns before) from that with one column less; ids below 0 are unknown."""
+    def level(self, columns: list[np.ndarray], ranks: list[np.ndarray], frequent: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+        """P(last column | columns before) from that with one column less; ids below 0 are unknown. ``ranks`` sort like
+        the ids and are small."""
         k, d = len(columns), np.array(self.discounts[len(columns) - 1])
         known = np.flatnonzero(np.all([c >= 0 for c in columns[:-1]], axis=0))
         # In the order in which they are stored, neighbours ask for neighbours.
-        known = known[self.sorted_order([*(c[known] for c in columns[:-1]), np.maximum(columns[-1][known], 0)])]
+        known = known[_order([c[known] for c in ranks])]
         before_last, last = [c[known] for c in columns[:-1]], columns[-1][known]
         often = [f[known] for f in frequent[:-1]]
         spread, context = np.all(often, axis=0), self.context(before_last)
@@ -368,19 +372,29 @@ class Model:
             g = self.grams(k, b)
             if not len(g.firsts):
                 continue
-            i = np.minimum(np.searchsorted(g.firsts, before_last[0][own]), len(g.firsts) - 1)
-            own, i = own[hit := g.firsts[i] == before_last[0][own]], i[hit]
-            low, high = g.starts[i].astype(np.int64), np.append(g.starts, len(g.words))[i + 1].astype(np.int64)
+            # Neighbours of one context look it up once.
+            new = np.ones(len(own), bool)
+            new[1:] = np.any([c[own[1:]] != c[own[:-1]] for c in before_last], axis=0)
+            which, one = np.cumsum(new) - 1, own[new]
+            i = np.minimum(np.searchsorted(g.firsts, before_last[0][one]), len(g.firsts) - 1)
+            known_here = np.flatnonzero(g.firsts[i] == before_last[0][one])
+            i, one = i[known_here], one[known_here]
+            low, high = g.starts[i].astype(np.int64), np.full(len(i), len(g.words))
+            high[i + 1 < len(g.starts)] = g.starts[i[i + 1 < len(g.starts)] + 1]
             for c, ids in zip(before_last[1:], g.middle, strict=True):
-                low, end = _within(ids, low, high, c[own]), high
+                low, end = _within(ids, low, high, c[one]), high
                 there = np.flatnonzero(low < end)
-                there = there[ids[low[there]] == c[own[there]]]
-                own, low, end = own[there], low[there], end[there]
-                high = _within(ids, low, near := np.minimum(low + SHORT, end), c[own] + 1)
+                there = there[ids[low[there]] == c[one[there]]]
+                one, low, end, known_here = one[there], low[there], end[there], known_here[there]
+                high = _within(ids, low, near := np.minimum(low + SHORT, end), c[one] + 1)
                 more = np.flatnonzero((high == near) & (near < end))  # contexts are short, most of them
-                high[more] = _within(ids, high[more], end[more], c[own[more]] + 1)
-            sums[own] = g.sums(low, high)
-            j = _within(g.words, low, high, last[own])
+                high[more] = _within(ids, high[more], end[more], c[one[more]] + 1)
+            at = np.full(int(new.sum()), -1)
+            at[known_here] = np.arange(len(known_here))
+            which = at[which]
+            own, which = own[which >= 0], which[which >= 0]
+            sums[own] = g.sums(low, high)[which]
+            j, high = _within(g.words, low[which], high[which], last[own]), high[which]
             met = np.flatnonzero(j < high)
             met = met[g.words[j[met]] == last[own[met]]]
             count[own[met]] = g.counts(j[met])
@@ -420,12 +434,24 @@ class Model:
         out = self.singles(ids)
         if self.discounts:
             frequent = counts >= self.many
+            kinds, rank = np.unique(ids, return_inverse=True)
             for k in range(2, self.order + 1):
-                columns = [before(ids, at, b, self.words) if b else ids for b in range(k - 1, -1, -1)]
-                out = self.level(columns, [before(frequent, at, b, True) if b else frequent for b in range(k - 1, -1, -1)], out)
+                columns, ranks = ([before(c, at, b, first) if b else c for b in range(k - 1, -1, -1)] for c, first in ((ids, self.words), (rank, len(kinds))))
+                out = self.level(columns, ranks, [before(frequent, at, b, True) if b else frequent for b in range(k - 1, -1, -1)], out)
         return out
 
 
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of small numbers, the first column first; equal rows in any."""
+    bits = max(1, max(int(c.max(initial=0)) for c in columns).bit_length())
+    if bits * len(columns) > 63:
+        return np.lexsort(columns[::-1])
+    key = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        key = key << bits | c
+    return np.argsort(key)
+
+
 def _by(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each value of ``parts`` and where it stands."""
     if len(parts):
@@ -453,8 +479,8 @@ def fit(docs: DataFrame, train: Column, order: int = ORDER, range_words: int = R
             sums: list[tuple[np.ndarray, np.ndarray]] = []
             for _, _, buf, off in slices(batch.column(0)):
                 starts, ends, at = spans(buf, off)
-                digests, which = word_digests(LOWER[buf], starts, ends)
-                sums.append((np.concatenate([digests, END]), np.bincount(tokens(which, at, len(digests))[0], minlength=len(digests) + 1)))
+                keys, which = word_keys(LOWER[buf], starts, ends)
+                sums.append((np.concatenate([keys, END]), np.bincount(tokens(which, at, len(keys))[0], minlength=len(keys) + 1)))
             if sums:
                 yield pa.RecordBatch.from_pydict(_rows(_word_rows(*_summed_words(*(np.concatenate(x) for x in zip(*sums, strict=True))), ranges, step)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tonespark.llm.words import LONG, spans, word_ids
+from tonespark.llm.words import _MASKS, _eights, LONG, mix, spans, word_ids
 
 
 class Memo(dict):
@@ -53,6 +53,38 @@ def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out, which
 
 
+def key_of(word: bytes) -> np.ndarray:
+    return word_keys(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+
+
+def word_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct words, as two integers each, and the number of every word; equal keys are equal words.
+
+    A word of up to 15 bytes is its own key, with its length in the highest byte: only longer ones are digested (to 120
+    bits, and a length that no other has). The first half is then mixed with the second, so that it spreads evenly.
+    """
+    size = ends - starts
+    eights = _eights(buf)
+    one = eights[starts] & _MASKS[np.minimum(size, 8)]
+    two = eights[np.minimum(starts + 8, len(buf))] & _MASKS[np.clip(size - 8, 0, 7)]
+    two |= np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    if len(long := np.flatnonzero(size > 15)):
+        raw = buf.tobytes()
+        found = b"".join(_digested([raw[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]))
+        digest = np.frombuffer(found, "<u8").reshape(-1, 2)
+        one[long], two[long] = digest[:, 0], digest[:, 1] | np.uint64(255 << 56)
+    one = mix(one ^ mix(two))
+    order = np.argsort(one)
+    new = np.ones(len(order), bool)
+    new[1:] = one[order[1:]] != one[order[:-1]]
+    if not (new[1:] | (two[order[1:]] == two[order[:-1]])).all():  # other words with the same first half
+        order = np.lexsort((two, one))
+        new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return np.stack([one[order[new]], two[order[new]]], axis=1), which
+
+
 def slice_ids(buf: np.ndarray, off: np.ndarray, memo: Memo, with_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and the ``n + 1`` places where rows begin; ``with_space``: a word has the byte before it in its row."""
     starts, ends, at = spans(buf, off)
