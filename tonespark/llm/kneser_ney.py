@@ -615,7 +615,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in slices(batch.column(1), 2 << 20):
+            for a, b, buf, off in slices(batch.column(1), 3 << 20):
                 ids, counts, at = model.ids_of(buf, off)
                 base = np.log10((counts + 0.5) / (model.total + 0.5 * (model.words + 1)))
                 own = np.log10(model.probabilities(ids, counts, at))
