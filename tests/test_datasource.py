@@ -195,3 +195,45 @@ def test_single_precision_values_equal_the_others():
     for octets in (4, 8):
         x = np.linspace(-1, 1, 50).astype(f">f{octets}").tobytes()
         assert (decode_float(x, octets, False, False, True) == decode(x, octets, False, False, True)[1].astype(np.float32)).all()
+
+
+def many(folder, n):
+    for k in range(n):
+        (folder / f"{k:04}.wav").write_bytes(files.wave_head(3, 1, 8000, 16, False) + np.array([k, k + 1, k + 2], "<i2").tobytes())
+
+
+def test_many_grown_files_are_few_tasks(tmp_path):
+    """A piece a file would be as many tasks, each with a file of its own in the sink."""
+    many(tmp_path, 2500)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("frame", T.LongType()), T.StructField("q", T.LongType())])
+    for option in ({}, {"partitionBytes": "24000"}):
+        reader = datasource.Wave({"path": str(tmp_path), **option}).streamReader(schema)
+        end = reader.latestOffset()
+        assert end["0007.wav"] == 50 and len(end) == 2500
+        whole = {f"{tmp_path}/{p}": 47 for p in end}  # offsets of former versions have whole names; these end within frame 1
+        for start, want in ((reader.initialOffset(), [0, 1, 2]), ({p: 47 for p in end}, [1, 2]), (whole, [1, 2])):
+            parts = reader.partitions(start, end)
+            assert 2 < len(parts) < 12
+            batches = [b for p in parts for b in reader.read(p)]
+            assert len(batches) == len(parts)
+            got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            assert got == [(f"{tmp_path}/{k:04}.wav", i, k + i) for k in range(2500) for i in want]
+
+
+def test_a_file_that_grew_much_is_many_tasks(tmp_path):
+    data = files.wave_head(1000, 1, 8000, 24, False) + encode(np.arange(1000), 3, True, False, False)
+    (tmp_path / "a.wav").write_bytes(data)
+    reader = datasource.Wave({"path": str(tmp_path), "partitionBytes": "500"}).streamReader(T.StructType([T.StructField("frame", T.LongType()), T.StructField("q", T.LongType())]))
+    for old in (0, 20, 44, 45, 46, 47, 543, 544, 545, 2000, len(data) - 1):
+        parts = reader.partitions({"a.wav": old}, reader.latestOffset())
+        assert len(parts) == -(-(len(data) - old) // 500)
+        got = [r for p in parts for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert got == [(i, i) for i in range(max(0, old - 44) // 3, 1000)]
+
+
+def test_many_small_files_are_read_by_several_tasks_in_few_batches(tmp_path):
+    many(tmp_path, 2500)
+    reader = datasource.Wave({"path": str(tmp_path)}).reader(T.StructType([T.StructField("path", T.StringType()), T.StructField("q", T.LongType())]))
+    parts = reader.partitions()
+    batches = [list(reader.read(p)) for p in parts]
+    assert len(parts) == 3 and [len(b) for b in batches] == [1] * 3 and sum(b.num_rows for own in batches for b in own) == 7500

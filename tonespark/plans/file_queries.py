@@ -28,7 +28,7 @@ def _user(df: DataFrame) -> DataFrame:
 
 
 def _bytes(s: SparkSession, folder: str, written: DataFrame) -> DataFrame:
-    read = s.read.format("binaryFile").load(folder).select("path", F.md5("content").alias("md5"), F.col("length").alias("bytes"))
+    read = files.few_tasks(s.read.format("binaryFile").load(folder).select("path", F.md5("content").alias("md5"), F.col("length").alias("bytes")))
     return _user(read).join(written.select("user_id", "frames", F.col("bytes").alias("told")), "user_id").where("told = bytes").select("user_id", "frames", "bytes", "md5")
 
 
@@ -138,7 +138,7 @@ def _saved(s: SparkSession, d: str, form: str, depth: int, **how: bool) -> str:
     datasource.register(s)
     folder, e = shared_path(s, form), event_stream(s, d)
     channel = F.col("v") if how.get("real") else F.shiftleft("q", depth - 16)
-    ordered = e.select("user_id", "frame", channel.alias("a")).repartition("user_id").sortWithinPartitions("user_id", "frame")
+    ordered = files.dealt(e.select("user_id", "frame", channel.alias("a")), "user_id").sortWithinPartitions("user_id", "frame")
     ordered.write.format(form).options(rate=48_000, depth=depth, **how).mode("append").save(folder)
     return folder
 
@@ -146,8 +146,8 @@ def _saved(s: SparkSession, d: str, form: str, depth: int, **how: bool) -> str:
 @register("wave_source_bytes", _WAVE_BYTES)
 def _(s: SparkSession, d: str) -> DataFrame:
     folder = _saved(s, d, "wave", 16)
-    read = _user(s.read.format("binaryFile").load(folder).select("path", F.md5("content").alias("md5"), F.col("length").alias("bytes")))
-    counted = _user(s.read.format("wave").schema("path string, frame long").load(folder)).groupBy("user_id").agg(F.count("*").alias("frames"))
+    read = _user(files.few_tasks(s.read.format("binaryFile").load(folder).select("path", F.md5("content").alias("md5"), F.col("length").alias("bytes"))))
+    counted = _user(s.read.format("wave").schema("path string, frame long").load(folder).groupBy("path").agg(F.count("*").alias("frames"))).select("user_id", "frames")
     return read.join(counted, "user_id").select("user_id", "frames", "bytes", "md5")
 
 
@@ -193,7 +193,7 @@ def _grow(folder: str, share: float):
 def _(s: SparkSession, d: str) -> DataFrame:
     """Files grow between two runs of a stream: those of the first end within a frame or the head."""
     written, folder = _saved(s, d, "wave", 16), shared_path(s, "growing")
-    content = s.read.format("binaryFile").load(written).select("path", "content")
+    content = files.few_tasks(s.read.format("binaryFile").load(written).select("path", "content"))
     for share in (0.37, 1.0):
         content.mapInArrow(_grow(folder, share), "n long").agg(F.sum("n")).collect()
         stream = s.readStream.format("wave").schema("path string, frame long, q long").load(folder)

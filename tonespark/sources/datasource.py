@@ -30,15 +30,15 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
 
 from tonespark.sources.decode import decode, decode_float, encode
-from tonespark.sources.files import AIFC_KINDS, _open, aifc_head, header_of, wave_head
+from tonespark.sources.files import AIFC_KINDS, Held, _open, aifc_head, gathered, header_of, wave_head
 
 SAMPLES = "path string, frame long, ch int, q long, x float"
 BLOCKS = "path string, first long, ch int, x array<float>"
 PARTITION_BYTES = 64 << 20
 #: Bytes that are read and decoded at once.
 READ_BYTES = 4 << 20
-#: Bytes of a writer's buffer.
-COPY_BYTES = 1 << 20
+#: Files of a piece; opening one counts as so large a part of a piece's bytes.
+PIECE_FILES = 1024
 
 
 @dataclass
@@ -91,17 +91,22 @@ def _files(options: dict[str, str]) -> list[tuple[str, int]]:
     return sorted((named(i.path), i.size) for i in found if i.is_file and not hidden(i.path))
 
 
+def _root(options: dict[str, str]) -> str:
+    """What the names of the files of a folder begin with."""
+    return (options["path"] if "://" in options["path"] and not options["path"].startswith("file:") else _open(options["path"])[1]).rstrip("/") + "/"
+
+
 def _pack(ranges: Sequence[tuple[str, int, int, int]], most: int) -> list[Piece]:
-    """Pieces of about ``most`` bytes; long ranges are cut."""
-    out, size = [Piece()], 0
+    """Pieces of about ``most`` bytes and up to PIECE_FILES ranges; long ranges are cut."""
+    out, size, opening = [Piece()], 0, most // PIECE_FILES
     for path, first, end, whole in ranges:
         for a in range(first, end, most):
             b = min(a + most, end)
-            if size and size + b - a > most:
+            if size and size + b - a + opening > most:
                 out.append(Piece())
                 size = 0
             out[-1].ranges.append((path, a, b, whole))
-            size += b - a
+            size += b - a + opening
     return [p for p in out if p.ranges]
 
 
@@ -126,7 +131,10 @@ class Scan:
         return "ok", "raw", channels, float(told("rate", 48_000)), depth, yes("real", "false"), yes("little", "true"), yes("offset", "false"), 0, size // (channels * depth // 8)
 
     def read(self, piece: Piece | None, wanted: Wanted) -> Iterator[pa.RecordBatch]:
-        """The frames whose first bytes are in the piece's ranges."""
+        """The frames whose first bytes are in the piece's ranges, those of small files in batches together."""
+        return gathered(self.each(piece, wanted))
+
+    def each(self, piece: Piece | None, wanted: Wanted) -> Iterator[pa.RecordBatch]:
         for path, first, end, size in piece.ranges if piece else ():  # no partition at all is one of None
             if wanted.paths is not None and path not in wanted.paths:
                 continue
@@ -206,42 +214,50 @@ class PushingReader(BatchReader):
 
 
 class StreamReader(ds.DataSourceStreamReader):
-    """Offsets are the sizes of files by path; a file may grow, and new ones may come."""
+    """Offsets are the sizes of files by their names below the folder; a file may grow, and new ones may come."""
 
     def __init__(self, scan: Scan):
-        self.scan = scan
+        self.scan, self.root = scan, _root(scan.options)
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        return dict(_files(self.scan.options))
+        return {p.removeprefix(self.root): size for p, size in _files(self.scan.options)}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return [Grown(p, start.get(p, 0), size) for p, size in sorted(end.items()) if size > start.get(p, 0)]
+    def partitions(self, start: dict, end: dict) -> list[Grown]:
+        """What has been added to the files, in pieces as of batches; the first range of a file reaches back to its head,
+        as a frame may have been begun before. Offsets of former versions have whole names."""
+        old = {p.removeprefix(self.root): size for p, size in start.items()}
+        named = lambda p: p if p.startswith("/") or "://" in p else self.root + p
+        grown = {named(p): (old.get(p, 0), size) for p, size in sorted((p.removeprefix(self.root), size) for p, size in end.items()) if size > old.get(p, 0)}
+        pieces = _pack([(p, a, b, b) for p, (a, b) in grown.items()], self.scan.most)
+        return [Grown([(p, grown[p][0], 0 if a == grown[p][0] else a, b, size) for p, a, b, size in piece.ranges]) for piece in pieces]
 
     def read(self, partition: Grown | None) -> Iterator[pa.RecordBatch]:
+        return gathered(self.each(partition))
+
+    def each(self, partition: Grown | None) -> Iterator[pa.RecordBatch]:
         """Frames complete at the new size that were not at the old one."""
-        if partition is None:
-            return
-        system, plain = _open(partition.path)
-        with system.open_input_file(plain) as f:
+        for path, old, first, end, new in partition.ranges if partition else ():
+            system, plain = _open(path)
+            with system.open_input_file(plain) as f:
 
-            def at(begin: int, n: int) -> bytes:
-                f.seek(begin)
-                return f.read(n)
+                def at(begin: int, n: int, f: pa.NativeFile = f) -> bytes:
+                    f.seek(begin)
+                    return f.read(n)
 
-            done = [self.scan.header(lambda a, n, s=size: at(a, max(0, min(n, s - a))), size) for size in (partition.old, partition.new)]
-        frames = [h[9] if h[0] in ("ok", "truncated") else 0 for h in done]
-        if frames[1] > frames[0]:
-            yield from self.scan.read(Piece([(partition.path, 0, partition.new, partition.new)]), Wanted(frames[0], frames[1]))
+                done = [self.scan.header(lambda a, n, s=size, at=at: at(a, max(0, min(n, s - a))), size) for size in (old, new)]
+            frames = [h[9] if h[0] in ("ok", "truncated") else 0 for h in done]
+            if frames[1] > frames[0]:
+                yield from self.scan.each(Piece([(path, first, end, new)]), Wanted(frames[0], frames[1]))
 
 
 @dataclass
 class Grown(ds.InputPartition):
-    path: str
-    old: int
-    new: int
+    """Ranges of files that have grown: (path, old size, first byte, end, new size)."""
+
+    ranges: list[tuple[str, int, int, int, int]]
 
 
 @dataclass
@@ -280,20 +296,11 @@ class Writer(ds.DataSourceArrowWriter):
         system, base = _open(self.options["path"])
         work = f"{base}/_temporary/{self.job}/{uuid.uuid4().hex}"
         system.create_dir(work, recursive=True)
-        name, out, n, last, done = None, None, 0, None, []
+        name, held, n, last, done = None, None, 0, None, []
 
         def close() -> None:
-            """The samples lie in a file of their own; head and samples make the whole one."""
-            out.close()
-            part, made = f"{work}/{len(done)}.samples", f"{work}/{len(done)}"
-            size = n * len(self.channels) * self.depth // 8
-            with system.open_output_stream(made) as whole, system.open_input_stream(part) as samples:
-                whole.write(self.head(n))
-                while data := samples.read(COPY_BYTES):
-                    whole.write(data)
-                if self.form != "raw":
-                    whole.write(bytes(size % 2))
-            system.delete_file(part)
+            made = f"{work}/{len(done)}"
+            held.save(made, self.head(n), held.size % 2 if self.form != "raw" else 0)
             done.append((made, f"{base}/{name}.{'wav' if self.form == 'wave' else self.form}"))
 
         for batch in iterator:
@@ -304,17 +311,16 @@ class Writer(ds.DataSourceArrowWriter):
             cut = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)] if ids else [0]
             values = np.stack([column[c].to_numpy(zero_copy_only=False) for c in self.channels], 1)
             for a, b in zip(cut, cut[1:], strict=False):
-                if out is None or ids[a] != name:
-                    if out is not None:
+                if held is None or ids[a] != name:
+                    if held is not None:
                         close()
-                    name, n, last = ids[a], 0, None
-                    out = system.open_output_stream(f"{work}/{len(done)}.samples")
+                    name, n, last, held = ids[a], 0, None, Held(system, f"{work}/{len(done)}.samples")
                 own = frames[a:b]
                 if (np.diff(own) <= 0).any() or last is not None and own[0] <= last:
                     raise ValueError(f"frames of {name} are not in order: sort within partitions by {self.key} and frame")
-                out.write(encode(values[a:b].ravel(), self.depth // 8, self.little, self.form == "wave" and self.depth == 8 and not self.real, self.real))
+                held.write(encode(values[a:b].ravel(), self.depth // 8, self.little, self.form == "wave" and self.depth == 8 and not self.real, self.real))
                 n, last = n + b - a, own[-1]
-        if out is not None:
+        if held is not None:
             close()
         return Written(done)
 

@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from tonespark.sources.decode import decode, decode_float, encode
 
 RANGE_FRAMES = 1 << 18
+#: Rows, and bytes, that small batches are gathered to: each has a cost of its own on its way to Spark.
+GATHER_ROWS, GATHER_BYTES = 1 << 16, 4 << 20
+#: Bytes of a stream that a writer holds.
+COPY_BYTES = 1 << 20
 #: Kinds of AIFC samples (little-endian, float), and the identifier tail of an extensible WAVE format.
 AIFC_KINDS = {
     b"NONE": (False, False), b"twos": (False, False), b"in24": (False, False), b"in32": (False, False), b"sowt": (True, False), b"ni24": (True, False),
@@ -40,6 +44,47 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), unquote(url.path)) if url.scheme in ("", "file") else fs.FileSystem.from_uri(path)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about GATHER_ROWS rows or GATHER_BYTES bytes; longer ones are passed on."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHER_ROWS or size >= GATHER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+class Held:
+    """Samples of a stream until its head can be written: up to COPY_BYTES in memory, more in a file of their own."""
+
+    def __init__(self, system: fs.FileSystem, part: str):
+        self.system, self.part, self.own, self.waiting, self.size, self.out = system, part, [], 0, 0, None
+
+    def write(self, raw: bytes) -> None:
+        self.own.append(raw)
+        self.waiting, self.size = self.waiting + len(raw), self.size + len(raw)
+        if self.waiting > COPY_BYTES:
+            self.out = self.out or self.system.open_output_stream(self.part)
+            self.out.write(b"".join(self.own))
+            self.own, self.waiting = [], 0
+
+    def save(self, path: str, head: bytes, pad: int) -> None:
+        if self.out is not None:
+            self.out.close()
+        with self.system.open_output_stream(path) as whole:
+            whole.write(head)
+            if self.out is not None:
+                with self.system.open_input_stream(self.part) as samples:
+                    while data := samples.read(COPY_BYTES):
+                        whole.write(data)
+            whole.write(b"".join([*self.own, bytes(pad)]))
+        if self.out is not None:
+            self.system.delete_file(self.part)
+
+
 class Damaged(ValueError):
     """What is wrong with a content, as its status."""
 
@@ -114,7 +159,12 @@ def header_of(read: Read, size: int) -> tuple:
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``path, length`` of the files below a folder; contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return found.select("path", "length")
+    return few_tasks(found.select("path", "length"))
+
+
+def few_tasks(files: DataFrame) -> DataFrame:
+    """``files`` in no more tasks than a shuffle has: Spark deals small files by a few tens to a task."""
+    return files.coalesce(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _with_header(rows: DataFrame, head: Callable[[dict[str, Any]], tuple], *keys: str) -> DataFrame:
@@ -183,7 +233,7 @@ def _ranges(headers: DataFrame, first: int, end: int | None, frames: int, make:
     begin = F.greatest(F.col("part") * frames, F.lit(first))
     work = work.select("path", "channels", "octets", "little", "offset", "real", "data_start", begin.alias("begin"), (F.least(F.col("stop"), (F.col("part") + 1) * frames) - begin).alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted(batch.to_pylist(), key=lambda r: (r["path"], r["begin"]))
             for path, own in groupby(rows, key=lambda r: r["path"]):  # a file is opened once a batch
@@ -195,6 +245,9 @@ def _ranges(headers: DataFrame, first: int, end: int | None, frames: int, make:
                         raw = f.read(row["n"] * align)
                         yield make(row, raw[: len(raw) // align * align])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(read(batches))
+
     return dealt(work, "path", "begin").mapInArrow(run, schema)
 
 
@@ -255,10 +308,9 @@ def write_files(frames: DataFrame, folder: str, form: str, rate: int, depth: int
     channel, integers of ``depth`` bits or, if ``real``, floats of full scale 1.
 
     ``form`` is wave (little-endian), aifc or raw. A stream is written in order of its frames by one task, as it comes,
-    and gets its name when it is whole: a task that runs twice writes the same file.
+    and gets its name when it is whole: a task that runs twice writes the same file. Null keys are left out.
     """
-    counted = frames.groupBy(key).agg(F.count("*").alias("n"))
-    rows = frames.select(key, "frame", *channels).join(counted, key).repartition(key).sortWithinPartitions(key, "frame")
+    rows = dealt(frames.select(key, "frame", *channels).where(F.col(key).isNotNull()), key).sortWithinPartitions(key, "frame")
     little, octets = little or form == "wave", depth // 8
     # Kinds of AIFC samples that scans read.
     kind = (b"fl32" if depth == 32 else b"fl64") if real else {True: {16: b"sowt", 24: b"ni24"}, False: {}}[little].get(depth, b"twos")
@@ -268,33 +320,28 @@ def write_files(frames: DataFrame, folder: str, form: str, rate: int, depth: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
-        now, out, done, size, part = None, None, [], 0, ""
+        now, held, done = None, None, []
 
         def close() -> None:
-            if out is not None:
-                pad = size % 2 if form != "raw" else 0
-                out.write(bytes(pad))
-                out.close()
-                head = {"wave": 44, "raw": 0, "aifc": 72}[form]
-                name = f"{base}/{now}.{'wav' if form == 'wave' else form}"
-                system.move(part, name)
-                done.append((now, name, size // (octets * len(channels)), head + size + pad))
+            n, pad = held.size // (octets * len(channels)), held.size % 2 if form != "raw" else 0
+            head = {"wave": lambda: wave_head(n, len(channels), rate, depth, real), "aifc": lambda: aifc_head(n, len(channels), rate, depth, kind), "raw": lambda: b""}[form]()
+            whole, name = f"{base}/.{now}.{uuid.uuid4().hex}", f"{base}/{now}.{'wav' if form == 'wave' else form}"
+            held.save(whole, head, pad)
+            system.move(whole, name)
+            done.append((now, name, n, len(head) + held.size + pad))
 
         for batch in batches:
-            own = batch.column(0)
-            ids = own.to_pylist()
+            ids = batch.column(0).to_pylist()
             cut = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
             for a, b in zip(cut, cut[1:], strict=False):
-                if out is None or ids[a] != now:
-                    close()
-                    now, size, part = ids[a], 0, f"{base}/.{ids[a]}.{uuid.uuid4().hex}"
-                    out, n = system.open_output_stream(part), batch.column(batch.num_columns - 1)[a].as_py()
-                    out.write({"wave": lambda n=n: wave_head(n, len(channels), rate, depth, real), "aifc": lambda n=n: aifc_head(n, len(channels), rate, depth, kind), "raw": lambda: b""}[form]())
+                if held is None or ids[a] != now:
+                    if held is not None:
+                        close()
+                    now, held = ids[a], Held(system, f"{base}/.{ids[a]}.{uuid.uuid4().hex}.samples")
                 values = np.stack([batch.column(2 + k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in range(len(channels))], 1).ravel()
-                raw = encode(values, octets, little, form == "wave" and depth == 8 and not real, real)
-                out.write(raw)
-                size += len(raw)
-        close()
+                held.write(encode(values, octets, little, form == "wave" and depth == 8 and not real, real))
+        if held is not None:
+            close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind_of), *(pa.array([d[k] for d in done], t) for k, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64())))], [key, "path", "frames", "bytes"])
 
     kind_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[frames.schema[key].dataType.simpleString()]
@@ -305,7 +352,7 @@ def write_files(frames: DataFrame, folder: str, form: str, rate: int, depth: int
 
 def stream_of(path: Column) -> Column:
     """The stream that ``write_files`` wrote to this path."""
-    return F.regexp_extract(path, r"([^/]+)\.[a-z]+$", 1)
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"([^/]+)\.[a-z]+$", 1)  # a pattern over the path tries each place
 
 
 #: How contents of each format begin, as hex from the first byte; ``.`` is any digit.
