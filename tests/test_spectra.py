@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,21 @@ def test_spectra_of_rows(spark):
     for x in spectra.power_spectra(spark.createDataFrame(rows, "i long, e array<double>"), "i", "e").orderBy("k").collect():
         got.setdefault(x.i, []).append(x.power)
     assert got.keys() == {1, 2, 5} and all(np.allclose(got[i], np.abs(np.fft.rfft(e)) ** 2) for i, e in rows if e)
+
+
+def test_tasks_hold_values_not_rows(spark, monkeypatch):
+    """A block counts as all of its values, and short streams' blocks are transformed in slices."""
+    monkeypatch.setattr(spectra, "PART_ROWS", 4096)
+    stream = spark.range(2000).selectExpr("id AS user_id", "0L AS frame", "1D AS x")
+    blocks = spectra.lapped(stream, 64, "sine", 64)
+    sizes = []
+    real = spectra.mdct
+    monkeypatch.setattr(spectra, "mdct", lambda b: sizes.append(b.size) or real(b))
+    run = {}
+    monkeypatch.setattr(type(blocks.groupBy("user_id")), "applyInArrow", lambda g, f, schema: run.setdefault("f", f))
+    spectra.lapped(stream, 64, "sine", 64)
+    table = pa.table({"user_id": np.arange(500), "frame": np.zeros(500, np.int64), "x": np.ones(500), "_chunk": np.zeros(500, np.int64), "_part": np.zeros(500, np.int64)})
+    made = list(run["f"](iter(table.to_batches())))
+    assert max(sizes) <= 2 * (4096 + 2 * 64) and sum(b.num_rows for b in made) == 500
+    parts = spectra._dealt(blocks.selectExpr("user_id", "block AS frame", "c"), 1, 0, 1, 64).groupBy("_part").count().collect()
+    assert len(parts) > 20 and max(r["count"] for r in parts) * 64 < 4 * 4096

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 13
+#: Values that a task holds at once.
 PART_ROWS = 1 << 18
 
 
@@ -36,14 +37,14 @@ def kaiser_bessel_derived(n: int, alpha: float = 4.0) -> np.ndarray:
 WINDOWS = {"sine": sine, "power": power_complementary, "kbd": kaiser_bessel_derived}
 
 
-def _dealt(stream: DataFrame, chunk: int, before: int, after: int) -> DataFrame:
-    """``stream`` with its ``_chunk`` and ``_part``; frames within ``before`` of the next chunk go to that too, those
-    within ``after`` of the one before to that."""
+def _dealt(stream: DataFrame, chunk: int, before: int, after: int, values: int = 1) -> DataFrame:
+    """``stream`` with its ``_chunk`` and ``_part``, of rows of about PART_ROWS values (``values`` a row); frames within
+    ``before`` of the next chunk go to that too, those within ``after`` of the one before to that."""
     at, own = F.col("frame") % chunk, F.floor(F.col("frame") / chunk)
     to = F.array(own, F.when(at >= chunk - before, own + 1), F.when((at < after) & (own > 0), own - 1))
     n = stream.count()
     spread = stream.withColumn("_chunk", F.explode(F.array_compact(to)))
-    return spread.withColumn("_part", F.pmod(F.xxhash64("user_id", "_chunk"), F.lit(max(1, n // PART_ROWS))))
+    return spread.withColumn("_part", F.pmod(F.xxhash64("user_id", "_chunk"), F.lit(max(1, n * values // PART_ROWS))))
 
 
 def _chunks(table: pa.Table, frame: str = "frame") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,8 +91,17 @@ def lapped(stream: DataFrame, n: int, window: str = "sine", chunk: int = CHUNK)
     w, who = WINDOWS[window](2 * n), stream.schema["user_id"].dataType.simpleString()
     dealt = _dealt(stream.select("user_id", "frame", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x")), chunk, n, 0)
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
         x, names, blocks, parts = table["x"].to_numpy(), [], [], []
+
+        def flush() -> pa.RecordBatch:
+            who = table["user_id"].take(pa.array(names, pa.int64())).combine_chunks()
+            made = pa.RecordBatch.from_arrays([who, pa.array(np.concatenate(blocks)), _lists(list(mdct(np.concatenate(parts))))], ["user_id", "block", "c"])
+            for own in (names, blocks, parts):
+                own.clear()
+            return made
+
         for name, c, rows, at in _chunks(table):
             own = at >= c * chunk  # without them, the chunk is the last block's alone: the halo of the one before
             last = int(at[-1]) // n + 1 if own.any() else c * chunk // n
@@ -102,8 +112,10 @@ def lapped(stream: DataFrame, n: int, window: str = "sine", chunk: int = CHUNK)
             parts.append(np.lib.stride_tricks.sliding_window_view(line, 2 * n)[::n] * w)
             names += [name] * (end - first + 1)
             blocks.append(np.arange(first, end + 1))
-        found = mdct(np.concatenate(parts)) if parts else np.zeros((0, n))
-        return pa.table({"user_id": table["user_id"].take(pa.array(names, pa.int64())), "block": pa.array(np.concatenate(blocks) if blocks else np.zeros(0, np.int64)), "c": _lists(list(found))})
+            if len(names) * n >= PART_ROWS:  # of short streams, blocks hold many more values than there are frames
+                yield flush()
+        if names:
+            yield flush()
 
     return dealt.groupBy("_part").applyInArrow(run, f"user_id {who}, block bigint, c array<double>")
 
@@ -113,7 +125,7 @@ def unlapped(blocks: DataFrame, n: int, window: str = "sine", chunk: int = CHUNK
     last block's first half. Missing blocks count as 0."""
     each = max(chunk // n, 1)
     w, who = WINDOWS[window](2 * n), blocks.schema["user_id"].dataType.simpleString()
-    dealt = _dealt(blocks.select("user_id", F.col("block").alias("frame"), "c"), each, 0, 1)
+    dealt = _dealt(blocks.select("user_id", F.col("block").alias("frame"), "c"), each, 0, 1, n)
 
     def run(table: pa.Table) -> pa.Table:
         out = inverse_mdct(table["c"].combine_chunks().flatten().to_numpy().reshape(-1, n)) * w
@@ -122,7 +134,7 @@ def unlapped(blocks: DataFrame, n: int, window: str = "sine", chunk: int = CHUNK
             own = at[at < (c + 1) * each]
             if not len(own):
                 continue
-            line = np.zeros((each + 1) * n)  # from the chunk's first frame on: second halves, and first halves of the next
+            line = np.zeros((min(each, int(at[-1]) - c * each) + 1) * n)  # from the chunk's first frame on: second halves, and first halves of the next
             for r, b in zip(rows.tolist(), (at - c * each).tolist(), strict=True):
                 if b < each:
                     line[b * n : b * n + n] += out[r, n:]
