@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonespark.operators import codes
 
@@ -81,3 +82,11 @@ def test_budgets_equal_a_sort(spark, block):
             want.append(x[:2])
     assert got == sorted(want) and {g for g, _ in got} == {1, 3, 4, 6}
     assert codes.within_budget(df.where("false"), spark.createDataFrame([(1, 5)], "user_id long, budget long"), block).count() == 0
+
+
+def test_a_budget_takes_a_pass_a_digit(spark, tmp_path):
+    """Cuts that are named twice would double the plan with each digit (65 scans of the rows)."""
+    spark.range(10).selectExpr("id % 2 AS user_id", "id AS frame", "id AS slope", "1L AS bits").write.parquet(f"{tmp_path}/r")
+    rows = spark.read.parquet(f"{tmp_path}/r")
+    plan = codes.within_budget(rows, rows.groupBy("user_id").agg(F.sum("bits").alias("budget")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 13

@@ -76,11 +76,11 @@ def within_budget(steps: DataFrame, budget: DataFrame, block: int | None = None)
     left = budget.where("user_id is not null and budget is not null").groupBy("user_id").agg(F.min("budget").alias("_left"))
     cut = left.withColumn("_prefix", F.lit(0).cast("long"))
     for shift in range(SLOPE_BITS - DIGIT, -1, -DIGIT):
-        digit = F.shiftright("slope", shift)
+        # What is left travels with the sums, so that each cut is named once: the plan grows by a pass over the rows a digit.
         here = rows.join(cut, "user_id").where(F.shiftright("slope", shift + DIGIT) == F.col("_prefix"))
-        sums = here.groupBy("user_id", digit.alias("_digit")).agg(F.sum("bits").alias("_bits"))
+        sums = here.groupBy("user_id", F.shiftright("slope", shift).alias("_digit")).agg(F.sum("bits").alias("_bits"), F.min("_left").alias("_left"))
         above = Window.partitionBy("user_id").orderBy(F.desc("_digit"))  # at most 2 ** DIGIT rows a group
-        ends = sums.withColumn("_above", F.sum("_bits").over(above) - F.col("_bits")).join(cut, "user_id").where(F.col("_above") <= F.col("_left"))
+        ends = sums.withColumn("_above", F.sum("_bits").over(above) - F.col("_bits")).where(F.col("_above") <= F.col("_left"))
         # The lowest digit that the budget reaches; all of those above it are paid for.
         least = ends.groupBy("user_id").agg(F.min(F.struct("_digit", (F.col("_left") - F.col("_above")).alias("_rest"))).alias("m"))
         cut = least.select("user_id", F.col("m._rest").alias("_left"), F.col("m._digit").alias("_prefix"))

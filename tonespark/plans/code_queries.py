@@ -43,9 +43,10 @@ SELECT vec_id, cast(g AS int) AS band, count(CASE WHEN place <= budget THEN 1 EN
 def _(s: SparkSession, d: str) -> DataFrame:
     """Bits of each band of 8 values, 12 a vector on average by label: each bit takes three quarters of the error left, and
     goes to where that is most."""
-    band = vector_blocks(s, d).select("label", "vec_id", "e", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("band"))
-    energy = F.expr("cast(floor(aggregate(slice(e, band * 8 + 1, 8), 0D, (a, x) -> a + pow(round(x * 1024), 2))) AS long)")
-    steps = band.select("label", "vec_id", "band", energy.alias("energy"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
+    # All energies of a vector are the explode's own input: an expression beside an explode is made again for each row of it.
+    energies = F.expr("transform(sequence(0, 7), g -> cast(floor(aggregate(slice(e, g * 8 + 1, 8), 0D, (a, x) -> a + pow(round(x * 1024), 2))) AS long))")
+    band = vector_blocks(s, d).select("label", "vec_id", F.posexplode(energies).alias("band", "energy"))
+    steps = band.select("label", "vec_id", "band", "energy", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
     frame = (F.col("vec_id") * 64 + F.col("band") * 8 + F.col("k")).alias("frame")
     steps = steps.select(F.col("label").alias("user_id"), frame, F.expr("shiftright(energy, 2 * k)").alias("slope"), F.lit(1).cast("long").alias("bits"), "vec_id", "band")
     budget = vector_blocks(s, d).groupBy(F.col("label").alias("user_id")).agg((F.count("*") * 12).alias("budget"))
