@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,33 @@ def test_packets_over_pages(spark):
     # Several packets in one page.
     one = b"OggS\0\2" + bytes(8) + (9).to_bytes(4, "little") + bytes(8) + b"\3\2\0\3" + b"abcde"
     assert back(spark.createDataFrame([(one,), (b"OggS",), (None,)], "page binary")) == [(0, 1, True, b"ab"), (1, 1, True, b""), (2, 1, True, b"cde")]
+
+
+def test_small_streams_are_written_at_once_and_gathered(tmp_path):
+    """A stream that fits in memory makes one file; batches of small files are read together, with all their rows."""
+    made, system = [], files._open(str(tmp_path))[0]
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(system, name)
+
+        def open_output_stream(self, path):
+            made.append(path)
+            return system.open_output_stream(path)
+
+    for n, streams in ((5, 1), (files.COPY_BYTES * 3 + 7, 2)):
+        made.clear()
+        held = files.Held(Counted(), f"{tmp_path}/part")
+        for k in range(0, n, 1000):
+            held.write(bytes([k // 1000 % 256]) * min(1000, n - k))
+        held.save(f"{tmp_path}/whole", b"head", 1)
+        want = b"head" + b"".join(bytes([k // 1000 % 256]) * min(1000, n - k) for k in range(0, n, 1000)) + b"\0"
+        assert (tmp_path / "whole").read_bytes() == want and len(made) == streams and not (tmp_path / "part").exists()
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, k])], ["k"]) for k in range(100_000)]
+    got = list(files.gathered(iter(batches)))
+    assert len(got) == 4 and [x for b in got for x in b.column(0).to_pylist()] == [k for k in range(100_000) for _ in range(2)]
+
+
+def test_stream_names_come_from_the_file_name(spark):
+    paths = [("/a.b/12.wav",), ("file:/x/y.z/k.1.aifc",), ("7.raw",), ("/none",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(paths, "p string").select(files.stream_of(F.col("p"))).collect()] == ["12", "k.1", "7", "", None]
