@@ -213,3 +213,14 @@ def test_small_streams_are_written_at_once_and_gathered(tmp_path):
 def test_stream_names_come_from_the_file_name(spark):
     paths = [("/a.b/12.wav",), ("file:/x/y.z/k.1.aifc",), ("7.raw",), ("/none",), (None,)]
     assert [r[0] for r in spark.createDataFrame(paths, "p string").select(files.stream_of(F.col("p"))).collect()] == ["12", "k.1", "7", "", None]
+
+
+def test_checksums_of_written_pages_are_made_once_a_reading(spark):
+    """Filters on a page that is read back don't make its checksum again, in a second Python worker of the task."""
+    steps = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    pages = packets.packet_pages(spark.createDataFrame([(3, 0, b"x" * 300)], "serial int, packet int, data binary"), 4).select("page")
+    assert steps(pages) == 1 and steps(packets.scan_packets(pages)) == 2  # pages are read twice: for their numbers and their bytes
+    parts = spark.createDataFrame([(1, 0, 2, b"abcd")], "user_id long, segment long, n long, data binary")
+    made = signals.ogg_pages(parts)
+    assert steps(made) == 1 and steps(signals.scan_ogg(made)) == 2  # one is the reader's
+    assert [(r.good, bytes(r.data)) for r in signals.scan_ogg(made).collect()] == [(True, b"abcd")]

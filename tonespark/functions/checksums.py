@@ -84,6 +84,13 @@ def crc(width: int, polynomial: int, start: int = 0) -> Callable:
     return run
 
 
+def crc_once(width: int, polynomial: int, start: int = 0) -> Callable:
+    """``crc`` for bytes that are made with it: give it a column of its own. Spark would else move filters on those bytes
+    below it and run it for them once more, in Python workers of their own; it does not move them past what it is told
+    to be nondeterministic."""
+    return crc(width, polynomial, start).asNondeterministic()
+
+
 #: Widths, polynomials and start values of the frame, page and side-information checksums.
 CRC8 = (8, 0x07, 0)
 CRC16 = (16, 0x8005, 0)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonespark.functions.checksums import CRC32_PAGE, crc
+from tonespark.functions.checksums import CRC32_PAGE, crc, crc_once
 from tonespark.functions.sample import little_endian_hex
 
 
@@ -33,8 +33,8 @@ def packet_pages(packets: DataFrame, laces: int = 255) -> DataFrame:
     granule = F.when(ends, F.concat(le(F.col("granule"), 7), F.lit("00"))).otherwise("FF" * 8)
     head = F.concat(F.lit("4F67675300"), le(flags.cast("long"), 1), granule, le(F.col("serial").cast("long"), 4), le(page_no, 4))
     made = each.select("serial", page_no.alias("page_no"), head.alias("head"), F.concat(le(own, 1), table, body).alias("rest"))
-    check = crc(*CRC32_PAGE)(F.unhex(F.concat("head", F.lit("00000000"), "rest")))
-    return made.select("serial", "page_no", F.unhex(F.concat("head", le(check, 4), "rest")).alias("page"))
+    made = made.withColumn("check", crc_once(*CRC32_PAGE)(F.unhex(F.concat("head", F.lit("00000000"), "rest"))))
+    return made.select("serial", "page_no", F.unhex(F.concat("head", le(F.col("check"), 4), "rest")).alias("page"))
 
 
 def split_pages(files: DataFrame, *keys: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonespark.functions.checksums import CRC32_PAGE, crc
+from tonespark.functions.checksums import CRC32_PAGE, crc, crc_once
 from tonespark.functions.sample import big_endian_hex, float_to_int, little_endian_hex
 from tonespark.operators.halo import numbered
 from tonespark.sources.decode import samples
@@ -96,8 +96,8 @@ def ogg_pages(parts: DataFrame) -> DataFrame:
     before = F.concat(F.lit("4F67675300"), le(flags.cast("long"), 1), le(granule, 7), F.lit("00"), le(F.col("user_id").cast("long"), 4), le(F.col("segment"), 4))
     after = F.concat(le((whole + 1).cast("long"), 1), F.repeat(F.lit("FF"), whole), le(size % 255, 1))
     made = parts.select("user_id", "segment", before.alias("before"), after.alias("after"), F.hex("data").alias("body"))
-    check = crc(*CRC32_PAGE)(F.unhex(F.concat("before", F.lit("00000000"), "after", "body")))
-    return made.select("user_id", "segment", F.unhex(F.concat("before", le(check, 4), "after", "body")).alias("page"))
+    made = made.withColumn("check", crc_once(*CRC32_PAGE)(F.unhex(F.concat("before", F.lit("00000000"), "after", "body"))))
+    return made.select("user_id", "segment", F.unhex(F.concat("before", le(F.col("check"), 4), "after", "body")).alias("page"))
 
 
 def scan_ogg(pages: DataFrame) -> DataFrame:
